@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foldwise.llm import media, packing, secrets, url_filter
+from foldwise.llm import media, packing, quality, secrets, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": quality.query,
     "op2_secret_scan": secrets.query,
+    "op3_toxicity": toxicity.query,
     "op5_packing": packing.query,
     "op9_url_filter": url_filter.query,
     "op10_media_columns": media.query,
