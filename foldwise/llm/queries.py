@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foldwise.llm import media, mixing, near_dedup, packing, quality, secrets, toxicity, url_filter
+from foldwise.llm import media, mixing, near_dedup, packing, quality, secrets, substring_dedup, toxicity, url_filter, vector_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": quality.query,
     "op2_secret_scan": secrets.query,
     "op3_toxicity": toxicity.query,
+    "op4_vector_dedup": vector_dedup.query,
     "op5_packing": packing.query,
+    "op6_substring_dedup": substring_dedup.query,
     "op7_mixing": mixing.query,
     "op8_near_dedup": near_dedup.query,
     "op9_url_filter": url_filter.query,
