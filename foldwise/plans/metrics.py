@@ -1 +1,139 @@
-"""Queries."""
+"""Queries on predictions: two classes from labels by document length, ten from embeddings, values from orders."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from foldwise.functions import columns as fc
+from foldwise.operators import metrics as mt
+from foldwise.plans.registry import query, table
+
+
+def binary(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "source", "n_chars")
+    joined = table(spark, d, "labels").join(docs, "doc_id")
+    score = F.floor(F.col("n_chars") / 50) / (F.floor(F.col("n_chars") / 50) + 40.0)
+    return joined.select(F.col("source").alias("run_key"), F.col("doc_id").alias("sample_id"), F.col("quality").alias("y_true"), score.alias("score"),
+                         F.when(score >= 0.5, 1).otherwise(0).alias("label"), F.array(1 - score, score).alias("probabilities"), (F.col("doc_id") % 3 + 1).cast("double").alias("weight"))
+
+
+BINARY = """b as (select source as run_key, doc_id as sample_id, quality as y_true, s as score, case when s >= 0.5 then 1 else 0 end as label, (doc_id % 3 + 1)::double as weight
+from (select *, floor(n_chars / 50.0::double) / (floor(n_chars / 50.0::double) + 40) as s from documents) join labels using (doc_id))"""
+
+
+def multiclass(spark, d):
+    v = F.transform(F.slice("embedding", 1, 10), lambda x: x.cast("double") * 4)
+    return table(spark, d, "embeddings").select(F.lit("all").alias("run_key"), F.col("vec_id").alias("sample_id"), F.col("label").alias("y_true"), v.alias("logits")).withColumn(
+        "decision", fc.multiclass_decision(F.col("logits"))).select("run_key", "sample_id", "y_true", "decision.label", "decision.probabilities", "logits")
+
+
+MULTI = """e as (select vec_id as sample_id, label as y_true, unnest(range(10)) as c, unnest(list_transform(list_slice(embedding, 1, 10), lambda x: exp(x::double * 4))) as w from embeddings),
+m as (select sample_id, y_true, c, w / sum(w) over (partition by sample_id) as p from e)"""
+
+
+def regression(spark, d):
+    orders = table(spark, d, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus", "o_totalprice")
+    value = orders.groupBy("o_orderstatus").agg(F.avg("o_totalprice").alias("value"))
+    return orders.join(value, "o_orderstatus").select(F.col("o_orderpriority").alias("run_key"), F.col("o_orderkey").alias("sample_id"), F.col("o_totalprice").alias("y_true"), "value")
+
+
+REGRESSION = "r as (select o_orderpriority as run_key, o_orderkey as sample_id, o_totalprice as y_true, avg(o_totalprice) over (partition by o_orderstatus) as value from orders)"
+
+
+def _one(frame, name, digits=6):
+    return frame.select("run_key", F.round(name, digits).alias(name))
+
+
+@query("mt_accuracy", f"with {BINARY} select run_key, round(avg((label = y_true)::integer), 6) as accuracy from b group by 1")
+def _(spark, d):
+    return _one(mt.metrics_of(binary(spark, d), ["run_key"], ["accuracy"]), "accuracy")
+
+
+AUC = """ranks as (select *, rank() over (partition by run_key order by score) + (count(*) over (partition by run_key, score) - 1) / 2.0::double as r from b),
+auc as (select run_key, sum(case when y_true = 1 then r else 0 end) as s, sum(y_true) as p, count(*) - sum(y_true) as n from ranks group by 1)"""
+
+
+@query("mt_roc_auc_binary", f"with {BINARY}, {AUC} select run_key, case when p > 0 and n > 0 then round((s - p * (p + 1) / 2.0::double) / (p::double * n), 6) end as roc_auc from auc")
+def _(spark, d):
+    return _one(mt.metrics_of(binary(spark, d), ["run_key"], ["roc_auc"]), "roc_auc")
+
+
+@query("mt_roc_auc_ovr", f"""with {MULTI},
+ranks as (select c, y_true = c as good, rank() over (partition by c order by p) + (count(*) over (partition by c, p) - 1) / 2.0::double as r from m),
+auc as (select c, sum(case when good then r else 0 end) as s, count(*) filter (good) as pos, count(*) filter (not good) as neg from ranks group by 1)
+select 'all' as run_key, round(avg((s - pos * (pos + 1) / 2.0::double) / (pos::double * neg)), 6) as roc_auc from auc where pos > 0 and neg > 0""")
+def _(spark, d):
+    return _one(mt.roc_auc_ovr(multiclass(spark, d), ["run_key"]), "roc_auc")
+
+
+@query("mt_log_loss", f"with {MULTI} select 'all' as run_key, round(-avg(ln(greatest(least(p, 1 - 2.220446049250313e-16), 2.220446049250313e-16))), 6) as log_loss from m where c = y_true")
+def _(spark, d):
+    return _one(mt.metrics_of(multiclass(spark, d), ["run_key"], ["log_loss"]), "log_loss")
+
+
+@query("mt_mse", f"with {REGRESSION} select run_key, round(avg(power(y_true - value, 2)), 0) as mse from r group by 1")
+def _(spark, d):
+    return _one(mt.metrics_of(regression(spark, d), ["run_key"], ["mse"]), "mse", 0)
+
+
+@query("mt_rmse", f"with {REGRESSION} select run_key, round(sqrt(avg(power(y_true - value, 2))), 4) as rmse from r group by 1")
+def _(spark, d):
+    return _one(mt.metrics_of(regression(spark, d), ["run_key"], ["rmse"]), "rmse", 4)
+
+
+@query("mt_mae", f"with {REGRESSION} select run_key, round(avg(abs(y_true - value)), 4) as mae from r group by 1")
+def _(spark, d):
+    return _one(mt.metrics_of(regression(spark, d), ["run_key"], ["mae"]), "mae", 4)
+
+
+@query("mt_requested_only", f"""with {BINARY}, {AUC}
+select run_key, round(accuracy, 6) as accuracy, case when p > 0 and n > 0 then round((s - p * (p + 1) / 2.0::double) / (p::double * n), 6) end as roc_auc
+from auc join (select run_key, avg((label = y_true)::integer) as accuracy from b group by 1) using (run_key)""")
+def _(spark, d):
+    found = mt.metrics_of(binary(spark, d), ["run_key"], ["accuracy", "roc_auc"])
+    return found.select("run_key", F.round("accuracy", 6).alias("accuracy"), F.round("roc_auc", 6).alias("roc_auc"))
+
+
+@query("mt_weighted", f"with {BINARY} select run_key, round(sum(weight * (label = y_true)::integer) / sum(weight), 6) as accuracy from b group by 1")
+def _(spark, d):
+    return _one(mt.metrics_of(binary(spark, d), ["run_key"], ["accuracy"], weight="weight"), "accuracy")
+
+
+@query("ud_metric", f"with {REGRESSION} select run_key, round(max(abs(y_true - value)), 4) as worst from r group by 1")
+def _(spark, d):
+    mt.METRICS.setdefault("worst", lambda w: F.max(F.abs(F.col("y_true") - F.col("value"))))
+    mt.FIELDS.setdefault("worst", "value")
+    return _one(mt.metrics_of(regression(spark, d), ["run_key"], ["worst"]), "worst", 4)
+
+
+@query("ag_epoch_metrics", """
+select user_id % 5 as run, strftime(ts, '%Y-%m-%d') as epoch, count(*) as n, round(avg(value), 6) as loss, round(sqrt(avg(power(value - user_id, 2))), 6) as rmse, round(avg(abs(value - user_id)), 6) as mae
+from events group by 1, 2""")
+def _(spark, d):
+    batch = table(spark, d, "events").select((F.col("user_id") % 5).alias("run"), F.date_format("ts", "yyyy-MM-dd").alias("epoch"), F.col("user_id").cast("double").alias("y_true"), "value")
+    return batch.groupBy("run", "epoch").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("loss"), F.round(mt.rmse(), 6).alias("rmse"), F.round(mt.mae(), 6).alias("mae"))
+
+
+@query("prj_binary_decision", """
+select event_id, round(1 - p, 8) as p0, round(p, 8) as p1, case when p >= 0.5 then 1 else 0 end as label from (select event_id, 1 / (1 + exp(-(value - 20) / 10.0::double)) as p from events)""")
+def _(spark, d):
+    found = table(spark, d, "events").select("event_id", fc.binary_decision((F.col("value") - 20) / 10.0).alias("x"))
+    return found.select("event_id", F.round(F.col("x.probabilities")[0], 8).alias("p0"), F.round(F.col("x.probabilities")[1], 8).alias("p1"), "x.label")
+
+
+@query("prj_multiclass_decision", f"""with {MULTI} select sample_id, c::integer as label, round(p, 6) as probability from (select *, row_number() over (partition by sample_id order by p desc, c) as r from m) where r = 1""")
+def _(spark, d):
+    return multiclass(spark, d).select("sample_id", "label", F.round(F.array_max("probabilities"), 6).alias("probability"))
+
+
+@query("prj_margin_decision", "select event_id, case when value - 20 >= 0 then 1 else 0 end as label from events")
+def _(spark, d):
+    return table(spark, d, "events").select("event_id", F.when(F.col("value") - 20 >= 0, 1).otherwise(0).alias("label"))
+
+
+@query("jn_prediction_truth", f"""with {BINARY} select count(*) as n_both, count(*) filter (quality is null) as n_only_predicted, (select count(*) from labels) - count(*) as n_only_true from b left join labels on sample_id = doc_id""")
+def _(spark, d):
+    predicted = binary(spark, d).select("sample_id", F.lit(1).alias("p"))
+    truth = table(spark, d, "labels").select(F.col("doc_id").alias("sample_id"), F.lit(1).alias("t"))
+    both = predicted.join(truth, "sample_id", "full_outer")
+    return both.agg(F.count_if(F.col("p").isNotNull() & F.col("t").isNotNull()).alias("n_both"), F.count_if(F.col("t").isNull()).alias("n_only_predicted"), F.count_if(F.col("p").isNull()).alias("n_only_true"))

@@ -1 +1,170 @@
-"""Queries."""
+"""Queries on preprocessing: documents with and without labels, and orders; training rows are those with even keys."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from foldwise.operators import preprocess as pp
+from foldwise.operators import resample as rs
+from foldwise.plans.registry import query, table
+
+DOCS = """docs as (select doc_id, n_chars::double as n_chars, lang, case when quality is null then null else source end as source, quality::double as quality,
+ case when toxic = 1 then n_chars::double else 0 end as zeros, doc_id % 2 = 0 as train from documents left join labels using (doc_id))"""
+
+
+def docs(spark, d):
+    joined = table(spark, d, "documents").select("doc_id", "n_chars", "lang", "source").join(table(spark, d, "labels"), "doc_id", "left")
+    return joined.select("doc_id", F.col("n_chars").cast("double").alias("n_chars"), "lang", F.when(F.col("quality").isNotNull(), F.col("source")).alias("source"), F.col("quality").cast("double").alias("quality"),
+                         F.when(F.col("toxic") == 1, F.col("n_chars").cast("double")).otherwise(0.0).alias("zeros"), (F.col("doc_id") % 2 == 0).alias("train"))
+
+
+def _train(frame):
+    return frame.filter("train")
+
+
+def _r(frame, *names, digits=6):
+    return frame.select(*[F.round(c, digits).alias(c) if c in names else F.col(c) for c in frame.columns])
+
+
+@query("pp_impute_median", f"with {DOCS}, m as (select quantile_cont(quality, 0.5) as q from docs where train) select doc_id, coalesce(quality, q) as quality from docs, m")
+def _(spark, d):
+    found = docs(spark, d)
+    q = _train(found).agg(pp.imputed("quality").alias("q"))
+    return found.crossJoin(F.broadcast(q)).select("doc_id", F.coalesce("quality", "q").alias("quality"))  # one row of statistics
+
+
+@query("pp_impute_mode", f"with {DOCS}, m as (select source as q from docs where train and source is not null group by 1 order by count(*) desc, source limit 1) select doc_id, coalesce(source, q) as source from docs, m")
+def _(spark, d):
+    found = docs(spark, d)
+    return found.crossJoin(F.broadcast(pp.modes(_train(found), "source"))).select("doc_id", F.coalesce("source", "source__mode").alias("source"))  # one row of statistics
+
+
+@query("pp_standardize", f"with {DOCS}, m as (select avg(n_chars) as a, stddev_pop(n_chars) as s from docs where train) select doc_id, round((n_chars - a) / case when s = 0 then 1 else s end, 6) as n_chars from docs, m")
+def _(spark, d):
+    return _r(pp.linear_policy(_train(docs(spark, d)).select("n_chars"), [pp.Feature("n_chars", "numeric")])(docs(spark, d).select("doc_id", "n_chars")), "n_chars")
+
+
+@query("pp_maxabs", f"with {DOCS}, m as (select max(abs(zeros)) as s from docs where train) select doc_id, round(zeros / s, 6) as zeros from docs, m")
+def _(spark, d):
+    return _r(pp.linear_policy(_train(docs(spark, d)), [pp.Feature("zeros", "numeric", {"zero_inflated"})])(docs(spark, d).select("doc_id", "zeros")), "zeros")
+
+
+POWER = """g as (select unnest(range(-20, 21)) / 10.0::double as p), t as (select p, x, {f} as t from x, g),
+best as (select p, avg(t) as a, stddev_pop(t) as s from t group by p order by -count(*) / 2.0::double * ln(var_pop(t)) + (p - 1) * sum({slope}) desc, p desc limit 1)"""
+YEO = "case when abs(p) < 1e-12 then ln(1 + x) else (power(x + 1, p) - 1) / p end"
+
+
+@query("pp_yeo_johnson", f"with {DOCS}, x as (select n_chars as x from docs where train), {POWER.format(f=YEO, slope='ln(1 + x)')} select doc_id, p as power, round(({YEO} - a) / s, 5) as n_chars from (select doc_id, n_chars as x from docs), best")
+def _(spark, d):
+    found = docs(spark, d)
+    p = pp.fitted_powers(_train(found), "n_chars")
+    t = pp.standardized(pp.yeo_johnson(F.col("n_chars"), F.col("n_chars__power")), F.col("n_chars__mean"), F.col("n_chars__std"))
+    return found.crossJoin(F.broadcast(p)).select("doc_id", F.col("n_chars__power").alias("power"), F.round(t, 5).alias("n_chars"))  # one row of statistics
+
+
+BOX = "case when abs(p) < 1e-12 then ln(x) else (power(x, p) - 1) / p end"
+
+
+@query("pp_box_cox", f"with x as (select o_totalprice as x from orders where o_orderkey % 2 = 0), {POWER.format(f=BOX, slope='ln(x)')} select o_orderkey, p as power, round(({BOX} - a) / s, 5) as o_totalprice from (select o_orderkey, o_totalprice as x from orders), best")
+def _(spark, d):
+    orders = table(spark, d, "orders").select("o_orderkey", "o_totalprice")
+    p = pp.fitted_powers(orders.filter("o_orderkey % 2 = 0"), "o_totalprice", "box-cox")
+    t = pp.standardized(pp.box_cox(F.col("o_totalprice"), F.col("o_totalprice__power")), F.col("o_totalprice__mean"), F.col("o_totalprice__std"))
+    return orders.crossJoin(F.broadcast(p)).select("o_orderkey", F.col("o_totalprice__power").alias("power"), F.round(t, 5).alias("o_totalprice"))  # one row of statistics
+
+
+@query("pp_one_hot", "select o_orderkey, " + ", ".join(f"""(o_orderstatus = '{c}')::integer as "o_orderstatus_{c}\"""" for c in "FOP") + " from orders")
+def _(spark, d):
+    orders = table(spark, d, "orders").select("o_orderkey", "o_orderstatus")
+    return pp.one_hot(orders, orders.filter("o_orderkey % 2 = 0"), "o_orderstatus").drop("o_orderstatus")
+
+
+@query("pp_infrequent_one_hot", """with kept as (select p_brand from part where p_partkey % 2 = 0 group by 1 order by count(*) desc, p_brand limit 4),
+named as (select p_partkey, coalesce(kept.p_brand, 'infrequent') as category from part left join kept using (p_brand)) select category, count(*) as n from named group by 1""")
+def _(spark, d):
+    parts = table(spark, d, "part").select("p_partkey", "p_brand")
+    wide = pp.one_hot(parts, parts.filter("p_partkey % 2 = 0"), "p_brand", most=5)
+    columns = [c for c in wide.columns if c.startswith("p_brand_")]
+    sums = wide.agg(*[F.sum(c).alias(c.removeprefix("p_brand_")) for c in columns])
+    return sums.unpivot([], sums.columns, "category", "n")
+
+
+@query("op_topk_categories", "select p_brand, count(*) as n from part group by 1 order by count(*) desc, p_brand limit 4")
+def _(spark, d):
+    return pp.frequent_categories(table(spark, d, "part"), "p_brand", most=5)
+
+
+@query("pp_ordinal", f"with {DOCS}, m as (select source, dense_rank() over (order by source) - 1 as i from (select distinct source from docs where train and source > 'src12')) select doc_id, coalesce(i, -1)::integer as source__index from docs left join m using (source)")
+def _(spark, d):
+    found = docs(spark, d)
+    return pp.ordinal(found, _train(found).filter("source > 'src12'"), "source").select("doc_id", F.col("source__index").cast("int").alias("source__index"))
+
+
+@query("op_sort_classes", "select distinct o_orderstatus from orders order by 1")
+def _(spark, d):
+    return table(spark, d, "orders").select("o_orderstatus").distinct().orderBy("o_orderstatus")
+
+
+@query("prj_label_encode", "select o_orderkey, (dense_rank() over (order by o_orderstatus) - 1)::integer as label from orders")
+def _(spark, d):
+    orders = table(spark, d, "orders").select("o_orderkey", "o_orderstatus")
+    return pp.ordinal(orders, orders, "o_orderstatus").select("o_orderkey", F.col("o_orderstatus__index").cast("int").alias("label"))
+
+
+FEATURES = [pp.Feature("n_chars", "numeric", {"skewed"}), pp.Feature("quality", "numeric", {"missing_values"}), pp.Feature("zeros", "numeric", {"zero_inflated"}), pp.Feature("lang", "categorical"), pp.Feature("source", "categorical", {"missing_values", "high_cardinality"})]
+
+
+@query("pp_linear_policy", f"""with {DOCS}, x as (select n_chars as x from docs where train), {POWER.format(f=YEO, slope='ln(1 + x)')},
+q as (select quantile_cont(quality, 0.5) as q, max(abs(zeros)) as z from docs where train), s as (select avg(coalesce(quality, q)) as qa, stddev_pop(coalesce(quality, q)) as qs from docs, q where train),
+all_ as (select doc_id, n_chars as x, quality, zeros, lang, p, a, best.s as s, q, z, qa, qs from docs, best, q, s)
+select doc_id, round(({YEO} - a) / s, 5) as n_chars, round((coalesce(quality, q) - qa) / case when qs = 0 then 1 else qs end, 5) as quality, round(zeros / z, 5) as zeros, (lang = 'de')::integer as lang_de, (lang = 'en')::integer as lang_en from all_""")
+def _(spark, d):
+    found = docs(spark, d)
+    out = pp.linear_policy(_train(found), FEATURES)(found)
+    return _r(out, "n_chars", "quality", "zeros", digits=5).select("doc_id", "n_chars", "quality", "zeros", "lang_de", "lang_en")
+
+
+@query("pp_tree_policy", f"""with {DOCS}, q as (select quantile_cont(quality, 0.5) as q from docs where train), l as (select lang, dense_rank() over (order by lang) - 1 as i from (select distinct lang from docs where train))
+select doc_id, n_chars, coalesce(quality, q) as quality, i::integer as lang__index from docs left join l using (lang), q""")
+def _(spark, d):
+    found = docs(spark, d)
+    out = pp.tree_policy(_train(found), [pp.Feature("n_chars", "numeric"), pp.Feature("quality", "numeric", {"missing_values"}), pp.Feature("lang", "categorical")])(found)
+    return out.select("doc_id", "n_chars", "quality", F.col("lang__index").cast("int").alias("lang__index"))
+
+
+@query("pp_instance_scale", """with m as (select avg(l_quantity) as a, stddev_pop(l_quantity) as s from lineitem join orders on l_orderkey = o_orderkey where o_orderkey % 2 = 0)
+select l_orderkey, round(sum((l_quantity - a) / s), 5) as l_quantity from lineitem, m group by 1""")
+def _(spark, d):
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_quantity")
+    bags = table(spark, d, "orders").filter("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("l_orderkey"))
+    scaled = pp.linear_policy(lines.join(bags, "l_orderkey", "left_semi"), [pp.Feature("l_quantity", "numeric")])(lines)
+    return scaled.groupBy("l_orderkey").agg(F.round(F.sum("l_quantity"), 5).alias("l_quantity"))
+
+
+@query("pp_assemble")
+def _(spark, d):
+    from pyspark.ml.feature import VectorAssembler
+
+    out = pp.linear_policy(_train(docs(spark, d)), FEATURES)(docs(spark, d))
+    inputs = [c for c in out.columns if c not in ("doc_id", "train")]
+    from pyspark.ml.functions import vector_to_array
+
+    return VectorAssembler(inputCols=inputs, outputCol="features").transform(out).select("doc_id", vector_to_array("features", "float32").alias("features"))
+
+
+@query("pp_per_resample", """with folds as (select o_orderkey, o_totalprice, ntile(5) over (order by md5('1:' || o_orderkey), o_orderkey) - 1 as fold from orders),
+roles as (select printf('fold_%02d', f) as resample_id, fold = f as test, o_orderkey, o_totalprice from folds, (select unnest(range(5)) as f)),
+stats as (select resample_id, avg(o_totalprice) as a, stddev_pop(o_totalprice) as s from roles where not test group by 1)
+select resample_id, o_orderkey, round((o_totalprice - a) / s, 6) as o_totalprice from roles join stats using (resample_id)""")
+def _(spark, d):
+    orders = table(spark, d, "orders").select("o_orderkey", "o_totalprice")
+    roles = rs.fold_roles(rs.kfold(orders, "o_orderkey", 5, seed=1), "o_orderkey", 5).join(orders, "o_orderkey")
+    stats = roles.filter("role = 'train'").groupBy("resample_id").agg(F.avg("o_totalprice").alias("a"), F.stddev_pop("o_totalprice").alias("s"))
+    return roles.join(stats, "resample_id").select("resample_id", "o_orderkey", F.round(pp.standardized(F.col("o_totalprice"), F.col("a"), F.col("s")), 6).alias("o_totalprice"))
+
+
+@query("ud_policy", "select o_orderkey, round(ln(1 + o_totalprice), 6) as o_totalprice from orders")
+def _(spark, d):
+    pp.POLICIES.setdefault("log_all", lambda train, features, options=None: lambda frame: frame.withColumns({f.name: F.log1p(f.name) for f in features}))
+    orders = table(spark, d, "orders").select("o_orderkey", "o_totalprice")
+    return _r(pp.POLICIES["log_all"](orders, [pp.Feature("o_totalprice", "numeric")])(orders), "o_totalprice")
