@@ -107,11 +107,11 @@ def _(spark, d):
 
 
 @query("ag_epoch_metrics", """
-select user_id % 5 as run, strftime(ts, '%Y-%m-%d') as epoch, count(*) as n, round(avg(value), 6) as loss, round(sqrt(avg(power(value - user_id, 2))), 6) as rmse, round(avg(abs(value - user_id)), 6) as mae
+select user_id % 5 as run, strftime(ts, '%Y-%m-%d') as epoch, count(*) as n, round(avg(value), 9) as loss, round(sqrt(avg(power(value - user_id, 2))), 9) as rmse, round(avg(abs(value - user_id)), 9) as mae
 from events group by 1, 2""")
 def _(spark, d):
     batch = table(spark, d, "events").select((F.col("user_id") % 5).alias("run"), F.date_format("ts", "yyyy-MM-dd").alias("epoch"), F.col("user_id").cast("double").alias("y_true"), "value")
-    return batch.groupBy("run", "epoch").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("loss"), F.round(mt.rmse(), 6).alias("rmse"), F.round(mt.mae(), 6).alias("mae"))
+    return batch.groupBy("run", "epoch").agg(F.count("*").alias("n"), F.round(F.avg("value"), 9).alias("loss"), F.round(mt.rmse(), 9).alias("rmse"), F.round(mt.mae(), 9).alias("mae"))
 
 
 @query("prj_binary_decision", """

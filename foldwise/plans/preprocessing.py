@@ -65,7 +65,7 @@ def _(spark, d):
 BOX = "case when abs(p) < 1e-12 then ln(x) else (power(x, p) - 1) / p end"
 
 
-@query("pp_box_cox", f"with x as (select o_totalprice as x from orders where o_orderkey % 2 = 0), {POWER.format(f=BOX, slope='ln(x)')} select o_orderkey, p as power, round(({BOX} - a) / s, 5) as o_totalprice from (select o_orderkey, o_totalprice as x from orders), best")
+@query("pp_box_cox", f"with x as (select o_totalprice as x from orders where o_orderkey % 2 = 0), {POWER.format(f=BOX, slope='ln(x)')} select o_orderkey, p as power, round(({BOX} - a) / s, 5) + 0.0::double as o_totalprice from (select o_orderkey, o_totalprice as x from orders), best")
 def _(spark, d):
     orders = table(spark, d, "orders").select("o_orderkey", "o_totalprice")
     p = pp.fitted_powers(orders.filter("o_orderkey % 2 = 0"), "o_totalprice", "box-cox")
