@@ -160,6 +160,8 @@ def mix(documents: DataFrame, block: int = BLOCK, seed: int = 7) -> DataFrame:
     """doc_id, size, source_size, target and taken of each row."""
     placed, plan, sources = laid_out(documents, block)
     times = drawn_slots(documents.sparkSession, plan, seed).groupBy("source_no", "block").agg(F.count("*").alias("times"))
+    # the slots come from a small table of counts, by whose size they would be broadcast
+    times = times.hint("merge")
     taken = document_blocks(placed, block).join(times, ["source_no", "block"]).groupBy("source_no", "start").agg(F.sum((F.col("hi") - F.col("lo")) * F.col("times")).alias("words"))
     rows = placed.join(sources.drop("source"), "source_no").join(taken, ["source_no", "start"], "left")
     return rows.select("doc_id", "size", "source_size", "target", F.when(F.col("size") > 0, F.coalesce("words", F.lit(0))).otherwise(F.lit(0)).cast("long").alias("taken"))
@@ -173,7 +175,7 @@ def mixed_documents(documents: DataFrame, block: int = BLOCK, seed: int = 7) ->
     """
     placed, plan, _ = laid_out(documents, block)
     slots = drawn_slots(documents.sparkSession, plan, seed)
-    parts = document_blocks(placed, block).join(slots, ["source_no", "block"]).groupBy("source_no", "start", "doc_id", "tie", "turn").agg(
+    parts = document_blocks(placed, block).join(slots.hint("merge"), ["source_no", "block"]).groupBy("source_no", "start", "doc_id", "tie", "turn").agg(
         F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("parts"))
     takes = parts.groupBy("doc_id", "tie").agg(F.collect_list("parts").alias("takes"))
     texts = documents.withColumn("_tie", F.xxhash64("text"))
