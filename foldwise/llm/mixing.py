@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 from foldwise.llm.common import WORD_PATTERN, mixed, stored
 
-#: Words of a block, slots of an output shard, documents and shards in a bucket of the running totals.
-BLOCK, SLOTS, BUCKET = 64, 1024, 8192
+#: Words of a block, slots of an output shard, documents of a source and shards in a bucket of the running totals.
+BLOCK, SLOTS, BUCKET = 64, 1024, 512
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2.0
 
 
@@ -93,10 +93,10 @@ def laid_out(documents: DataFrame, block: int = BLOCK) -> tuple[DataFrame, Plan,
     plan = Plan([r["source_size"] for r in found], block)
     sources = spark.createDataFrame(pa.table({
         "source": pa.array([r["source"] for r in found], pa.string()), "source_no": pa.array(range(len(found)), pa.int32()),
-        "source_size": pa.array(plan.sizes), "target": pa.array(plan.targets)}))
-    buckets = max(1, sum(r["n"] for r in found) // BUCKET)
-    named = sized.join(sources.select(F.col("source").alias("s"), "source_no"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    placed = running_total(named.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "tie"), F.lit(buckets))), "source_no", "bucket", ["doc_id", "tie"], "size", "start")
+        "source_size": pa.array(plan.sizes), "target": pa.array(plan.targets), "buckets": pa.array([1 + r["n"] // BUCKET for r in found], pa.int64())}))
+    named = sized.join(sources.select(F.col("source").alias("s"), "source_no", "buckets"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    bucketed = named.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "tie"), F.col("buckets"))).drop("buckets")
+    placed = running_total(bucketed, "source_no", "bucket", ["doc_id", "tie"], "size", "start")
     return stored(placed, "laid-out"), plan, sources
 
 
@@ -163,7 +163,7 @@ def mix(documents: DataFrame, block: int = BLOCK, seed: int = 7) -> DataFrame:
     # the slots come from a small table of counts, by whose size they would be broadcast
     times = times.hint("merge")
     taken = document_blocks(placed, block).join(times, ["source_no", "block"]).groupBy("source_no", "start").agg(F.sum((F.col("hi") - F.col("lo")) * F.col("times")).alias("words"))
-    rows = placed.join(sources.drop("source"), "source_no").join(taken, ["source_no", "start"], "left")
+    rows = placed.join(sources.drop("source", "buckets"), "source_no").join(taken, ["source_no", "start"], "left")
     return rows.select("doc_id", "size", "source_size", "target", F.when(F.col("size") > 0, F.coalesce("words", F.lit(0))).otherwise(F.lit(0)).cast("long").alias("taken"))
 
 
