@@ -1 +1,189 @@
-"""Queries."""
+"""Queries on methods: which baseline predicts order values, and Spark ML estimators on documents and orders."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from foldwise.operators import bags as bg
+from foldwise.operators import estimators as es
+from foldwise.operators import metrics as mt
+from foldwise.operators import refit as rf
+from foldwise.operators import reports as rp
+from foldwise.operators import resample as rs
+from foldwise.plans.registry import query, table
+from foldwise.plans.sources import new_path
+from foldwise.sources.tables import Task
+
+
+def order_rows(spark, d, k=5):
+    """Orders with the number of their lines, for each fold and role."""
+    orders = bg.bag_summary(table(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus"), table(spark, d, "lineitem"), "o_orderkey", "l_orderkey", [], [])
+    return rs.fold_roles(rs.kfold(orders, "o_orderkey", k, seed=1), "o_orderkey", k).join(orders, "o_orderkey")
+
+
+ROWS = """n as (select o_orderkey, o_totalprice, o_orderstatus, count(l_orderkey) as bag_size from orders left join lineitem on l_orderkey = o_orderkey group by 1, 2, 3),
+f as (select *, ntile(5) over (order by md5('1:' || o_orderkey), o_orderkey) - 1 as fold from n),
+rows_ as (select printf('fold_%02d', k) as resample_id, case when fold = k then 'test' else 'train' end as role, o_orderkey, o_totalprice, o_orderstatus, bag_size from f, (select unnest(range(5)) as k))"""
+FITS = """mean_ as (select resample_id, avg(o_totalprice) as v from rows_ where role = 'train' group by 1),
+line_ as (select resample_id, regr_slope(o_totalprice, bag_size) as b, regr_intercept(o_totalprice, bag_size) as a from rows_ where role = 'train' group by 1),
+predicted as (select 'mean' as method, resample_id, o_orderkey, o_totalprice as y, v from rows_ join mean_ using (resample_id) where role = 'test'
+union all select 'line', resample_id, o_orderkey, o_totalprice, a + b * bag_size from rows_ join line_ using (resample_id) where role = 'test')"""
+
+
+def _predicted(spark, d):
+    rows = order_rows(spark, d)
+    both = es.dummy_regressor(rows, "o_totalprice").withColumn("method", F.lit("mean")).unionByName(es.line(rows, "bag_size", "o_totalprice").withColumn("method", F.lit("line")))
+    return both.select("method", "resample_id", "o_orderkey", F.col("o_totalprice").alias("y_true"), "value")
+
+
+@query("flagship_baseline_ranking", f"""with {ROWS}, {FITS}, m as (select method, resample_id, sqrt(avg(power(y - v, 2))) as rmse, avg(abs(y - v)) as mae from predicted group by 1, 2),
+s as (select method, count(*) as n_runs, avg(rmse) as rmse, stddev_samp(rmse) as std, avg(mae) as mae from m group by 1)
+select method, n_runs, round(rmse, 4) as rmse_mean, round(std, 4) as rmse_std, round(mae, 4) as mae_mean, rank() over (order by round(rmse, 6))::double as overall_rank from s""")
+def _(spark, d):
+    found = mt.metrics_of(_predicted(spark, d), ["method", "resample_id"], ["rmse", "mae"])
+    runs = found.select(F.lit("orders").alias("dataset_name"), F.lit("baselines").alias("study_name"), "method", "resample_id", F.lit("success").alias("status"),
+                        F.col("rmse").alias("metric.rmse"), F.col("mae").alias("metric.mae"), F.lit("rmse").alias("primary_metric"), F.lit("false").alias("primary_metric_greater_is_better"))
+    ranked = rp.with_ranks(rp.aggregate_runs(runs, ["study_name", "dataset_name", "method"]).withColumn("primary_metric_mean", F.round("primary_metric_mean", 6)), rank_by=("study_name", "dataset_name"))
+    return ranked.select("method", "n_runs", F.round("`metric.rmse.mean`", 4).alias("rmse_mean"), F.round("`metric.rmse.std`", 4).alias("rmse_std"), F.round("`metric.mae.mean`", 4).alias("mae_mean"), F.col("primary_metric_overall_rank").alias("overall_rank"))
+
+
+@query("es_dummy_classifier", f"""with {ROWS}, c as (select resample_id, o_orderstatus, count(*) as n from rows_ where role = 'train' group by 1, 2),
+t as (select resample_id, o_orderstatus as label, n / sum(n) over (partition by resample_id) as prior, row_number() over (partition by resample_id order by n desc, o_orderstatus) as r from c)
+select rows_.resample_id, o_orderkey, label, round(prior, 8) as prior from rows_ join t on rows_.resample_id = t.resample_id and r = 1 where role = 'test'""")
+def _(spark, d):
+    return es.dummy_classifier(order_rows(spark, d), "o_orderstatus").select("resample_id", "o_orderkey", "label", F.round("prior", 8).alias("prior"))
+
+
+@query("es_dummy_regressor", f"with {ROWS}, m as (select resample_id, avg(o_totalprice) as a, quantile_cont(o_totalprice, 0.5) as b from rows_ where role = 'train' group by 1) select resample_id, round(a, 4) as mean, round(b, 4) as median, count(*) as n from rows_ join m using (resample_id) where role = 'test' group by 1, 2, 3")
+def _(spark, d):
+    rows = order_rows(spark, d)
+    mean = es.dummy_regressor(rows, "o_totalprice").groupBy("resample_id").agg(F.round(F.max("value"), 4).alias("mean"), F.count("*").alias("n"))
+    median = es.dummy_regressor(rows, "o_totalprice", "median").groupBy("resample_id").agg(F.round(F.max("value"), 4).alias("median"))
+    return mean.join(median, "resample_id")
+
+
+@query("es_linear_regression", f"with {ROWS}, {FITS} select resample_id, o_orderkey, round(v, 3) as value from predicted where method = 'line'")
+def _(spark, d):
+    return es.line(order_rows(spark, d), "bag_size", "o_totalprice").select("resample_id", "o_orderkey", F.round("value", 3).alias("value"))
+
+
+@query("es_ridge", f"""with {ROWS}, m as (select resample_id, avg(bag_size) as x, avg(o_totalprice) as y, covar_pop(bag_size, o_totalprice) / (var_pop(bag_size) + 100.0::double / count(*)) as b from rows_ where role = 'train' group by 1)
+select resample_id, o_orderkey, round(y + b * (bag_size - x), 3) as value from rows_ join m using (resample_id) where role = 'test'""")
+def _(spark, d):
+    return es.line(order_rows(spark, d), "bag_size", "o_totalprice", alpha=100.0).select("resample_id", "o_orderkey", F.round("value", 3).alias("value"))
+
+
+def _documents(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", F.col("n_chars").cast("double").alias("n_chars"), (F.length("text") - F.length(F.replace("text", F.lit("|"), F.lit("")))).cast("double").alias("pipes"),
+                                               F.size(F.array_distinct(F.split("text", " "))).cast("double").alias("words"), F.when(F.col("lang") == "en", 1.0).otherwise(0.0).alias("english"))
+    return docs.join(table(spark, d, "labels"), "doc_id")
+
+
+QUALITY = Task("binary", ["n_chars", "pipes", "words", "english"], "quality")
+
+
+def _model_query(kind, params=None, task=QUALITY):
+    def run(spark, d):
+        rows = es.with_features(_documents(spark, d), task.source)
+        model = es.fit(rows.filter("doc_id % 3 <> 0"), task, kind, params)
+        return es.predict(model, rows.filter("doc_id % 3 = 0"), task, "doc_id")
+
+    return run
+
+
+for _name, _kind in (("es_logistic_regression", "logistic_regression"), ("es_random_forest", "random_forest"), ("es_gradient_boosting", "gradient_boosting"), ("es_hist_boosting", "boosted_trees"), ("es_mlp_classifier", "simple_mlp"), ("es_predict", "logistic_regression")):
+    query(_name)(_model_query(_kind))
+
+
+@query("es_ridge_model", """with t as (select count(*) as n, avg(l_quantity) as x, avg(l_extendedprice) as y, covar_pop(l_quantity, l_extendedprice) as c, var_pop(l_quantity) as v from lineitem where l_orderkey % 2 = 0)
+select round(c / (v + 50.0::double / n), 3) as slope, round(y - x * c / (v + 50.0::double / n), 2) as intercept from t""")
+def _(spark, d):
+    task = Task("regression", ["l_quantity"], "l_extendedprice")
+    model = es.fit(es.with_features(table(spark, d, "lineitem").filter("l_orderkey % 2 = 0"), task.source), task, "ridge", {"alpha": 50.0})
+    return spark.createDataFrame([(float(model.coefficients[0]), float(model.intercept))], "slope double, intercept double").select(F.round("slope", 3).alias("slope"), F.round("intercept", 2).alias("intercept"))
+
+
+@query("es_sample_weight")
+def _(spark, d):
+    rows = es.with_features(_documents(spark, d), QUALITY.source).withColumn("w", F.when(F.col("quality") == 0, 5.0).otherwise(1.0))
+    task = Task("binary", QUALITY.source, "quality", weight="w")
+    return es.predict(es.fit(rows.filter("doc_id % 3 <> 0"), task, "logistic_regression"), rows.filter("doc_id % 3 = 0"), task, "doc_id")
+
+
+def _bags(spark, d):
+    """Bags are orders, dear ones positive."""
+    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), (F.col("o_totalprice") > 250000).cast("int").alias("label"))
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity") / 50, F.col("l_extendedprice") / 100000).toDF("l_orderkey", "l_linenumber", "q", "p")
+    return lines.join(orders, "l_orderkey")
+
+
+@query("es_bag_feature_model")
+def _(spark, d):
+    orders = table(spark, d, "orders").select("o_orderkey", (F.col("o_totalprice") > 250000).cast("int").alias("label"))
+    summary = bg.bag_summary(orders, table(spark, d, "lineitem"), "o_orderkey", "l_orderkey", ["l_quantity", "l_extendedprice"], ["mean", "max"]).fillna(0.0)
+    task = Task("binary", [c for c in summary.columns if "__" in c or c == "bag_size"], "label")
+    rows = es.with_features(summary, task.source)
+    return es.predict(es.fit(rows.filter("o_orderkey % 3 <> 0"), task, "logistic_regression"), rows.filter("o_orderkey % 3 = 0"), task, "o_orderkey")
+
+
+@query("es_instance_pooling")
+def _(spark, d):
+    rows = es.with_features(_bags(spark, d), ["q", "p"])
+    return es.instance_pooling(rows.filter("l_orderkey % 3 <> 0"), rows.filter("l_orderkey % 3 = 0"), Task("binary", ["q", "p"], "label"), "l_orderkey")
+
+
+@query("es_mi_svm")
+def _(spark, d):
+    rows = _bags(spark, d).withColumn("k", F.xxhash64("l_orderkey", "l_linenumber", "q", "p"))
+    model, _ = es.mi_svm(rows.filter("l_orderkey % 3 <> 0"), "l_orderkey", "k", ["q", "p"], "label", max_iterations=4)
+    scored = es.with_features(rows.filter("l_orderkey % 3 = 0"), ["q", "p"])
+    margins = es.predict(model, scored, Task("binary", ["q", "p"], "label"), "l_orderkey")
+    return margins.groupBy("sample_id").agg(F.max("score").alias("score")).withColumn("label", F.when(F.col("score") >= 0, 1).otherwise(0))
+
+
+def _study(spark, d, kinds):
+    rows = es.with_features(_documents(spark, d), QUALITY.source)
+    folds = rs.kfold(rows, "doc_id", 2, seed=1)
+    dealt = rows.join(folds, "doc_id")
+    records = []
+    for kind in kinds:
+        for fold in range(2):
+            def work(kind=kind, fold=fold):
+                model = es.fit(dealt.filter(F.col("fold") != fold), QUALITY, kind)
+                got = es.predict(model, dealt.filter(F.col("fold") == fold), QUALITY, "doc_id").withColumn("run", F.lit(0))
+                return {"accuracy": mt.metrics_of(got, ["run"], ["accuracy"]).first()["accuracy"]}
+
+            records.append(es.run_record(f"quality:{kind}:fold_{fold:02d}:seed-0", work))
+    return spark.createDataFrame(records, "run_key string, status string, metrics map<string,double>, fit_time double, error_type string, error string")
+
+
+@query("rn_run_study")
+def _(spark, d):
+    return _study(spark, d, ["logistic_regression", "random_forest"]).select("run_key", "status", "metrics")
+
+
+@query("rn_failed_rows")
+def _(spark, d):
+    return _study(spark, d, ["logistic_regression", "linear_regression"]).select("run_key", "status", "error_type", "error")
+
+
+@query("rn_refit")
+def _(spark, d):
+    path = new_path(spark, "refit")
+    rf.refit(_documents(spark, d), QUALITY, "logistic_regression", path)
+    return spark.read.schema("file string, length long, sha256 string").json(f"{path}/manifest")
+
+
+@query("rn_load_refit")
+def _(spark, d):
+    path = new_path(spark, "refit")
+    docs = _documents(spark, d)
+    rf.refit(docs, QUALITY, "logistic_regression", path)
+    model, task = rf.load_refit(spark, path)
+    return rf.predict_refit(model, task, docs.drop("quality"), "doc_id")
+
+
+@query("ud_estimator")
+def _(spark, d):
+    es.ESTIMATORS.setdefault("plain_forest", lambda train, task, params: es.random_forest(train, task, {"n_estimators": 5, **params}))
+    return _model_query("plain_forest")(spark, d)
