@@ -31,7 +31,7 @@ from foldwise.llm.common import byte_classes, grams, hashed_words, stored, text_
 
 WINDOW, SEED = 35, 8
 #: Windows of a super-k-mer at most, and different strings of a bucket that a task gathers; more are counted by aggregation.
-MOST_WINDOWS, MOST_STRINGS = 256, 20_000
+MOST_WINDOWS, MOST_STRINGS = 256, 1_000
 CLASSES = byte_classes()
 
 
