@@ -135,7 +135,7 @@ def _(spark, d):
 @query("es_mi_svm")
 def _(spark, d):
     rows = _bags(spark, d).withColumn("k", F.xxhash64("l_orderkey", "l_linenumber", "q", "p"))
-    model, _ = es.mi_svm(rows.filter("l_orderkey % 3 <> 0"), "l_orderkey", "k", ["q", "p"], "label", max_iterations=4)
+    model, _ = es.mi_svm(rows.filter("l_orderkey % 3 <> 0"), "l_orderkey", "k", ["q", "p"], "label", max_iterations=3, params={"max_iter": 8})
     scored = es.with_features(rows.filter("l_orderkey % 3 = 0"), ["q", "p"])
     margins = es.predict(model, scored, Task("binary", ["q", "p"], "label"), "l_orderkey")
     return margins.groupBy("sample_id").agg(F.max("score").alias("score")).withColumn("label", F.when(F.col("score") >= 0, 1).otherwise(0))
