@@ -84,8 +84,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
 def text_batches(batches: Iterator[pa.RecordBatch], most: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices of about ``most`` bytes of text (one row at least) with their UTF-8 bytes and row offsets; null counts as empty."""
     for batch in batches:
-        texts = batch.column("text").cast(pa.large_string()).fill_null("")
-        ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset: texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+        texts = batch.column("text")
+        if texts.null_count:
+            texts = texts.fill_null("")
+        kind = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+        ends = np.frombuffer(texts.buffers()[1], kind)[texts.offset: texts.offset + len(texts) + 1].astype(np.int64) if len(texts) else np.zeros(1, np.int64)
         data = np.frombuffer(texts.buffers()[2], np.uint8) if len(texts) and texts.buffers()[2] is not None and ends[-1] > 0 else np.zeros(0, np.uint8)
         i = 0
         while i < len(texts):

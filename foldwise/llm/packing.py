@@ -41,7 +41,7 @@ class WordEncoder:
     LETTERS = re.compile(r"[a-zß-öø-ÿ]+")
     BREAK = re.compile(r"[ \t\n\r]+")
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 400_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -108,7 +108,7 @@ def packed(documents: DataFrame, tokenizer: str = "word_bpe_49k.json", sequence:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 33
         closing = np.array([CLOSING], "<u4").tobytes()
-        for batch, _, _ in text_batches(batches):
+        for batch, _, _ in text_batches(batches, 1 << 18):
             rows: list[tuple] = []
             parts: list[bytes] = []
             encoded = encoder(tokenizer).encode([x or "" for x in batch.column("text").to_pylist()])
