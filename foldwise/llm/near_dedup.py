@@ -1,6 +1,6 @@
 """MinHash near-dedup: one-permutation hashing, optimal densification, banded buckets, star-shaped candidate edges.
 
-A text's set is its distinct shingles of four words, A-Z lower-cased. One hash of each shingle fills 128 bins with their
+A text's set is its distinct shingles of so many words (five unless asked otherwise), A-Z lower-cased. One hash of each shingle fills 128 bins with their
 minima; an empty bin copies a full one that a fixed random sequence of its own names. Four bins make one of 32 bands: texts
 with 80 % of their union in common miss all bands with probability 5e-8. Texts with equal sets are one node. In each bucket
 the node with the least key is the centre, and edges lead from it to the others; edges are confirmed on full sets, and
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from foldwise.llm.common import byte_classes, connected_components, grams, hashed_words, mixed, stored, text_batches
 
-SHINGLE, BINS, ROWS = 4, 128, 4
+WORDS, BINS, ROWS = 5, 128, 4
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 80
 #: Buckets up to this size compare all pairs across components; larger ones get so many further stars.
@@ -34,13 +34,13 @@ SMALL_BUCKET, STARS = 24, 4
 CLASSES = byte_classes(lower=True)
 
 
-def shingle_sets(data: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
+def shingle_sets(data: np.ndarray, ends: np.ndarray, words: int = WORDS) -> list[np.ndarray]:
     """Sorted distinct hashes of each text's shingles; a text of fewer words has its whole sequence as one."""
     h, _, _, first = hashed_words(data, ends, CLASSES)
-    found, out = grams(h, SHINGLE), []
+    found, out = grams(h, words), []
     for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-        if b - a >= SHINGLE:
-            out.append(np.unique(found[a: b - SHINGLE + 1]))
+        if b - a >= words:
+            out.append(np.unique(found[a: b - words + 1]))
         elif b > a:
             out.append(mixed(grams(h[a:b], b - a) + np.uint64(b - a)))
         else:
@@ -75,13 +75,13 @@ def set_key(hashes: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(hashes.tobytes()) - (1 << 63)
 
 
-def sketches(documents: DataFrame) -> DataFrame:
+def sketches(documents: DataFrame, words: int = WORDS) -> DataFrame:
     """doc_id, n_shingles, key of the set (null: empty) and buckets of each row."""
     salt = mixed(np.arange(1, BINS // ROWS + 1, dtype=np.uint64))
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, ends in text_batches(batches):
-            sets = shingle_sets(data, ends)
+            sets = shingle_sets(data, ends, words)
             some = [s for s in sets if len(s)]
             signs = np.stack([signature(s) for s in some]).reshape(len(some), -1, ROWS) if some else np.zeros((0, BINS // ROWS, ROWS), np.uint64)
             bands = np.zeros(signs.shape[:2], np.uint64) + salt
@@ -95,7 +95,7 @@ def sketches(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", "text").mapInArrow(sketch, "doc_id long, n_shingles long, key long, buckets array<long>")
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def confirmed(pairs: DataFrame, texts: DataFrame, words: int = WORDS) -> DataFrame:
     """The pairs (a, b) whose texts' full sets have enough in common; texts: key, text."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,7 +106,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 if len(last) > 64:
                     last.clear()
                 data = np.frombuffer(text.encode(), np.uint8)
-                last[key] = shingle_sets(data, np.array([0, len(data)]))[0]
+                last[key] = shingle_sets(data, np.array([0, len(data)]), words)[0]
             return last[key]
 
         for batch in batches:
@@ -143,9 +143,9 @@ def across(members: DataFrame, component: DataFrame) -> DataFrame:
     return pairs.filter(F.col("c.component") != F.col("component")).select(F.least("key", "c.key").alias("a"), F.greatest("key", "c.key").alias("b")).distinct()
 
 
-def near_components(documents: DataFrame) -> DataFrame:
+def near_components(documents: DataFrame, words: int = WORDS) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of each row."""
-    rows = stored(sketches(documents), "sketches")
+    rows = stored(sketches(documents, words), "sketches")
     found = rows.filter("key is not null")
     members = found.select(F.explode("buckets").alias("bucket"), "key")
     pairs = stored(stars(members), "stars")
@@ -160,7 +160,7 @@ def near_components(documents: DataFrame) -> DataFrame:
         """Where ids repeat with other texts: only the text whose set has the key."""
         for batch, data, ends in text_batches(batches):
             keys = batch.column("key").to_pylist()
-            good = [len(s) > 0 and set_key(s) == k for s, k in zip(shingle_sets(data, ends), keys, strict=True)]
+            good = [len(s) > 0 and set_key(s) == k for s, k in zip(shingle_sets(data, ends, words), keys, strict=True)]
             yield batch.filter(pa.array(good, pa.bool_()))
 
     repeated = rows.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count() > 0
@@ -169,7 +169,7 @@ def near_components(documents: DataFrame) -> DataFrame:
         found_texts = texts(pairs)
         if repeated:
             found_texts = found_texts.mapInArrow(checked, "key long, text string").dropDuplicates(["key"])
-        return stored(confirmed(pairs, found_texts), "links")
+        return stored(confirmed(pairs, found_texts, words), "links")
 
     edges = links(pairs)
     component = connected_components(edges)
@@ -185,11 +185,11 @@ def near_components(documents: DataFrame) -> DataFrame:
         "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
-def deduplicated(documents: DataFrame) -> DataFrame:
+def deduplicated(documents: DataFrame, words: int = WORDS) -> DataFrame:
     """The documents of which nothing similar has a smaller id; rows without words all stay."""
-    kept = near_components(documents).filter("kept").select("doc_id").distinct()
+    kept = near_components(documents, words).filter("kept").select("doc_id").distinct()
     return documents.join(kept, "doc_id", "left_semi")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return near_components(spark.read.parquet(f"{sf_dir}/documents.parquet"), words=4)

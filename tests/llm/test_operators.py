@@ -216,11 +216,12 @@ def test_mixed_documents_hold_what_the_mix_takes(documents):
 
 # near copies
 
-def test_near_copies_against_all_pairs(documents, texts, no_documents):
+@pytest.mark.parametrize("words", [4, 5])
+def test_near_copies_against_all_pairs(documents, texts, no_documents, words):
     sets = []
     for i, t in texts:
         w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
-        sets.append((i, {tuple(w[j: j + 4]) for j in range(len(w) - 3)} if len(w) >= 4 else {tuple(w)} if w else set()))
+        sets.append((i, {tuple(w[j: j + words]) for j in range(len(w) - words + 1)} if len(w) >= words else {tuple(w)} if w else set()))
     parent = list(range(len(sets)))
 
     def root(x):
@@ -238,7 +239,7 @@ def test_near_copies_against_all_pairs(documents, texts, no_documents):
         if s:
             least[root(k)] = min(i, least.get(root(k), i))
     want = collections.Counter((i, len(s), least[root(k)] if s else i, i == (least[root(k)] if s else i)) for k, (i, s) in enumerate(sets))
-    assert by_row(near_dedup.near_components(documents), "doc_id", "n_shingles", "component_id", "kept") == want
+    assert by_row(near_dedup.near_components(documents, words), "doc_id", "n_shingles", "component_id", "kept") == want
     assert near_dedup.near_components(no_documents).count() == 0
     assert near_dedup.deduplicated(documents).columns == documents.columns
 
