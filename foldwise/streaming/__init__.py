@@ -1,0 +1 @@
+"""Nothing streams: the work of this library is batch only."""
