@@ -26,6 +26,8 @@ ASSIGN = re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:
 #: Runs that are long enough; shorter ones hold no long one, so nothing else is found than by taking all runs.
 ACCESS, HEX = re.compile(r"AKIA[A-Z0-9]{16,}"), re.compile(r"[0-9a-f]{24,}")
 LEAST_VALUE, LEAST_SCORE = 6, 0.5
+#: Characters before an operator in which its name is looked for.
+REACH = 140
 
 OPERATOR = re.compile(r":=|=>|(?<![=!<>+*/%&|^-])=(?![=>])|:(?![:=/\\])")
 NAME_BEFORE = re.compile(r"""(["']?)([A-Za-z_$][A-Za-z0-9_.$-]{0,79})(?:\[[^\[\]\n]{0,40}\])?\1[ \t]{0,8}$""")
@@ -66,8 +68,11 @@ def named_spans(text: str) -> list[tuple[int, int, int]]:
     """Spans of literals that reach a sensitive name, directly or through other names."""
     literals: dict[str, list[tuple[int, int]]] = {}
     sources: dict[str, set[str]] = {}
+    done = 0
     for m in OPERATOR.finditer(text):
-        before = NAME_BEFORE.search(text, max(0, m.start() - 140, text.rfind("\n", 0, m.start()) + 1), m.start())
+        if m.start() < done:  # inside a value
+            continue
+        before = NAME_BEFORE.search(text, max(0, m.start() - REACH, text.rfind("\n", max(0, m.start() - REACH), m.start()) + 1), m.start())
         if not before:
             continue
         name, at, first = before[2], m.end(), True
@@ -75,6 +80,7 @@ def named_spans(text: str) -> list[tuple[int, int, int]]:
             term = TERM.match(text, at)
             if not term or (term[4] and not first):
                 break
+            done = term.end()
             if term[2]:
                 literals.setdefault(name, []).append((term.start(2) + 1, term.end(2) - 1))
             elif term[3]:
@@ -86,14 +92,13 @@ def named_spans(text: str) -> list[tuple[int, int, int]]:
                 break
             at, first = joined.end(), False
     best: dict[str, float] = {}
-    for name in {*literals, *sources}:
-        score, reached, todo = name_score(name), {name}, [name]
-        while score and todo:  # the names whose constants flow into this one
+    for score, name in sorted(((name_score(n), n) for n in {*literals, *sources}), reverse=True):
+        todo = [name] if score else []
+        while todo:  # the names whose constants flow into this one; those seen before have a score as high
             at = todo.pop()
-            best[at] = max(best.get(at, 0.0), score)
-            new = sources.get(at, set()) - reached
-            reached |= new
-            todo += new
+            if at not in best:
+                best[at] = score
+                todo += sources.get(at, ())
     return [(a, 3, b) for name, spans in literals.items() if best.get(name) for a, b in spans if best[name] * literal_score(text[a:b]) >= LEAST_SCORE]
 
 
