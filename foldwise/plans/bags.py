@@ -77,7 +77,7 @@ def _(spark, d):
     return _pooled(spark, d, "max")
 
 
-@query("ag_instance_pool_mean")
+@query("ag_instance_pool_mean", POOLED.format(f="avg"))
 def _(spark, d):
     return _pooled(spark, d, "mean")
 
