@@ -61,19 +61,18 @@ def box_cox(x: Column, power: Column) -> Column:
 def fitted_powers(train: DataFrame, column: str, method: str = "yeo-johnson", by: Sequence[str] = (), grid: Sequence[float] = tuple(GRID)) -> DataFrame:
     """The exponent of largest likelihood on the grid, and mean and deviation of the transformed column.
 
-    Every exponent is an aggregate of the same pass over the train rows.
+    Rows meet every exponent in the task that reads them, and only sums for each exponent are shuffled.
     """
     transform = {"yeo-johnson": yeo_johnson, "box-cox": box_cox}[method]
-    x = number(column)
-    slope = F.sum(F.signum(x) * F.log1p(F.abs(x))) if method == "yeo-johnson" else F.sum(F.log(x))
-    made = []
-    for p in grid:
-        t = transform(x, F.lit(float(p)))
-        likelihood = -F.count(x) / 2.0 * F.log(F.var_pop(t)) + (p - 1) * slope
-        made.append(F.struct(likelihood.alias("likelihood"), F.lit(float(p)).alias("power"), F.avg(t).alias("mean"), F.stddev_pop(t).alias("std")))
-    found = train.groupBy(*by).agg(F.array(*made).alias("_all"))
-    best = F.array_max(F.filter("_all", lambda s: s["likelihood"].isNotNull() & ~F.isnan(s["likelihood"])))
-    return found.select(*by, best.alias("_best")).select(*by, *[F.col(f"_best.{k}").alias(f"{column}__{k}") for k in ("power", "mean", "std")])
+    rows = train.select(*by, number(column).alias("_x")).withColumn("_p", F.explode(F.array(*[F.lit(float(p)) for p in grid])))
+    slope = F.sum(F.signum("_x") * F.log1p(F.abs("_x"))) if method == "yeo-johnson" else F.sum(F.log("_x"))
+    t = F.col("_t")
+    sums = rows.withColumn("_t", transform(F.col("_x"), F.col("_p"))).groupBy(*by, "_p").agg(
+        F.count(t).alias("_n"), F.avg(t).alias("_mean"), F.var_pop(t).alias("_var"), slope.alias("_slope"))
+    likelihood = -F.col("_n") / 2.0 * F.log("_var") + (F.col("_p") - 1) * F.col("_slope")
+    good = sums.withColumn("_l", likelihood).filter(F.col("_l").isNotNull() & ~F.isnan("_l"))
+    best = good.groupBy(*by).agg(F.max(F.struct("_l", "_p", "_mean", "_var")).alias("_best"))
+    return best.select(*by, F.col("_best._p").alias(f"{column}__power"), F.col("_best._mean").alias(f"{column}__mean"), F.sqrt("_best._var").alias(f"{column}__std"))
 
 
 def frequent_categories(train: DataFrame, column: str, most: int = 20, least: int = 1) -> DataFrame:
