@@ -5,8 +5,10 @@ minima; an empty bin copies a full one that a fixed random sequence of its own n
 with 80 % of their union in common miss all bands with probability 5e-8. Texts with equal sets are one node. In each bucket
 the node with the least key is the centre, and edges lead from it to the others; edges are confirmed on full sets, and
 connected components follow. Buckets whose members then belong to several components are gone through again: all pairs
-across components where the bucket is small, further stars with centres chosen by hash where it is large. So pairs in a
-bucket stay in proportion to its size.
+across components where the bucket is small; further stars with centres chosen by hash where it is large, and then its
+members are divided by further bands, again and again, until no large bucket spans components. So pairs in a bucket stay in
+proportion to its size, and no bucket's members go without comparison: with six further bands for each division a pair at
+80 % is missed with probability 1.2e-7 if all the bands that it shares are those of large buckets.
 
 Null and empty texts have an empty set, are linked with nothing, and form components of their own id. Rows with null doc_id
 have the smallest id of the rows with an equal set (null if there is none) and link nothing else; rows repeated under one
@@ -29,8 +31,8 @@ from foldwise.llm.common import byte_classes, connected_components, grams, hashe
 WORDS, BINS, ROWS = 5, 128, 4
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 80
-#: Buckets up to this size compare all pairs across components; larger ones get so many further stars.
-SMALL_BUCKET, STARS = 24, 4
+#: Buckets up to this size compare all pairs across components; larger ones get so many further stars and divisions.
+SMALL_BUCKET, STARS, DIVISIONS = 24, 4, 6
 CLASSES = byte_classes(lower=True)
 
 
@@ -128,13 +130,17 @@ def stars(members: DataFrame) -> DataFrame:
     return members.join(centres, "bucket").filter("key <> a").select("a", F.col("key").alias("b")).distinct()
 
 
-def across(members: DataFrame, component: DataFrame) -> DataFrame:
-    """Further pairs in buckets whose members belong to several components."""
-    known = members.distinct().join(component, members["key"] == component["node"], "left").select("bucket", "key", F.coalesce("component", "key").alias("component"))
-    known = known.withColumn("turn", F.xxhash64("key", "bucket"))
-    ends = F.sort_array(F.collect_list(F.struct("turn", "key", "component")))
+def split_buckets(members: DataFrame, component: DataFrame) -> DataFrame:
+    """bucket, key, component and n (the bucket's size) of the members of buckets that span components; members: without repeats."""
+    known = members.join(component, members["key"] == component["node"], "left").select("bucket", "key", F.coalesce("component", "key").alias("component"))
     split = known.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).filter("low < high").select("bucket", "n")
-    within = known.join(split, "bucket")
+    return known.join(split, "bucket").select("bucket", "key", "component", "n")
+
+
+def across(within: DataFrame) -> DataFrame:
+    """Pairs across components: all of small buckets, stars of large ones; within: as split_buckets gives."""
+    within = within.withColumn("turn", F.xxhash64("key", "bucket"))
+    ends = F.sort_array(F.collect_list(F.struct("turn", "key", "component")))
     centres = within.filter(F.col("n") <= SMALL_BUCKET).groupBy("bucket").agg(ends.alias("centres"))
     # a large bucket's further centres: its least members by as many hashes
     large = within.filter(F.col("n") > SMALL_BUCKET).groupBy("bucket").agg(F.array(*[
@@ -143,6 +149,14 @@ def across(members: DataFrame, component: DataFrame) -> DataFrame:
     return pairs.filter(F.col("c.component") != F.col("component")).select(F.least("key", "c.key").alias("a"), F.greatest("key", "c.key").alias("b")).distinct()
 
 
+def divided(large: DataFrame, found: DataFrame) -> DataFrame:
+    """Members of large buckets, each in the buckets that its own and one further band give; large: bucket, key."""
+    bands = found.select("key", "buckets").join(large.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.any_value("buckets").alias("buckets"))
+    further = F.array(*[
+        F.xxhash64("bucket", F.get("buckets", F.pmod(F.xxhash64("bucket", F.lit(i)), F.lit(BINS // ROWS)).cast("int"))) for i in range(DIVISIONS)])
+    return large.select("bucket", "key").join(bands, "key").select(F.explode(F.array_distinct(further)).alias("bucket"), "key").distinct()
+
+
 def near_components(documents: DataFrame, words: int = WORDS) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of each row."""
     rows = stored(sketches(documents, words), "sketches")
@@ -173,11 +187,19 @@ def near_components(documents: DataFrame, words: int = WORDS) -> DataFrame:
 
     edges = links(pairs)
     component = connected_components(edges)
-    more = stored(across(members, component).join(pairs, ["a", "b"], "left_anti"), "more-pairs")
-    if not more.isEmpty():
-        late = links(more)
-        if not late.isEmpty():
-            component = connected_components(edges.union(late))
+    members = members.distinct()
+    while True:
+        within = stored(split_buckets(members, component), "split-buckets")
+        more = stored(across(within).join(pairs, ["a", "b"], "left_anti"), "more-pairs")
+        if not more.isEmpty():
+            pairs, late = pairs.union(more), links(more)
+            if not late.isEmpty():
+                edges = edges.union(late)
+                component = connected_components(edges)
+        large = within.filter(F.col("n") > SMALL_BUCKET)
+        if large.isEmpty():
+            break
+        members = stored(divided(large, found), "divided")
     named = rows.join(component.select(F.col("node").alias("key"), "component"), "key", "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "key").alias("class"))
     least = named.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("component_id"))
