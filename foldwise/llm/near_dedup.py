@@ -4,11 +4,12 @@ A text's set is its distinct shingles of so many words (five unless asked otherw
 minima; an empty bin copies a full one that a fixed random sequence of its own names. Four bins make one of 32 bands: texts
 with 80 % of their union in common miss all bands with probability 5e-8. Texts with equal sets are one node. In each bucket
 the node with the least key is the centre, and edges lead from it to the others; edges are confirmed on full sets, and
-connected components follow. Buckets whose members then belong to several components are gone through again: all pairs
-across components where the bucket is small; further stars with centres chosen by hash where it is large, and then its
-members are divided by further bands, again and again, until no large bucket spans components. So pairs in a bucket stay in
-proportion to its size, and no bucket's members go without comparison: with six further bands for each division a pair at
-80 % is missed with probability 1.2e-7 if all the bands that it shares are those of large buckets.
+connected components follow. Buckets that span components are gone through again. Where few members are outside the
+bucket's largest component, those are compared with all members of other components, which leaves no pair out. Where they are
+many, further stars with centres chosen by hash are compared, and the members are divided by further bands, again and again,
+until few are left outside. So pairs in a bucket stay in proportion to its size, and no bucket's members go without
+comparison: with four further bands for each division a pair at 80 % is missed with probability 6e-7 even if all the bands
+that it shares are those of such buckets. Pairs whose sets' sizes rule a link out aren't compared.
 
 Null and empty texts have an empty set, are linked with nothing, and form components of their own id. Rows with null doc_id
 have the smallest id of the rows with an equal set (null if there is none) and link nothing else; rows repeated under one
@@ -31,8 +32,8 @@ from foldwise.llm.common import byte_classes, connected_components, grams, hashe
 WORDS, BINS, ROWS = 5, 128, 4
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 80
-#: Buckets up to this size compare all pairs across components; larger ones get so many further stars and divisions.
-SMALL_BUCKET, STARS, DIVISIONS = 24, 4, 6
+#: Up to so many members outside the largest component meet all others of a bucket; beyond, a bucket gets so many stars and divisions.
+OUTSIDE, STARS, DIVISIONS = 24, 4, 4
 CLASSES = byte_classes(lower=True)
 
 
@@ -131,37 +132,45 @@ def stars(members: DataFrame) -> DataFrame:
 
 
 def split_buckets(members: DataFrame, component: DataFrame) -> DataFrame:
-    """bucket, key, component and n (the bucket's size) of the members of buckets that span components; members: without repeats."""
-    known = members.join(component, members["key"] == component["node"], "left").select("bucket", "key", F.coalesce("component", "key").alias("component"))
-    split = known.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).filter("low < high").select("bucket", "n")
-    return known.join(split, "bucket").select("bucket", "key", "component", "n")
+    """bucket, key, n_shingles and component of the members of buckets that span components; members: without repeats."""
+    known = members.join(component, members["key"] == component["node"], "left").select("bucket", "key", "n_shingles", F.coalesce("component", "key").alias("component"))
+    split = known.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("bucket")
+    return known.join(split, "bucket")
+
+
+def with_outside(within: DataFrame) -> DataFrame:
+    """As split_buckets gives, with the bucket's largest component, main, and how many members are outside it."""
+    sizes = within.groupBy("bucket", "component").agg(F.count("*").alias("c"))
+    shape = sizes.groupBy("bucket").agg(F.max(F.struct("c", "component")).alias("top"), F.sum("c").alias("n"))
+    return within.join(shape.select("bucket", F.col("top.component").alias("main"), (F.col("n") - F.col("top.c")).alias("outside")), "bucket")
 
 
 def across(within: DataFrame) -> DataFrame:
-    """Pairs across components: all of small buckets, stars of large ones; within: as split_buckets gives."""
-    within = within.withColumn("turn", F.xxhash64("key", "bucket"))
-    ends = F.sort_array(F.collect_list(F.struct("turn", "key", "component")))
-    centres = within.filter(F.col("n") <= SMALL_BUCKET).groupBy("bucket").agg(ends.alias("centres"))
-    # a large bucket's further centres: its least members by as many hashes
-    large = within.filter(F.col("n") > SMALL_BUCKET).groupBy("bucket").agg(F.array(*[
-        F.min(F.struct(F.xxhash64("key", "bucket", F.lit(i)).alias("turn"), "key", "component")) for i in range(STARS)]).alias("centres"))
-    pairs = within.join(centres.union(large), "bucket").select("key", "component", F.explode("centres").alias("c"))
-    return pairs.filter(F.col("c.component") != F.col("component")).select(F.least("key", "c.key").alias("a"), F.greatest("key", "c.key").alias("b")).distinct()
+    """Pairs across components: all of buckets with few members outside, stars of the others; within: as with_outside gives."""
+    one = F.struct("key", "component", "n_shingles")
+    few = within.filter((F.col("outside") <= OUTSIDE) & (F.col("component") != F.col("main"))).groupBy("bucket").agg(F.sort_array(F.collect_list(one)).alias("centres"))
+    # the further centres of others: their least members by as many hashes
+    many = within.filter(F.col("outside") > OUTSIDE).groupBy("bucket").agg(F.array(*[
+        F.min(F.struct(F.xxhash64("key", "bucket", F.lit(i)).alias("turn"), one.alias("one"))).getField("one") for i in range(STARS)]).alias("centres"))
+    pairs = within.join(few.union(many), "bucket").select("key", "component", "n_shingles", F.explode("centres").alias("c"))
+    low, high = F.least("n_shingles", "c.n_shingles"), F.greatest("n_shingles", "c.n_shingles")
+    return pairs.filter((F.col("c.component") != F.col("component")) & (100 * low >= PERCENT * high)).select(
+        F.least("key", "c.key").alias("a"), F.greatest("key", "c.key").alias("b")).distinct()
 
 
 def divided(large: DataFrame, found: DataFrame) -> DataFrame:
-    """Members of large buckets, each in the buckets that its own and one further band give; large: bucket, key."""
+    """Members of buckets, each in the buckets that its own and one further band give; large: bucket, key, n_shingles."""
     bands = found.select("key", "buckets").join(large.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.any_value("buckets").alias("buckets"))
     further = F.array(*[
         F.xxhash64("bucket", F.get("buckets", F.pmod(F.xxhash64("bucket", F.lit(i)), F.lit(BINS // ROWS)).cast("int"))) for i in range(DIVISIONS)])
-    return large.select("bucket", "key").join(bands, "key").select(F.explode(F.array_distinct(further)).alias("bucket"), "key").distinct()
+    return large.join(bands, "key").select(F.explode(F.array_distinct(further)).alias("bucket"), "key", "n_shingles").distinct()
 
 
 def near_components(documents: DataFrame, words: int = WORDS) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of each row."""
     rows = stored(sketches(documents, words), "sketches")
     found = rows.filter("key is not null")
-    members = found.select(F.explode("buckets").alias("bucket"), "key")
+    members = found.select(F.explode("buckets").alias("bucket"), "key", "n_shingles")
     pairs = stored(stars(members), "stars")
     first = found.groupBy("key").agg(F.min("doc_id").alias("doc_id"))
 
@@ -189,14 +198,14 @@ def near_components(documents: DataFrame, words: int = WORDS) -> DataFrame:
     component = connected_components(edges)
     members = members.distinct()
     while True:
-        within = stored(split_buckets(members, component), "split-buckets")
+        within = with_outside(stored(split_buckets(members, component), "split-buckets"))
         more = stored(across(within).join(pairs, ["a", "b"], "left_anti"), "more-pairs")
         if not more.isEmpty():
             pairs, late = pairs.union(more), links(more)
             if not late.isEmpty():
                 edges = edges.union(late)
                 component = connected_components(edges)
-        large = within.filter(F.col("n") > SMALL_BUCKET)
+        large = stored(within.filter(F.col("outside") > OUTSIDE).select("bucket", "key", "n_shingles"), "large-buckets")
         if large.isEmpty():
             break
         members = stored(divided(large, found), "divided")
