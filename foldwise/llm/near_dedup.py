@@ -148,11 +148,12 @@ def with_outside(within: DataFrame) -> DataFrame:
 def across(within: DataFrame) -> DataFrame:
     """Pairs across components: all of buckets with few members outside, stars of the others; within: as with_outside gives."""
     one = F.struct("key", "component", "n_shingles")
-    few = within.filter((F.col("outside") <= OUTSIDE) & (F.col("component") != F.col("main"))).groupBy("bucket").agg(F.sort_array(F.collect_list(one)).alias("centres"))
-    # the further centres of others: their least members by as many hashes
-    many = within.filter(F.col("outside") > OUTSIDE).groupBy("bucket").agg(F.array(*[
-        F.min(F.struct(F.xxhash64("key", "bucket", F.lit(i)).alias("turn"), one.alias("one"))).getField("one") for i in range(STARS)]).alias("centres"))
-    pairs = within.join(few.union(many), "bucket").select("key", "component", "n_shingles", F.explode("centres").alias("c"))
+    few = F.col("outside") <= OUTSIDE
+    # the further centres of a bucket with many outside: its least members by as many hashes
+    stars_ = F.array(*[F.min(F.struct(F.xxhash64("key", "bucket", F.lit(i)).alias("turn"), one.alias("one"))).getField("one") for i in range(STARS)])
+    centres = within.groupBy("bucket").agg(
+        F.when(F.bool_and(few), F.sort_array(F.collect_list(F.when(few & (F.col("component") != F.col("main")), one)))).otherwise(stars_).alias("centres"))
+    pairs = within.join(centres, "bucket").select("key", "component", "n_shingles", F.explode("centres").alias("c"))
     low, high = F.least("n_shingles", "c.n_shingles"), F.greatest("n_shingles", "c.n_shingles")
     return pairs.filter((F.col("c.component") != F.col("component")) & (100 * low >= PERCENT * high)).select(
         F.least("key", "c.key").alias("a"), F.greatest("key", "c.key").alias("b")).distinct()

@@ -264,12 +264,12 @@ def test_near_copies_in_chains_and_large_groups(spark):
 def test_near_pairs_in_buckets_of_one_passage(spark):
     """Many texts share most of their words with each other without being linked; pairs among them are all found."""
     rng = random.Random(8)
-    passage = [f"p{j}" for j in range(150)]
+    passage = [f"p{j}" for j in range(140)]
     rows = []
     for i in range(120):
-        own = [f"t{i}w{j}" for j in range(30)]
+        own = [f"t{i}w{j}" for j in range(34)]
         rows.append((2 * i, " ".join(passage + own)))
-        own[rng.randrange(26, 30)] = "other"
+        own[rng.randrange(30, 34)] = "other"
         rows.append((2 * i + 1, " ".join(passage + own)))
     got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
     assert got == {i: i - i % 2 for i in range(240)}
