@@ -5,6 +5,9 @@ the median go to both sides. Every vector is sent down every tree; in each leaf
 after further random splits where they are many, unless they lie so close together that a split would part linked ones.
 Pairs found with the wanted cosine, computed in double precision, are united over the trees; components follow.
 
+No task holds more than two blocks of vectors of a leaf: leaves with more are split on by Spark, at quantiles of their own
+projections, and where their vectors lie close together every block meets every other one in a task of their own.
+
 Equal vectors of one label are one node that counts its copies, so copies are never paired with each other. Vectors that
 are null, of length zero, or hold null or non-finite components, and vectors without label, are linked with nothing and
 form components of their own id. Vectors of different dimension are never compared. Rows repeated under one id count as
@@ -27,6 +30,8 @@ COSINE = 0.93
 TREES, SAMPLE_ROWS, LEAF, SPILL = 6, 20_000, 512, 0.1
 #: Cosine with their mean from which vectors count as close together.
 CLOSE = 0.9
+#: Vectors of a leaf and label that one task compares; directions by which larger leaves are measured; rounds of their splits.
+GROUP, DIRECTIONS, ROUNDS = 16_384, 8, 40
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -87,6 +92,14 @@ def linked_pairs(keys: np.ndarray, x: np.ndarray, least: float, rng: np.random.G
             yield np.minimum(low, high)[some], np.maximum(low, high)[some]
 
 
+def blocks_met(keys: np.ndarray, x: np.ndarray, others: np.ndarray, y: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs between two blocks of different vectors."""
+    for i in range(0, len(keys), LEAF):
+        for j in range(0, len(others), LEAF):
+            a, b = np.nonzero(x[i: i + LEAF] @ y[j: j + LEAF].T >= least)
+            yield np.minimum(keys[i + a], others[j + b]), np.maximum(keys[i + a], others[j + b])
+
+
 def matrix(column: pa.Array) -> np.ndarray:
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return flat.reshape(len(column), -1)
@@ -101,37 +114,121 @@ def forest(nodes: DataFrame, dimension: int, trees: int) -> list[Tree]:
     return [Tree(x, depth, seed) for seed in range(trees)]
 
 
-def links(nodes: DataFrame, least: float = COSINE, trees: int = TREES) -> DataFrame:
-    """Pairs (a, b) of nodes with the wanted cosine; nodes: key, label, vector of one dimension."""
-    dimension = nodes.select(F.size("vector").alias("n")).first()
-    if dimension is None:
-        return nodes.sparkSession.createDataFrame([], "a long, b long")
-    sent = nodes.sparkSession.sparkContext.broadcast(forest(nodes, dimension["n"], trees))
+def placed_in(nodes: DataFrame, trees: list[Tree]) -> DataFrame:
+    """label, key, vector and the leaves (of all trees) that each node reaches."""
+    sent = nodes.sparkSession.sparkContext.broadcast(trees)
+    kinds = dict(nodes.dtypes)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for k in range(0, len(whole), 2000):
                 batch = whole.slice(k, 2000)
                 x = unit(matrix(batch.column("vector"))).astype(np.float32)
-                for i, tree in enumerate(sent.value):
-                    row, leaf = tree.leaves(x)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(row), i, np.int32)), pa.array(leaf), *(batch.column(c).take(pa.array(row)) for c in ("label", "key", "vector"))],
-                        ["tree", "leaf", "label", "key", "vector"])
+                found = [(row, (i << 32) + leaf) for i, (row, leaf) in enumerate(t.leaves(x) for t in sent.value)]
+                row, leaf = (np.concatenate(part) for part in zip(*found, strict=True))
+                order = np.argsort(row, kind="stable")
+                ends = np.searchsorted(row[order], np.arange(len(batch) + 1)).astype(np.int32)
+                leaves = pa.ListArray.from_arrays(pa.array(ends), pa.array(leaf[order]))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("label", "key", "vector")), leaves], ["label", "key", "vector", "leaves"])
+
+    return nodes.select("label", "key", "vector").mapInArrow(route, f"label {kinds['label']}, key long, vector {kinds['vector']}, leaves array<long>")
+
+
+def projected(rows: DataFrame) -> DataFrame:
+    """The rows with their vectors' projections on the random directions that their leaf names."""
+
+    def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for k in range(0, len(whole), 2000):
+                batch = whole.slice(k, 2000)
+                x, leaf = unit(matrix(batch.column("vector"))), batch.column("leaf").to_numpy()
+                p = np.zeros((len(batch), DIRECTIONS))
+                for one in np.unique(leaf):
+                    p[leaf == one] = x[leaf == one] @ np.random.default_rng(int(one) & ((1 << 63) - 1)).normal(size=(x.shape[1], DIRECTIONS))
+                ends = np.arange(len(batch) + 1, dtype=np.int32) * DIRECTIONS
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(p.ravel()))], [*batch.schema.names, "p"])
+
+    kinds = ", ".join(f"{name} {kind}" for name, kind in rows.dtypes)
+    return rows.mapInArrow(project, f"{kinds}, p array<double>")
+
+
+def whole_leaf() -> list:
+    """Columns of a leaf that is one group."""
+    return [F.lit(0).alias("one"), F.lit(0).alias("two"), F.lit(0).alias("side")]
+
+
+def large_leaves(rows: DataFrame, group: int) -> DataFrame:
+    return rows.groupBy("label", "leaf").agg(F.count("*").alias("n")).filter(F.col("n") > group)
+
+
+def divided(rows: DataFrame, group: int) -> DataFrame:
+    """Rows of leaves over ``group`` vectors, as label, leaf, one, two, side, key and vector: groups of bounded size.
+
+    Random splits with spill go on until leaves are small enough or close together; a close leaf's rows get a block by
+    hash, and block ``one`` meets block ``two`` in a group of their own. Sizes and quantiles are aggregates.
+    """
+    out: list[DataFrame] = []
+    rows = stored(rows, "large-leaves")
+    for turn in range(ROUNDS + 1):
+        # the sum of variances over random directions of unit vectors tells their mean's length
+        spread = sum((F.var_pop(F.get("p", F.lit(i))) for i in range(DIRECTIONS)), F.lit(0.0)) / DIRECTIONS
+        measured = stored(projected(rows), "projected")
+        shape = measured.groupBy("label", "leaf").agg(
+            F.count("*").alias("n"), spread.alias("spread"),
+            F.percentile_approx(F.get("p", F.lit(0)), [0.5 - SPILL / 2, 0.5 + SPILL / 2], 1000).alias("cuts"))
+        close = (F.col("spread") <= 1 - CLOSE**2) | (F.get("cuts", F.lit(0)) == F.get("cuts", F.lit(1))) | F.lit(turn == ROUNDS)
+        shaped = measured.join(stored(shape.withColumn("close", close), "shapes"), ["label", "leaf"])
+        blocks = F.ceil(F.col("n") / (group // 2)).cast("int")
+        block = F.pmod(F.xxhash64("key", F.lit(1)), blocks).cast("int")
+        met = F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other")
+        out.append(shaped.filter("close").select("label", "leaf", "key", "vector", block.alias("block"), met).select(
+            "label", "leaf", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"),
+            (F.col("block") > F.col("other")).cast("int").alias("side"), "key", "vector"))
+        p = F.get("p", F.lit(0))
+        sides = F.array_compact(F.array(*[F.when(there, F.xxhash64("leaf", F.lit(i))) for i, there in enumerate((
+            p <= F.get("cuts", F.lit(1)), p >= F.get("cuts", F.lit(0))))]))
+        rows = stored(shaped.filter(~F.col("close")).select("label", F.explode(sides).alias("leaf"), "key", "vector"), "split-leaves")
+        large = stored(large_leaves(rows, group), "large")
+        out.append(rows.join(large, ["label", "leaf"], "left_anti").select("label", "leaf", *whole_leaf(), "key", "vector"))
+        rows = rows.join(large.drop("n"), ["label", "leaf"], "left_semi")
+        if large.isEmpty():
+            break
+    whole = out[0]
+    for part in out[1:]:
+        whole = whole.unionByName(part)
+    return whole
+
+
+def links(nodes: DataFrame, least: float = COSINE, trees: int = TREES, group: int = GROUP) -> DataFrame:
+    """Pairs (a, b) of nodes with the wanted cosine; nodes: key, label, vector of one dimension."""
+    dimension = nodes.select(F.size("vector").alias("n")).first()
+    if dimension is None:
+        return nodes.sparkSession.createDataFrame([], "a long, b long")
+    placed = stored(placed_in(nodes, forest(nodes, dimension["n"], trees)), "placed")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [(b.column("key").to_numpy(), matrix(b.column("vector"))) for b in batches if len(b)]
-        keys, x = np.concatenate([p[0] for p in parts]), unit(np.concatenate([p[1] for p in parts]))
+        parts = [(b.column("key").to_numpy(), matrix(b.column("vector")), b.column("side").to_numpy(), b.column("one")[0] != b.column("two")[0]) for b in batches if len(b)]
+        keys, x, side = (np.concatenate([p[i] for p in parts]) for i in range(3))
         order = np.argsort(keys)
-        for a, b in linked_pairs(keys[order], x[order], least, np.random.default_rng(len(keys))):
+        keys, x, side = keys[order], unit(x[order]), side[order]
+        if parts[0][3]:
+            found = blocks_met(keys[side == 0], x[side == 0], keys[side == 1], x[side == 1], least)
+        else:
+            found = linked_pairs(keys, x, least, np.random.default_rng(len(keys)))
+        for a, b in found:
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    kinds = dict(nodes.dtypes)
-    routed = nodes.select("label", "key", "vector").mapInArrow(route, f"tree int, leaf long, label {kinds['label']}, key long, vector {kinds['vector']}")
-    return routed.groupBy("tree", "leaf", "label").applyInArrow(compare, "a long, b long").distinct()
+    large = stored(large_leaves(placed.select("label", F.explode("leaves").alias("leaf")), group), "large")
+    routed = placed.select("label", F.explode("leaves").alias("leaf"), "key", "vector")
+    if large.isEmpty():
+        groups = routed.select("label", "leaf", *whole_leaf(), "key", "vector")
+    else:
+        groups = routed.join(large, ["label", "leaf"], "left_anti").select("label", "leaf", *whole_leaf(), "key", "vector").unionByName(
+            divided(routed.join(large.drop("n"), ["label", "leaf"], "left_semi"), group))
+    return groups.groupBy("label", "leaf", "one", "two").applyInArrow(compare, "a long, b long").distinct()
 
 
-def near_vectors(embeddings: DataFrame, least: float = COSINE, trees: int = TREES) -> DataFrame:
+def near_vectors(embeddings: DataFrame, least: float = COSINE, trees: int = TREES, group: int = GROUP) -> DataFrame:
     """vec_id, n_links, component_id and kept of each row."""
     v = F.col("embedding")
     fine = F.col("label").isNotNull() & v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
@@ -140,7 +237,7 @@ def near_vectors(embeddings: DataFrame, least: float = COSINE, trees: int = TREE
     sizes = [r["n"] for r in nodes.select(F.size("vector").alias("n")).distinct().collect()]
     found = nodes.sparkSession.createDataFrame([], "a long, b long")
     for n in sizes:
-        found = found.union(links(nodes.filter(F.size("vector") == n), least, trees))
+        found = found.union(links(nodes.filter(F.size("vector") == n), least, trees, group))
     found = stored(found, "vector-links")
     component = connected_components(found)
     copies = nodes.select("key", "copies")

@@ -106,7 +106,8 @@ def test_secrets_go(spark, documents):
 
 # embeddings
 
-def test_vectors_against_all_pairs(spark):
+@pytest.mark.parametrize("group", [vector_dedup.GROUP, 300])  # 300: most leaves are split on by Spark, the hot one into blocks
+def test_vectors_against_all_pairs(spark, group):
     rng = np.random.default_rng(1)
     base = rng.normal(size=(2500, 16))
     near = base[:400] + rng.normal(size=(400, 16)) * 0.12
@@ -115,7 +116,7 @@ def test_vectors_against_all_pairs(spark):
     rows = [(i, v.astype(np.float32).tolist(), int(i % 7 != 0)) for i, v in enumerate(x)]
     rows += [(5000, None, 1), (5001, [0.0] * 16, 1), (5002, [float("nan")] * 16, 1), (5003, [None] * 16, 1), (5004, x[0].tolist(), None), (5005, [], 1), (5006, [1.0, 2.0], 1), (5007, [2.0, 4.0], 1)]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").withColumn("key", F.lit("mine"))
-    got = {r["vec_id"]: r for r in vector_dedup.near_vectors(frame).collect()}
+    got = {r["vec_id"]: r for r in vector_dedup.near_vectors(frame, group=group).collect()}
     assert len(got) == len(rows) and got[5006]["n_links"] == 1 and got[5007]["component_id"] == 5006
     assert all(got[i]["n_links"] == 0 and got[i]["kept"] for i in range(5000, 5006))
     y = np.float32(x).astype(float)
@@ -127,7 +128,7 @@ def test_vectors_against_all_pairs(spark):
     have = np.array([got[i]["n_links"] for i in range(len(x))])
     assert (have <= want).all() and have.sum() >= 0.9 * want.sum()
     assert all(got[i]["component_id"] <= i for i in range(len(x)))
-    assert vector_dedup.near_vectors(frame.filter("false")).count() == 0
+    assert vector_dedup.near_vectors(frame.filter("false"), group=group).count() == 0
 
 
 # packing
