@@ -8,8 +8,10 @@ connected components follow. Buckets that span components are gone through again
 bucket's largest component, those are compared with all members of other components, which leaves no pair out. Where they are
 many, further stars with centres chosen by hash are compared, and the members are divided by further bands, again and again,
 until few are left outside. So pairs in a bucket stay in proportion to its size, and no bucket's members go without
-comparison: with four further bands for each division a pair at 80 % is missed with probability 6e-7 even if all the bands
-that it shares are those of such buckets. Pairs whose sets' sizes rule a link out aren't compared.
+comparison. Each division hashes the sets afresh and takes eight of its 32 bands for a bucket, so that what a pair shares in
+one division says nothing of the next: if all the buckets that a pair at 80 % shares are such ones at every division, it is
+missed with probability 2e-7 after one division, 4e-7 after four and 7e-7 after ten, the bands of the start counted in (by
+calculation for independent bands). Pairs whose sets' sizes rule a link out aren't compared.
 
 Null and empty texts have an empty set, are linked with nothing, and form components of their own id. Rows with null doc_id
 have the smallest id of the rows with an equal set (null if there is none) and link nothing else; rows repeated under one
@@ -27,13 +29,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldwise.llm.common import byte_classes, connected_components, grams, hashed_words, mixed, stored, text_batches
+from foldwise.llm.common import GOLD, byte_classes, connected_components, grams, hashed_words, mixed, stored, text_batches
 
 WORDS, BINS, ROWS = 5, 128, 4
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 80
 #: Up to so many members outside the largest component meet all others of a bucket; beyond, a bucket gets so many stars and divisions.
-OUTSIDE, STARS, DIVISIONS = 24, 4, 4
+OUTSIDE, STARS, DIVISIONS = 24, 4, 8
 CLASSES = byte_classes(lower=True)
 
 
@@ -78,14 +80,14 @@ def set_key(hashes: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(hashes.tobytes()) - (1 << 63)
 
 
-def sketches(documents: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc_id, n_shingles, key of the set (null: empty) and buckets of each row."""
+def sketches(documents: DataFrame, words: int = WORDS, turn: int = 0) -> DataFrame:
+    """doc_id, n_shingles, key of the set (null: empty) and buckets of each row; each turn hashes the sets afresh for its buckets."""
     salt = mixed(np.arange(1, BINS // ROWS + 1, dtype=np.uint64))
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, ends in text_batches(batches):
             sets = shingle_sets(data, ends, words)
-            some = [s for s in sets if len(s)]
+            some = [np.sort(mixed(s + np.uint64(turn) * GOLD)) if turn else s for s in sets if len(s)]
             signs = np.stack([signature(s) for s in some]).reshape(len(some), -1, ROWS) if some else np.zeros((0, BINS // ROWS, ROWS), np.uint64)
             bands = np.zeros(signs.shape[:2], np.uint64) + salt
             for i in range(ROWS):
@@ -159,12 +161,13 @@ def across(within: DataFrame) -> DataFrame:
         F.least("key", "c.key").alias("a"), F.greatest("key", "c.key").alias("b")).distinct()
 
 
-def divided(large: DataFrame, found: DataFrame) -> DataFrame:
-    """Members of buckets, each in the buckets that its own and one further band give; large: bucket, key, n_shingles."""
-    bands = found.select("key", "buckets").join(large.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.any_value("buckets").alias("buckets"))
+def divided(large: DataFrame, fresh: DataFrame) -> DataFrame:
+    """Members of buckets, each in the buckets that its own and one further band give; large: bucket, key, n_shingles; fresh: key, buckets of a turn of its own."""
+    each = BINS // ROWS // DIVISIONS
+    bands = fresh.select("key", "buckets").groupBy("key").agg(F.any_value("buckets").alias("buckets"))
     further = F.array(*[
-        F.xxhash64("bucket", F.get("buckets", F.pmod(F.xxhash64("bucket", F.lit(i)), F.lit(BINS // ROWS)).cast("int"))) for i in range(DIVISIONS)])
-    return large.join(bands, "key").select(F.explode(F.array_distinct(further)).alias("bucket"), "key", "n_shingles").distinct()
+        F.xxhash64("bucket", F.get("buckets", F.pmod(F.xxhash64("bucket", F.lit(i)), F.lit(each)).cast("int") + i * each)) for i in range(DIVISIONS)])
+    return large.join(bands, "key").select(F.explode(further).alias("bucket"), "key", "n_shingles").distinct()
 
 
 def near_components(documents: DataFrame, words: int = WORDS) -> DataFrame:
@@ -175,10 +178,12 @@ def near_components(documents: DataFrame, words: int = WORDS) -> DataFrame:
     pairs = stored(stars(members), "stars")
     first = found.groupBy("key").agg(F.min("doc_id").alias("doc_id"))
 
+    def holders(keys: DataFrame) -> DataFrame:
+        """doc_id, text and key of documents for the keys."""
+        return documents.select("doc_id", "text").filter(F.col("text").isNotNull()).join(keys.distinct().join(first, "key"), "doc_id")
+
     def texts(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(first, "key")
-        both = documents.select("doc_id", "text").join(wanted, "doc_id")
-        return stored(both.select("key", "text").filter(F.col("text").isNotNull()), "texts")
+        return stored(holders(pairs.select(F.explode(F.array("a", "b")).alias("key"))).select("key", "text"), "texts")
 
     def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Where ids repeat with other texts: only the text whose set has the key."""
@@ -197,7 +202,7 @@ def near_components(documents: DataFrame, words: int = WORDS) -> DataFrame:
 
     edges = links(pairs)
     component = connected_components(edges)
-    members = members.distinct()
+    members, turn = members.distinct(), 0
     while True:
         within = with_outside(stored(split_buckets(members, component), "split-buckets"))
         more = stored(across(within).join(pairs, ["a", "b"], "left_anti"), "more-pairs")
@@ -209,7 +214,8 @@ def near_components(documents: DataFrame, words: int = WORDS) -> DataFrame:
         large = stored(within.filter(F.col("outside") > OUTSIDE).select("bucket", "key", "n_shingles"), "large-buckets")
         if large.isEmpty():
             break
-        members = stored(divided(large, found), "divided")
+        turn += 1
+        members = stored(divided(large, sketches(holders(large.select("key")), words, turn)), "divided")
     named = rows.join(component.select(F.col("node").alias("key"), "component"), "key", "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "key").alias("class"))
     least = named.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("component_id"))

@@ -276,6 +276,33 @@ def test_near_pairs_in_buckets_of_one_passage(spark):
     assert got == {i: i - i % 2 for i in range(240)}
 
 
+def test_division_by_fresh_bands(spark):
+    """Pairs at 80 to 82 %, each in its own large buckets alone, stay together in one at least however often those are divided."""
+    rng = random.Random(12)
+    rows = []
+    for i in range(1500):
+        one = [f"a{rng.randrange(10**9)}" for _ in range(124)]
+        two = one[:111] + [f"b{rng.randrange(10**9)}" for _ in range(13)]
+        rows += [(2 * i, " ".join(one)), (2 * i + 1, " ".join(two))]
+    a, b = (near_dedup.shingle_sets(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]))[0] for _, t in rows[:2])
+    assert 0.8 <= len(np.intersect1d(a, b)) / len(np.union1d(a, b)) <= 0.82
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+
+    def together(members):
+        """Members of the buckets that hold both of a pair."""
+        pairs = members.groupBy("bucket", F.floor(F.col("doc_id") / 2).alias("pair")).agg(F.count("*").alias("n")).filter("n = 2")
+        return members.join(pairs.select("bucket", "pair"), ["bucket"]).filter(F.floor(F.col("doc_id") / 2) == F.col("pair")).drop("pair")
+
+    found = common.stored(near_dedup.sketches(docs), "sketches")
+    names = found.select("doc_id", "key")
+    members = together(found.select("doc_id", "key", "n_shingles", F.explode("buckets").alias("bucket")))
+    assert members.select("key").distinct().count() == 3000
+    for turn in range(1, 5):
+        fresh = near_dedup.sketches(docs, turn=turn)
+        members = common.stored(together(near_dedup.divided(members.select("bucket", "key", "n_shingles"), fresh).join(names, "key")), "members")
+        assert members.select("key").distinct().count() == 3000
+
+
 def test_components(spark):
     rng = random.Random(4)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(1000 + i, 1001 + i) for i in range(50)] + [(5, 5)]
