@@ -28,6 +28,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from foldwise.llm.common import GOLD, byte_classes, connected_components, grams, hashed_words, mixed, stored, text_batches
 
@@ -170,8 +171,8 @@ def divided(large: DataFrame, fresh: DataFrame) -> DataFrame:
     return large.join(bands, "key").select(F.explode(further).alias("bucket"), "key", "n_shingles").distinct()
 
 
-def near_components(documents: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of each row."""
+def classes(documents: DataFrame, words: int = WORDS) -> DataFrame:
+    """doc_id, n_shingles, key of the set and class of each row; key and class are null for rows without words."""
     rows = stored(sketches(documents, words), "sketches")
     found = rows.filter("key is not null")
     members = found.select(F.explode("buckets").alias("bucket"), "key", "n_shingles")
@@ -216,17 +217,42 @@ def near_components(documents: DataFrame, words: int = WORDS) -> DataFrame:
             break
         turn += 1
         members = stored(divided(large, sketches(holders(large.select("key")), words, turn)), "divided")
-    named = rows.join(component.select(F.col("node").alias("key"), "component"), "key", "left").select(
-        "doc_id", "n_shingles", F.coalesce("component", "key").alias("class"))
+    return rows.join(component.select(F.col("node").alias("key"), "component"), "key", "left").select(
+        "doc_id", "n_shingles", "key", F.coalesce("component", "key").alias("class"))
+
+
+def near_components(documents: DataFrame, words: int = WORDS) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of each row."""
+    named = classes(documents, words)
     least = named.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("component_id"))
     return named.join(least, "class", "left").select(
         "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
+def with_keys(documents: DataFrame, words: int = WORDS) -> DataFrame:
+    """The documents with the key of their set as set_key; null without words."""
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, data, ends in text_batches(batches):
+            keys = [set_key(x) if len(x) else None for x in shingle_sets(data, ends, words)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.int64())], [*batch.schema.names, "set_key"])
+
+    return documents.mapInArrow(keyed, T.StructType([*documents.schema.fields, T.StructField("set_key", T.LongType())]))
+
+
 def deduplicated(documents: DataFrame, words: int = WORDS) -> DataFrame:
-    """The documents of which nothing similar has a smaller id; rows without words all stay."""
-    kept = near_components(documents, words).filter("kept").select("doc_id").distinct()
-    return documents.join(kept, "doc_id", "left_semi")
+    """One row of each class, of the smallest id (null after all others), then the least key and the least columns; rows without words all stay."""
+    named = classes(documents, words).filter("class is not null")
+    one = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+    least = named.groupBy("class").agg(F.min(one).alias("one"))
+    # rows that have the least id and key of their class: where there are several, one of them is chosen by its columns
+    same = named.groupBy("class", one.alias("one")).agg(F.count("*").alias("n"))
+    kept = stored(same.join(least, ["class", "one"]).select(F.col("one.doc_id").alias("kept_id"), F.col("one.key").alias("set_key"), "n"), "kept")
+    rows = with_keys(documents, words)
+    chosen = rows.join(kept, "set_key").filter(F.col("doc_id").eqNullSafe(F.col("kept_id")))
+    single = chosen.filter("n = 1").select(*documents.columns)
+    several = chosen.filter("n > 1").groupBy("set_key").agg(F.min(F.struct(*documents.columns)).alias("row")).select("row.*")
+    return single.unionByName(several).unionByName(rows.filter("set_key is null").select(*documents.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -303,6 +303,20 @@ def test_division_by_fresh_bands(spark):
         assert members.select("key").distinct().count() == 3000
 
 
+def test_deduplicated_by_row(spark):
+    """Null ids, rows repeated under one id and other texts under it."""
+    rng = random.Random(9)
+    from tests.llm.conftest import prose
+
+    a, b, c, d, e = (prose(rng, 40) for _ in range(5))
+    rows = [(1, a, "x"), (1, a, "y"), (None, a, "x"), (2, a, "x"), (2, b, "x"), (None, c, "x"), (None, c, "w"), (None, d, "x"), (3, e, "x"), (3, e, "x"),
+            (None, "", "x"), (None, None, "x"), (4, " ", "x"), (4, " ", "x")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    want = [(1, a, "x"), (2, b, "x"), (None, c, "w"), (None, d, "x"), (3, e, "x"), (None, "", "x"), (None, None, "x"), (4, " ", "x"), (4, " ", "x")]
+    got = near_dedup.deduplicated(frame)
+    assert got.columns == frame.columns and by_row(got, *frame.columns) == collections.Counter(want)
+
+
 def test_components(spark):
     rng = random.Random(4)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(1000 + i, 1001 + i) for i in range(50)] + [(5, 5)]
