@@ -3,7 +3,7 @@
 Three base patterns give spans of the kinds assign, access and hex. Beside them, source and configuration syntax is lexed
 into pairs of a name and an expression of literals and other names; constants are propagated from name to name, and a
 literal scores by the most sensitive name that it reaches and by its own form. Literals that score enough are spans of
-the kind named. Spans count code points, ends exclusive.
+the kind named. The inside of each literal is lexed once more, for connection strings, options and JSON in strings. Spans count code points, ends exclusive.
 
 Null texts count as empty and have no spans. Every row is scanned by itself, so repeated rows and ids repeat their
 result; other columns than doc_id and text are not read. An empty table gives an empty result.
@@ -31,7 +31,11 @@ REACH = 140
 
 OPERATOR = re.compile(r":=|=>|(?<![=!<>+*/%&|^-])=(?![=>])|:(?![:=/\\])")
 NAME_BEFORE = re.compile(r"""(["']?)([A-Za-z_$][A-Za-z0-9_.$-]{0,79})(?:\[[^\[\]\n]{0,40}\])?\1[ \t]{0,8}$""")
+#: Inside a literal, where quotes may be escaped.
+NAME_INSIDE = re.compile(NAME_BEFORE.pattern.replace("""(["']?)""", r"""(\\?["']|)""", 1))
 TERM = re.compile(r"""[ \t]*(?:([rbuf]{0,2})("(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`)|(\$\{?[A-Za-z_]\w*\}?|[A-Za-z_][\w.]*(?![\w+/=-]))|([^\s"'`#;,(){}\[\]<>]+))""")
+#: A value inside a literal; without quotes it ends at separators.
+INNER = re.compile(r"""[ \t]{0,8}(?:\\?"([^"\\\n]*)|\\?'([^'\\\n]*)|([^\s"'`;&,\\(){}\[\]<>]+))""")
 JOIN = re.compile(r"[ \t]*(?:\+|\.\.)[ \t]*(?=\S)")
 PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|\.+|none|null|true|false|undefined|todo|change_?me|example|your[_-].*|<.*>|\$\{.*\}|%.*%|test|dummy|placeholder)$")
@@ -64,6 +68,19 @@ def literal_score(text: str) -> float:
     return min(1.0, 0.35 + 0.35 * spread + 0.15 * classes)
 
 
+def nested(text: str, start: int, end: int) -> Iterator[tuple[str, int, int]]:
+    """(name, start, end) of sensitive assignments inside a literal; as values are passed over, each character is read a fixed number of times."""
+    done = start
+    for m in OPERATOR.finditer(text, start, end):
+        if m.start() < done:  # inside a value
+            continue
+        before = NAME_INSIDE.search(text, max(start, done, m.start() - REACH), m.start())
+        value = before and name_score(before[2]) and INNER.match(text, m.end(), end)
+        if value:
+            yield before[2], *value.span(value.lastindex)
+            done = value.end()
+
+
 def named_spans(text: str) -> list[tuple[int, int, int]]:
     """Spans of literals that reach a sensitive name, directly or through other names."""
     literals: dict[str, list[tuple[int, int]]] = {}
@@ -81,12 +98,13 @@ def named_spans(text: str) -> list[tuple[int, int, int]]:
             if not term or (term[4] and not first):
                 break
             done = term.end()
-            if term[2]:
-                literals.setdefault(name, []).append((term.start(2) + 1, term.end(2) - 1))
-            elif term[3]:
+            if term[3]:
                 sources.setdefault(name, set()).add(term[3].strip("${}"))
             else:
-                literals.setdefault(name, []).append(term.span(4))
+                span = (term.start(2) + 1, term.end(2) - 1) if term[2] else term.span(4)
+                literals.setdefault(name, []).append(span)
+                for inner, a, b in nested(text, *span):
+                    literals.setdefault(inner, []).append((a, b))
             joined = JOIN.match(text, term.end())
             if not joined:
                 break

@@ -98,6 +98,18 @@ def test_secret_lexer(text, found):
     assert [text[a:b] for a, k, b in secrets.spans_of(text) if k == 3] == found
 
 
+@pytest.mark.parametrize("text,found", [
+    ('conn = "Server=db;Uid=app;Pwd=9fKq-27Zx"', "9fKq-27Zx"),
+    ("JAVA_OPTS: -Ddb.pwd=9fKq-27Zx", "9fKq-27Zx"),
+    ('JAVA_OPTS: "-Xmx1g -Ddb.pwd=9fKq-27Zx -Dx=y"', "9fKq-27Zx"),
+    ("env: PWD=9fKq-27Zx", "9fKq-27Zx"),
+    ("url = 'https://db.example/x?user=app&passphrase=9fKq-27Zx&n=1'", "9fKq-27Zx"),
+    ("body = '{\"user\": \"app\", \"credential\": \"9fKq-27Zx\"}'", "9fKq-27Zx"),
+    ('body = "{\\"private_key\\": \\"9fKq-27Zx\\"}"', "9fKq-27Zx")])
+def test_secrets_inside_literals(text, found):
+    assert found in [text[a:b] for a, k, b in secrets.spans_of(text) if k == 3]
+
+
 def test_secrets_go(spark, documents):
     clean = secrets.without_secrets(documents)
     assert clean.columns == documents.columns and clean.count() == documents.count()
