@@ -309,7 +309,7 @@ def test_division_by_fresh_bands(spark):
     names = found.select("doc_id", "key")
     members = together(found.select("doc_id", "key", "n_shingles", F.explode("buckets").alias("bucket")))
     assert members.select("key").distinct().count() == 3000
-    for turn in range(1, 5):
+    for turn in range(1, 4):
         fresh = near_dedup.sketches(docs, turn=turn)
         members = common.stored(together(near_dedup.divided(members.select("bucket", "key", "n_shingles"), fresh).join(names, "key")), "members")
         assert members.select("key").distinct().count() == 3000
