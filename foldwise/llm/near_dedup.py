@@ -1,21 +1,24 @@
 """MinHash near-dedup: one-permutation hashing, optimal densification, banded buckets, star-shaped candidate edges.
 
-A text's set is its distinct shingles of so many words (five unless asked otherwise), A-Z lower-cased. One hash of each shingle fills 128 bins with their
-minima; an empty bin copies a full one that a fixed random sequence of its own names. Four bins make one of 32 bands: texts
-with 80 % of their union in common miss all bands with probability 5e-8. Texts with equal sets are one node. In each bucket
-the node with the least key is the centre, and edges lead from it to the others; edges are confirmed on full sets, and
-connected components follow. Buckets that span components are gone through again. Where few members are outside the
-bucket's largest component, those are compared with all members of other components, which leaves no pair out. Where they are
-many, further stars with centres chosen by hash are compared, and the members are divided by further bands, again and again,
-until few are left outside. So pairs in a bucket stay in proportion to its size, and no bucket's members go without
-comparison. Each division hashes the sets afresh and takes eight of its 32 bands for a bucket, so that what a pair shares in
-one division says nothing of the next: if all the buckets that a pair at 80 % shares are such ones at every division, it is
-missed with probability 2e-7 after one division, 4e-7 after four and 7e-7 after ten, the bands of the start counted in (by
-calculation for independent bands). Pairs whose sets' sizes rule a link out aren't compared.
+A text's set is its distinct shingles of so many words (five unless asked otherwise), A-Z lower-cased; texts with equal sets
+are one node. One hash of each shingle fills 192 bins with their minima; an empty bin copies the full one that a fixed random
+order of its own names first. Six bins make one of 32 bands, and equal bands share a bucket. In each bucket the member that
+meets the most others over all its buckets is the centre, and edges lead from it to the others. Edges whose signatures
+agree far too little are dropped, the rest is confirmed on full sets, and connected components follow.
+
+A bucket is done when its members, the centre left out, are of one component. Members of the others are gone through once,
+exactly, by prefixes: shingles are put into an order of rising frequency (by a table of fixed size; any order is right), and
+two sets with 80 % of their union in common share one of the first shingles, as deep as their sizes ask for, at places that
+leave enough behind them. Pairs of different components that do so are confirmed on full sets. That is the end: there are
+two passes whatever the data, and rows made are the prefixes' shingles and the pairs that could be links by size and place.
+
+What can be missed: a pair at exactly 80 % shares no band with probability 6e-5 (in mean 4e-4 with the spread of sets of some
+hundred shingles), and an edge of a bucket's centre is dropped by its signature at six standard errors below 80 %.
 
 Null and empty texts have an empty set, are linked with nothing, and form components of their own id. Rows with null doc_id
-have the smallest id of the rows with an equal set (null if there is none) and link nothing else; rows repeated under one
-id are nodes by text. Ties in size or hash go by the smaller key. Other columns are not read. An empty table gives an empty result.
+take part like others, and have the smallest id of their component (null if there is none); rows repeated under one id are
+nodes by text, and equal rows are one. Ties in popularity or size go by the smaller node. A text of any length is one row
+of one task at a time, and so is a single word. Other columns are not read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,13 +33,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foldwise.llm.common import GOLD, byte_classes, connected_components, grams, hashed_words, mixed, stored, text_batches
+from foldwise.llm.common import byte_classes, connected_components, grams, hashed_words, mixed, stored, text_batches
 
-WORDS, BINS, ROWS = 5, 128, 4
+WORDS, BINS, ROWS = 5, 192, 6
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 80
-#: Up to so many members outside the largest component meet all others of a bucket; beyond, a bucket gets so many stars and divisions.
-OUTSIDE, STARS, DIVISIONS = 24, 4, 8
+#: Standard errors below PERCENT at which signatures rule a pair out.
+MARGIN = 6
+#: Sets that meet one copy of a centre's text; slots of the table of shingle frequencies.
+CHUNK, SLOTS = 256, 1 << 20
 CLASSES = byte_classes(lower=True)
 
 
@@ -55,204 +60,254 @@ def shingle_sets(data: np.ndarray, ends: np.ndarray, words: int = WORDS) -> list
 
 
 @functools.cache
-def _probes() -> np.ndarray:
-    """For each bin the sequence of bins that it copies from while it is empty."""
-    return np.random.default_rng(11).integers(0, BINS, (BINS, 16 * BINS))
+def _orders() -> np.ndarray:
+    """For each bin the rank of every bin in the order by which it looks for one to copy."""
+    rng = np.random.default_rng(11)
+    return np.stack([rng.permutation(BINS) for _ in range(BINS)]).astype(np.int16)
 
 
 def signature(hashes: np.ndarray) -> np.ndarray:
     """Minima of the bins, from sorted distinct hashes; empty bins are densified."""
-    edges = np.searchsorted(hashes, np.arange(BINS, dtype=np.uint64) << np.uint64(64 - BINS.bit_length() + 1))
-    full = np.append(edges[1:], len(hashes)) > edges
-    out = hashes[np.minimum(edges, len(hashes) - 1)]
-    empty, probes = np.flatnonzero(~full), _probes()
-    for turn in range(probes.shape[1]):
-        if not len(empty):
-            break
-        source = probes[empty, turn]
-        good = full[source]
-        out[empty[good]] = out[source[good]]
-        empty = empty[~good]
-    out[empty] = hashes[0]
+    bins = ((hashes >> np.uint64(32)) * np.uint64(BINS) >> np.uint64(32)).astype(np.int64)
+    first = np.flatnonzero(np.append(True, bins[1:] != bins[:-1]))
+    full, out = bins[first], np.zeros(BINS, np.uint64)
+    out[full] = hashes[first]
+    empty = np.setdiff1d(np.arange(BINS), full, assume_unique=True)
+    out[empty] = out[full[_orders()[np.ix_(empty, full)].argmin(1)]]
     return out
 
 
-def set_key(hashes: np.ndarray) -> int:
-    return xxhash.xxh3_64_intdigest(hashes.tobytes()) - (1 << 63)
+def set_key(hashes: np.ndarray) -> tuple[int, int]:
+    """128 bits that stand for a set, as two longs."""
+    digest = xxhash.xxh3_128_intdigest(hashes.tobytes())
+    return (digest >> 64) - (1 << 63), (digest & ((1 << 64) - 1)) - (1 << 63)
+
 
+def key_columns(sets: list[np.ndarray]) -> list[pa.Array]:
+    keys = [set_key(s) if len(s) else (None, None) for s in sets]
+    return [pa.array([k[i] for k in keys], pa.int64()) for i in (0, 1)]
 
-def sketches(documents: DataFrame, words: int = WORDS, turn: int = 0) -> DataFrame:
-    """doc_id, n_shingles, key of the set (null: empty) and buckets of each row; each turn hashes the sets afresh for its buckets."""
+
+def sketches(documents: DataFrame, words: int = WORDS) -> DataFrame:
+    """doc_id, n_shingles, key of the set (high, low; null: empty), one byte of each bin and buckets of each row."""
     salt = mixed(np.arange(1, BINS // ROWS + 1, dtype=np.uint64))
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, ends in text_batches(batches):
             sets = shingle_sets(data, ends, words)
-            some = [np.sort(mixed(s + np.uint64(turn) * GOLD)) if turn else s for s in sets if len(s)]
-            signs = np.stack([signature(s) for s in some]).reshape(len(some), -1, ROWS) if some else np.zeros((0, BINS // ROWS, ROWS), np.uint64)
-            bands = np.zeros(signs.shape[:2], np.uint64) + salt
+            signs = np.array([signature(s) for s in sets if len(s)], np.uint64).reshape(-1, BINS)
+            bands = np.zeros((len(signs), BINS // ROWS), np.uint64) + salt
             for i in range(ROWS):
-                bands = mixed(bands * np.uint64(0x9E3779B97F4A7C15) + signs[:, :, i])
+                bands = mixed(bands * np.uint64(0x9E3779B97F4A7C15) + signs[:, i::ROWS])
+            some = iter(signs.astype(np.uint8))
             ends_ = np.concatenate([[0], np.cumsum([len(s) > 0 for s in sets])]).astype(np.int32) * (BINS // ROWS)
             yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) if len(s) else None for s in sets], pa.int64()),
-                pa.ListArray.from_arrays(pa.array(ends_), pa.array(bands.ravel().view(np.int64)))], ["doc_id", "n_shingles", "key", "buckets"])
+                batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), *key_columns(sets),
+                pa.array([next(some).tobytes() if len(s) else None for s in sets], pa.binary()),
+                pa.ListArray.from_arrays(pa.array(ends_), pa.array(bands.ravel().view(np.int64)))],
+                ["doc_id", "n_shingles", "high", "low", "signature", "buckets"])
 
-    return documents.select("doc_id", "text").mapInArrow(sketch, "doc_id long, n_shingles long, key long, buckets array<long>")
+    return documents.select("doc_id", "text").mapInArrow(
+        sketch, "doc_id long, n_shingles long, high long, low long, signature binary, buckets array<long>")
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, words: int = WORDS) -> DataFrame:
-    """The pairs (a, b) whose texts' full sets have enough in common; texts: key, text."""
+def with_keys(documents: DataFrame, words: int = WORDS) -> DataFrame:
+    """The documents with the key of their set as __set_high and __set_low; null without words."""
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = {}
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, data, ends in text_batches(batches):
+            yield pa.RecordBatch.from_arrays([*batch.columns, *key_columns(shingle_sets(data, ends, words))], [*batch.schema.names, "__set_high", "__set_low"])
+
+    return documents.mapInArrow(keyed, T.StructType([*documents.schema.fields, T.StructField("__set_high", T.LongType()), T.StructField("__set_low", T.LongType())]))
 
-        def of(key: int, text: str) -> np.ndarray:
-            if key not in last:
-                if len(last) > 64:
-                    last.clear()
-                data = np.frombuffer(text.encode(), np.uint8)
-                last[key] = shingle_sets(data, np.array([0, len(data)]), words)[0]
-            return last[key]
 
+def node_texts(documents: DataFrame, wanted: DataFrame, words: int, repeated: bool) -> DataFrame:
+    """node and text of the wanted nodes (node, high, low, doc_id of one row); repeated: whether that names several equal rows."""
+    rows = with_keys(documents.select("doc_id", "text").filter(F.col("text").isNotNull()), words)
+    same = (F.col("__set_high") == F.col("high")) & (F.col("__set_low") == F.col("low")) & rows["doc_id"].eqNullSafe(wanted["doc_id"])
+    found = rows.join(wanted, same).select("node", "text")
+    return found.groupBy("node").agg(F.min("text").alias("text")) if repeated else found
+
+
+def similar(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs (a, b) that their signatures don't rule out."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            one, two = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BINS) for c in ("sign_a", "sign_b"))
+            least = batch.column("least").to_numpy()
+            error = np.sqrt(PERCENT / 100 * (1 - PERCENT / 100) / np.minimum(least, BINS))
+            yield batch.select(["a", "b"]).filter(pa.array((one == two).mean(1) >= PERCENT / 100 - MARGIN * error))
+
+    one = nodes.select(F.col("node").alias("a"), F.col("signature").alias("sign_a"), F.col("n_shingles").alias("n_a"))
+    two = nodes.select(F.col("node").alias("b"), F.col("signature").alias("sign_b"), F.col("n_shingles").alias("n_b"))
+    return pairs.join(two, "b").join(one, "a").select("a", "b", "sign_a", "sign_b", F.least("n_a", "n_b").alias("least")).mapInArrow(compare, "a long, b long")
+
+
+def confirmed(pairs: DataFrame, texts: DataFrame, words: int = WORDS) -> DataFrame:
+    """The pairs (a, b) whose texts' full sets have enough in common; texts: node, text.
+
+    Each text goes to its pair's a, whose own text comes first there, once for so many others: a task holds two sets.
+    """
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centre, last = np.zeros(0, np.uint64), None
+        for batch, data, ends in text_batches(batches):
             good = []
-            for a, b, s, t in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "text_a", "text_b")), strict=True):
-                x, y = of(a, s), of(b, t)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(100 * both >= PERCENT * (len(x) + len(y) - both))
+            for a, chunk, b, s in zip(*(batch.column(c).to_pylist() for c in ("a", "chunk", "b")), shingle_sets(data, ends, words), strict=True):
+                if b < 0:
+                    centre, last = s, (a, chunk)
+                elif (a, chunk) != last:
+                    raise RuntimeError("a pair came before the text of its centre")
+                low, high = sorted((len(s), len(centre)))
+                both = len(np.intersect1d(s, centre, assume_unique=True)) if b >= 0 and 100 * low >= PERCENT * high else 0
+                good.append(b >= 0 and 100 * both >= PERCENT * (low + high - both))
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    one = texts.select(F.col("key").alias("b"), F.col("text").alias("text_b"))
-    two = texts.select(F.col("key").alias("a"), F.col("text").alias("text_a"))
-    return pairs.join(one, "b").join(two, "a").mapInArrow(compare, "a long, b long")
+    large = pairs.groupBy("a").agg(F.count("*").alias("n")).filter(F.col("n") > CHUNK)
+    chunked = pairs.join(large, "a", "left").select("a", "b", F.coalesce(F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / CHUNK)), F.lit(0)).alias("chunk"))
+    texts = texts.select("node", "text")
+    centres = chunked.select("a", "chunk").distinct().join(texts.withColumnRenamed("node", "a"), "a").select("a", "chunk", F.lit(-1).cast("long").alias("b"), "text")
+    others = chunked.join(texts.withColumnRenamed("node", "b"), "b").select("a", "chunk", "b", "text")
+    return centres.union(others).repartition("a", "chunk").sortWithinPartitions("a", "chunk", "b").mapInArrow(compare, "a long, b long")
 
 
-def stars(members: DataFrame) -> DataFrame:
-    """Edges from each bucket's least key to its others; members: bucket, key."""
-    centres = members.groupBy("bucket").agg(F.min("key").alias("a"), F.max("key").alias("last")).filter("a < last").select("bucket", "a")
-    return members.join(centres, "bucket").filter("key <> a").select("a", F.col("key").alias("b")).distinct()
+def shared_buckets(nodes: DataFrame) -> DataFrame:
+    """bucket, node, n_shingles and the bucket's size, of buckets with several members."""
+    members = nodes.select(F.explode("buckets").alias("bucket"), "node", "n_shingles")
+    sizes = stored(members.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1"), "bucket-sizes")
+    return members.join(sizes, "bucket")
 
 
-def split_buckets(members: DataFrame, component: DataFrame) -> DataFrame:
-    """bucket, key, n_shingles and component of the members of buckets that span components; members: without repeats."""
-    known = members.join(component, members["key"] == component["node"], "left").select("bucket", "key", "n_shingles", F.coalesce("component", "key").alias("component"))
-    split = known.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("bucket")
-    return known.join(split, "bucket")
+def bucket_centres(shared: DataFrame) -> DataFrame:
+    """bucket and centre: the member that meets the most others over all its buckets."""
+    popular = shared.groupBy("node").agg(F.sum(F.col("size") - 1).alias("popularity"))
+    best = F.max(F.struct("popularity", (-F.col("node")).alias("back"), F.col("n_shingles").alias("n_centre")))
+    return shared.select("bucket", "node", "n_shingles").join(popular, "node").groupBy("bucket").agg(best.alias("best")).select(
+        "bucket", (-F.col("best.back")).alias("centre"), "best.n_centre")
 
 
-def with_outside(within: DataFrame) -> DataFrame:
-    """As split_buckets gives, with the bucket's largest component, main, and how many members are outside it."""
-    sizes = within.groupBy("bucket", "component").agg(F.count("*").alias("c"))
-    shape = sizes.groupBy("bucket").agg(F.max(F.struct("c", "component")).alias("top"), F.sum("c").alias("n"))
-    return within.join(shape.select("bucket", F.col("top.component").alias("main"), (F.col("n") - F.col("top.c")).alias("outside")), "bucket")
+def stars(shared: DataFrame, centres: DataFrame) -> DataFrame:
+    """Edges (a, b) from each bucket's centre to its others, where sizes allow a link."""
+    low, high = F.least("n_shingles", "n_centre"), F.greatest("n_shingles", "n_centre")
+    return shared.join(centres, "bucket").filter((F.col("node") != F.col("centre")) & (100 * low >= PERCENT * high)).select(
+        F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
 
 
-def across(within: DataFrame) -> DataFrame:
-    """Pairs across components: all of buckets with few members outside, stars of the others; within: as with_outside gives."""
-    one = F.struct("key", "component", "n_shingles")
-    few = F.col("outside") <= OUTSIDE
-    # the further centres of a bucket with many outside: its least members by as many hashes
-    stars_ = F.array(*[F.min(F.struct(F.xxhash64("key", "bucket", F.lit(i)).alias("turn"), one.alias("one"))).getField("one") for i in range(STARS)])
-    centres = within.groupBy("bucket").agg(
-        F.when(F.bool_and(few), F.sort_array(F.collect_list(F.when(few & (F.col("component") != F.col("main")), one)))).otherwise(stars_).alias("centres"))
-    pairs = within.join(centres, "bucket").select("key", "component", "n_shingles", F.explode("centres").alias("c"))
-    low, high = F.least("n_shingles", "c.n_shingles"), F.greatest("n_shingles", "c.n_shingles")
-    return pairs.filter((F.col("c.component") != F.col("component")) & (100 * low >= PERCENT * high)).select(
-        F.least("key", "c.key").alias("a"), F.greatest("key", "c.key").alias("b")).distinct()
+def left_over(shared: DataFrame, centres: DataFrame, component: DataFrame) -> DataFrame:
+    """node and component of the members of buckets where, the centre left out, components differ."""
+    others = shared.select("bucket", "node").join(centres, "bucket").filter(F.col("node") != F.col("centre"))
+    known = others.join(component, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
+    spanning = known.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("bucket")
+    return known.join(stored(spanning, "spanning"), "bucket").select("node", "component").distinct()
 
 
-def divided(large: DataFrame, fresh: DataFrame) -> DataFrame:
-    """Members of buckets, each in the buckets that its own and one further band give; large: bucket, key, n_shingles; fresh: key, buckets of a turn of its own."""
-    each = BINS // ROWS // DIVISIONS
-    bands = fresh.select("key", "buckets").groupBy("key").agg(F.any_value("buckets").alias("buckets"))
-    further = F.array(*[
-        F.xxhash64("bucket", F.get("buckets", F.pmod(F.xxhash64("bucket", F.lit(i)), F.lit(each)).cast("int") + i * each)) for i in range(DIVISIONS)])
-    return large.join(bands, "key").select(F.explode(further).alias("bucket"), "key", "n_shingles").distinct()
+def frequencies(texts: DataFrame, words: int) -> np.ndarray:
+    """How many sets have a shingle of each slot; a table of fixed size."""
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SLOTS, np.int64)
+        for _, data, ends in text_batches(batches):
+            for s in shingle_sets(data, ends, words):
+                np.add.at(total, (s % np.uint64(SLOTS)).astype(np.int64), 1)
+        slot = np.flatnonzero(total)
+        for i in range(0, len(slot), 10_000):
+            at = slot[i: i + 10_000]
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["slot", "n"])
 
-def classes(documents: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc_id, n_shingles, key of the set and class of each row; key and class are null for rows without words."""
-    rows = stored(sketches(documents, words), "sketches")
-    found = rows.filter("key is not null")
-    members = found.select(F.explode("buckets").alias("bucket"), "key", "n_shingles")
-    pairs = stored(stars(members), "stars")
-    first = found.groupBy("key").agg(F.min("doc_id").alias("doc_id"))
-
-    def holders(keys: DataFrame) -> DataFrame:
-        """doc_id, text and key of documents for the keys."""
-        return documents.select("doc_id", "text").filter(F.col("text").isNotNull()).join(keys.distinct().join(first, "key"), "doc_id")
-
-    def texts(pairs: DataFrame) -> DataFrame:
-        return stored(holders(pairs.select(F.explode(F.array("a", "b")).alias("key"))).select("key", "text"), "texts")
-
-    def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Where ids repeat with other texts: only the text whose set has the key."""
+    found = texts.select("text").mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(SLOTS, np.int64)
+    out[found.column("slot").to_numpy()] = found.column("n").to_numpy()
+    return out
+
+
+def prefixes(texts: DataFrame, words: int, counts: np.ndarray) -> DataFrame:
+    """node, component, n, shingle, place and first of the shingles by which sets can meet, rare ones first.
+
+    A set meets larger ones by its ``first`` shingles, and smaller ones by all that are given. A shingle that is alone in
+    its slot is in no other set.
+    """
+    sent = texts.sparkSession.sparkContext.broadcast(counts)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, ends in text_batches(batches):
-            keys = batch.column("key").to_pylist()
-            good = [len(s) > 0 and set_key(s) == k for s, k in zip(shingle_sets(data, ends, words), keys, strict=True)]
-            yield batch.filter(pa.array(good, pa.bool_()))
-
-    repeated = rows.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count() > 0
-
-    def links(pairs: DataFrame) -> DataFrame:
-        found_texts = texts(pairs)
-        if repeated:
-            found_texts = found_texts.mapInArrow(checked, "key long, text string").dropDuplicates(["key"])
-        return stored(confirmed(pairs, found_texts, words), "links")
-
-    edges = links(pairs)
-    component = connected_components(edges)
-    members, turn = members.distinct(), 0
-    while True:
-        within = with_outside(stored(split_buckets(members, component), "split-buckets"))
-        more = stored(across(within).join(pairs, ["a", "b"], "left_anti"), "more-pairs")
-        if not more.isEmpty():
-            pairs, late = pairs.union(more), links(more)
-            if not late.isEmpty():
-                edges = edges.union(late)
-                component = connected_components(edges)
-        large = stored(within.filter(F.col("outside") > OUTSIDE).select("bucket", "key", "n_shingles"), "large-buckets")
-        if large.isEmpty():
-            break
-        turn += 1
-        members = stored(divided(large, sketches(holders(large.select("key")), words, turn)), "divided")
-    return rows.join(component.select(F.col("node").alias("key"), "component"), "key", "left").select(
-        "doc_id", "n_shingles", "key", F.coalesce("component", "key").alias("class"))
+            parts, sizes = [], []
+            for s in shingle_sets(data, ends, words):
+                often = sent.value[(s % np.uint64(SLOTS)).astype(np.int64)]
+                order, n = np.lexsort((s, often)), len(s)
+                order = order[: n - -(-PERCENT * n // 100) + 1]
+                place = np.flatnonzero(often[order] > 1)
+                parts.append((np.full(len(place), n), s[order[place]].view(np.int64), place, place <= n - -(-2 * PERCENT * n // (100 + PERCENT))))
+                sizes.append(len(place))
+            n, shingle, place, first = (np.concatenate(p) for p in zip(*parts, strict=True))
+            row = pa.array(np.repeat(np.arange(len(batch)), sizes))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("node").take(row), batch.column("component").take(row), pa.array(n.astype(np.int64)), pa.array(shingle), pa.array(place.astype(np.int64)), pa.array(first)],
+                ["node", "component", "n", "shingle", "place", "first"])
+
+    return texts.select("node", "component", "text").mapInArrow(cut, "node long, component long, n long, shingle long, place long, first boolean")
+
+
+def prefix_pairs(found: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components that can be links by the sizes of their sets and the place of a common shingle."""
+    # sizes of linked sets are at most one class apart
+    kind = F.floor(F.log("n") / F.log(F.lit(104 / PERCENT))).cast("long")
+    one = found.filter("first").select("shingle", kind.alias("kind"), F.col("node").alias("a"), F.col("component").alias("component_a"), F.col("n").alias("n_a"), (F.col("n") - F.col("place")).alias("rest_a"))
+    two = found.select("shingle", F.explode(F.array(kind, kind - 1)).alias("kind"), F.col("node").alias("b"), F.col("component").alias("component_b"), F.col("n").alias("n_b"), (F.col("n") - F.col("place")).alias("rest_b"))
+    smaller = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("a") < F.col("b")))
+    enough = (100 + PERCENT) * F.least("rest_a", "rest_b") >= PERCENT * (F.col("n_a") + F.col("n_b"))
+    near = (F.col("component_a") != F.col("component_b")) & smaller & (100 * F.col("n_a") >= PERCENT * F.col("n_b")) & enough
+    return one.join(two, (one["shingle"] == two["shingle"]) & (one["kind"] == two["kind"]) & near).select("a", "b").distinct()
+
+
+def classes(documents: DataFrame, words: int = WORDS) -> DataFrame:
+    """doc_id, n_shingles, key of the set (high, low) and class of each row; key and class are null for rows without words."""
+    rows = stored(sketches(documents, words).withColumn("row", F.monotonically_increasing_id()), "sketches")
+    found = rows.filter("high is not null")
+    keys = stored(found.groupBy("high", "low").agg(F.min("row").alias("node")), "keys")
+    nodes = stored(found.join(keys.select("node"), F.col("row") == F.col("node")).drop("row"), "nodes")
+    repeated = found.groupBy("high", "low", "doc_id").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count() > 0
+
+    shared = stored(shared_buckets(nodes), "shared-buckets")
+    centres = stored(bucket_centres(shared), "centres")
+    pairs = stored(similar(stored(stars(shared, centres), "stars"), nodes), "candidates")
+    wanted = nodes.select("node", "high", "low", "doc_id").join(shared.select("node").distinct(), "node", "left_semi")
+    texts = stored(node_texts(documents, wanted, words, repeated), "texts")
+    component = connected_components(stored(confirmed(pairs, texts, words), "links"))
+
+    rest = stored(left_over(shared, centres, component), "left-over")
+    rest_texts = stored(texts.join(rest, "node"), "left-over-texts")
+    if not rest_texts.isEmpty():
+        met = stored(prefix_pairs(prefixes(rest_texts, words, frequencies(rest_texts, words))), "prefix-pairs")
+        late = stored(confirmed(met, texts, words), "late-links")
+        if not late.isEmpty():
+            component = connected_components(late.union(component.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+    named = keys.join(component, "node", "left").select("high", "low", F.coalesce("component", "node").alias("class"))
+    return rows.join(named, ["high", "low"], "left").select("doc_id", "n_shingles", "high", "low", "class")
 
 
 def near_components(documents: DataFrame, words: int = WORDS) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of each row."""
-    named = classes(documents, words)
-    least = named.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("component_id"))
+    named = stored(classes(documents, words), "classes")
+    least = stored(named.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("component_id")), "least-ids")
     return named.join(least, "class", "left").select(
         "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
-def with_keys(documents: DataFrame, words: int = WORDS) -> DataFrame:
-    """The documents with the key of their set as set_key; null without words."""
-
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, data, ends in text_batches(batches):
-            keys = [set_key(x) if len(x) else None for x in shingle_sets(data, ends, words)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.int64())], [*batch.schema.names, "set_key"])
-
-    return documents.mapInArrow(keyed, T.StructType([*documents.schema.fields, T.StructField("set_key", T.LongType())]))
-
-
 def deduplicated(documents: DataFrame, words: int = WORDS) -> DataFrame:
     """One row of each class, of the smallest id (null after all others), then the least key and the least columns; rows without words all stay."""
     named = classes(documents, words).filter("class is not null")
-    one = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+    one = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "high", "low")
     least = named.groupBy("class").agg(F.min(one).alias("one"))
     # rows that have the least id and key of their class: where there are several, one of them is chosen by its columns
-    same = named.groupBy("class", one.alias("one")).agg(F.count("*").alias("n"))
-    kept = stored(same.join(least, ["class", "one"]).select(F.col("one.doc_id").alias("kept_id"), F.col("one.key").alias("set_key"), "n"), "kept")
+    same = named.groupBy("class", one.alias("one")).agg(F.count("*").alias("__rows"))
+    kept = stored(same.join(least, ["class", "one"]).select(
+        F.col("one.doc_id").alias("__kept_id"), F.col("one.high").alias("__set_high"), F.col("one.low").alias("__set_low"), "__rows"), "kept")
     rows = with_keys(documents, words)
-    chosen = rows.join(kept, "set_key").filter(F.col("doc_id").eqNullSafe(F.col("kept_id")))
-    single = chosen.filter("n = 1").select(*documents.columns)
-    several = chosen.filter("n > 1").groupBy("set_key").agg(F.min(F.struct(*documents.columns)).alias("row")).select("row.*")
-    return single.unionByName(several).unionByName(rows.filter("set_key is null").select(*documents.columns))
+    chosen = rows.join(kept, ["__set_high", "__set_low"]).filter(F.col("doc_id").eqNullSafe(F.col("__kept_id")))
+    single = chosen.filter("__rows = 1").select(*documents.columns)
+    several = chosen.filter("__rows > 1").groupBy("__set_high", "__set_low").agg(F.min(F.struct(*documents.columns)).alias("row")).select("row.*")
+    return single.unionByName(several).unionByName(rows.filter("__set_high is null").select(*documents.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
