@@ -27,6 +27,10 @@ from foldwise.llm.common import WORD_PATTERN, mixed, stored
 
 #: Words of a block, slots of an output shard, documents of a source and shards in a bucket of the running totals.
 BLOCK, SLOTS, BUCKET = 64, 1024, 512
+#: Slots that one task lays out.
+TASK_SLOTS = 1 << 18
+#: A word with the white space after it, the first one also with that before it.
+SPACED = "(?:^[\\x20\\x09-\\x0D]+)?" + WORD_PATTERN + "[\\x20\\x09-\\x0D]*"
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2.0
 
 
@@ -46,14 +50,18 @@ def targets(sizes: list[int], weights: tuple[float, ...] = WEIGHTS, share: float
     return out
 
 
-def running_total(frame: DataFrame, group: str, bucket: str, order: list[str], value: str, name: str) -> DataFrame:
+def running_total(frame: DataFrame, group: str, bucket: str, order: list[str], value: str, name: str, levels: int = 2) -> DataFrame:
     """The sum of ``value`` over the rows before each row of its group, by bucket and then by order, as a column.
 
-    Rows are summed within their bucket and buckets within their group: no task holds more than a bucket's rows or a
-    group's buckets.
+    Rows are summed within their bucket, buckets within wider ones and so on: with two levels below it, the window over a
+    whole group has a row for so many of its rows as BUCKET to the power of three.
     """
     whole = frame.groupBy(group, bucket).agg(F.sum(value).alias("_total"))
-    before = whole.select(group, bucket, (F.sum("_total").over(W.partitionBy(group).orderBy(bucket).rowsBetween(W.unboundedPreceding, 0)) - F.col("_total")).alias("_before"))
+    if levels:
+        wide = whole.withColumn("_wide", F.floor(F.col(bucket) / BUCKET))
+        before = running_total(wide, group, "_wide", [bucket], "_total", "_earlier", levels - 1).select(group, bucket, F.col("_earlier").alias("_before"))
+    else:
+        before = whole.select(group, bucket, (F.sum("_total").over(W.partitionBy(group).orderBy(bucket).rowsBetween(W.unboundedPreceding, 0)) - F.col("_total")).alias("_before"))
     inner = F.sum(value).over(W.partitionBy(group, bucket).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)) - F.col(value)
     return frame.withColumn("_inner", inner).join(before, [group, bucket]).withColumn(name, F.col("_inner") + F.col("_before")).drop("_inner", "_before")
 
@@ -145,7 +153,9 @@ def drawn_slots(spark: SparkSession, plan: Plan, seed: int = 7, slots: int = SLO
                     [pa.array(np.repeat(batch.column("shard").to_numpy(), n)), pa.array(source.astype(np.int32)), pa.array(block), pa.array((k // size).astype(np.int32))],
                     ["shard", "source_no", "block", "turn"])
 
-    return first.select("shard", "source_no", "n", "first").mapInArrow(place, "shard long, source_no int, block long, turn int")
+    # by slots, as these rows are few and small: merged by their own size they would be one task's
+    tasks = max(spark.sparkContext.defaultParallelism, -(-total // TASK_SLOTS))
+    return first.select("shard", "source_no", "n", "first").repartition(tasks, "shard").mapInArrow(place, "shard long, source_no int, block long, turn int")
 
 
 def document_blocks(placed: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -168,9 +178,9 @@ def mix(documents: DataFrame, block: int = BLOCK, seed: int = 7) -> DataFrame:
 
 
 def mixed_documents(documents: DataFrame, block: int = BLOCK, seed: int = 7) -> DataFrame:
-    """The mix as documents: a row for each document and turn with the words taken of it in that turn, joined by spaces.
+    """The mix as documents: a row for each document and turn with the words taken of it in that turn.
 
-    The other columns are the document's; n_chars, where there is one, is that of the new text. Identical rows count once
+    White space stays as it is in the document: a word brings what follows it, and the first also what precedes it. The other columns are the document's; n_chars, where there is one, is that of the new text. Identical rows count once
     for each of their copies.
     """
     placed, plan, _ = laid_out(documents, block)
@@ -182,9 +192,9 @@ def mixed_documents(documents: DataFrame, block: int = BLOCK, seed: int = 7) ->
     if placed.groupBy("doc_id", "tie").count().filter("count > 1").limit(1).count():
         texts = texts.dropDuplicates(["doc_id", "_tie"])
     found = texts.join(takes.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_tie") == F.col("tie"))).drop("_id", "tie", "_tie")
-    words = F.regexp_extract_all("text", F.lit(WORD_PATTERN), F.lit(0))
+    words = F.regexp_extract_all("text", F.lit(SPACED), F.lit(0))
     found = found.withColumn("_words", words).withColumn("_take", F.explode("takes"))
-    text = F.array_join(F.flatten(F.transform("_take", lambda p: F.slice(F.col("_words"), (p["lo"] + 1).cast("int"), (p["hi"] - p["lo"]).cast("int")))), " ")
+    text = F.array_join(F.flatten(F.transform("_take", lambda p: F.slice(F.col("_words"), (p["lo"] + 1).cast("int"), (p["hi"] - p["lo"]).cast("int")))), "")
     out = found.withColumn("text", text)
     if "n_chars" in documents.columns:
         out = out.withColumn("n_chars", F.length("text").cast(dict(documents.dtypes)["n_chars"]))
