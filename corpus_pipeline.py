@@ -1,7 +1,13 @@
 """From raw documents to packed sequences: five stages, each over all that the one before kept.
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame; each result is written as Parquet and read again for the next
-stage. All stages but the last return the columns of documents.
+stage. All stages but the last return the columns of documents, whatever further ones there are.
+
+Null texts count as empty: they are never toxic, nobody's copies, hold no secrets, have no words to mix (so they end at
+mixing) and pack as none. Rows with null ids are rows like others, and learn and score like them but for labels, which need an
+id. Rows repeated under one id are scored and cleaned one by one; near-dedup keeps one of equal or near rows and all of
+rows without words; mixing and packing take what is left, each for itself. Ties go by the smaller id, then the other
+columns. Texts of any length are one row at a time. Empty tables give empty results, an empty table of labels none toxic.
 """
 
 from __future__ import annotations
@@ -19,8 +25,8 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, that with the smallest id; documents without words stay."""
-    return near_dedup.deduplicated(docs)
+    """One row of each group of near copies by shingles of four words, as op8: that with the smallest id, a null id only where no other is."""
+    return near_dedup.deduplicated(docs, words=4)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
