@@ -1,12 +1,14 @@
 """Embedding near-dedup by a forest of random-projection trees.
 
 Trees are fitted on a bounded sample: each node projects on a random direction and splits at the median, and vectors near
-the median go to both sides. Every vector is sent down every tree; in each leaf the vectors of one label are compared,
-after further random splits where they are many, unless they lie so close together that a split would part linked ones.
-Pairs found with the wanted cosine, computed in double precision, are united over the trees; components follow.
+the median go to both sides. Every vector is sent down every tree; in each leaf the vectors of one label are all compared,
+by their cosines in double precision. A vector carries the leaves that it reaches, so that a pair counts in the first leaf
+that both are in and nowhere else: a leaf gives each vector's number of links and the first vector that it reaches by
+them, not pairs, so that rows grow with the vectors. Sums over the leaves and components follow.
 
 No task holds more than two blocks of vectors of a leaf: leaves with more are split on by Spark, at quantiles of their own
-projections, and where their vectors lie close together every block meets every other one in a task of their own.
+projections, and where their vectors lie so close together that a split would part linked ones every block meets every
+other one in a task of their own.
 
 Equal vectors of one label are one node that counts its copies, so copies are never paired with each other. Vectors that
 are null, of length zero, or hold null or non-finite components, and vectors without label, are linked with nothing and
@@ -27,11 +29,13 @@ from foldwise.llm.common import connected_components, stored
 
 COSINE = 0.93
 #: Trees; the sample that they are fitted on; vectors of a leaf at which splitting ends; share of vectors that go to both sides.
-TREES, SAMPLE_ROWS, LEAF, SPILL = 6, 20_000, 512, 0.1
+TREES, SAMPLE_ROWS, LEAF, SPILL = 6, 20_000, 2048, 0.1
 #: Cosine with their mean from which vectors count as close together.
 CLOSE = 0.9
 #: Vectors of a leaf and label that one task compares; directions by which larger leaves are measured; rounds of their splits.
-GROUP, DIRECTIONS, ROUNDS = 16_384, 8, 40
+GROUP, DIRECTIONS, ROUNDS = 8192, 8, 40
+#: Vectors whose cosines are computed at once.
+BLOCK = 512
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -71,33 +75,51 @@ class Tree:
         return row, node
 
 
-def linked_pairs(keys: np.ndarray, x: np.ndarray, least: float, rng: np.random.Generator) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of one leaf and label with the wanted cosine, in blocks."""
-    if len(keys) > LEAF:
-        mean = x.mean(0)
-        close = np.quantile(x @ mean, 0.1) / max(1e-300, float(np.linalg.norm(mean))) >= CLOSE
-        if not close:
-            p, low, high = split(x, rng.normal(size=x.shape[1]))
-            for side in (p <= high, p >= low):
-                if side.all():
-                    break
-                yield from linked_pairs(keys[side], x[side], least, rng)
-            else:
-                return
-    for i in range(0, len(keys), LEAF):
-        for j in range(i, len(keys), LEAF):
-            a, b = np.nonzero(x[i: i + LEAF] @ x[j: j + LEAF].T >= least)
-            low, high = keys[i + a], keys[j + b]
-            some = low < high if i == j else low != high
-            yield np.minimum(low, high)[some], np.maximum(low, high)[some]
-
-
-def blocks_met(keys: np.ndarray, x: np.ndarray, others: np.ndarray, y: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs between two blocks of different vectors."""
-    for i in range(0, len(keys), LEAF):
-        for j in range(0, len(others), LEAF):
-            a, b = np.nonzero(x[i: i + LEAF] @ y[j: j + LEAF].T >= least)
-            yield np.minimum(keys[i + a], others[j + b]), np.maximum(keys[i + a], others[j + b])
+class Leaves:
+    """The leaves of a group's vectors that come before its own, as rows of numbers."""
+
+    def __init__(self, owner: np.ndarray, ids: np.ndarray, leaf: int):
+        before = np.flatnonzero(ids < leaf)
+        before = before[np.argsort(owner[before], kind="stable")]
+        self.owner, self.ids = owner[before], ids[before]
+
+    def shared(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Which vectors of two runs of rows have one of them in common."""
+        parts = [slice(*np.searchsorted(self.owner, [rows[0], rows[-1] + 1])) for rows in (a, b)]
+        both = np.intersect1d(*(self.ids[p] for p in parts))
+        marks = []
+        for rows, p in zip((a, b), parts, strict=True):
+            at, known = np.zeros((len(rows), len(both)), np.float32), np.isin(self.ids[p], both)
+            at[self.owner[p][known] - rows[0], np.searchsorted(both, self.ids[p][known])] = 1
+            marks.append(at)
+        return marks[0] @ marks[1].T > 0
+
+
+def met(x: np.ndarray, copies: np.ndarray, leaves: Leaves, first: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """For each vector of a group the copies linked to it of which no leaf before has the pair, and the first vector that
+    it reaches by the group's links. Vectors before number ``first`` meet those from there on; 0: all meet all."""
+    n = len(x)
+    links, root = np.zeros(n), np.arange(n)
+    blocks = [np.arange(i, min(i + BLOCK, stop)) for start, stop in ((0, first), (first, n)) for i in range(start, stop, BLOCK)]
+    for a in blocks:
+        for b in blocks:
+            if b[0] < a[0] or (first and not a[0] < first <= b[0]):
+                continue
+            near = x[a] @ x[b].T >= least
+            if a[0] == b[0]:
+                np.fill_diagonal(near, False)
+            some = np.flatnonzero(near.any(1))
+            if not len(some):
+                continue
+            fresh = near & ~leaves.shared(a, b)
+            links[a] += fresh @ copies[b]
+            if a[0] != b[0]:
+                links[b] += copies[a] @ fresh
+            for i in some:
+                ends = np.unique(np.append(root[b[near[i]]], root[a[i]]))
+                if len(ends) > 1:
+                    root[np.isin(root, ends[1:])] = ends[0]
+    return links, root
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -129,9 +151,9 @@ def placed_in(nodes: DataFrame, trees: list[Tree]) -> DataFrame:
                 order = np.argsort(row, kind="stable")
                 ends = np.searchsorted(row[order], np.arange(len(batch) + 1)).astype(np.int32)
                 leaves = pa.ListArray.from_arrays(pa.array(ends), pa.array(leaf[order]))
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("label", "key", "vector")), leaves], ["label", "key", "vector", "leaves"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("label", "key", "copies", "vector")), leaves], ["label", "key", "copies", "vector", "leaves"])
 
-    return nodes.select("label", "key", "vector").mapInArrow(route, f"label {kinds['label']}, key long, vector {kinds['vector']}, leaves array<long>")
+    return nodes.select("label", "key", "copies", "vector").mapInArrow(route, f"label {kinds['label']}, key long, copies long, vector {kinds['vector']}, leaves array<long>")
 
 
 def projected(rows: DataFrame) -> DataFrame:
@@ -181,15 +203,15 @@ def divided(rows: DataFrame, group: int) -> DataFrame:
         blocks = F.ceil(F.col("n") / (group // 2)).cast("int")
         block = F.pmod(F.xxhash64("key", F.lit(1)), blocks).cast("int")
         met = F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other")
-        out.append(shaped.filter("close").select("label", "leaf", "key", "vector", block.alias("block"), met).select(
+        out.append(shaped.filter("close").select("label", "leaf", "key", "copies", "vector", block.alias("block"), met).select(
             "label", "leaf", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"),
-            (F.col("block") > F.col("other")).cast("int").alias("side"), "key", "vector"))
+            (F.col("block") > F.col("other")).cast("int").alias("side"), "key", "copies", "vector"))
         p = F.get("p", F.lit(0))
         sides = F.array_compact(F.array(*[F.when(there, F.xxhash64("leaf", F.lit(i))) for i, there in enumerate((
             p <= F.get("cuts", F.lit(1)), p >= F.get("cuts", F.lit(0))))]))
-        rows = stored(shaped.filter(~F.col("close")).select("label", F.explode(sides).alias("leaf"), "key", "vector"), "split-leaves")
+        rows = stored(shaped.filter(~F.col("close")).select("label", F.explode(sides).alias("leaf"), "key", "copies", "vector"), "split-leaves")
         large = stored(large_leaves(rows, group), "large")
-        out.append(rows.join(large, ["label", "leaf"], "left_anti").select("label", "leaf", *whole_leaf(), "key", "vector"))
+        out.append(rows.join(large, ["label", "leaf"], "left_anti").select("label", "leaf", *whole_leaf(), "key", "copies", "vector"))
         rows = rows.join(large.drop("n"), ["label", "leaf"], "left_semi")
         if large.isEmpty():
             break
@@ -200,52 +222,60 @@ def divided(rows: DataFrame, group: int) -> DataFrame:
 
 
 def links(nodes: DataFrame, least: float = COSINE, trees: int = TREES, group: int = GROUP) -> DataFrame:
-    """Pairs (a, b) of nodes with the wanted cosine; nodes: key, label, vector of one dimension."""
+    """key, n_links and root, a row for each node and leaf with links; nodes: key, label, vector of one dimension, copies.
+
+    n_links sums to the copies of other nodes that are linked; key and root are linked, and all links follow from those.
+    """
     dimension = nodes.select(F.size("vector").alias("n")).first()
     if dimension is None:
-        return nodes.sparkSession.createDataFrame([], "a long, b long")
+        return nodes.sparkSession.createDataFrame([], "key long, n_links long, root long")
     placed = stored(placed_in(nodes, forest(nodes, dimension["n"], trees)), "placed")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [(b.column("key").to_numpy(), matrix(b.column("vector")), b.column("side").to_numpy(), b.column("one")[0] != b.column("two")[0]) for b in batches if len(b)]
-        keys, x, side = (np.concatenate([p[i] for p in parts]) for i in range(3))
-        order = np.argsort(keys)
-        keys, x, side = keys[order], unit(x[order]), side[order]
-        if parts[0][3]:
-            found = blocks_met(keys[side == 0], x[side == 0], keys[side == 1], x[side == 1], least)
-        else:
-            found = linked_pairs(keys, x, least, np.random.default_rng(len(keys)))
-        for a, b in found:
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-
-    large = stored(large_leaves(placed.select("label", F.explode("leaves").alias("leaf")), group), "large")
-    routed = placed.select("label", F.explode("leaves").alias("leaf"), "key", "vector")
+        parts = [b for b in batches if len(b)]
+        keys, side, copies = (np.concatenate([b.column(c).to_numpy() for b in parts]) for c in ("key", "side", "copies"))
+        ids, counts = (np.concatenate([f(b.column("leaves")).to_numpy() for b in parts]) for f in (pa.ListArray.flatten, pa.ListArray.value_lengths))
+        order = np.lexsort([keys, side])
+        owner = np.repeat(np.argsort(order), counts)
+        x = unit(np.concatenate([matrix(b.column("vector")) for b in parts])[order])
+        keys, leaf = keys[order], parts[0].column("leaf")[0].as_py()
+        apart = parts[0].column("one")[0] != parts[0].column("two")[0]
+        found, root = met(x, copies[order].astype(float), Leaves(owner, ids, leaf), int((side == 0).sum()) if apart else 0, least)
+        some = (found > 0) | (root != np.arange(len(x)))
+        yield pa.RecordBatch.from_arrays([pa.array(keys[some]), pa.array(found[some].astype(np.int64)), pa.array(keys[root[some]])], ["key", "n_links", "root"])
+
+    routed = placed.select("label", F.explode("leaves").alias("leaf"), "key", "copies", "vector", "leaves")
+    large = stored(large_leaves(routed.select("label", "leaf"), group), "large")
     if large.isEmpty():
-        groups = routed.select("label", "leaf", *whole_leaf(), "key", "vector")
+        groups = routed.select("label", "leaf", *whole_leaf(), "key", "copies", "vector", "leaves")
     else:
-        groups = routed.join(large, ["label", "leaf"], "left_anti").select("label", "leaf", *whole_leaf(), "key", "vector").unionByName(
-            divided(routed.join(large.drop("n"), ["label", "leaf"], "left_semi"), group))
-    return groups.groupBy("label", "leaf", "one", "two").applyInArrow(compare, "a long, b long").distinct()
+        plain = routed.drop("leaves")
+        groups = stored(plain.join(large, ["label", "leaf"], "left_anti").select("label", "leaf", *whole_leaf(), "key", "copies", "vector").unionByName(
+            divided(plain.join(large.drop("n"), ["label", "leaf"], "left_semi"), group)), "groups")
+        # the leaves in which a node is compared in the end
+        groups = groups.join(groups.groupBy("key").agg(F.collect_set("leaf").alias("leaves")), "key")
+    return groups.groupBy("label", "leaf", "one", "two").applyInArrow(compare, "key long, n_links long, root long")
 
 
 def near_vectors(embeddings: DataFrame, least: float = COSINE, trees: int = TREES, group: int = GROUP) -> DataFrame:
     """vec_id, n_links, component_id and kept of each row."""
     v = F.col("embedding")
     fine = F.col("label").isNotNull() & v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    rows = stored(embeddings.select("vec_id", "label", v.alias("vector"), F.when(fine, F.xxhash64("label", v)).alias("key")), "vectors")
-    nodes = stored(rows.filter("key is not null").groupBy("key").agg(F.any_value("label").alias("label"), F.any_value("vector").alias("vector"), F.count("*").alias("copies")), "nodes")
-    sizes = [r["n"] for r in nodes.select(F.size("vector").alias("n")).distinct().collect()]
-    found = nodes.sparkSession.createDataFrame([], "a long, b long")
-    for n in sizes:
-        found = found.union(links(nodes.filter(F.size("vector") == n), least, trees, group))
+    # equal vectors are told by 128 bits
+    rows = stored(embeddings.select(
+        "vec_id", "label", v.alias("vector"), F.when(fine, F.xxhash64("label", v)).alias("high"), F.when(fine, F.xxhash64(F.lit(1), v, "label")).alias("low"),
+        F.monotonically_increasing_id().alias("row")), "vectors")
+    keys = stored(rows.filter("high is not null").groupBy("high", "low").agg(F.min("row").alias("key"), F.count("*").alias("copies")), "keys")
+    nodes = stored(rows.join(keys.select("key", "copies"), F.col("row") == F.col("key")).select("key", "label", "vector", "copies"), "nodes")
+    found = nodes.sparkSession.createDataFrame([], "key long, n_links long, root long")
+    for r in nodes.select(F.size("vector").alias("n")).distinct().collect():
+        found = found.union(links(nodes.filter(F.size("vector") == r["n"]), least, trees, group))
     found = stored(found, "vector-links")
-    component = connected_components(found)
-    copies = nodes.select("key", "copies")
-    both = found.union(found.select("b", "a")).toDF("key", "other")
-    near = both.join(copies.withColumnRenamed("key", "other"), "other").groupBy("key").agg(F.sum("copies").alias("near"))
-    known = copies.join(near, "key", "left").join(component.withColumnRenamed("node", "key"), "key", "left").select(
-        "key", (F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias("n_links"), F.coalesce("component", "key").alias("class"))
-    named = rows.select("vec_id", "key").join(known, "key", "left")
+    component = connected_components(found.select(F.col("key").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "key")
+    near = found.groupBy("key").agg(F.sum("n_links").alias("near"))
+    known = keys.join(near, "key", "left").join(component, "key", "left").select(
+        "high", "low", (F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias("n_links"), F.coalesce("component", "key").alias("class"))
+    named = stored(rows.select("vec_id", "high", "low").join(known, ["high", "low"], "left"), "named")
     least_id = named.filter("class is not null").groupBy("class").agg(F.min("vec_id").alias("component_id"))
     return named.join(least_id, "class", "left").select(
         "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")
