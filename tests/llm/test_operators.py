@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -110,6 +111,58 @@ def test_secrets_inside_literals(text, found):
     assert found in [text[a:b] for a, k, b in secrets.spans_of(text) if k == 3]
 
 
+@pytest.mark.parametrize("text,found", [
+    ("db_passphrase" + " " * 5000 + '= "Zk3l9Qm2v7pp"', "Zk3l9Qm2v7pp"),
+    ("db_passphrase:\n    Zk3l9Qm2v7pp\nport: 80", "Zk3l9Qm2v7pp"),
+    ("db_passphrase: |\n  Zk3l9Qm2v7pp\n", "Zk3l9Qm2v7pp"),
+    ('PWD = """Zk3l9Qm2v7pp"""', "Zk3l9Qm2v7pp"),
+    ('<add key="db_passphrase" value="Zk3l9Qm2v7pp"/>', "Zk3l9Qm2v7pp"),
+    ("<credential>Zk3l9Qm2v7pp</credential>", "Zk3l9Qm2v7pp"),
+    ("settings['db_passphrase'] = 'Zk3l9Qm2v7pp'", "Zk3l9Qm2v7pp"),
+    ('"wifi passphrase": "correct horse battery staple"', "correct horse battery staple"),
+    ("Authorization: Bearer Zk3l9Qm2v7pp", "Zk3l9Qm2v7pp"),
+    ("dsn = 'postgres://app:Zk3l9Qm2v7pp@db/x'", "Zk3l9Qm2v7pp"),
+    ("x" * 300 + '_pwd = "Zk3l9Qm2v7pp"', "Zk3l9Qm2v7pp")])
+def test_secrets_in_many_syntaxes(text, found):
+    assert [text[a:b] for a, k, b in secrets.spans_of(text) if k == 3] == [found]
+
+
+@pytest.mark.parametrize("text", [
+    'passphrase = "aaaaaa"', "pwd: string", "passphrase: required", 'title = "Reset of passwords"', "credential:\n  kind: basic", "pwd_length = 123456789",
+    "The passphrase: please choose one.", 'pwd = "changeme"', 'color = "Zk3l9Qm2v7pp"', "pass: ${FROM_ENV}"])
+def test_no_secrets(text):
+    assert not [text[a:b] for a, k, b in secrets.spans_of(text) if k == 3]
+
+
+def test_secrets_among_settings():
+    """Precision and recall over settings in many forms, each with a name that is sensitive or not and a value that is secret or not."""
+    rng = random.Random(3)
+    forms = ["{n} = \"{v}\"", "{n}: {v}", "{n}={v}", "export {n}='{v}'", "'{n}': '{v}',", "  \"{n}\"   :   \"{v}\",", "{n} := `{v}`", "<{n}>{v}</{n}>",
+             "<add name='{n}' value='{v}'/>", "o.{n} = '{v}';", "let {n} = x || '{v}'; const y = 1", "{n} =>\n    '{v}'", "-D{n}={v}", "{n}:\n  {v}"]
+    sensitive = ["db_passphrase", "PWD", "adminPwd", "CREDENTIALS", "auth_pass", "signingSecretValue", "PRIVATE_KEY"]
+    plain = ["color", "host_name", "region", "maxItems", "pass_length", "key_file", "title"]
+    lines, want, at = [], set(), 0
+    for _ in range(3000):
+        form, hot, fine = rng.choice(forms), rng.random() < 0.5, rng.random() < 0.7
+        value = "".join(rng.choice("abcdefghkmnpqrstuvwxyzABCDEFGHKLMNPQRST23456789_") for _ in range(rng.randint(10, 30))) if fine else rng.choice(["none", "aaaaaaa", "required", "xxxxxxxx", "${FROM_ENV}"])
+        line = form.format(n=rng.choice(sensitive if hot else plain), v=value) + "\n"
+        if hot and fine:
+            start = at + line.rindex(value, 0, line.rindex("</") if "</" in line else None)
+            want.add((start, start + len(value)))
+        lines.append(line)
+        at += len(line)
+    got = {(a, b) for a, b in ((a, b) for a, k, b in secrets.spans_of("".join(lines)) if k == 3)}
+    assert len(want & got) >= 0.9 * len(want) and len(want & got) >= 0.97 * len(got), (len(want), len(got), len(want & got))
+
+
+def test_secrets_in_long_texts():
+    """Time grows with the text: blanks, operators, open quotes and tags, and one long word, of a million characters and more."""
+    began = time.time()
+    for unit in (" ", "=", "a=", "a='", "<a ", '\"', "a:\n ", "[a", "pwd=b ", "x", "://a:", 'a="""', "'a' 'b': "):
+        secrets.spans_of(unit * (1_000_000 // len(unit)) + ' pwd = "Zk3l9Qm2v7pp"')
+    assert time.time() - began < 60
+
+
 def test_secrets_go(spark, documents):
     clean = secrets.without_secrets(documents)
     assert clean.columns == documents.columns and clean.count() == documents.count()
