@@ -45,7 +45,7 @@ def labelled_sample(labels: DataFrame, documents: DataFrame, target: str, rows:
     """Texts and labels of at most ``rows`` labelled documents outside the held-out fifth, chosen by a hash of doc_id.
 
     Repeated labels of one document count as their maximum; null labels and ids are left out. The chosen ids are
-    broadcast: ``rows`` bounds their size. Documents repeated under one id all enter.
+    broadcast: ``rows`` bounds their size. Where ids repeat there are more rows, of which the classifiers take one for each id.
     """
     chosen = (
         labels.select("doc_id", F.col(target).cast("int").alias("label"))

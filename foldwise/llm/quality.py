@@ -6,7 +6,8 @@ complete binary trees, and whole batches of rows go down all trees at once in nu
 
 Null texts count as empty; empty texts have the statistics 0 and are scored like others. Every row is scored by itself, so
 repeated rows and ids repeat their result; other columns than doc_id and text are not read. Without labelled rows every
-score is 0.5. An empty table gives an empty result.
+score is 0.5. An empty table gives an empty result. Of several rows under one labelled id one is learned from, that with the
+least statistics. A text of any length is one row of one task at a time. Of splits of equal gain the first feature and bin count.
 """
 
 from __future__ import annotations
@@ -111,7 +112,8 @@ class Forest:
 
 
 def fitted(labels: DataFrame, documents: DataFrame, target: str = "quality", rows: int = SAMPLE_ROWS) -> Forest:
-    sample = with_statistics(labelled_sample(labels, documents, target, rows), ["doc_id", "label"]).toArrow().sort_by([("doc_id", "ascending")])
+    sample = with_statistics(labelled_sample(labels, documents, target, rows), ["doc_id", "label"]).groupBy("doc_id", "label").agg(
+        F.min("statistics").alias("statistics")).toArrow().sort_by([("doc_id", "ascending")])
     x = np.array(sample.column("statistics").to_pylist(), np.float32).reshape(-1, len(STATISTICS))
     return Forest(x, np.array(sample.column("label").to_pylist(), float))
 

@@ -1,13 +1,14 @@
 """Toxicity: FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
 A text's features are its words, pairs of neighbours and pairs with one word between, hashed; each counts once. Spark
-hashes the labelled texts in parallel; one task takes passes of FTRL-proximal over the bounded sample of their features,
-in an order by hash, with a rate for each coordinate and L1 sparsity. The few weights that aren't zero are what is sent
+hashes the labelled texts in parallel; one task takes passes of FTRL-proximal over a sample of them that is bounded in rows
+and in features, in an order by hash, with a rate for each coordinate and L1 sparsity. The few weights that aren't zero are what is sent
 to executors: at most 2^bits of them, whatever the size of the corpus.
 
 Null and empty texts have no features and score by the bias alone. Every row is scored by itself, so repeated rows and
 ids repeat their result; other columns than doc_id and text are not read. Without labelled rows every score is 0. An
-empty table gives an empty result.
+empty table gives an empty result. Of several rows under one labelled id one is learned from, that with the least features.
+A text of any length is one row of one task at a time. Ties in the order by hash go by the smaller id.
 """
 
 from __future__ import annotations
@@ -17,14 +18,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from foldwise.llm.common import byte_classes, hashed_words, held_out, labelled_sample, mixed, text_batches
 
 #: The most labelled documents that are learned from, in one task.
 SAMPLE_ROWS = 16_000
-BITS, PASSES = 20, 5
-ALPHA, BETA, L1, L2 = 2.0, 1.0, 4.0, 0.1
+#: The most features that these have together; the sample ends before, in the order of its hash.
+SAMPLE_FEATURES = 1 << 25
+BITS, PASSES = 20, 8
+ALPHA, BETA, L1, L2 = 1.0, 1.0, 16.0, 0.1
 LIMIT = 0.5
 CLASSES = byte_classes(lower=True, letters=True)
 
@@ -90,7 +94,9 @@ def fitted(labels: DataFrame, documents: DataFrame, target: str = "toxic", rows:
             yield pa.RecordBatch.from_arrays([pa.array(np.append(-1, at)), pa.array(np.append(bias, w))], ["at", "weight"])
 
     sample = labelled_sample(labels, documents, target, rows).mapInArrow(hashed, "doc_id long, label int, features array<int>")
-    found = sample.repartition(1).mapInArrow(learn, "at long, weight double").toArrow()
+    one = sample.groupBy("doc_id", "label").agg(F.min("features").alias("features"))
+    upto = F.sum(F.size("features")).over(W.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(W.unboundedPreceding, 0))
+    found = one.withColumn("upto", upto).filter(F.col("upto") <= SAMPLE_FEATURES).drop("upto").mapInArrow(learn, "at long, weight double").toArrow()
     at, w = found.column("at").to_numpy(), found.column("weight").to_numpy()
     return (at[1:], w[1:], float(w[0])) if len(at) else (np.zeros(0, np.int64), np.zeros(0), -40.0)
 

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 import time
@@ -70,6 +71,58 @@ def test_labels_of_held_out_rows_change_nothing(spark):
     assert by_row(quality.quality(docs, labels), "doc_id", "score") == by_row(quality.quality(docs, other), "doc_id", "score")
 
 
+def test_trees_row_by_row():
+    """The flattened trees against a walk of each row down each tree, and against labels that two statistics decide."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(1500, len(quality.STATISTICS))).astype(np.float32)
+    y = ((x[:, 3] > 0.2) ^ (x[:, 7] > 0)).astype(float)
+    forest = quality.Forest(x[:1000], y[:1000])
+    got = forest.score(x)
+    for row, score in zip(x[::50], got[::50], strict=True):
+        total = forest.base
+        for t in range(quality.TREES):
+            node = 0
+            for _ in range(quality.DEPTH):
+                node = 2 * node + 1 + bool(row[forest.feature[t, node]] > forest.threshold[t, node])
+            total += forest.leaf[t, node - ((1 << quality.DEPTH) - 1)]
+        assert score == pytest.approx(1 / (1 + np.exp(-total)))
+    assert ((got[1000:] >= 0.5) == y[1000:]).mean() > 0.95
+
+
+def test_ftrl_coordinate_by_coordinate():
+    """Against the update written out for each coordinate."""
+    rng = random.Random(4)
+    rows = [sorted(rng.sample(range(64), rng.randint(1, 12))) for _ in range(300)]
+    labels = [float(3 in r or 9 in r) for r in rows]
+    z, n, bias = [0.0] * 65, [0.0] * 65, 64
+
+    def weight(i):
+        bound = 0.0 if i == bias else toxicity.L1
+        if abs(z[i]) <= bound:
+            return 0.0
+        return -(z[i] - (bound if z[i] > 0 else -bound)) / ((toxicity.BETA + n[i] ** 0.5) / toxicity.ALPHA + toxicity.L2)
+
+    for _ in range(3):
+        for r, y in zip(rows, labels, strict=True):
+            used = [*r, bias]
+            w = {i: weight(i) for i in used}
+            g = 1 / (1 + math.exp(-sum(w.values()))) - y
+            for i in used:
+                z[i] += g - ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / toxicity.ALPHA * w[i]
+                n[i] += g * g
+    at, w, b = toxicity.ftrl([np.array(r) for r in rows], np.array(labels), bits=6, passes=3)
+    assert {int(i): pytest.approx(v) for i, v in zip(at, w, strict=True)} == {i: weight(i) for i in range(64) if weight(i)} and b == pytest.approx(weight(bias))
+
+
+def test_learning_is_bounded_where_ids_repeat(spark):
+    from tests.llm.conftest import prose
+
+    rng = random.Random(11)
+    docs = spark.createDataFrame([(i % 40, prose(rng, 20)) for i in range(4000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(40)], "doc_id long, quality int, toxic int")
+    assert quality.quality(docs, labels).count() == toxicity.toxicity(docs, labels).count() == 4000
+
+
 # secrets
 
 def brute_base(text):
