@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -76,19 +77,22 @@ def witnesses(instances: DataFrame, bag: str, score: str, key: str) -> DataFrame
 
 
 def total_correlation(instances: DataFrame, bag: str, columns: Sequence[str]) -> DataFrame:
-    """Total correlation of two or three columns of each bag, taken as jointly normal: half of (sum of log variances - log determinant)."""
-    if len(columns) not in (2, 3):
-        raise ValueError("two or three columns")
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1:]]
-    found = instances.groupBy(bag).agg(*[F.var_pop(c).alias(f"v_{c}") for c in columns], *[F.covar_pop(a, b).alias(f"c_{a}_{b}") for a, b in pairs])
-    v = [F.col(f"v_{c}") for c in columns]
-    c = [F.col(f"c_{a}_{b}") for a, b in pairs]
-    if len(columns) == 2:
-        determinant = v[0] * v[1] - c[0] * c[0]
-    else:
-        determinant = v[0] * v[1] * v[2] + 2 * c[0] * c[1] * c[2] - v[0] * c[2] * c[2] - v[1] * c[1] * c[1] - v[2] * c[0] * c[0]
-    logs = sum((F.log(x) for x in v), F.lit(0.0))
-    return found.select(bag, F.when(determinant > 0, 0.5 * (logs - F.log(determinant))).alias("total_correlation"))
+    """Total correlation of each bag's columns, taken as jointly normal: half of (sum of log variances - log determinant).
+
+    The determinant is the product of the pivots of the covariances, taken column by column; null where one isn't positive.
+    """
+    columns, k = list(columns), len(columns)
+    if k < 2:
+        raise ValueError("two columns or more")
+    found = instances.groupBy(bag).agg(*[F.covar_pop(columns[i], columns[j]).alias(f"_c_{i}_{j}") for i in range(k) for j in range(i + 1)])
+    variances = sum((F.log(f"_c_{i}_{i}") for i in range(k)), F.lit(0.0))
+    for j in range(k):
+        below = [F.col(f"_l_{j}_{m}") * F.col(f"_l_{j}_{m}") * F.col(f"_d_{m}") for m in range(j)]
+        found = found.withColumn(f"_d_{j}", F.col(f"_c_{j}_{j}") - sum(below, F.lit(0.0)))
+        found = found.withColumns({f"_l_{i}_{j}": (F.col(f"_c_{i}_{j}") - sum((F.col(f"_l_{i}_{m}") * F.col(f"_l_{j}_{m}") * F.col(f"_d_{m}") for m in range(j)), F.lit(0.0)))
+                                   / F.nullif(f"_d_{j}", F.lit(0.0)) for i in range(j + 1, k)})
+    fine = reduce(lambda a, b: a & b, [F.col(f"_d_{j}") > 0 for j in range(k)])
+    return found.select(bag, F.when(fine, 0.5 * (variances - sum((F.log(f"_d_{j}") for j in range(k)), F.lit(0.0)))).alias("total_correlation"))
 
 
 def offsets(sizes: DataFrame, bag: str, size: str) -> DataFrame:

@@ -79,6 +79,8 @@ def gradient_boosting(train: DataFrame, task: Task, params: Mapping) -> Estimato
         return GBTRegressor(**_common(task), **options)
     if task.task_type == "binary":
         return GBTClassifier(**_common(task), **options)
+    if task.weight:
+        raise ValueError("boosting of several classes takes no weights")
     plain = {k: v for k, v in _common(task).items() if k != "weightCol"}
     return OneVsRest(classifier=GBTClassifier(**options), **plain)
 
@@ -91,6 +93,8 @@ def mlp_classifier(train: DataFrame, task: Task, params: Mapping) -> Estimator:
     """A dense network with sigmoid layers; it has no regression form."""
     if task.task_type == "regression":
         raise ValueError("simple_mlp needs classes")
+    if task.weight:
+        raise ValueError("simple_mlp takes no weights")
     k = train.select(task.target).distinct().count()
     width = len(train.select("features").first()[0])
     return MultilayerPerceptronClassifier(featuresCol="features", labelCol=task.target, layers=[width, *params.get("hidden", [8]), max(2, k)], maxIter=params.get("max_iter", 60), seed=params.get("seed", 0))
@@ -155,17 +159,21 @@ def mi_svm(train: DataFrame, bag: str, key: str, features: Sequence[str], target
     positive = train.filter(F.col(target) == 1)
     chosen = positive.groupBy(bag).agg(*[F.avg(c).alias(c) for c in features]).select(*features, F.lit(1).alias(target))
     seen: set = set()
-    model, rounds = None, 0
+    model, rounds, last, best = None, 0, None, None
     for rounds in range(1, max_iterations + 1):
         model = svm.fit(assembler.transform(negative.unionByName(chosen)))
         scored = model.transform(assembler.transform(positive)).select(bag, key, *features, vector_to_array("rawPrediction")[1].alias("_score"))
-        best = bg.witnesses(scored, bag, "_score", key).persist()
+        last, best = best, bg.witnesses(scored, bag, "_score", key).persist()
         mark = best.agg(F.count("*"), F.sum(F.xxhash64(bag, key).cast("decimal(38,0)"))).first()
         if tuple(mark) in seen:
             break
         seen.add(tuple(mark))
         chosen = best.select(*features, F.lit(1).alias(target))
-    train.unpersist()
+        if last is not None:
+            last.unpersist()
+    for frame in (train, last, best):
+        if frame is not None:
+            frame.unpersist()
     return model, rounds
 
 

@@ -6,7 +6,7 @@ All metrics but roc_auc are aggregates of one groupBy over all runs.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -80,8 +80,8 @@ def roc_auc_ovr(predictions: DataFrame, by: Sequence[str], name: str = "roc_auc"
     return areas.groupBy(*by).agg(F.avg("_auc").alias(name))
 
 
-def metrics_of(predictions: DataFrame, by: Sequence[str], names: Sequence[str], weight: str | None = None) -> DataFrame:
-    """The requested metrics of every group, as columns; a metric without its field is an error."""
+def metrics_of(predictions: DataFrame, by: Sequence[str], names: Sequence[str], weight: str | None = None, options: Mapping[str, Mapping[str, object]] | None = None) -> DataFrame:
+    """The requested metrics of every group, as columns; a metric without its field is an error. ``options``: further arguments by metric."""
     by = list(by)
     for name in names:
         if name not in METRICS and name != "roc_auc":
@@ -92,7 +92,7 @@ def metrics_of(predictions: DataFrame, by: Sequence[str], names: Sequence[str],
     parts = []
     if plain:
         w = None if weight is None else F.col(weight)
-        parts.append(predictions.groupBy(*by).agg(*[METRICS[n](w).alias(n) for n in plain]))
+        parts.append(predictions.groupBy(*by).agg(*[METRICS[n](w, **(options or {}).get(n, {})).alias(n) for n in plain]))
     if "roc_auc" in names:
         scored = predictions if "score" in predictions.columns else predictions.withColumn("score", F.col("probabilities")[1])
         parts.append(roc_auc(scored, by))

@@ -180,6 +180,40 @@ def _policy(train: DataFrame, features: Sequence[Feature], options: Mapping[str,
     return transform
 
 
+def resample_policy(rows: DataFrame, features: Sequence[Feature], options: Mapping[str, object] | None = None, by: Sequence[str] = ("resample_id",)) -> DataFrame:
+    """All rows of all resamples (role: train, valid, test) with their numeric columns as the linear policy makes them.
+
+    Each resample's statistics come from its train and valid rows: one aggregation gives the medians of all columns and
+    resamples, one their means, deviations and largest sizes; skewed columns have one of their own. Nothing is collected
+    but whether columns without the tag missing_values hold nulls.
+    """
+    known = {"numeric_impute": "median", "skewed_numeric_transform": "yeo-johnson", **(options or {})}
+    by, train = list(by), F.col("role").isin("train", "valid")
+    if any(f.kind not in NUMERIC for f in features):
+        raise ValueError("categories differ by resample and so would columns: numeric columns only")
+    missing = untagged_missing(rows.filter(train), features)
+    if missing:
+        raise ValueError(f"columns with missing values that aren't tagged: {missing}")
+    fills = {f.name: imputed(f.name, str(known["numeric_impute"])).alias(f"{f.name}__fill") for f in features if "missing_values" in f.tags}
+    if fills:
+        rows = rows.join(rows.filter(train).groupBy(*by).agg(*fills.values()), by)
+    rows = rows.withColumns({f.name: F.coalesce(number(f.name), f"{f.name}__fill") if f.name in fills else number(f.name) for f in features})
+    skewed = [f.name for f in features if "skewed" in f.tags]
+    zeros = [f.name for f in features if "zero_inflated" in f.tags and f.name not in skewed]
+    plain = [f.name for f in features if f.name not in skewed and f.name not in zeros]
+    wanted = [x for c in plain for x in (F.avg(c).alias(f"{c}__mean"), F.stddev_pop(c).alias(f"{c}__std"))] + [F.max(F.abs(c)).alias(f"{c}__max") for c in zeros]
+    fitted = rows.filter(train)
+    out = rows.join(fitted.groupBy(*by).agg(*wanted), by) if wanted else rows
+    method = str(known["skewed_numeric_transform"])
+    for c in skewed:
+        out = out.join(fitted_powers(fitted, c, method, by), by)
+    turn = {"yeo-johnson": yeo_johnson, "box-cox": box_cox}[method]
+    made = {c: standardized(F.col(c), F.col(f"{c}__mean"), F.col(f"{c}__std")) for c in plain}
+    made |= {c: F.col(c) / F.when(F.col(f"{c}__max") == 0, 1.0).otherwise(F.col(f"{c}__max")) for c in zeros}
+    made |= {c: standardized(turn(F.col(c), F.col(f"{c}__power")), F.col(f"{c}__mean"), F.col(f"{c}__std")) for c in skewed}
+    return out.withColumns(made).drop(*[f"{f.name}__{s}" for f in features for s in ("fill", "mean", "std", "max", "power")])
+
+
 #: Name -> policy; register further ones with register_policy.
 POLICIES: dict[str, Callable[..., Callable[[DataFrame], DataFrame]]] = {"linear_default": linear_policy, "neural_default": linear_policy, "tree_default": tree_policy}
 

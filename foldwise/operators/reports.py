@@ -114,7 +114,13 @@ def complete() -> Column:
 
 
 def with_ranks(report: DataFrame, rank_by: Sequence[str] = RANK_BY, overall_by: Sequence[str] = OVERALL_BY, method: str = "method") -> DataFrame:
-    """Rank in each comparison, and each method's mean rank, coverage and overall rank; null keys are keys."""
+    """Rank in each comparison, and each method's mean rank, coverage and overall rank; null keys are keys.
+
+    A report without a primary metric stays as it is; key columns that it lacks are added as empty text.
+    """
+    if not {"primary_metric_mean", "primary_metric_count", "primary_metric_greater_is_better"} <= set(report.columns):
+        return report
+    report = report.withColumns({c: F.lit("") for c in (*overall_by, *rank_by, method) if c not in report.columns})
     up = true_false(F.col("primary_metric_greater_is_better"))
     score = F.when(up, -F.col("primary_metric_mean")).otherwise(F.col("primary_metric_mean"))
     cell = W.partitionBy(*[named(c) for c in rank_by], up, complete()).orderBy(score)

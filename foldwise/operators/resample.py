@@ -7,6 +7,7 @@ placed by ranges between quantiles.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -17,13 +18,15 @@ from foldwise.functions.columns import shuffle_key
 
 #: Ranges that an unshuffled order is cut into.
 RANGES = 64
+#: Hexadecimal digits that make a range of a shuffled order: 4,096 ranges.
+DIGITS = 3
 
 
 def ranked(frame: DataFrame, key: str, seed: str | int | None = None, within: Sequence[str] = ()) -> DataFrame:
     """The frame with ``position`` (from 0) and ``n_rows`` in the order of the split, within each group of ``within``."""
     within = list(within)
     if seed is not None:
-        ordered = frame.withColumn("_order", shuffle_key(F.col(key), seed)).withColumn("_range", F.substring("_order", 1, 2))
+        ordered = frame.withColumn("_order", shuffle_key(F.col(key), seed)).withColumn("_range", F.substring("_order", 1, DIGITS))
     else:
         cuts = [c for c in frame.approxQuantile(key, [i / RANGES for i in range(1, RANGES)], 0.01)]
         above = F.lit(0)
@@ -58,16 +61,16 @@ def holdout(frame: DataFrame, key: str, test_size: float, seed: int | None = Non
     return rows.select(F.lit(f"repeat_{repeat:02d}").alias("resample_id"), key, F.when(F.col("position") >= F.col("n_rows") - tests, "test").otherwise("train").alias("role"))
 
 
-def class_quotas(frame: DataFrame, label: str, size: float) -> DataFrame:
-    """How many rows of each class make ceil(size * n) rows, by largest remainders; ties go to the smaller class."""
-    counts = frame.groupBy(label).agg(F.count("*").alias("n_class"))
-    total = W.partitionBy(F.lit(0))
+def class_quotas(frame: DataFrame, label: str, size: float, by: Sequence[str] = ()) -> DataFrame:
+    """In each group of ``by``, how many rows of each class make ceil(size * n) rows, by largest remainders; ties go to the smaller class."""
+    counts = frame.groupBy(*by, label).agg(F.count("*").alias("n_class"))
+    total = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
     exact = counts.withColumn("_n", F.sum("n_class").over(total)).withColumn("_want", F.ceil(F.lit(size) * F.col("_n"))).withColumn(
         "_exact", F.col("n_class") * F.col("_want") / F.col("_n"))
     floors = exact.withColumn("_floor", F.floor("_exact"))
     rank = F.row_number().over(total.orderBy((F.col("_floor") - F.col("_exact")), label))
     return floors.withColumn("_left", F.col("_want") - F.sum("_floor").over(total)).withColumn("_rank", rank).select(
-        F.col(label).alias("_label"), (F.col("_floor") + (F.col("_rank") <= F.col("_left")).cast("long")).alias("quota"))
+        *by, F.col(label).alias("_label"), (F.col("_floor") + (F.col("_rank") <= F.col("_left")).cast("long")).alias("quota"))
 
 
 def stratified_holdout(frame: DataFrame, key: str, label: str, test_size: float, seed: int, repeat: int = 0) -> DataFrame:
@@ -134,12 +137,31 @@ def group_kfold(frame: DataFrame, key: str, groups: Sequence[str], k: int) -> Da
     return named.join(placed, F.col("_group") == F.col("_g")).select(key, "fold")
 
 
+def _redrawn(n: int, start: str) -> str:
+    """What a sample of few rows hashes with its places, so that a row is left out."""
+    if n == 1:
+        raise ValueError("a bootstrap of one row leaves none out")
+    turn, text = 0, start
+    while n and len({int(hashlib.md5(f"{text}:{i}".encode()).hexdigest()[:15], 16) % n for i in range(n)}) == n:
+        turn += 1
+        text = f"{start}:again-{turn}"
+    return text
+
+
 def bootstrap(frame: DataFrame, key: str, samples: int, seed: int) -> DataFrame:
-    """n draws with replacement for each sample (train, with multiplicity); rows never drawn are the test rows."""
+    """n draws with replacement for each sample (train, with multiplicity); rows never drawn are the test rows.
+
+    A sample that leaves no row out is drawn again. Of over 32 rows that never comes up (32! / 32^32 is 2e-13).
+    """
     placed = ranked(frame, key).select(key, "position", "n_rows")
+    start = F.concat_ws(":", F.lit(str(seed)), F.col("sample"))
+    n = frame.limit(33).count()
+    for s in range(samples if n <= 32 else 0):
+        again = _redrawn(n, f"{seed}:{s}")
+        start = F.when(F.col("sample") == s, again).otherwise(start)
     ids = F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("sample")
     # the j-th draw is made where row j is: n draws for n rows, wherever they lie
-    number = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("sample"), F.col("position"))), 1, 8), 16, 10).cast("long")
+    number = F.conv(F.substring(F.md5(F.concat_ws(":", start, F.col("position"))), 1, 15), 16, 10).cast("long")
     draws = placed.select("position", "n_rows", ids).select("sample", (number % F.col("n_rows")).alias("position")).groupBy("sample", "position").agg(F.count("*").alias("multiplicity"))
     every = placed.select(key, "position", ids)
     return every.join(draws, ["sample", "position"], "left").select(
@@ -147,10 +169,16 @@ def bootstrap(frame: DataFrame, key: str, samples: int, seed: int) -> DataFrame:
         F.when(F.col("multiplicity").isNull(), "test").otherwise("train").alias("role"), F.coalesce("multiplicity", F.lit(1)).alias("multiplicity"))
 
 
-def with_validation(assignment: DataFrame, key: str, valid_size: float, seed: int) -> DataFrame:
-    """Carve the last rows of each resample's train rows into a validation role."""
-    train = ranked(assignment.filter("role = 'train'"), key, seed, ["resample_id"])
-    cut = train.select("resample_id", key, F.when(F.col("position") >= F.col("n_rows") - F.ceil(F.lit(valid_size) * F.col("n_rows")), "valid").otherwise("train").alias("role"))
+def with_validation(assignment: DataFrame, key: str, valid_size: float, seed: int, label: str | None = None) -> DataFrame:
+    """Carve the last rows of each resample's train rows into a validation role; by classes in proportion where the
+    assignment carries a label."""
+    train = assignment.filter("role = 'train'")
+    if label is None:
+        rows = ranked(train, key, seed, ["resample_id"]).withColumn("quota", F.ceil(F.lit(valid_size) * F.col("n_rows")))
+    else:
+        quotas = class_quotas(train, label, valid_size, ["resample_id"])
+        rows = ranked(train, key, seed, ["resample_id", label]).join(quotas.withColumnRenamed("resample_id", "_r"), (F.col("resample_id") == F.col("_r")) & F.col(label).eqNullSafe(F.col("_label")))
+    cut = rows.select("resample_id", key, F.when(F.col("position") >= F.col("n_rows") - F.col("quota"), "valid").otherwise("train").alias("role"))
     return cut.unionByName(assignment.filter("role <> 'train'").select("resample_id", key, "role"))
 
 

@@ -191,7 +191,8 @@ def _(spark, d):
 
 @query("ud_statistic", "select user_id, count(*) as bag_size, round(max(value) - min(value), 6) as value__spread from events group by 1")
 def _(spark, d):
-    bg.STATISTICS.setdefault("spread", lambda c: F.max(c) - F.min(c))
+    if "spread" not in bg.STATISTICS:
+        bg.register_statistic("spread", lambda c: F.max(c) - F.min(c))
     events = table(spark, d, "events")
     users = events.select("user_id").distinct()
     return _r(bg.bag_summary(users, events.withColumnRenamed("user_id", "u"), "user_id", "u", ["value"], ["spread"]), "value__spread")

@@ -10,6 +10,7 @@ from foldwise.operators import metrics as mt
 from foldwise.operators import refit as rf
 from foldwise.operators import reports as rp
 from foldwise.operators import resample as rs
+from foldwise.operators import study as st
 from foldwise.plans.registry import query, table
 from foldwise.plans.sources import new_path
 from foldwise.sources.tables import Task
@@ -143,18 +144,8 @@ def _(spark, d):
 
 def _study(spark, d, kinds):
     rows = es.with_features(_documents(spark, d), QUALITY.source)
-    folds = rs.kfold(rows, "doc_id", 2, seed=1)
-    dealt = rows.join(folds, "doc_id")
-    records = []
-    for kind in kinds:
-        for fold in range(2):
-            def work(kind=kind, fold=fold):
-                model = es.fit(dealt.filter(F.col("fold") != fold), QUALITY, kind)
-                got = es.predict(model, dealt.filter(F.col("fold") == fold), QUALITY, "doc_id").withColumn("run", F.lit(0))
-                return {"accuracy": mt.metrics_of(got, ["run"], ["accuracy"]).first()["accuracy"]}
-
-            records.append(es.run_record(f"quality:{kind}:fold_{fold:02d}:seed-0", work))
-    return spark.createDataFrame(records, "run_key string, status string, metrics map<string,double>, fit_time double, error_type string, error string")
+    folds = rs.fold_roles(rs.kfold(rows, "doc_id", 2, seed=1), "doc_id", 2)
+    return st.run_study("quality", rows, QUALITY, folds, "doc_id", {k: (k, {}) for k in kinds}, ["accuracy"], new_path(spark, "study"))
 
 
 @query("rn_run_study")
@@ -162,9 +153,16 @@ def _(spark, d):
     return _study(spark, d, ["logistic_regression", "random_forest"]).select("run_key", "status", "metrics")
 
 
-@query("rn_failed_rows")
+@query("rn_failed_rows", """select 'quality:' || m || ':' || printf('fold_%02d', f) || ':seed-0' as run_key, case m when 'logistic_regression' then 'success' else 'failed' end as status,
+case m when 'linear_regression' then 'ValueError' end as error_type, case m when 'linear_regression' then 'linear_regression needs values' end as error, case m when 'logistic_regression' then n end as n_rows
+from (select unnest(['logistic_regression', 'linear_regression']) as m), (select fold as f, count(*) as n from (select ntile(2) over (order by md5('1:' || doc_id), doc_id) - 1 as fold from labels join documents using (doc_id)) group by 1)""")
 def _(spark, d):
-    return _study(spark, d, ["logistic_regression", "linear_regression"]).select("run_key", "status", "error_type", "error")
+    rows = es.with_features(_documents(spark, d), QUALITY.source)
+    folds = rs.fold_roles(rs.kfold(rows, "doc_id", 2, seed=1), "doc_id", 2)
+    path = new_path(spark, "study")
+    found = st.run_study("quality", rows, QUALITY, folds, "doc_id", {k: (k, {}) for k in ("logistic_regression", "linear_regression")}, ["accuracy"], path)
+    counts = st.stored_predictions(found, path).groupBy("run_key").agg(F.count("*").alias("n_rows"))
+    return found.select("run_key", "status", "error_type", "error").join(counts, "run_key", "left")
 
 
 @query("rn_refit")
@@ -185,5 +183,6 @@ def _(spark, d):
 
 @query("ud_estimator")
 def _(spark, d):
-    es.ESTIMATORS.setdefault("plain_forest", lambda train, task, params: es.random_forest(train, task, {"n_estimators": 5, **params}))
+    if "plain_forest" not in es.ESTIMATORS:
+        es.register_estimator("plain_forest", lambda train, task, params: es.random_forest(train, task, {"n_estimators": 5, **params}))
     return _model_query("plain_forest")(spark, d)

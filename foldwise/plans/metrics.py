@@ -101,8 +101,8 @@ def _(spark, d):
 
 @query("ud_metric", f"with {REGRESSION} select run_key, round(max(abs(y_true - value)), 4) as worst from r group by 1")
 def _(spark, d):
-    mt.METRICS.setdefault("worst", lambda w: F.max(F.abs(F.col("y_true") - F.col("value"))))
-    mt.FIELDS.setdefault("worst", "value")
+    if "worst" not in mt.METRICS:
+        mt.register_metric("worst", lambda w: F.max(F.abs(F.col("y_true") - F.col("value"))), "value", greater_is_better=False)
     return _one(mt.metrics_of(regression(spark, d), ["run_key"], ["worst"]), "worst", 4)
 
 

@@ -152,19 +152,23 @@ def _(spark, d):
     return VectorAssembler(inputCols=inputs, outputCol="features").transform(out).select("doc_id", vector_to_array("features", "float32").alias("features"))
 
 
-@query("pp_per_resample", """with folds as (select o_orderkey, o_totalprice, ntile(5) over (order by md5('1:' || o_orderkey), o_orderkey) - 1 as fold from orders),
-roles as (select printf('fold_%02d', f) as resample_id, fold = f as test, o_orderkey, o_totalprice from folds, (select unnest(range(5)) as f)),
-stats as (select resample_id, avg(o_totalprice) as a, stddev_pop(o_totalprice) as s from roles where not test group by 1)
-select resample_id, o_orderkey, round((o_totalprice - a) / s, 6) as o_totalprice from roles join stats using (resample_id)""")
-def _(spark, d):
-    orders = table(spark, d, "orders").select("o_orderkey", "o_totalprice")
+@query("pp_per_resample", """with folds as materialized (select o_orderkey, o_totalprice, case when o_orderpriority <> '1-URGENT' then date_part('day', o_orderdate)::double end as day, case when o_orderstatus = 'P' then o_totalprice else 0 end as part,
+  ntile(5) over (order by md5('1:' || o_orderkey), o_orderkey) - 1 as fold from orders),
+roles as (select printf('fold_%02d', f) as resample_id, fold = f as test, o_orderkey, o_totalprice, day, part from folds, (select unnest(range(5)) as f)),
+fills as (select resample_id, quantile_cont(day, 0.5) as q from roles where not test group by 1),
+stats as (select resample_id, avg(o_totalprice) as a, stddev_pop(o_totalprice) as s, avg(coalesce(day, q)) as da, stddev_pop(coalesce(day, q)) as ds, max(abs(part)) as m from roles join fills using (resample_id) where not test group by 1)
+select resample_id, o_orderkey, round((o_totalprice - a) / s, 5) as o_totalprice, round((coalesce(day, q) - da) / ds, 5) as day, round(part / m, 5) as part from roles join stats using (resample_id) join fills using (resample_id)""")
+def _(spark, d):
+    day = F.when(F.col("o_orderpriority") != "1-URGENT", F.dayofmonth("o_orderdate").cast("double"))
+    orders = table(spark, d, "orders").select("o_orderkey", "o_totalprice", day.alias("day"), F.when(F.col("o_orderstatus") == "P", F.col("o_totalprice")).otherwise(0.0).alias("part"))
     roles = rs.fold_roles(rs.kfold(orders, "o_orderkey", 5, seed=1), "o_orderkey", 5).join(orders, "o_orderkey")
-    stats = roles.filter("role = 'train'").groupBy("resample_id").agg(F.avg("o_totalprice").alias("a"), F.stddev_pop("o_totalprice").alias("s"))
-    return roles.join(stats, "resample_id").select("resample_id", "o_orderkey", F.round(pp.standardized(F.col("o_totalprice"), F.col("a"), F.col("s")), 6).alias("o_totalprice"))
+    out = pp.resample_policy(roles, [pp.Feature("o_totalprice", "numeric"), pp.Feature("day", "numeric", {"missing_values"}), pp.Feature("part", "numeric", {"zero_inflated"})])
+    return _r(out, "o_totalprice", "day", "part", digits=5).select("resample_id", "o_orderkey", "o_totalprice", "day", "part")
 
 
 @query("ud_policy", "select o_orderkey, round(ln(1 + o_totalprice), 6) as o_totalprice from orders")
 def _(spark, d):
-    pp.POLICIES.setdefault("log_all", lambda train, features, options=None: lambda frame: frame.withColumns({f.name: F.log1p(f.name) for f in features}))
+    if "log_all" not in pp.POLICIES:
+        pp.register_policy("log_all", lambda train, features, options=None: lambda frame: frame.withColumns({f.name: F.log1p(f.name) for f in features}))
     orders = table(spark, d, "orders").select("o_orderkey", "o_totalprice")
     return _r(pp.POLICIES["log_all"](orders, [pp.Feature("o_totalprice", "numeric")])(orders), "o_totalprice")

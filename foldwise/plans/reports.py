@@ -19,13 +19,13 @@ def runs(spark, d):
     return found.select(
         "dataset_name", "method", "resample_id", F.lit("main").alias("study_name"),
         F.when(F.col("n") >= 2, "success").otherwise("failed").alias("status"),
-        F.when(F.col("n") >= 2, F.round("rmse", 4)).otherwise(float("nan")).alias("metric.rmse"), F.round("accuracy", 6).alias("metric.accuracy"),
+        F.when(F.col("n") >= 2, F.round("rmse", 4)).otherwise(float("nan")).alias("metric.rmse"), F.col("accuracy").alias("metric.accuracy"),
         (F.col("n") / 10.0).alias("fit_time"), F.lit("rmse").alias("primary_metric"), F.lit("False").alias("primary_metric_greater_is_better"),
         F.col("method").alias("metadata.model"), F.col("tag").cast("string").alias("metadata.tag"), F.lit("").alias("metadata.note"), F.substring("resample_id", 1, 4).alias("metadata.factor.year"))
 
 
 RUNS = """runs as (select o_orderpriority as dataset_name, o_orderstatus as method, strftime(o_orderdate, '%Y%m') as resample_id, count(*) as n,
-  round(stddev_samp(o_totalprice), 4) as rmse, round(avg((o_totalprice > 250000)::integer), 6) as accuracy, min(o_custkey)::varchar as tag, count(*) / 10.0::double as fit_time,
+  round(stddev_samp(o_totalprice), 4) as rmse, avg((o_totalprice > 250000)::integer) as accuracy, min(o_custkey)::varchar as tag, count(*) / 10.0::double as fit_time,
   case when count(*) >= 2 then 'success' else 'failed' end as status from orders group by 1, 2, 3)"""
 
 
@@ -59,9 +59,13 @@ def _(spark, d):
     return runs(spark, d).groupBy("dataset_name").agg(rp.one_value(F.col("method")).alias("method"), rp.one_value(rp.named("metadata.tag")).alias("tag"))
 
 
-@query("ag_drop_empty_metadata")
+@query("ag_drop_empty_metadata", f"""with {RUNS} select * from (select dataset_name, method, n_runs, unnest(['metadata.model', 'metadata.tag', 'metadata.factor.year']) as name, unnest([model, tag, year]) as value from (
+select dataset_name, method, count(*) as n_runs, method as model, case when count(distinct tag) = 1 then min(tag) end as tag, case when count(distinct substr(resample_id, 1, 4)) = 1 then min(substr(resample_id, 1, 4)) end as year from runs group by 1, 2)) qualify count(value) over (partition by name) > 0""")
 def _(spark, d):
-    return rp.without_empty_metadata(_summary(spark, d))
+    found = rp.without_empty_metadata(_summary(spark, d))
+    kept = sorted(c for c in found.columns if c.startswith("metadata."))
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("name"), rp.named(c).alias("value")) for c in kept]))
+    return found.select(*GROUPS, "n_runs", cells.alias("c")).select(*GROUPS, "n_runs", "c.name", "c.value")
 
 
 @query("ag_primary_stats", f"""with {RUNS} select dataset_name, method, 'rmse' as primary_metric_name, count({RMSE}) as primary_metric_count, round(avg({RMSE}), 6) as primary_metric_mean, round(stddev_samp({RMSE}), 6) as primary_metric_std,

@@ -85,10 +85,10 @@ def _(spark, d):
 
 
 DRAWN = """
-placed as (select o_orderkey, row_number() over (order by o_orderkey) - 1 as pos, count(*) over () as n from orders),
-draws as (select s, ('0x' || substr(md5('9:' || s || ':' || pos), 1, 8))::bigint % n as pos from placed, (select unnest(range(3)) as s)),
+placed as materialized (select o_orderkey, row_number() over (order by o_orderkey) - 1 as pos, count(*) over () as n from orders),
+draws as (select s, ('0x' || substr(md5('9:' || s || ':' || pos), 1, 15))::bigint % n as pos from placed, (select unnest(range(3)) as s)),
 times as (select s, pos, count(*) as m from draws group by all),
-boot as (select printf('sample_%02d', every.s) as resample_id, o_orderkey, case when m is null then 'test' else 'train' end as role, coalesce(m, 1) as multiplicity
+boot as materialized (select printf('sample_%02d', every.s) as resample_id, o_orderkey, case when m is null then 'test' else 'train' end as role, coalesce(m, 1) as multiplicity
 from (select o_orderkey, pos, s from placed, (select unnest(range(3)) as s)) every left join times on every.s = times.s and every.pos = times.pos)"""
 
 
@@ -111,10 +111,10 @@ def _(spark, d):
     return orders.exceptAll(drawn.select("o_orderkey"))
 
 
-FOLDS = """folds as (select printf('fold_%02d', f) as resample_id, o_orderkey, case when fold = f then 'test' else 'train' end as role
+FOLDS = """folds as materialized (select printf('fold_%02d', f) as resample_id, o_orderkey, case when fold = f then 'test' else 'train' end as role
 from (select o_orderkey, ntile(5) over (order by md5('1:' || o_orderkey), o_orderkey) - 1 as fold from orders), (select unnest(range(5)) as f))"""
 VALID = f"""{FOLDS},
-valid as (select resample_id, o_orderkey, case when pos >= n - ceil(0.1::double * n) then 'valid' else 'train' end as role from (
+valid as materialized (select resample_id, o_orderkey, case when pos >= n - ceil(0.1::double * n) then 'valid' else 'train' end as role from (
   select resample_id, o_orderkey, row_number() over (partition by resample_id order by md5('4:' || o_orderkey), o_orderkey) - 1 as pos, count(*) over (partition by resample_id) as n
   from folds where role = 'train') union all select * from folds where role <> 'train')"""
 
@@ -128,6 +128,17 @@ def _(spark, d):
     return rs.with_validation(_folds(spark, d), "o_orderkey", 0.1, seed=4)
 
 
+@query("rs_stratified_validation", f"""with {FOLDS}, named as (select folds.*, o_orderpriority as c from folds join orders using (o_orderkey)),
+classes as (select resample_id, c, count(*) as nc from named where role = 'train' group by 1, 2),
+exact as (select resample_id, c, ceil(0.1::double * sum(nc) over w) as want, nc * ceil(0.1::double * sum(nc) over w) / sum(nc) over w as e from classes window w as (partition by resample_id)),
+quotas as (select resample_id, c, floor(e) + case when row_number() over (partition by resample_id order by floor(e) - e, c) <= want - sum(floor(e)) over (partition by resample_id) then 1 else 0 end as quota from exact),
+placed as (select resample_id, c, o_orderkey, row_number() over (partition by resample_id, c order by md5('4:' || o_orderkey), o_orderkey) - 1 as pos, count(*) over (partition by resample_id, c) as n from named where role = 'train')
+select resample_id, o_orderkey, case when pos >= n - quota then 'valid' else 'train' end as role from placed join quotas using (resample_id, c) union all select resample_id, o_orderkey, role from folds where role <> 'train'""")
+def _(spark, d):
+    named = _folds(spark, d).join(table(spark, d, "orders").select("o_orderkey", "o_orderpriority"), "o_orderkey")
+    return rs.with_validation(named, "o_orderkey", 0.1, seed=4, label="o_orderpriority")
+
+
 @query("rs_group_validation", f"""
 with {FOLDS}, named as (select folds.*, o_custkey from folds join orders using (o_orderkey)),
 groups as (select distinct resample_id, o_custkey from named where role = 'train'),
@@ -162,6 +173,17 @@ def _(spark, d):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+@query("rs_repeated_stratified", f"""
+with {QUOTAS},
+placed as (select r, o_orderkey, o_orderpriority as c, row_number() over (partition by r, o_orderpriority order by md5(case when r = 0 then '3:' else '3:' || r || ':' end || o_orderkey), o_orderkey) - 1 as pos,
+  count(*) over (partition by r, o_orderpriority) as n from orders, (select unnest(range(2)) as r))
+select printf('repeat_%02d', r) as resample_id, o_orderkey, case when pos >= n - quota then 'test' else 'train' end as role from placed join quotas using (c)""")
+def _(spark, d):
+    orders = table(spark, d, "orders")
+    parts = [rs.stratified_holdout(orders, "o_orderkey", "o_orderpriority", 0.2, seed=3, repeat=r) for r in range(2)]
+    return parts[0].unionByName(parts[1])
+
+
 @query("rs_bag_unit", """
 with folds as (select o_orderkey, ntile(4) over (order by md5('1:' || o_orderkey), o_orderkey) - 1 as fold from orders)
 select cast(fold as integer) as fold, count(distinct o_orderkey) as n_bags, count(l_orderkey) as n_instances from folds left join lineitem on l_orderkey = o_orderkey group by 1""")

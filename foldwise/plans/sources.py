@@ -128,12 +128,22 @@ def _(spark, d):
     return parts[0].unionByName(parts[1]).groupBy("case_name", "resample_id", "role").agg(F.count("*").alias("n"))
 
 
-@query("src_verify_files")
+@query("src_verify_files", """select o_orderkey % 5 as file, case o_orderkey % 5 when 0 then 'missing' when 1 then 'sha256' when 2 then 'length' end as problem, count(*) as n_rows
+from orders group by 1, 2""")
 def _(spark, d):
     path = new_path(spark, "orders")
-    table(spark, d, "orders").write.parquet(path)
-    wanted = store.manifest(spark, path).filter("file like '%.parquet'")
-    return store.verified(spark, path, wanted.withColumn("sha256", F.when(F.pmod(F.hash("file"), F.lit(2)) == 0, F.lit("other")).otherwise(F.col("sha256"))))
+    # a file for each remainder of the key
+    orders = table(spark, d, "orders").withColumn("part", (F.col("o_orderkey") % 5).cast("int"))
+    for i in range(5):
+        orders.filter(F.col("part") == i).coalesce(1).write.parquet(f"{path}/part={i}")
+    parts, wanted = orders.groupBy("part").agg(F.count("*").alias("n_rows")), None
+    for i in range(5):
+        one = store.manifest(spark, f"{path}/part={i}").filter("file like '%.parquet'").limit(1).select(
+            F.lit(i).alias("part"), F.lit("gone").alias("file") if i == 0 else "file", (F.col("length") + F.lit(i == 2).cast("int")).alias("length"),
+            F.lit("other").alias("sha256") if i == 1 else "sha256")
+        wanted = one if wanted is None else wanted.unionByName(one)
+    checked = store.verified(spark, path, wanted.drop("part")).join(wanted.select("file", "part"), "file").join(parts, "part")
+    return checked.select(F.col("part").cast("long").alias("file"), "problem", "n_rows")
 
 
 def _runs(spark, d):
@@ -195,10 +205,12 @@ def _(spark, d):
     return saved.groupBy(F.concat_ws("/", "r.case_name", "r.method").alias("path")).agg(F.count("*").alias("n_months"))
 
 
-@query("snk_case_evidence", """with folds as (select printf('fold_%02d', f) as resample_id, o_orderkey, case when fold = f then 'test' else 'train' end as role from (select o_orderkey, ntile(5) over (order by md5('1:' || o_orderkey), o_orderkey) - 1 as fold from orders), (select unnest(range(5)) as f))
-select resample_id, role, count(*) as n, sha256('[' || string_agg(o_orderkey::varchar, ',' order by o_orderkey) || ']') as keys_sha256 from folds group by 1, 2""")
+@query("snk_case_evidence", """with folds as (select printf('fold_%02d', f) as resample_id, o_orderkey, case when fold = f then 'test' else 'train' end as role from (select o_orderkey, ntile(5) over (order by md5('1:' || o_orderkey), o_orderkey) - 1 as fold from orders), (select unnest(range(5)) as f)),
+placed as (select *, (row_number() over (partition by resample_id, role order by o_orderkey) - 1) // 1000 as part from folds),
+runs as (select resample_id, role, part, count(*) as n, sha256('[' || string_agg(o_orderkey::varchar, ',' order by o_orderkey) || ']') as digest from placed group by 1, 2, 3)
+select resample_id, role, sum(n)::bigint as n, sha256(string_agg(digest, ',' order by part)) as keys_sha256 from runs group by 1, 2""")
 def _(spark, d):
-    return store.case_evidence(rs.fold_roles(rs.kfold(table(spark, d, "orders"), "o_orderkey", 5, seed=1), "o_orderkey", 5), "o_orderkey")
+    return store.case_evidence(rs.fold_roles(rs.kfold(table(spark, d, "orders"), "o_orderkey", 5, seed=1), "o_orderkey", 5), "o_orderkey", size=1000)
 
 
 @query("snk_params_long", "select event_id, k as name, json_extract_string(props, '$.' || k) as value from (select event_id, props, unnest(json_keys(props)) as k from events)")

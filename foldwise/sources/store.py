@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from foldwise.functions.columns import safe_name
 from foldwise.operators.reports import markdown_lines
+from foldwise.operators.resample import ranked
 
 #: Columns that predictions are stored by.
 PARTITIONS = ("case_name", "method", "resample_id", "seed")
@@ -58,10 +59,17 @@ def save_evidence(records: DataFrame, path: str) -> None:
     records.select("record").write.mode("errorifexists").text(path)
 
 
-def case_evidence(assignment: DataFrame, key: str) -> DataFrame:
-    """The exact keys of every split, as JSON for each resample: one row for each resample and role is gathered at most."""
-    roles = assignment.groupBy("resample_id", "role").agg(F.array_sort(F.collect_list(key)).alias("keys"))
-    return roles.select("resample_id", "role", F.size("keys").cast("long").alias("n"), F.sha2(F.to_json("keys"), 256).alias("keys_sha256"))
+def case_evidence(assignment: DataFrame, key: str, size: int = 100_000) -> DataFrame:
+    """A digest of the exact keys of every split: that of the digests of runs of ``size`` keys in order, as JSON.
+
+    No task gathers more keys than a run has, or more than one digest for each run of a split.
+    """
+    place = F.floor(F.col("position") / size).alias("part")
+    runs = ranked(assignment, key, None, ["resample_id", "role"]).groupBy("resample_id", "role", place).agg(
+        F.count("*").alias("n"), F.sha2(F.to_json(F.array_sort(F.collect_list(key))), 256).alias("digest"))
+    digests = F.array_sort(F.collect_list(F.struct("part", "digest")))
+    return runs.groupBy("resample_id", "role").agg(
+        F.sum("n").alias("n"), F.sha2(F.concat_ws(",", F.transform(digests, lambda p: p["digest"])), 256).alias("keys_sha256"))
 
 
 def conflicts(evidence: DataFrame, name: str, record: Column) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -184,3 +185,60 @@ def test_refit_checks_files(spark, tmp_path):
 def test_failed_run_record():
     got = estimators.run_record("r", lambda: 1 / 0)
     assert got["status"] == "failed" and got["error_type"] == "ZeroDivisionError"
+
+
+def test_bootstrap_leaves_rows_out(spark):
+    """Of few rows a sample is drawn again until one is left out; of one row none can be."""
+    for n in (2, 3, 5):
+        drawn = resample.bootstrap(spark.createDataFrame([(i,) for i in range(n)], "k long"), "k", 40, seed=3).collect()
+        for s in {r["resample_id"] for r in drawn}:
+            mine = [r for r in drawn if r["resample_id"] == s]
+            assert any(r["role"] == "test" for r in mine) and sum(r["multiplicity"] for r in mine if r["role"] == "train") == n
+    with pytest.raises(ValueError):
+        resample.bootstrap(spark.createDataFrame([(1,)], "k long"), "k", 2, seed=3)
+
+
+def test_metric_options(spark):
+    frame = spark.createDataFrame([("a", 1, 1, 2.0), ("a", 0, 1, 3.0)], "run string, label int, y_true int, w double")
+    assert metrics.metrics_of(frame, ["run"], ["accuracy"], options={"accuracy": {"normalize": False}}).first()["accuracy"] == 1.0
+    assert metrics.metrics_of(frame, ["run"], ["accuracy"], weight="w", options={"accuracy": {"normalize": False}}).first()["accuracy"] == 2.0
+
+
+def test_total_correlation_of_four_columns(spark):
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(200, 4)) @ rng.normal(size=(4, 4))
+    frame = spark.createDataFrame([(1, *map(float, r)) for r in x], "bag int, a double, b double, c double, d double")
+    got = bags.total_correlation(frame, "bag", ["a", "b", "c", "d"]).first()["total_correlation"]
+    cov = np.cov(x.T, bias=True)
+    assert got == pytest.approx(0.5 * (np.log(np.diag(cov)).sum() - np.linalg.slogdet(cov)[1]))
+
+
+def test_policy_by_resample(spark):
+    rows = [("a", "train", 1.0, None), ("a", "train", 3.0, 2.0), ("a", "test", 5.0, 4.0), ("b", "train", 10.0, 1.0), ("b", "valid", 30.0, 3.0), ("b", "test", None, None)]
+    frame = spark.createDataFrame(rows, "resample_id string, role string, x double, y double")
+    features = [preprocess.Feature("x", "numeric"), preprocess.Feature("y", "numeric", {"missing_values"})]
+    got = {(r["resample_id"], r["role"], r["x"]): r["y"] for r in preprocess.resample_policy(frame, features).collect()}
+    assert got == {("a", "train", -1.0): 0.0, ("a", "train", 1.0): 0.0, ("a", "test", 3.0): 2.0, ("b", "train", -1.0): -1.0, ("b", "valid", 1.0): 1.0, ("b", "test", None): 0.0}
+    with pytest.raises(ValueError):
+        preprocess.resample_policy(frame, [preprocess.Feature("y", "numeric")])
+
+
+def test_weights_are_not_dropped(spark):
+    rows = spark.createDataFrame([(float(i), i % 3, 1.0) for i in range(9)], "x double, y int, w double")
+    made = estimators.with_features(rows, ["x"])
+    for kind in ("gradient_boosting", "simple_mlp"):
+        with pytest.raises(ValueError):
+            estimators.fit(made, tables.Task("multiclass", ["x"], "y", weight="w"), kind)
+
+
+def test_conflicting_evidence(spark):
+    frame = spark.createDataFrame([("a", "1"), ("a", "1"), ("b", "1"), ("b", "2")], "name string, record string")
+    assert [r[0] for r in store.conflicts(frame, "name", F.col("record")).collect()] == ["b"]
+
+
+def test_ranks_of_reports_that_lack_columns(spark):
+    plain = spark.createDataFrame([("m", 1)], "method string, n_runs int")
+    assert reports.with_ranks(plain).columns == plain.columns
+    frame = spark.createDataFrame([("a", 1, 1, 1, 0.5, "True"), ("b", 1, 1, 1, 0.7, "True")], "method string, n_runs long, n_success long, primary_metric_count long, primary_metric_mean double, primary_metric_greater_is_better string")
+    got = {r["method"]: (r["primary_metric_overall_rank"], r["dataset_name"]) for r in reports.with_ranks(frame).collect()}
+    assert got == {"a": (2.0, ""), "b": (1.0, "")}
