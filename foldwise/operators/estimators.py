@@ -45,6 +45,15 @@ def line(rows: DataFrame, feature: str, target: str, alpha: float = 0.0, by: Seq
     return rows.filter("role = 'test'").join(fits, list(by)).withColumn("value", F.col("_y") + F.col("_slope") * (F.col(feature) - F.col("_x"))).drop("_x", "_y", "_slope")
 
 
+def mean_and_line(rows: DataFrame, feature: str, target: str, by: Sequence[str] = ("resample_id",)) -> DataFrame:
+    """The test rows twice, with method ``mean`` and ``line`` and the value of each; both come from one aggregation."""
+    sums = trained(rows).groupBy(*by).agg(F.avg(feature).alias("_x"), F.avg(target).alias("_y"), F.covar_pop(feature, target).alias("_c"), F.var_pop(feature).alias("_v"))
+    slope = F.when(F.col("_v") > 0, F.col("_c") / F.col("_v")).otherwise(0.0)
+    both = F.array(F.struct(F.lit("mean").alias("method"), F.col("_y").alias("value")), F.struct(F.lit("line").alias("method"), (F.col("_y") + slope * (F.col(feature) - F.col("_x"))).alias("value")))
+    tested = rows.filter("role = 'test'").join(sums, list(by)).withColumn("_m", F.explode(both))
+    return tested.withColumns({"method": F.col("_m.method"), "value": F.col("_m.value")}).drop("_m", "_x", "_y", "_c", "_v")
+
+
 def _common(task: Task) -> dict:
     return {"featuresCol": "features", "labelCol": task.target} | ({"weightCol": task.weight} if task.weight else {})
 

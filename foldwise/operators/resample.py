@@ -81,11 +81,11 @@ def stratified_holdout(frame: DataFrame, key: str, label: str, test_size: float,
         F.lit(f"repeat_{repeat:02d}").alias("resample_id"), key, F.when(F.col("position") >= F.col("n_rows") - F.col("quota"), "test").otherwise("train").alias("role"))
 
 
-def fold_roles(folds: DataFrame, key: str, k: int) -> DataFrame:
-    """Every row's role in every fold, from the fold in which it is tested."""
+def fold_roles(folds: DataFrame, key: str, k: int, *others: str) -> DataFrame:
+    """Every row's role in every fold, from the fold in which it is tested; ``others``: further columns to keep."""
     fold = F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("_f")
-    return folds.select(key, "fold", fold).select(
-        F.format_string("fold_%02d", "_f").alias("resample_id"), key, F.when(F.col("fold") == F.col("_f"), "test").otherwise("train").alias("role"))
+    return folds.select(key, "fold", *others, fold).select(
+        F.format_string("fold_%02d", "_f").alias("resample_id"), key, *others, F.when(F.col("fold") == F.col("_f"), "test").otherwise("train").alias("role"))
 
 
 def kfold(frame: DataFrame, key: str, k: int, seed: int | None = None) -> DataFrame:
