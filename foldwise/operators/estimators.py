@@ -156,34 +156,38 @@ def instance_pooling(train: DataFrame, test: DataFrame, task: Task, bag: str, ho
     return bg.pooled_probabilities(scored.select(bag, *[F.col("_p")[i].alias(f"p{i}") for i in range(k)]), bag, [f"p{i}" for i in range(k)], how)
 
 
-def mi_svm(train: DataFrame, bag: str, key: str, features: Sequence[str], target: str, max_iterations: int = 10, params: Mapping | None = None) -> tuple[Model, int]:
+def mi_svm(train: DataFrame, bag: str, key: str, features: Sequence[str], target: str, max_iterations: int = 50, params: Mapping | None = None) -> tuple[Model, int, str]:
     """Linear multi-instance SVM: fit on all negative instances and one witness of each positive bag, choose witnesses anew.
 
-    The first fit takes positive bags' means. It ends when the witnesses come back as they were once, or after so many rounds.
+    The first fit takes positive bags' means. Returns the model, its rounds and how they ended: at a "fixed point" (the same witnesses
+    as in the round before), in a "cycle" (as in an earlier one), or at the "limit", where the last witnesses are fitted once more.
     """
     assembler = VectorAssembler(inputCols=list(features), outputCol="features")
-    svm = LinearSVC(featuresCol="features", labelCol=target, regParam=(params or {}).get("reg", 0.01), maxIter=(params or {}).get("max_iter", 30))
+    svm = LinearSVC(featuresCol="features", labelCol=target, regParam=(params or {}).get("reg", 0.01), maxIter=(params or {}).get("max_iter", 30), tol=(params or {}).get("tol", 1e-3))
     train = train.select(bag, key, *features, target).persist()
     negative = train.filter(F.col(target) == 0).select(*features, target)
     positive = train.filter(F.col(target) == 1)
     chosen = positive.groupBy(bag).agg(*[F.avg(c).alias(c) for c in features]).select(*features, F.lit(1).alias(target))
-    seen: set = set()
-    model, rounds, last, best = None, 0, None, None
+    seen: list[tuple] = []
+    model, rounds, ended, last, best = None, 0, "limit", None, None
     for rounds in range(1, max_iterations + 1):
         model = svm.fit(assembler.transform(negative.unionByName(chosen)))
         scored = model.transform(assembler.transform(positive)).select(bag, key, *features, vector_to_array("rawPrediction")[1].alias("_score"))
         last, best = best, bg.witnesses(scored, bag, "_score", key).persist()
         mark = best.agg(F.count("*"), F.sum(F.xxhash64(bag, key).cast("decimal(38,0)"))).first()
         if tuple(mark) in seen:
+            ended = "fixed point" if tuple(mark) == seen[-1] else "cycle"
             break
-        seen.add(tuple(mark))
+        seen.append(tuple(mark))
         chosen = best.select(*features, F.lit(1).alias(target))
         if last is not None:
             last.unpersist()
+    if ended == "limit":
+        model = svm.fit(assembler.transform(negative.unionByName(chosen)))
     for frame in (train, last, best):
         if frame is not None:
             frame.unpersist()
-    return model, rounds
+    return model, rounds, ended
 
 
 def run_record(run_key: str, work: Callable[[], Mapping[str, float]], keep_going: bool = True) -> dict:

@@ -167,14 +167,14 @@ def _(spark, d):
 
 
 @query("flt_select_bags", """
-with draws as (select row_number() over (order by o_orderkey) - 1 as draw_no, o_orderkey from orders where o_orderkey % 10 = 3),
+with draws as (select row_number() over (order by o_orderkey) - 1 as draw_no, o_orderkey from orders),
 twice as (select draw_no * 2 + c as draw_no, o_orderkey from draws, (select unnest([0, 1]) as c))
 select draw_no, o_orderkey, count(l_orderkey) as n, (sum(count(l_orderkey)) over (order by draw_no))::bigint - count(l_orderkey) as start
 from twice left join lineitem on l_orderkey = o_orderkey group by 1, 2""")
 def _(spark, d):
     from foldwise.operators.resample import ranked
 
-    chosen = ranked(table(spark, d, "orders").filter("o_orderkey % 10 = 3").select("o_orderkey"), "o_orderkey")
+    chosen = ranked(table(spark, d, "orders").select("o_orderkey"), "o_orderkey")
     draws = chosen.select("o_orderkey", F.explode(F.array(F.col("position") * 2, F.col("position") * 2 + 1)).alias("draw_no"))
     sizes = _lines(spark, d).groupBy("l_orderkey").agg(F.count("*").alias("n"))
     counted = draws.join(sizes, F.col("o_orderkey") == F.col("l_orderkey"), "left").select("draw_no", "o_orderkey", F.coalesce("n", F.lit(0)).alias("n"))

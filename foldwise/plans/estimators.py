@@ -101,11 +101,11 @@ for _name, _kind in (("es_logistic_regression", "logistic_regression"), ("es_ran
     query(_name)(_model_query(_kind))
 
 
-@query("es_ridge_model", """with t as (select count(*) as n, avg(l_quantity) as x, avg(l_extendedprice) as y, covar_pop(l_quantity, l_extendedprice) as c, var_pop(l_quantity) as v from lineitem where l_orderkey % 2 = 0)
+@query("es_ridge_model", """with t as (select count(*) as n, avg(l_quantity) as x, avg(l_extendedprice) as y, covar_pop(l_quantity, l_extendedprice) as c, var_pop(l_quantity) as v from lineitem)
 select round(c / (v + 50.0::double / n), 3) as slope, round(y - x * c / (v + 50.0::double / n), 2) as intercept from t""")
 def _(spark, d):
     task = Task("regression", ["l_quantity"], "l_extendedprice")
-    model = es.fit(es.with_features(table(spark, d, "lineitem").filter("l_orderkey % 2 = 0"), task.source), task, "ridge", {"alpha": 50.0})
+    model = es.fit(es.with_features(table(spark, d, "lineitem"), task.source), task, "ridge", {"alpha": 50.0})
     return spark.createDataFrame([(float(model.coefficients[0]), float(model.intercept))], "slope double, intercept double").select(F.round("slope", 3).alias("slope"), F.round("intercept", 2).alias("intercept"))
 
 
@@ -141,10 +141,11 @@ def _(spark, d):
 @query("es_mi_svm")
 def _(spark, d):
     rows = _bags(spark, d).withColumn("k", F.xxhash64("l_orderkey", "l_linenumber", "q", "p"))
-    model, _ = es.mi_svm(rows.filter("l_orderkey % 3 <> 0"), "l_orderkey", "k", ["q", "p"], "label", max_iterations=3, params={"max_iter": 8})
+    model, rounds, ended = es.mi_svm(rows.filter("l_orderkey % 3 <> 0"), "l_orderkey", "k", ["q", "p"], "label")
     scored = es.with_features(rows.filter("l_orderkey % 3 = 0"), ["q", "p"])
     margins = es.predict(model, scored, Task("binary", ["q", "p"], "label"), "l_orderkey")
-    return margins.groupBy("sample_id").agg(F.max("score").alias("score")).withColumn("label", F.when(F.col("score") >= 0, 1).otherwise(0))
+    scores = margins.groupBy("sample_id").agg(F.max("score").alias("score")).withColumn("label", F.when(F.col("score") >= 0, 1).otherwise(0))
+    return scores.withColumns({"rounds": F.lit(rounds), "ended": F.lit(ended)})
 
 
 def _study(spark, d, kinds):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from foldwise.operators import resample as rs
 from foldwise.operators.resample import ranked
 from foldwise.plans.registry import query, table
 from foldwise.sources import tables as tb
@@ -41,10 +42,10 @@ def _(spark, d):
     return tb.profile(joined).select("column", "n_null", "n_distinct")
 
 
-@query("flt_rows_by_key", "select draw, o_orderkey, o_totalprice from orders join (select o_orderkey, unnest(range(1 + (o_orderkey % 3)::integer)) as draw from orders where o_orderkey % 7 = 0) using (o_orderkey)")
+@query("flt_rows_by_key", "select draw, o_orderkey, o_totalprice from orders join (select o_orderkey, unnest(range(1 + (o_orderkey % 3)::integer)) as draw from orders) using (o_orderkey)")
 def _(spark, d):
     orders = table(spark, d, "orders").select("o_orderkey", "o_totalprice")
-    keys = orders.filter("o_orderkey % 7 = 0").select("o_orderkey", F.explode(F.sequence(F.lit(0).cast("long"), F.col("o_orderkey") % 3)).alias("draw"))
+    keys = orders.select("o_orderkey", F.explode(F.sequence(F.lit(0).cast("long"), F.col("o_orderkey") % 3)).alias("draw"))
     return keys.join(orders, "o_orderkey").select("draw", "o_orderkey", "o_totalprice")
 
 
@@ -68,13 +69,19 @@ def _(spark, d):
     return spark.createDataFrame([(c,) for c in found], "name string")
 
 
-@query("prd_complete_target", "select count(*) as n_incomplete from documents left join labels using (doc_id) where quality is null and doc_id % 2 = 0")
+@query("prd_complete_target", "select count(*) as n_incomplete from documents left join labels using (doc_id) where quality is null")
 def _(spark, d):
     joined = table(spark, d, "documents").select("doc_id").join(table(spark, d, "labels"), "doc_id", "left")
-    return joined.filter("doc_id % 2 = 0 and quality is null").agg(F.count("*").alias("n_incomplete"))
+    return joined.filter("quality is null").agg(F.count("*").alias("n_incomplete"))
 
 
-@query("prd_unseen_class", "select distinct p_type from part where p_partkey % 2 = 1 and p_type not in (select p_type from part where p_partkey % 2 = 0 and p_size < 10)")
+@query("prd_unseen_class", """
+with dealt as (select p_brand || ' ' || p_type as class, ntile(5) over (order by md5('1:' || p_partkey), p_partkey) - 1 as fold from part),
+spread as (select class, min(fold) as low, max(fold) as high from dealt group by 1)
+select printf('fold_%02d', low) as resample_id, class from spread where low = high""")
 def _(spark, d):
-    parts = table(spark, d, "part")
-    return parts.filter("p_partkey % 2 = 1").select("p_type").distinct().join(parts.filter("p_partkey % 2 = 0 and p_size < 10"), "p_type", "left_anti")
+    parts = table(spark, d, "part").select("p_partkey", F.concat_ws(" ", "p_brand", "p_type").alias("class"))
+    dealt = rs.kfold(parts, "p_partkey", 5, seed=1).join(parts, "p_partkey")
+    # a class of one fold is tested there and trained nowhere
+    return dealt.groupBy("class").agg(F.min("fold").alias("low"), F.max("fold").alias("high")).filter("low = high").select(
+        F.format_string("fold_%02d", "low").alias("resample_id"), "class")

@@ -242,3 +242,13 @@ def test_ranks_of_reports_that_lack_columns(spark):
     frame = spark.createDataFrame([("a", 1, 1, 1, 0.5, "True"), ("b", 1, 1, 1, 0.7, "True")], "method string, n_runs long, n_success long, primary_metric_count long, primary_metric_mean double, primary_metric_greater_is_better string")
     got = {r["method"]: (r["primary_metric_overall_rank"], r["dataset_name"]) for r in reports.with_ranks(frame).collect()}
     assert got == {"a": (2.0, ""), "b": (1.0, "")}
+
+
+def test_mi_svm_says_how_it_ended(spark):
+    # one instance of each positive bag lies at 4 and the others at 0, as all instances of negative bags do
+    bags_ = spark.createDataFrame([(b, i, 4.0 if i == 0 and b % 2 else 0.1 * i, b % 2) for b in range(12) for i in range(4)], "bag long, k long, x double, label int")
+    model, rounds, ended = estimators.mi_svm(bags_, "bag", "k", ["x"], "label")
+    assert ended == "fixed point" and rounds >= 2 and 0 < -model.intercept / model.coefficients[0] < 4
+    once = estimators.mi_svm(bags_, "bag", "k", ["x"], "label", max_iterations=1)
+    # a single round is fitted on means; the last witnesses are fitted once more
+    assert once[1:] == (1, "limit") and np.allclose(once[0].coefficients.toArray(), model.coefficients.toArray(), atol=1e-3)
