@@ -7,11 +7,12 @@ windows are sorted and counted as they are. Words covered by a window that start
 
 Texts with equal words are one text with several copies: all their windows are repeated, and one of them stands for them in
 the buckets. Buckets of very many different strings, as around a passage that a large part of all documents shares, are
-not gathered in a task: their windows are counted by an ordinary aggregation of 128-bit digests.
+not gathered in a task: their windows are counted by an ordinary aggregation of 128-bit digests, and a digest's places are
+dealt out by a salt. Texts and strings are told apart by 128 bits. Windows of over a kilobyte are compared by their SHA-256.
 
 Null and empty texts have no words, and texts under 35 words no windows: nothing of them is removed. Repeated rows count as
-copies. Rows with null doc_id are judged by copies alone. Other columns than doc_id and text are not read. An empty table
-gives an empty result.
+copies, and rows with null or repeated doc_id take part like others. Other columns than doc_id and text are not read. An
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,6 +33,9 @@ from foldwise.llm.common import byte_classes, grams, hashed_words, stored, text_
 WINDOW, SEED = 35, 8
 #: Windows of a super-k-mer at most, and different strings of a bucket that a task gathers; more are counted by aggregation.
 MOST_WINDOWS, MOST_STRINGS = 256, 1_000
+#: Parts that the places of a window in large buckets are dealt to, and bytes of a window that is compared as it is.
+SALTS, LONG_WINDOW = 64, 1024
+KEY = ["content", "content2"]
 CLASSES = byte_classes()
 
 
@@ -60,9 +64,15 @@ def minimisers(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
     return row[start], at[start], length, value[start].view(np.int64), times, words
 
 
-def content_key(words: bytes) -> tuple[str, int]:
+def content_key(words: bytes) -> tuple[str, int, int]:
     digest = hashlib.sha256(words)
-    return digest.hexdigest(), struct.unpack("<q", digest.digest()[:8])[0]
+    return digest.hexdigest(), *struct.unpack("<qq", digest.digest()[:16])
+
+
+def content_keys(data: np.ndarray, ends: np.ndarray) -> list[pa.Array]:
+    """Digest of the words and its first two 64-bit numbers, of each row of a slice."""
+    keys = [content_key(b" ".join(data[a:b].tobytes().split())) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    return [pa.array([k[i] for k in keys], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64()))]
 
 
 def _lists(row: np.ndarray, value: np.ndarray, n: int) -> pa.ListArray:
@@ -75,7 +85,6 @@ def profiles(documents: DataFrame) -> DataFrame:
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, ends in text_batches(batches):
             row, _, _, value, times, words = minimisers(data, ends)
-            keys = [content_key(b" ".join(data[a:b].tobytes().split())) for a, b in zip(ends[:-1], ends[1:], strict=True)]
             order = np.lexsort([value, row])
             r, v, several = row[order], value[order], times[order] > 1
             same = np.zeros(len(r), bool)
@@ -83,20 +92,30 @@ def profiles(documents: DataFrame) -> DataFrame:
             again = same | several
             own = np.unique(np.stack([r[again], v[again]]), axis=1) if again.any() else np.zeros((2, 0), np.int64)
             yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id"), pa.array(words.astype(np.int64)), pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int64()),
+                batch.column("doc_id"), pa.array(words.astype(np.int64)), *content_keys(data, ends),
                 _lists(r[~same], v[~same], len(batch)), _lists(own[0], own[1], len(batch))],
-                ["doc_id", "n_words", "sha", "content", "seeds", "own"])
+                ["doc_id", "n_words", "sha", *KEY, "seeds", "own"])
+
+    return documents.select("doc_id", "text").mapInArrow(profile, "doc_id long, n_words long, sha string, content long, content2 long, seeds array<long>, own array<long>")
+
+
+def keyed(documents: DataFrame) -> DataFrame:
+    """doc_id, content key and text."""
 
-    return documents.select("doc_id", "text").mapInArrow(profile, "doc_id long, n_words long, sha string, content long, seeds array<long>, own array<long>")
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, data, ends in text_batches(batches):
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *content_keys(data, ends)[1:], batch.column("text")], ["doc_id", *KEY, "text"])
+
+    return documents.select("doc_id", "text").mapInArrow(keys, "doc_id long, content long, content2 long, text string")
 
 
 def super_kmers(texts: DataFrame) -> DataFrame:
-    """Packed strings of the marked minimisers: seed, string key, content, first word, packed; texts: content, seeds, text."""
+    """Packed strings of the marked minimisers: seed, string key, content key, first word, packed; texts: content key, seeds, text."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, ends in text_batches(batches, 1 << 18):
             row, at, length, value, _, _ = minimisers(data, ends)
-            contents, seeds = batch.column("content").to_pylist(), batch.column("seeds").to_pylist()
+            contents, others, seeds = (batch.column(c).to_pylist() for c in (*KEY, "seeds"))
             cuts, rows = np.searchsorted(row, np.arange(len(batch) + 1)), []
             for i in range(len(batch)):
                 marked = set(seeds[i])
@@ -106,21 +125,23 @@ def super_kmers(texts: DataFrame) -> DataFrame:
                     if seed in marked:
                         for lo in range(int(at[j]), int(at[j] + length[j]), MOST_WINDOWS):
                             packed = b" ".join(words[lo: min(lo + MOST_WINDOWS, int(at[j] + length[j])) + WINDOW - 1])
-                            rows.append((seed, xxhash.xxh3_64_intdigest(packed) - (1 << 63), contents[i], lo, packed))
+                            rows.append((seed, xxhash.xxh3_128_digest(packed), contents[i], others[i], lo, packed))
             if rows:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()], strict=True)],
-                    ["seed", "string", "content", "at", "packed"])
+                    [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.binary()], strict=True)],
+                    ["seed", "string", *KEY, "at", "packed"])
 
-    return texts.mapInArrow(cut, "seed long, string long, content long, at int, packed binary")
+    return texts.mapInArrow(cut, "seed long, string binary, content long, content2 long, at int, packed binary")
 
 
 def windows_of(packed: bytes) -> list[bytes]:
+    """The windows of a string; long ones as their digests, which are shorter than any window."""
     words = packed.split(b" ")
     starts = [0]
     for w in words:
         starts.append(starts[-1] + len(w) + 1)
-    return [packed[starts[i]: starts[i + WINDOW] - 1] for i in range(len(words) - WINDOW + 1)]
+    spans = ((starts[i], starts[i + WINDOW] - 1) for i in range(len(words) - WINDOW + 1))
+    return [packed[a:b] if b - a <= LONG_WINDOW else hashlib.sha256(memoryview(packed)[a:b]).digest() for a, b in spans]
 
 
 def repeated_windows(strings: DataFrame) -> DataFrame:
@@ -131,20 +152,26 @@ def repeated_windows(strings: DataFrame) -> DataFrame:
             for batch in batches:
                 yield from zip(*(batch.column(c).to_pylist() for c in ("seed", "string", "packed", "n")), strict=True)
 
+        def table(out):
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.binary(), pa.list_(pa.int32())), strict=True)], ["seed", "string", "windows"])
+
         out = []
         for seed, bucket in groupby(rows(), key=lambda r: r[0]):
             spots = sorted((w, string, i, n) for _, string, packed, n in bucket for i, w in enumerate(windows_of(packed)))
+            repeated: dict[bytes, list[int]] = {}
             for _, same in groupby(spots, key=lambda s: s[0]):
                 same = list(same)
                 if len(same) > 1 or same[0][3] > 1:
-                    out += [(seed, string, i) for _, string, i, _ in same]
-            if len(out) > 20_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int32()), strict=True)], ["seed", "string", "window"])
+                    for _, string, i, _ in same:
+                        repeated.setdefault(string, []).append(i)
+            out += [(seed, string, windows) for string, windows in repeated.items()]
+            if len(out) > 5_000:
+                yield table(out)
                 out = []
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int32()), strict=True)], ["seed", "string", "window"])
+            yield table(out)
 
-    return strings.repartition("seed").sortWithinPartitions("seed").mapInArrow(count, "seed long, string long, window int")
+    return strings.repartition("seed").sortWithinPartitions("seed").mapInArrow(count, "seed long, string binary, windows array<int>")
 
 
 def repeated_in_large(strings: DataFrame) -> DataFrame:
@@ -156,40 +183,41 @@ def repeated_in_large(strings: DataFrame) -> DataFrame:
                 batch = whole.slice(k, 1000)
                 rows = [(seed, string, i, xxhash.xxh3_128_digest(w), n) for seed, string, packed, n in zip(*(batch.column(c).to_pylist() for c in ("seed", "string", "packed", "n")), strict=True)
                         for i, w in enumerate(windows_of(packed))]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64()), strict=True)],
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.int64()), strict=True)],
                                                  ["seed", "string", "window", "digest", "n"])
 
-    spots = strings.mapInArrow(spread, "seed long, string long, window int, digest binary, n long")
-    often = spots.groupBy("digest").agg(F.sum("n").alias("n")).filter("n > 1").select("digest")
-    return spots.join(often, "digest").select("seed", "string", "window")
+    spots = strings.mapInArrow(spread, "seed long, string binary, window int, digest binary, n long").withColumn("salt", F.pmod(F.hash("string"), F.lit(SALTS)))
+    # the places of a common window travel by digest and salt; by digest alone there is a row for each salt
+    parts = stored(spots.groupBy("digest", "salt").agg(F.sum("n").alias("n")), "window-counts")
+    often = parts.groupBy("digest").agg(F.sum("n").alias("n")).filter("n > 1").select("digest")
+    marked = spots.join(parts.join(often, "digest").select("digest", "salt"), ["digest", "salt"])
+    return marked.groupBy("seed", "string").agg(F.collect_list("window").alias("windows"))
 
 
 def deduplicated(documents: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 of each row."""
     rows = stored(profiles(documents), "profiles")
-    contents = rows.groupBy("content").agg(F.count("*").alias("copies"), F.min("doc_id").alias("doc_id"))
-    seeds = rows.select(F.explode("seeds").alias("seed"), "content")
-    shared = seeds.groupBy("seed").agg(F.min("content").alias("low"), F.max("content").alias("high")).filter("low < high").select("seed")
-    marked = seeds.join(shared, "seed").select("content", "seed").union(rows.select("content", F.explode("own").alias("seed")))
-    flags = marked.groupBy("content").agg(F.collect_set("seed").alias("seeds")).join(contents, "content")
-
-    def own_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Where ids repeat with other texts: only the text of the content's key."""
-        for batch, data, ends in text_batches(batches):
-            keys = [content_key(b" ".join(data[a:b].tobytes().split()))[1] for a, b in zip(ends[:-1], ends[1:], strict=True)]
-            yield batch.filter(pa.array([k == c for k, c in zip(keys, batch.column("content").to_pylist(), strict=True)], pa.bool_()))
-
-    repeated = rows.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count() > 0
-    texts = documents.select("doc_id", "text").join(flags.select("doc_id", "content", "seeds", "copies"), "doc_id").select("content", "seeds", "copies", "text")
-    if repeated:
-        texts = texts.mapInArrow(own_text, texts.schema).dropDuplicates(["content"])
+    contents = rows.groupBy(*KEY).agg(F.count("*").alias("copies"), F.min("doc_id").alias("doc_id"))
+    seeds = rows.select(F.explode("seeds").alias("seed"), *KEY)
+    ends = [f(c).alias(f"{f.__name__}_{c}") for c in KEY for f in (F.min, F.max)]
+    shared = seeds.groupBy("seed").agg(*ends).filter(" or ".join(f"min_{c} < max_{c}" for c in KEY)).select("seed")
+    marked = seeds.join(shared, "seed").select(*KEY, "seed").union(rows.select(*KEY, F.explode("own").alias("seed")))
+    flags = marked.groupBy(*KEY).agg(F.collect_set("seed").alias("seeds")).join(contents, KEY)
+
+    if rows.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 or doc_id is null").limit(1).count():
+        # an id doesn't name a text here: texts are found by id and content key, equal rows once
+        own, known = keyed(documents).dropDuplicates(["doc_id", *KEY]).alias("own"), flags.alias("known")
+        same = [F.col("own.doc_id").eqNullSafe(F.col("known.doc_id")), *[F.col(f"own.{c}") == F.col(f"known.{c}") for c in KEY]]
+        texts = own.join(known, same).select(*[f"known.{c}" for c in KEY], "seeds", "copies", "text")
+    else:
+        texts = documents.select("doc_id", "text").join(flags, "doc_id").select(*KEY, "seeds", "copies", "text")
     texts = stored(texts, "marked-texts")
-    spots = stored(super_kmers(texts.select("content", "seeds", "text")), "super-kmers")
+    spots = stored(super_kmers(texts.select(*KEY, "seeds", "text")), "super-kmers")
     strings = stored(spots.groupBy("seed", "string").agg(F.any_value("packed").alias("packed"), F.count("*").alias("n")), "strings")
     large = strings.groupBy("seed").agg(F.count("*").alias("strings")).filter(F.col("strings") > MOST_STRINGS).select("seed")
     found = repeated_windows(strings.join(large, "seed", "left_anti")).union(repeated_in_large(strings.join(large, "seed", "left_semi")))
-    starts = spots.select("seed", "string", "content", "at").join(found, ["seed", "string"]).groupBy("content").agg(
-        F.collect_list((F.col("at") + F.col("window"))).alias("starts"))
+    starts = spots.select("seed", "string", *KEY, "at").join(found, ["seed", "string"]).groupBy(*KEY).agg(
+        F.flatten(F.collect_list(F.transform("windows", lambda w: w + F.col("at")))).alias("starts"))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, ends in text_batches(batches):
@@ -202,10 +230,10 @@ def deduplicated(documents: DataFrame) -> DataFrame:
                 gone = np.cumsum(gone)[:-1] > 0
                 removed.append(int(gone.sum()))
                 shas.append(hashlib.sha256(b" ".join([w for w, g in zip(words, gone, strict=True) if not g])).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column("content"), pa.array(removed, pa.int64()), pa.array(shas, pa.string())], ["content", "removed", "kept"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in KEY), pa.array(removed, pa.int64()), pa.array(shas, pa.string())], [*KEY, "removed", "kept"])
 
-    cleaned = texts.filter("copies = 1").select("content", "text").join(starts, "content").mapInArrow(keep, "content long, removed long, kept string")
-    out = rows.select("doc_id", "n_words", "sha", "content").join(contents.select("content", "copies"), "content").join(cleaned, "content", "left")
+    cleaned = texts.filter("copies = 1").select(*KEY, "text").join(starts, KEY).mapInArrow(keep, "content long, content2 long, removed long, kept string")
+    out = rows.select("doc_id", "n_words", "sha", *KEY).join(contents.select(*KEY, "copies"), KEY).join(cleaned, KEY, "left")
     whole = (F.col("copies") > 1) & (F.col("n_words") >= WINDOW)
     return out.select("doc_id", "n_words", F.when(whole, F.col("n_words")).otherwise(F.coalesce("removed", F.lit(0))).cast("long").alias("n_removed"),
                       F.when(whole, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("kept", "sha")).alias("kept_sha256"))

@@ -290,6 +290,27 @@ def test_substrings_against_counting(documents, texts, no_documents, monkeypatch
     assert substring_dedup.deduplicated(no_documents).count() == 0
 
 
+def test_substrings_under_odd_ids_and_of_long_words(spark, monkeypatch):
+    rng = random.Random(8)
+    from tests.llm.conftest import prose
+
+    passage, long_word = prose(rng, 40), "x" * 300_000
+    texts = [(None, f"{prose(rng, 20)} {passage} {prose(rng, 5)}"), (None, f"{prose(rng, 9)} {passage}"), (None, prose(rng, 60)),
+             (7, f"{prose(rng, 50)} {passage}"), (7, prose(rng, 45)), (7, prose(rng, 45)), (7, None), (8, ""), (None, None),
+             (9, f"{long_word} {passage} a {long_word} b"), (10, f"c {long_word} {passage} a {long_word} d")]
+    texts += [texts[2], texts[4]]
+    words = [(i, WORD.findall(t or "")) for i, t in texts]
+    counts = collections.Counter(tuple(w[j: j + 35]) for _, w in words for j in range(len(w) - 34))
+    want = collections.Counter()
+    for i, w in words:
+        gone = set().union(*(range(j, j + 35) for j in range(len(w) - 34) if counts[tuple(w[j: j + 35])] > 1))
+        want[i, len(w), len(gone), hashlib.sha256(" ".join(x for j, x in enumerate(w) if j not in gone).encode()).hexdigest()] += 1
+    frame = spark.createDataFrame(texts, "doc_id long, text string")
+    for most in (1000, 0):
+        monkeypatch.setattr(substring_dedup, "MOST_STRINGS", most)
+        assert by_row(substring_dedup.deduplicated(frame), "doc_id", "n_words", "n_removed", "kept_sha256") == want
+
+
 # mixing
 
 def test_mix(documents, texts, no_documents):
