@@ -32,6 +32,8 @@ UNIT = 576
 #: Bytes after which a task starts its next shard.
 SHARD = 256 << 20
 HEADER = 33
+#: Stored bytes that a task reads back.
+READ = 64 << 20
 
 
 def payload(text: Column) -> Column:
@@ -166,7 +168,10 @@ def with_features(index: DataFrame, folder: str) -> DataFrame:
 def media_columns(documents: DataFrame, folder: str) -> DataFrame:
     """One row for each document, with the columns of its stored payload."""
     written = stored(write_shards(documents, folder), "media-index")
-    index = written.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("at")).select("digest", "at.*").sortWithinPartitions("shard", "offset")
+    index = written.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("at")).select("digest", "at.*")
+    # reading tasks are sized by the payloads, not by the small index
+    tasks = max(2 * documents.sparkSession.sparkContext.defaultParallelism, (written.agg(F.sum("length")).first()[0] or 0) // READ + 1)
+    index = index.repartitionByRange(tasks, "shard", "offset").sortWithinPartitions("shard", "offset")
     filled = with_features(with_metadata(index, folder), folder).withColumnRenamed("length", "media_bytes")
     rows = documents.select("doc_id", F.length(F.coalesce("text", F.lit("")).cast("binary")).cast("long").alias("n_bytes"),
                             F.sha2(payload(F.col("text")), 256).alias("digest"))
