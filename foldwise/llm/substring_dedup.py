@@ -188,7 +188,7 @@ def repeated_in_large(strings: DataFrame) -> DataFrame:
 
     spots = strings.mapInArrow(spread, "seed long, string binary, window int, digest binary, n long").withColumn("salt", F.pmod(F.hash("string"), F.lit(SALTS)))
     # the places of a common window travel by digest and salt; by digest alone there is a row for each salt
-    parts = stored(spots.groupBy("digest", "salt").agg(F.sum("n").alias("n")), "window-counts")
+    parts = spots.groupBy("digest", "salt").agg(F.sum("n").alias("n"))
     often = parts.groupBy("digest").agg(F.sum("n").alias("n")).filter("n > 1").select("digest")
     marked = spots.join(parts.join(often, "digest").select("digest", "salt"), ["digest", "salt"])
     return marked.groupBy("seed", "string").agg(F.collect_list("window").alias("windows"))
