@@ -36,8 +36,9 @@ class WordEncoder:
     keep the ids and make words recur. The cache is emptied when it holds ``most`` words.
     """
 
-    PLAIN = re.compile(r"[^\t\n\r\x20-\x7e\xa1-\xff]|<\|")
-    STOP = re.compile(r"(?<=[a-zß-öø-ÿ])([.,])(?=[ \n\t\r]|$)")
+    # both begin with a set of characters, which the search skips to
+    OTHER = re.compile(r"[^\t\n\r\x20-\x7e\xa1-\xff]")
+    STOP = re.compile(r"[.,](?<=[a-zß-öø-ÿ][.,])(?=[ \n\t\r]|$)")
     LETTERS = re.compile(r"[a-zß-öø-ÿ]+")
     BREAK = re.compile(r"[ \t\n\r]+")
 
@@ -56,9 +57,9 @@ class WordEncoder:
         self.most = most
 
     def words(self, text: str) -> list[str]:
-        if self.PLAIN.search(text):
+        if "<|" in text or self.OTHER.search(text):
             return [w for w in self.BREAK.split(text) if w]
-        return self.STOP.sub(r" \1", text.lower()).split()
+        return self.STOP.sub(r" \g<0>", text.lower()).split()
 
     def learn(self, words: set[str]) -> None:
         plain = [w for w in words if self.LETTERS.fullmatch(w)]
