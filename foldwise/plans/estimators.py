@@ -88,11 +88,19 @@ def _documents(spark, d):
 QUALITY = Task("binary", ["n_chars", "pipes", "words", "english"], "quality")
 
 
+def _held_out(spark, rows, key):
+    """Train and test rows of a hold-out split, which puts a third of the keys into the test; stored, as fits read them many times."""
+    split = rows.join(rs.holdout(rows.select(key).distinct(), key, 1 / 3, seed=1).select(key, "role"), key)
+    path = new_path(spark, "split")
+    split.write.parquet(path)
+    split = spark.read.schema(split.schema).parquet(path)
+    return tuple(split.filter(F.col("role") == role).drop("role") for role in ("train", "test"))
+
+
 def _model_query(kind, params=None, task=QUALITY):
     def run(spark, d):
-        rows = es.with_features(_documents(spark, d), task.source)
-        model = es.fit(rows.filter("doc_id % 3 <> 0"), task, kind, params)
-        return es.predict(model, rows.filter("doc_id % 3 = 0"), task, "doc_id")
+        train, test = _held_out(spark, es.with_features(_documents(spark, d), task.source), "doc_id")
+        return es.predict(es.fit(train, task, kind, params), test, task, "doc_id")
 
     return run
 
@@ -113,7 +121,8 @@ def _(spark, d):
 def _(spark, d):
     rows = es.with_features(_documents(spark, d), QUALITY.source).withColumn("w", F.when(F.col("quality") == 0, 5.0).otherwise(1.0))
     task = Task("binary", QUALITY.source, "quality", weight="w")
-    return es.predict(es.fit(rows.filter("doc_id % 3 <> 0"), task, "logistic_regression"), rows.filter("doc_id % 3 = 0"), task, "doc_id")
+    train, test = _held_out(spark, rows, "doc_id")
+    return es.predict(es.fit(train, task, "logistic_regression"), test, task, "doc_id")
 
 
 def _bags(spark, d):
@@ -128,22 +137,24 @@ def _(spark, d):
     orders = table(spark, d, "orders").select("o_orderkey", (F.col("o_totalprice") > 250000).cast("int").alias("label"))
     summary = bg.bag_summary(orders, table(spark, d, "lineitem"), "o_orderkey", "l_orderkey", ["l_quantity", "l_extendedprice"], ["mean", "max"]).fillna(0.0)
     task = Task("binary", [c for c in summary.columns if "__" in c or c == "bag_size"], "label")
-    rows = es.with_features(summary, task.source)
-    return es.predict(es.fit(rows.filter("o_orderkey % 3 <> 0"), task, "logistic_regression"), rows.filter("o_orderkey % 3 = 0"), task, "o_orderkey")
+    train, test = _held_out(spark, es.with_features(summary, task.source), "o_orderkey")
+    return es.predict(es.fit(train, task, "logistic_regression"), test, task, "o_orderkey")
 
 
 @query("es_instance_pooling")
 def _(spark, d):
-    rows = es.with_features(_bags(spark, d), ["q", "p"])
-    return es.instance_pooling(rows.filter("l_orderkey % 3 <> 0"), rows.filter("l_orderkey % 3 = 0"), Task("binary", ["q", "p"], "label"), "l_orderkey")
+    train, test = _held_out(spark, es.with_features(_bags(spark, d), ["q", "p"]), "l_orderkey")
+    return es.instance_pooling(train, test, Task("binary", ["q", "p"], "label"), "l_orderkey")
 
 
 @query("es_mi_svm")
 def _(spark, d):
-    rows = _bags(spark, d).withColumn("k", F.xxhash64("l_orderkey", "l_linenumber", "q", "p"))
-    model, rounds, ended = es.mi_svm(rows.filter("l_orderkey % 3 <> 0"), "l_orderkey", "k", ["q", "p"], "label")
-    scored = es.with_features(rows.filter("l_orderkey % 3 = 0"), ["q", "p"])
-    margins = es.predict(model, scored, Task("binary", ["q", "p"], "label"), "l_orderkey")
+    lines = _bags(spark, d).drop("label").withColumn("k", F.xxhash64("l_orderkey", "l_linenumber", "q", "p"))
+    # an order is positive where one of its lines is dear, which is what the method assumes of bags
+    dear = lines.groupBy("l_orderkey").agg((F.max("p") > 0.6).cast("int").alias("label"))
+    train, test = _held_out(spark, lines.join(dear, "l_orderkey"), "l_orderkey")
+    model, rounds, ended = es.mi_svm(train, "l_orderkey", "k", ["q", "p"], "label")
+    margins = es.predict(model, es.with_features(test, ["q", "p"]), Task("binary", ["q", "p"], "label"), "l_orderkey")
     scores = margins.groupBy("sample_id").agg(F.max("score").alias("score")).withColumn("label", F.when(F.col("score") >= 0, 1).otherwise(0))
     return scores.withColumns({"rounds": F.lit(rounds), "ended": F.lit(ended)})
 
