@@ -1,4 +1,4 @@
-"""Queries on preprocessing: documents with and without labels, and orders; training rows are those with even keys."""
+"""Queries on preprocessing: documents with and without labels, and orders; training rows are the first half of a shuffled order."""
 
 from __future__ import annotations
 
@@ -8,14 +8,21 @@ from foldwise.operators import preprocess as pp
 from foldwise.operators import resample as rs
 from foldwise.plans.registry import query, table
 
-DOCS = """docs as (select doc_id, n_chars::double as n_chars, lang, case when quality is null then null else source end as source, quality::double as quality,
- case when toxic = 1 then n_chars::double else 0 end as zeros, doc_id % 2 = 0 as train from documents left join labels using (doc_id))"""
+HALF = "ntile(2) over (order by md5('1:' || {key}), {key}) = 1"
+DOCS = f"""docs as (select doc_id, n_chars::double as n_chars, lang, case when quality is null then null else source end as source, quality::double as quality,
+ case when toxic = 1 then n_chars::double else 0 end as zeros, {HALF.format(key='doc_id')} as train from documents left join labels using (doc_id))"""
+
+
+def halves(frame, key):
+    """The frame with ``train``: whether a row is of the first of two shuffled blocks."""
+    return frame.join(rs.kfold(frame.select(key), key, 2, seed=1).select(key, (F.col("fold") == 0).alias("train")), key)
 
 
 def docs(spark, d):
     joined = table(spark, d, "documents").select("doc_id", "n_chars", "lang", "source").join(table(spark, d, "labels"), "doc_id", "left")
-    return joined.select("doc_id", F.col("n_chars").cast("double").alias("n_chars"), "lang", F.when(F.col("quality").isNotNull(), F.col("source")).alias("source"), F.col("quality").cast("double").alias("quality"),
-                         F.when(F.col("toxic") == 1, F.col("n_chars").cast("double")).otherwise(0.0).alias("zeros"), (F.col("doc_id") % 2 == 0).alias("train"))
+    made = joined.select("doc_id", F.col("n_chars").cast("double").alias("n_chars"), "lang", F.when(F.col("quality").isNotNull(), F.col("source")).alias("source"), F.col("quality").cast("double").alias("quality"),
+                         F.when(F.col("toxic") == 1, F.col("n_chars").cast("double")).otherwise(0.0).alias("zeros"))
+    return halves(made, "doc_id")
 
 
 def _train(frame):
@@ -65,10 +72,10 @@ def _(spark, d):
 BOX = "case when abs(p) < 1e-12 then ln(x) else (power(x, p) - 1) / p end"
 
 
-@query("pp_box_cox", f"with x as (select o_totalprice as x from orders where o_orderkey % 2 = 0), {POWER.format(f=BOX, slope='ln(x)')} select o_orderkey, p as power, round(({BOX} - a) / s, 5) + 0.0::double as o_totalprice from (select o_orderkey, o_totalprice as x from orders), best")
+@query("pp_box_cox", f"with x as (select o_totalprice as x from orders qualify {HALF.format(key='o_orderkey')}), {POWER.format(f=BOX, slope='ln(x)')} select o_orderkey, p as power, round(({BOX} - a) / s, 5) + 0.0::double as o_totalprice from (select o_orderkey, o_totalprice as x from orders), best")
 def _(spark, d):
     orders = table(spark, d, "orders").select("o_orderkey", "o_totalprice")
-    p = pp.fitted_powers(orders.filter("o_orderkey % 2 = 0"), "o_totalprice", "box-cox")
+    p = pp.fitted_powers(_train(halves(orders, "o_orderkey")), "o_totalprice", "box-cox")
     t = pp.standardized(pp.box_cox(F.col("o_totalprice"), F.col("o_totalprice__power")), F.col("o_totalprice__mean"), F.col("o_totalprice__std"))
     return orders.crossJoin(F.broadcast(p)).select("o_orderkey", F.col("o_totalprice__power").alias("power"), F.round(t, 5).alias("o_totalprice"))  # one row of statistics
 
@@ -76,14 +83,14 @@ def _(spark, d):
 @query("pp_one_hot", "select o_orderkey, " + ", ".join(f"""(o_orderstatus = '{c}')::integer as "o_orderstatus_{c}\"""" for c in "FOP") + " from orders")
 def _(spark, d):
     orders = table(spark, d, "orders").select("o_orderkey", "o_orderstatus")
-    return pp.one_hot(orders, orders.filter("o_orderkey % 2 = 0"), "o_orderstatus").drop("o_orderstatus")
+    return pp.one_hot(orders, _train(halves(orders, "o_orderkey")), "o_orderstatus").drop("o_orderstatus")
 
 
-@query("pp_infrequent_one_hot", """with kept as (select p_brand from part where p_partkey % 2 = 0 group by 1 order by count(*) desc, p_brand limit 4),
+@query("pp_infrequent_one_hot", f"""with kept as (select p_brand from (select p_brand, {HALF.format(key='p_partkey')} as train from part) where train group by 1 order by count(*) desc, p_brand limit 4),
 named as (select p_partkey, coalesce(kept.p_brand, 'infrequent') as category from part left join kept using (p_brand)) select category, count(*) as n from named group by 1""")
 def _(spark, d):
     parts = table(spark, d, "part").select("p_partkey", "p_brand")
-    wide = pp.one_hot(parts, parts.filter("p_partkey % 2 = 0"), "p_brand", most=5)
+    wide = pp.one_hot(parts, _train(halves(parts, "p_partkey")), "p_brand", most=5)
     columns = [c for c in wide.columns if c.startswith("p_brand_")]
     sums = wide.agg(*[F.sum(c).alias(c.removeprefix("p_brand_")) for c in columns])
     return sums.unpivot([], sums.columns, "category", "n")
@@ -132,11 +139,11 @@ def _(spark, d):
     return out.select("doc_id", "n_chars", "quality", F.col("lang__index").cast("int").alias("lang__index"))
 
 
-@query("pp_instance_scale", """with m as (select avg(l_quantity) as a, stddev_pop(l_quantity) as s from lineitem join orders on l_orderkey = o_orderkey where o_orderkey % 2 = 0)
+@query("pp_instance_scale", f"""with m as (select avg(l_quantity) as a, stddev_pop(l_quantity) as s from lineitem join (select o_orderkey, {HALF.format(key='o_orderkey')} as train from orders) on l_orderkey = o_orderkey where train)
 select l_orderkey, round(sum((l_quantity - a) / s), 5) as l_quantity from lineitem, m group by 1""")
 def _(spark, d):
     lines = table(spark, d, "lineitem").select("l_orderkey", "l_quantity")
-    bags = table(spark, d, "orders").filter("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("l_orderkey"))
+    bags = _train(halves(table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey"))
     scaled = pp.linear_policy(lines.join(bags, "l_orderkey", "left_semi"), [pp.Feature("l_quantity", "numeric")])(lines)
     return scaled.groupBy("l_orderkey").agg(F.round(F.sum("l_quantity"), 5).alias("l_quantity"))
 
