@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -76,3 +79,14 @@ def sample_variance_entropy(x: Column) -> Column:
 def gaussian_mutual_information(x: Column, y: Column) -> Column:
     """Mutual information of two columns taken as jointly normal (an aggregate)."""
     return -0.5 * F.log(1 - F.corr(x, y) * F.corr(x, y))
+
+
+def place(value: Column, cuts: Column, most: int) -> Column:
+    """How many of the ascending ``cuts`` (an array of at most ``most``) are below the value, found by halving."""
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(most.bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda i, step: F.when(F.get(cuts, i + step - 1) < value, i + step).otherwise(i))
+
+
+def same(names: Sequence[str], prefix: str) -> Column:
+    """The condition that columns equal those whose names have the prefix, nulls included."""
+    return reduce(lambda a, b: a & b, [F.col(n).eqNullSafe(F.col(f"{prefix}{n}")) for n in names], F.lit(True))

@@ -22,12 +22,14 @@ from (select *, floor(n_chars / 50.0::double) / (floor(n_chars / 50.0::double) +
 
 
 def multiclass(spark, d):
-    v = F.transform(F.slice("embedding", 1, 10), lambda x: x.cast("double") * 4)
+    # logit c: four times the sum of the entries at c, c + 10, c + 20, ...
+    v = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda c: 4 * F.aggregate(F.filter("embedding", lambda x, i: i % 10 == c), F.lit(0.0), lambda a, x: a + x.cast("double")))
     return table(spark, d, "embeddings").select(F.lit("all").alias("run_key"), F.col("vec_id").alias("sample_id"), F.col("label").alias("y_true"), v.alias("logits")).withColumn(
         "decision", fc.multiclass_decision(F.col("logits"))).select("run_key", "sample_id", "y_true", "decision.label", "decision.probabilities", "logits")
 
 
-MULTI = """e as (select vec_id as sample_id, label as y_true, unnest(range(10)) as c, unnest(list_transform(list_slice(embedding, 1, 10), lambda x: exp(x::double * 4))) as w from embeddings),
+MULTI = """x as (select vec_id as sample_id, label as y_true, unnest(range(len(embedding))) % 10 as c, unnest(embedding)::double as v from embeddings),
+e as (select sample_id, y_true, c, exp(4 * sum(v)) as w from x group by 1, 2, 3),
 m as (select sample_id, y_true, c, w / sum(w) over (partition by sample_id) as p from e)"""
 
 
@@ -58,12 +60,29 @@ def _(spark, d):
     return _one(mt.metrics_of(binary(spark, d), ["run_key"], ["roc_auc"]), "roc_auc")
 
 
-@query("mt_roc_auc_ovr", f"""with {MULTI},
-ranks as (select c, y_true = c as good, rank() over (partition by c order by p) + (count(*) over (partition by c, p) - 1) / 2.0::double as r from m),
-auc as (select c, sum(case when good then r else 0 end) as s, count(*) filter (good) as pos, count(*) filter (not good) as neg from ranks group by 1)
-select 'all' as run_key, round(avg((s - pos * (pos + 1) / 2.0::double) / (pos::double * neg)), 6) as roc_auc from auc where pos > 0 and neg > 0""")
+AREAS = """steps as (select c, p, sum(weight * (y_true = c)::integer) as pos, sum(weight * (y_true <> c)::integer) as neg from {table} group by 1, 2),
+below as (select *, coalesce(sum(neg) over (partition by c order by p rows between unbounded preceding and 1 preceding), 0) as b from steps),
+areas as (select c, sum(pos * (b + neg / 2.0::double)) / (sum(pos)::double * sum(neg)) as area, sum(pos) as size from below group by 1 having sum(pos) > 0 and sum(neg) > 0)"""
+
+
+@query("mt_roc_auc_ovr", f"with {MULTI}, t as (select *, 1.0::double as weight from m), {AREAS.format(table='t')} select 'all' as run_key, round(avg(area), 6) as roc_auc from areas")
 def _(spark, d):
-    return _one(mt.roc_auc_ovr(multiclass(spark, d), ["run_key"]), "roc_auc")
+    return _one(mt.metrics_of(multiclass(spark, d), ["run_key"], ["roc_auc"]), "roc_auc")
+
+
+@query("mt_roc_auc_weighted", f"""with {BINARY}, t as (select run_key as c, s_ as p, y_true, weight from (select *, score as s_ from b)),
+steps as (select c, p, sum(weight * (y_true = 1)::integer) as pos, sum(weight * (y_true <> 1)::integer) as neg from t group by 1, 2),
+below as (select *, coalesce(sum(neg) over (partition by c order by p rows between unbounded preceding and 1 preceding), 0) as b from steps)
+select c as run_key, case when sum(pos) > 0 and sum(neg) > 0 then round(sum(pos * (b + neg / 2.0::double)) / (sum(pos)::double * sum(neg)), 6) end as roc_auc from below group by 1""")
+def _(spark, d):
+    return _one(mt.metrics_of(binary(spark, d), ["run_key"], ["roc_auc"], weight="weight"), "roc_auc")
+
+
+@query("mt_roc_auc_by_class_size", f"""with {MULTI}, t as (select *, (sample_id % 3 + 1)::double as weight from m), {AREAS.format(table='t')}
+select 'all' as run_key, round(sum(area * size) / sum(size), 6) as roc_auc from areas""")
+def _(spark, d):
+    weighted = multiclass(spark, d).withColumn("weight", (F.col("sample_id") % 3 + 1).cast("double"))
+    return _one(mt.metrics_of(weighted, ["run_key"], ["roc_auc"], weight="weight", options={"roc_auc": {"average": "weighted"}}), "roc_auc")
 
 
 @query("mt_log_loss", f"with {MULTI} select 'all' as run_key, round(-avg(ln(greatest(least(p, 1 - 2.220446049250313e-16), 2.220446049250313e-16))), 6) as log_loss from m where c = y_true")
@@ -94,9 +113,21 @@ def _(spark, d):
     return found.select("run_key", F.round("accuracy", 6).alias("accuracy"), F.round("roc_auc", 6).alias("roc_auc"))
 
 
-@query("mt_weighted", f"with {BINARY} select run_key, round(sum(weight * (label = y_true)::integer) / sum(weight), 6) as accuracy from b group by 1")
+@query("mt_requested_of_several_classes", f"""with {MULTI}, t as (select *, 1.0::double as weight from m), {AREAS.format(table='t')},
+top as (select sample_id, y_true, c, row_number() over (partition by sample_id order by p desc, c) as r from m)
+select 'all' as run_key, (select round(avg((c = y_true)::integer), 6) from top where r = 1) as accuracy, (select round(avg(area), 6) from areas) as roc_auc""")
+def _(spark, d):
+    found = mt.metrics_of(multiclass(spark, d), ["run_key"], ["accuracy", "roc_auc"])
+    return found.select("run_key", F.round("accuracy", 6).alias("accuracy"), F.round("roc_auc", 6).alias("roc_auc"))
+
+
+@query("mt_weighted", f"""with {BINARY}, steps as (select run_key, score, sum(weight * (y_true = 1)::integer) as pos, sum(weight * (y_true <> 1)::integer) as neg from b group by 1, 2),
+below as (select *, coalesce(sum(neg) over (partition by run_key order by score rows between unbounded preceding and 1 preceding), 0) as under from steps),
+areas as (select run_key, case when sum(pos) > 0 and sum(neg) > 0 then sum(pos * (under + neg / 2.0::double)) / (sum(pos)::double * sum(neg)) end as area from below group by 1)
+select run_key, round(sum(weight * (label = y_true)::integer) / sum(weight), 6) as accuracy, round(any_value(area), 6) as roc_auc from b join areas using (run_key) group by 1""")
 def _(spark, d):
-    return _one(mt.metrics_of(binary(spark, d), ["run_key"], ["accuracy"], weight="weight"), "accuracy")
+    found = mt.metrics_of(binary(spark, d), ["run_key"], ["accuracy", "roc_auc"], weight="weight")
+    return found.select("run_key", F.round("accuracy", 6).alias("accuracy"), F.round("roc_auc", 6).alias("roc_auc"))
 
 
 @query("ud_metric", f"with {REGRESSION} select run_key, round(max(abs(y_true - value)), 4) as worst from r group by 1")
