@@ -6,9 +6,9 @@ A class is a function from the automaton's states to its states. Functions compo
 different ones arise, so a scan over numbers of functions, in blocks side by side, gives every code point's state, and with
 it the places where pieces begin. A text's first code point is a constant function, so texts are scanned in one run.
 
-Pieces are slices of the text's bytes. Their ids come from a cache, or from merging pairs by rank: in a loop for short
-pieces, by a heap and links for long ones, whose time grows with n log n. A text keeps, beside its ids, the byte at which
-each begins, so that any run of ids can be decoded by itself; decoding copies the tokens' bytes to those places.
+Pieces are slices of the text's bytes. Their ids come from a cache, or from merging pairs by rank: many short pieces side by
+side, a long one by a heap and links, whose time grows with n log n. A text keeps, beside its ids, the byte at which each
+begins, so that any run of ids can be decoded by itself; decoding copies the tokens' bytes to those places.
 
 Null texts count as empty; an empty text has no ids. Repeated rows repeat their result; there are no ties. Texts of any length are
 whole rows of one task, worked on by about 1 MB of text at a time, or by one text. Columns of other names are not
@@ -27,15 +27,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from foldwise.llm.common import text_batches
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
-#: Longest piece that is cached, most pieces in the cache, and length from which pieces are merged by a heap.
-CACHED_BYTES, CACHED_PIECES, LONG = 48, 400_000, 128
-#: Code points of a column of the scan; pieces or tokens that are held as single things at once.
-WIDTH, STRETCH = 64, 1 << 18
+#: Most pieces that the cache keeps, and length beyond which a piece is merged by a heap and not kept.
+CACHED_PIECES, LONG = 400_000, 128
+#: Code points of a column of the scan; pieces or tokens that are held as single things at once; pieces merged together.
+WIDTH, STRETCH, TOGETHER = 64, 1 << 18, 1 << 14
+#: More than any rank.
+NONE = 1 << 31
 
 # classes of code points: any other sign, letter, number, white space before white space or the end; then what needs a look ahead:
 # a blank and other white space before something else, and an apostrophe before one letter or two of a contraction
@@ -146,14 +147,51 @@ def boundaries(points: np.ndarray, first: np.ndarray, width: int = WIDTH) -> np.
     return np.flatnonzero(starts)
 
 
+class Pairs:
+    """Which token two tokens in a row make: an open-addressed table, looked up for many pairs at once."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        found = {(ranks[t[:i]] << 32) | ranks[t[i:]]: r for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks}
+        keys = np.fromiter(found.keys(), np.uint64, len(found))
+        bits = max(4, (4 * len(found)).bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.keys = np.full(1 << bits, np.uint64(0xFFFFFFFFFFFFFFFF))
+        self.made = np.full(1 << bits, NONE, np.int64)
+        made = np.fromiter(found.values(), np.int64, len(found))
+        at, left, self.tries = self.place(keys), np.arange(len(keys)), 0
+        while len(left):
+            self.tries += 1
+            free = self.made[at[left]] == NONE
+            self.keys[at[left[free]]] = keys[left[free]]
+            # of those that chose one slot the last is in it
+            here = free & (self.keys[at[left]] == keys[left])
+            self.made[at[left[here]]] = made[left[here]]
+            left = left[~here]
+            at[left] = (at[left] + 1) & ((1 << bits) - 1)
+
+    def place(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def joined(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The token of each pair, or NONE."""
+        keys = (left.astype(np.uint64) << np.uint64(32)) | right.astype(np.uint64)
+        at = self.place(keys)
+        out = np.where(self.keys[at] == keys, self.made[at], NONE)
+        for _ in range(self.tries - 1):
+            at = (at + 1) & (len(self.keys) - 1)
+            hit = self.keys[at] == keys
+            out[hit] = self.made[at[hit]]
+        return out
+
+
 class Vocabulary:
-    """Ranks of byte strings, the cache of pieces, and the tokens' bytes in a row."""
+    """Ranks of byte strings, the cache of pieces' ids, and the tokens' bytes in a row."""
 
     def __init__(self, path: str):
         with open(path, "rb") as lines:
             pairs = [line.split() for line in lines if line.strip()]
         self.ranks = {base64.b64decode(token): int(rank) for token, rank in pairs}
-        self.cache: dict[bytes, tuple[bytes, bytes]] = {}
+        self.cache: dict[bytes, bytes] = {}
         size = max(self.ranks.values()) + 1
         by_rank = [b""] * size
         for token, rank in self.ranks.items():
@@ -161,26 +199,61 @@ class Vocabulary:
         self.lengths = np.array([len(t) for t in by_rank], np.int64)
         self.starts = np.concatenate([[0], np.cumsum(self.lengths)])[:-1]
         self.data = np.frombuffer(b"".join(by_rank), np.uint8)
-
-    def merged(self, piece: bytes) -> list[int]:
-        """Ids of a piece: again and again the pair of lowest rank is joined, the leftmost of equal ones."""
-        known = self.ranks.get(piece)
-        if known is not None:
-            return [known]
-        if len(piece) > LONG:
-            return self.merged_by_heap(piece)
-        parts, get = [piece[i: i + 1] for i in range(len(piece))], self.ranks.get
-        none = len(self.lengths)
-        pairs = [get(a + b, none) for a, b in zip(parts, parts[1:], strict=False)]
-        while pairs and (least := min(pairs)) < none:
-            i = pairs.index(least)
-            parts[i: i + 2] = [parts[i] + parts[i + 1]]
-            del pairs[i]
-            if i < len(pairs):
-                pairs[i] = get(parts[i] + parts[i + 1], none)
-            if i:
-                pairs[i - 1] = get(parts[i - 1] + parts[i], none)
-        return [self.ranks[p] for p in parts]
+        self.single = np.array([self.ranks[bytes([i])] for i in range(256)], np.int64)
+        self.pairs = Pairs(self.ranks)
+
+    def learn(self, pieces: list[bytes]) -> None:
+        """Ids of pieces into the cache, merged side by side: in each round, of every piece that still has a pair the leftmost
+        pair of lowest rank."""
+        whole = [p for p in pieces if p not in self.ranks and len(p) <= LONG]
+        for p in pieces:
+            if p in self.ranks:
+                self.cache[p] = self.ranks[p].to_bytes(4, "little")
+            elif len(p) > LONG:
+                self.cache[p] = np.array(self.merged_by_heap(p), "<u4").tobytes()
+        for i in range(0, len(whole), TOGETHER):
+            part = whole[i: i + TOGETHER]
+            ids, ends = self.merged(part)
+            data, at = ids.astype("<u4").tobytes(), (4 * ends).tolist()
+            self.cache.update(zip(part, (data[a:b] for a, b in zip(at, at[1:], strict=False)), strict=True))
+
+    def merged(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces in a row, and where each piece's begin (one more than pieces); no piece is empty."""
+        sizes = np.array([len(p) for p in pieces])
+        ids = self.single[np.frombuffer(b"".join(pieces), np.uint8)]
+        starts = np.cumsum(sizes) - sizes
+        n = len(ids)
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        after[starts + sizes - 1] = n
+        before[starts] = -1
+        # what each token and the one after it make; a last token makes nothing
+        made = np.full(n + 1, NONE)
+        inner = np.flatnonzero(after < n)
+        made[inner] = self.pairs.joined(ids[inner], ids[inner + 1])
+        alive = np.ones(n, bool)
+        rows, active_starts, active_sizes = np.arange(n), starts, sizes
+        while len(rows):
+            # of rank and place the least; pieces without a pair leave, and places that were joined away go from time to time
+            best = np.minimum.reduceat(made[rows] * n + rows, active_starts)
+            going = best < NONE * n
+            i = best[going] % n
+            ids[i] = made[i]
+            gone = after[i]
+            alive[gone] = False
+            made[gone] = NONE
+            after[i] = after[gone]
+            inside = after[i] < n
+            before[after[i][inside]] = i[inside]
+            made[i] = NONE
+            made[i[inside]] = self.pairs.joined(ids[i[inside]], ids[after[i[inside]]])
+            left = i[before[i] >= 0]
+            made[before[left]] = self.pairs.joined(ids[before[left]], ids[left])
+            keep = np.repeat(going, active_sizes) & alive[rows]
+            active_sizes = np.add.reduceat(keep.astype(np.int64), active_starts)[going]
+            rows = rows[keep]
+            active_starts = np.cumsum(active_sizes) - active_sizes
+        counts = np.add.reduceat(alive.astype(np.int64), starts)
+        return ids[alive], np.concatenate([[0], np.cumsum(counts)])
 
     def merged_by_heap(self, piece: bytes) -> list[int]:
         n, get = len(piece), self.ranks.get
@@ -202,16 +275,6 @@ class Vocabulary:
                 heapq.heappush(heap, (r, before[i], stop))
         return [self.ranks[piece[i:e]] for i, e in enumerate(end) if e]
 
-    def ids(self, piece: bytes) -> tuple[bytes, bytes]:
-        """Ids and the tokens' lengths, as unsigned 32-bit numbers."""
-        found = np.array(self.merged(piece), np.uint32)
-        made = found.tobytes(), self.lengths[found].astype(np.uint32).tobytes()
-        if len(piece) <= CACHED_BYTES:
-            if len(self.cache) >= CACHED_PIECES:
-                self.cache.clear()
-            self.cache[piece] = made
-        return made
-
     def encoded(self, data: bytes, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of texts in a row (``ends``: byte offsets, one more than texts): ids, each token's first byte within its text,
         and the texts' offsets into both."""
@@ -220,20 +283,28 @@ class Vocabulary:
         places = np.flatnonzero((raw & 0xC0) != 0x80)
         full = np.flatnonzero(np.diff(ends))
         starts = places[boundaries(points, np.searchsorted(places, ends[full]))]
-        cuts = np.append(starts, len(data)).tolist()
-        cached, found, sizes = self.cache.get, [], []
+        cuts, found = np.append(starts, len(data)).tolist(), []
         for i in range(0, len(starts), STRETCH):
             stretch = cuts[i: i + STRETCH + 1]
             pieces = [data[a:b] for a, b in zip(stretch, stretch[1:], strict=False)]
-            parts = [cached(piece) or self.ids(piece) for piece in pieces]
-            found.append(b"".join([p[0] for p in parts]))
-            sizes.append(b"".join([p[1] for p in parts]))
-        ids = np.frombuffer(b"".join(found), np.uint32)
-        lengths = np.frombuffer(b"".join(sizes), np.uint32).astype(np.int64)
+            self.learn(list(set(pieces).difference(self.cache)))
+            found.append(b"".join(map(self.cache.__getitem__, pieces)))
+            if len(self.cache) > CACHED_PIECES or any(len(p) > LONG for p in pieces):
+                self.forget()
+        ids = np.frombuffer(b"".join(found), "<u4")
+        lengths = self.lengths[ids]
         first = np.cumsum(lengths) - lengths
         offsets = np.searchsorted(first, ends)
         return ids, first - np.repeat(ends[:-1], np.diff(offsets)), offsets
 
+    def forget(self) -> None:
+        """Empty the cache where it is full, else drop long pieces only."""
+        if len(self.cache) > CACHED_PIECES:
+            self.cache.clear()
+        else:
+            for piece in [p for p in self.cache if len(p) > LONG]:
+                del self.cache[piece]
+
     def decoded(self, ids: np.ndarray, first: np.ndarray, base: np.ndarray) -> bytes:
         """The tokens' bytes, each written to its place; ``base``: where each token's text begins in the result."""
         out = np.zeros(int(self.lengths[ids].sum()), np.uint8)
@@ -255,52 +326,54 @@ def vocabulary(ranks: str) -> Vocabulary:
     return Vocabulary(ranks)
 
 
-def encoded(documents: DataFrame, ranks: str = RANKS) -> DataFrame:
-    """doc_id, ids, and offsets: the byte of the text at which each id's token begins."""
+def encoded_batches(batches: Iterator[pa.RecordBatch], ranks: str) -> Iterator[pa.RecordBatch]:
+    for batch, data, ends in text_batches(batches):
+        ids, first, offsets = vocabulary(ranks).encoded(data.tobytes(), ends)
+        at = pa.array(offsets.astype(np.int32))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), pa.ListArray.from_arrays(at, pa.array(ids.astype(np.int32))), pa.ListArray.from_arrays(at, pa.array(first))],
+            ["doc_id", "ids", "offsets"])
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, data, ends in text_batches(batches):
-            ids, first, offsets = vocabulary(ranks).encoded(data.tobytes(), ends)
-            at = pa.array(offsets.astype(np.int32))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.ListArray.from_arrays(at, pa.array(ids.astype(np.int32))), pa.ListArray.from_arrays(at, pa.array(first))],
-                ["doc_id", "ids", "offsets"])
 
-    return documents.select("doc_id", "text").mapInArrow(encode, "doc_id long, ids array<int>, offsets array<long>")
+def decoded_batches(batches: Iterator[pa.RecordBatch], ranks: str) -> Iterator[pa.RecordBatch]:
+    known = vocabulary(ranks)
+    for whole in batches:
+        for i in range(0, len(whole), 256):
+            batch = whole.slice(i, 256)
+            counts = batch.column("ids").value_lengths().to_numpy()
+            ids, first = (batch.column(c).flatten().to_numpy() for c in ("ids", "offsets"))
+            sizes = np.concatenate([[0], np.cumsum(known.lengths[ids])])[np.concatenate([[0], np.cumsum(counts)])]
+            data = known.decoded(ids, first, np.repeat(sizes[:-1], counts))
+            texts = [data[a:b] for a, b in zip(sizes.tolist(), sizes[1:].tolist(), strict=False)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("ids"), pa.array(texts, pa.binary())], ["doc_id", "ids", "data"])
 
 
-def decoded(codes: DataFrame, ranks: str = RANKS) -> DataFrame:
-    """doc_id, ids and data: the bytes that the ids stand for."""
+def digest_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        offsets = batch.column("ids").offsets.to_numpy().tolist()
+        data = batch.column("ids").values.to_numpy().astype("<u4").tobytes()
+        by_ids = [hashlib.sha256(data[4 * a: 4 * b]).hexdigest() for a, b in zip(offsets, offsets[1:], strict=False)]
+        by_data = [hashlib.sha256(x).hexdigest() for x in batch.column("data").to_pylist()]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), pa.array(np.diff(offsets).astype(np.int64)), pa.array(by_ids, pa.string()), pa.array(by_data, pa.string())],
+            ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = vocabulary(ranks)
-        for whole in batches:
-            for i in range(0, len(whole), 256):
-                batch = whole.slice(i, 256)
-                counts = batch.column("ids").value_lengths().to_numpy()
-                ids, first = (batch.column(c).flatten().to_numpy() for c in ("ids", "offsets"))
-                sizes = np.concatenate([[0], np.cumsum(known.lengths[ids])])[np.concatenate([[0], np.cumsum(counts)])]
-                data = known.decoded(ids, first, np.repeat(sizes[:-1], counts))
-                texts = [data[a:b] for a, b in zip(sizes.tolist(), sizes[1:].tolist(), strict=False)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("ids"), pa.array(texts, pa.binary())], ["doc_id", "ids", "data"])
 
-    return codes.select("doc_id", "ids", "offsets").mapInArrow(decode, "doc_id long, ids array<int>, data binary")
+def encoded(documents: DataFrame, ranks: str = RANKS) -> DataFrame:
+    """doc_id, ids, and offsets: the byte of the text at which each id's token begins."""
+    return documents.select("doc_id", "text").mapInArrow(lambda b: encoded_batches(b, ranks), "doc_id long, ids array<int>, offsets array<long>")
 
 
-def digests(texts: DataFrame) -> DataFrame:
-    """Numbers of ids and the SHA-256 of ids and bytes."""
+def decoded(codes: DataFrame, ranks: str = RANKS) -> DataFrame:
+    """doc_id, ids and data: the bytes that the ids stand for."""
+    return codes.select("doc_id", "ids", "offsets").mapInArrow(lambda b: decoded_batches(b, ranks), "doc_id long, ids array<int>, data binary")
 
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            offsets = batch.column("ids").offsets.to_numpy().tolist()
-            data = batch.column("ids").values.to_numpy().astype("<u4").tobytes()
-            by_ids = [hashlib.sha256(data[4 * a: 4 * b]).hexdigest() for a, b in zip(offsets, offsets[1:], strict=False)]
-            counts = np.diff(offsets).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts), pa.array(by_ids, pa.string()), batch.column("data")], ["doc_id", "n_tokens", "ids_sha256", "data"])
 
-    made = texts.mapInArrow(digest, "doc_id long, n_tokens long, ids_sha256 string, data binary")
-    return made.select("doc_id", "n_tokens", "ids_sha256", F.sha2("data", 256).alias("decoded_sha256"))
+def digests(documents: DataFrame, ranks: str = RANKS) -> DataFrame:
+    """Texts there and back in one task: numbers of ids, and the SHA-256 of the ids and of the bytes that they decode to."""
+    return documents.select("doc_id", "text").mapInArrow(
+        lambda b: digest_batches(decoded_batches(encoded_batches(b, ranks), ranks)), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digests(decoded(encoded(spark.read.parquet(f"{sf_dir}/documents.parquet"))))
+    return digests(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -258,13 +258,15 @@ def test_long_pieces_and_texts(reference):
 
 
 def test_tokens_of_documents(spark, documents, texts, no_documents, reference):
-    got = byte_bpe.digests(byte_bpe.decoded(byte_bpe.encoded(documents))).collect()
+    got = byte_bpe.digests(documents).collect()
     expected = collections.Counter()
     for i, text in texts:
         ids = reference.encode_ordinary(text or "")
         expected[i, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((text or "").encode()).hexdigest()] += 1
     assert collections.Counter(tuple(r) for r in got) == expected
-    assert byte_bpe.digests(byte_bpe.decoded(byte_bpe.encoded(no_documents))).count() == 0
+    assert byte_bpe.digests(no_documents).count() == 0
+    back = collections.Counter((r["doc_id"], bytes(r["data"])) for r in byte_bpe.decoded(byte_bpe.encoded(documents)).collect())
+    assert back == collections.Counter((i, (t or "").encode()) for i, t in texts)
 
 
 def test_offsets_decode_any_run(documents, texts):
