@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from foldwise.functions.columns import place
+
 #: Named bag statistics; register further ones here.
 STATISTICS: dict[str, Callable[[Column], Column]] = {
     "mean": F.avg, "std": F.stddev_pop, "min": F.min, "max": F.max}
@@ -97,12 +99,10 @@ def total_correlation(instances: DataFrame, bag: str, columns: Sequence[str]) ->
 
 def offsets(sizes: DataFrame, bag: str, size: str) -> DataFrame:
     """Where each bag's instances start and end when bags follow in the order of their ids."""
-    from foldwise.operators.resample import RANGES
+    from foldwise.operators.resample import range_cuts
 
-    above = F.lit(0)
-    for c in sorted(set(sizes.approxQuantile(bag, [i / RANGES for i in range(1, RANGES)], 0.01))):
-        above = above + (F.col(bag) > c).cast("int")
-    ranged = sizes.withColumn("_range", above)
+    cuts = range_cuts(sizes, bag, sizes.count())
+    ranged = sizes.withColumn("_range", place(F.col(bag), F.array(*map(F.lit, cuts)), len(cuts)) if cuts else F.lit(0))
     parts = ranged.groupBy("_range").agg(F.sum(size).alias("_sum"))
     before = parts.select("_range", (F.sum("_sum").over(W.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(W.unboundedPreceding, 0)) - F.col("_sum")).alias("_before"))
     stop = F.sum(size).over(W.partitionBy("_range").orderBy(bag).rowsBetween(W.unboundedPreceding, 0))

@@ -1,37 +1,45 @@
 """Splits as tables of assignments: resample_id, key, role and, for draws with replacement, multiplicity.
 
 The order of a shuffled split is that of an MD5 of seed and key; so rows are placed by ranges of the MD5's first digits and
-numbered within them, and no window runs over a whole table. The order of an unshuffled split is that of a numeric key,
-placed by ranges between quantiles.
+numbered within them, and no window runs over a whole table. The order of an unshuffled split is that of the key, of any type
+that can be ordered, placed by ranges between keys of a sample. The number of ranges grows with the rows. Rows with a null key are rows
+like others: first in an unshuffled order.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from foldwise.functions.columns import shuffle_key
+from foldwise.functions.columns import place, same, shuffle_key
 
-#: Ranges that an unshuffled order is cut into.
-RANGES = 64
-#: Hexadecimal digits that make a range of a shuffled order: 4,096 ranges.
-DIGITS = 3
+#: Rows that a range holds in the mean; most ranges; sampled keys for each range.
+ROWS, MOST, SAMPLED = 1_000_000, 4096, 16
 
 
-def ranked(frame: DataFrame, key: str, seed: str | int | None = None, within: Sequence[str] = ()) -> DataFrame:
+def range_cuts(frame: DataFrame, key: str, n: int, rows: int = ROWS) -> list:
+    """Ascending keys that cut the order into ranges of about ``rows`` of the n rows: from a sample that is bounded by MOST x SAMPLED keys."""
+    ranges = min(MOST, -(-n // rows))
+    if ranges <= 1:
+        return []
+    sample = frame.select(F.col(key).alias("_key")).filter("_key is not null").orderBy(F.xxhash64("_key"), "_key").limit(ranges * SAMPLED).sort("_key").collect()
+    return list(dict.fromkeys(sample[len(sample) * i // ranges][0] for i in range(1, ranges)))
+
+
+def ranked(frame: DataFrame, key: str, seed: str | int | None = None, within: Sequence[str] = (), rows: int = ROWS) -> DataFrame:
     """The frame with ``position`` (from 0) and ``n_rows`` in the order of the split, within each group of ``within``."""
-    within = list(within)
+    within, n = list(within), frame.count()
     if seed is not None:
-        ordered = frame.withColumn("_order", shuffle_key(F.col(key), seed)).withColumn("_range", F.substring("_order", 1, DIGITS))
+        digits = max(1, math.ceil(math.log(max(1, n / rows), 16)))
+        ordered = frame.withColumn("_order", F.coalesce(shuffle_key(F.col(key), seed), F.md5(F.lit(f"{seed}:")))).withColumn("_range", F.substring("_order", 1, digits))
     else:
-        cuts = [c for c in frame.approxQuantile(key, [i / RANGES for i in range(1, RANGES)], 0.01)]
-        above = F.lit(0)
-        for c in sorted(set(cuts)):
-            above = above + (F.col(key) > c).cast("int")
+        cuts = range_cuts(frame, key, n, rows)
+        above = place(F.col(key), F.array(*map(F.lit, cuts)), len(cuts)) if cuts else F.lit(0)
         ordered = frame.withColumn("_order", F.col(key)).withColumn("_range", above)
     groups = W.partitionBy(*within) if within else W.partitionBy(F.lit(0))
     counts = ordered.groupBy(*within, "_range").agg(F.count("*").alias("_count"))
@@ -39,9 +47,7 @@ def ranked(frame: DataFrame, key: str, seed: str | int | None = None, within: Se
         *[F.col(c).alias(f"_{c}") for c in within], F.col("_range").alias("_place"),
         (F.sum("_count").over(groups.orderBy("_range").rowsBetween(W.unboundedPreceding, 0)) - F.col("_count")).alias("_before"),
         F.sum("_count").over(groups).alias("n_rows"))
-    on = F.col("_range") == F.col("_place")
-    for c in within:
-        on = on & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    on = (F.col("_range") == F.col("_place")) & same(within, "_")
     number = F.row_number().over(W.partitionBy(*within, "_range").orderBy("_order", key)) - 1
     return ordered.withColumn("_number", number).join(places, on).withColumn("position", F.col("_before") + F.col("_number")).drop(
         "_order", "_range", "_number", "_place", "_before", *[f"_{c}" for c in within])
@@ -56,6 +62,7 @@ def block(position: Column, n_rows: Column, k: int) -> Column:
 
 def holdout(frame: DataFrame, key: str, test_size: float, seed: int | None = None, repeat: int = 0, within: Sequence[str] = ()) -> DataFrame:
     """One split; the last rows of the order are the test rows."""
+    share_of(test_size)
     rows = ranked(frame, key, None if seed is None else f"{seed}:{repeat}" if repeat else seed, within)
     tests = F.ceil(F.lit(test_size) * F.col("n_rows"))
     return rows.select(F.lit(f"repeat_{repeat:02d}").alias("resample_id"), key, F.when(F.col("position") >= F.col("n_rows") - tests, "test").otherwise("train").alias("role"))
@@ -75,6 +82,7 @@ def class_quotas(frame: DataFrame, label: str, size: float, by: Sequence[str] =
 
 def stratified_holdout(frame: DataFrame, key: str, label: str, test_size: float, seed: int, repeat: int = 0) -> DataFrame:
     """One split with the classes in proportion."""
+    share_of(test_size)
     rows = ranked(frame, key, f"{seed}:{repeat}" if repeat else seed, [label])
     quotas = class_quotas(frame, label, test_size)
     return rows.join(quotas, F.col(label).eqNullSafe(F.col("_label"))).select(
@@ -88,13 +96,27 @@ def fold_roles(folds: DataFrame, key: str, k: int, *others: str) -> DataFrame:
         F.format_string("fold_%02d", "_f").alias("resample_id"), key, *others, F.when(F.col("fold") == F.col("_f"), "test").otherwise("train").alias("role"))
 
 
+def folds_of(k: int) -> int:
+    if isinstance(k, bool) or not isinstance(k, int) or k < 2:
+        raise ValueError(f"folds are two or more, not {k}")
+    return k
+
+
+def share_of(size: float) -> float:
+    if not isinstance(size, (int, float)) or isinstance(size, bool) or not 0 < size < 1:
+        raise ValueError(f"a part of the rows is more than 0 and less than 1, not {size}")
+    return float(size)
+
+
 def kfold(frame: DataFrame, key: str, k: int, seed: int | None = None) -> DataFrame:
     """key and the fold that tests it: contiguous blocks of the order."""
+    folds_of(k)
     return ranked(frame, key, seed).select(key, block(F.col("position"), F.col("n_rows"), k).alias("fold"))
 
 
 def stratified_kfold(frame: DataFrame, key: str, label: str, k: int, seed: int | None = None) -> DataFrame:
     """key and fold; each fold gets of a class what a deal of the rows sorted by class would give it."""
+    folds_of(k)
     counts = frame.groupBy(label).agg(F.count("*").alias("_n")).select(
         F.col(label).alias("_label"), "_n", (F.sum("_n").over(W.partitionBy(F.lit(0)).orderBy(label).rowsBetween(W.unboundedPreceding, 0)) - F.col("_n")).alias("_from"))
     quotas = counts.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(k - 1)))).withColumn(
@@ -111,7 +133,7 @@ def group_kfold(frame: DataFrame, key: str, groups: Sequence[str], k: int) -> Da
     Groups of one size are alike for the balance, so the driver deals sizes (few) and not groups: it counts how many
     groups of each size a fold gets, and groups of a size follow in the order of their names.
     """
-    groups = list(groups)
+    groups, k = list(groups), folds_of(k)
     name = F.to_json(F.struct(*groups), {"ignoreNullFields": "false"})
     named = frame.select(key, name.alias("_group"))
     sizes = named.groupBy("_group").agg(F.count("*").alias("_size"))
@@ -172,6 +194,7 @@ def bootstrap(frame: DataFrame, key: str, samples: int, seed: int) -> DataFrame:
 def with_validation(assignment: DataFrame, key: str, valid_size: float, seed: int, label: str | None = None) -> DataFrame:
     """Carve the last rows of each resample's train rows into a validation role; by classes in proportion where the
     assignment carries a label."""
+    share_of(valid_size)
     train = assignment.filter("role = 'train'")
     if label is None:
         rows = ranked(train, key, seed, ["resample_id"]).withColumn("quota", F.ceil(F.lit(valid_size) * F.col("n_rows")))
@@ -184,10 +207,12 @@ def with_validation(assignment: DataFrame, key: str, valid_size: float, seed: in
 
 def with_group_validation(assignment: DataFrame, key: str, group: str, valid_size: float, seed: int) -> DataFrame:
     """As with_validation, by whole groups; the assignment carries the group column."""
+    share_of(valid_size)
     train = assignment.filter("role = 'train'")
     groups = ranked(train.select("resample_id", group).distinct(), group, seed, ["resample_id"])
     valid = groups.filter(F.col("position") < F.ceil(F.lit(valid_size) * F.col("n_rows"))).select("resample_id", group, F.lit(True).alias("_valid"))
-    return train.join(valid, ["resample_id", group], "left").withColumn("role", F.when(F.col("_valid"), "valid").otherwise("train")).drop("_valid").unionByName(
+    return train.join(valid.select("resample_id", F.col(group).alias("_group"), "_valid").withColumnRenamed("resample_id", "_resample_id"),
+                      same(["resample_id"], "_") & F.col(group).eqNullSafe(F.col("_group")), "left").drop("_resample_id", "_group").withColumn("role", F.when(F.col("_valid"), "valid").otherwise("train")).drop("_valid").unionByName(
         assignment.filter("role <> 'train'"))
 
 

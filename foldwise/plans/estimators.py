@@ -12,7 +12,7 @@ from foldwise.operators import reports as rp
 from foldwise.operators import resample as rs
 from foldwise.operators import study as st
 from foldwise.plans.registry import query, table
-from foldwise.plans.sources import new_path
+from foldwise.sources.store import new_path
 from foldwise.sources.tables import Task
 
 

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from foldwise.functions import columns as fc
@@ -14,12 +11,7 @@ from foldwise.plans.registry import query, table
 from foldwise.sources import relational_text as rt
 from foldwise.sources import store
 from foldwise.sources import tables as tb
-
-
-def new_path(spark, name):
-    """A new path in the folder that driver and executors share."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="foldwise-")
-    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+from foldwise.sources.store import new_path
 
 
 @query("src_table", "select count(*) as n_rows, (select count(*) from (select o_orderkey from orders group by 1 having count(*) > 1)) as n_repeated, 'id' as row_id_kind from orders")
@@ -139,7 +131,7 @@ def _(spark, d):
     parts, wanted = orders.groupBy("part").agg(F.count("*").alias("n_rows")), None
     for i in range(5):
         one = store.manifest(spark, f"{path}/part={i}").filter("file like '%.parquet'").limit(1).select(
-            F.lit(i).alias("part"), F.lit("gone").alias("file") if i == 0 else "file", (F.col("length") + F.lit(i == 2).cast("int")).alias("length"),
+            F.lit(i).alias("part"), (F.lit("gone") if i == 0 else F.concat(F.lit(f"part={i}/"), "file")).alias("file"), (F.col("length") + F.lit(i == 2).cast("int")).alias("length"),
             F.lit("other").alias("sha256") if i == 1 else "sha256")
         wanted = one if wanted is None else wanted.unionByName(one)
     checked = store.verified(spark, path, wanted.drop("part")).join(wanted.select("file", "part"), "file").join(parts, "part")

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+import tempfile
+import uuid
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -100,10 +103,29 @@ def append_history(history: DataFrame, path: str) -> None:
     history.write.mode("append").parquet(path)
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share, spark.checkpoint.dir. Where it is unset, a Spark that runs in
+    one process takes a folder of its own, and any other refuses."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not re.fullmatch(r"local(\[[^,\]]*(,[^\]]*)?\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="foldwise-")
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def file_system(spark: SparkSession, path: str):
+    """Hadoop's file system of a path, and the path as it names it."""
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return system, system.makeQualified(there)
+
+
 def manifest(spark: SparkSession, path: str) -> DataFrame:
-    """Name, length and SHA-256 of the files under a path."""
+    """Path below the root, length and SHA-256 of the files under a path."""
+    root = file_system(spark, path)[1].toString().rstrip("/")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return files.select(F.regexp_extract("path", "([^/]+)$", 1).alias("file"), "length", F.sha2("content", 256).alias("sha256"))
+    return files.select(F.col("path").substr(F.lit(len(root) + 2), F.length("path")).alias("file"), "length", F.sha2("content", 256).alias("sha256"))
 
 
 def verified(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
@@ -111,3 +133,20 @@ def verified(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
     found = manifest(spark, path).select("file", F.col("length").alias("_length"), F.col("sha256").alias("_sha"))
     problem = F.when(F.col("_length").isNull(), "missing").when(F.col("_length") != F.col("length"), "length").when(F.col("_sha") != F.col("sha256"), "sha256")
     return wanted.join(found, "file", "left").select("file", "length", "sha256", problem.alias("problem"))
+
+
+def staged(spark: SparkSession, path: str, write: Callable[[str], None]) -> None:
+    """Let ``write`` fill a folder beside the destination and rename it when all is there; a destination that exists is
+    refused, and a failure leaves nothing behind."""
+    system, there = file_system(spark, path)
+    if system.exists(there):
+        raise FileExistsError(f"{path} exists already")
+    beside = f"{path.rstrip('/')}.staging-{uuid.uuid4().hex}"
+    system, stage = file_system(spark, beside)
+    try:
+        write(beside)
+        if not system.rename(stage, there):
+            raise OSError(f"{beside} couldn't be renamed to {path}")
+    except BaseException:
+        system.delete(stage, True)
+        raise
