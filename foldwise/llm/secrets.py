@@ -1,8 +1,9 @@
 """Secret scans by assignment-aware lexing.
 
 Three base patterns give spans of the kinds assign, access and hex. Beside them, source and configuration syntax is lexed
-into pairs of a name and an expression of literals and other names: assignments, mappings with the value behind the name or
-on the next line, subscripts, attributes and elements of tags, logins in addresses. Constants are propagated from name to
+into pairs of a name and an expression of literals and other names: assignments (also of lists and with types), mappings with
+the value behind the name or on the next line, definitions and options of commands, arguments behind a name, subscripts,
+attributes and elements of tags, logins in addresses. Constants are propagated from name to
 name, and a literal scores by the most sensitive name that it reaches and by its own form. Literals that score enough are
 spans of the kind named. The inside of each literal is lexed once more, for connection strings, options and JSON in
 strings. Spans count code points, ends exclusive.
@@ -26,7 +27,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from foldwise.llm.common import text_batches
+from foldwise.llm.common import text_batches, unwrapped, wrapped
 
 KINDS = ("assign", "access", "hex", "named")
 ASSIGN = re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -37,7 +38,7 @@ LEAST_VALUE, LEAST_SCORE = 6, 0.5
 ENOUGH_BITS, LEAST_PHRASE = 20, 12
 PHRASE = re.compile(r"[a-z0-9]+(?:[ _-][a-z0-9]+){2,7}")
 
-OPERATOR = re.compile(r":=|=>|(?<![=!<>+*/%&|^-])=(?![=>])|:(?![:=/\\])")
+OPERATOR = re.compile(r":=|=>|<-(?=[ \t])|(?<![=!<>+*/%&|^-])=(?![=>])|:(?![:=/\\])")
 #: The characters of a name that ends before an operator, read backwards.
 NAME_BACK = re.compile(r"[A-Za-z0-9_.$-]+")
 TERM = re.compile(r"""(?:([rbuf]{0,2})("(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`)|(\$\{?[A-Za-z_]\w*\}?|[A-Za-z_][\w.]*(?![\w+/=-]))|([^\s"'`#;,(){}\[\]<>]+))""")
@@ -50,14 +51,21 @@ TRIPLE = re.compile(r"""[rbuf]{0,2}(\"{3}|'{3})""")
 SCHEME = re.compile(r"""(?:[Bb]earer|[Bb]asic|[Tt]oken)[ \t]+([A-Za-z0-9+/_.=~-]+)""")
 #: A value inside a literal; without quotes it ends at separators.
 INNER = re.compile(r"""[ \t]*(?:\\?"([^"\\\n]*)|\\?'([^'\\\n]*)|([^\s"'`;&,\\(){}\[\]<>]+))""")
-TAG = re.compile(r"<([A-Za-z][\w.:-]*)([^<>]*)>([^<>]*)")
-ATTRIBUTE = re.compile(r"""([A-Za-z_][\w.:-]*)[ \t\r\n]*=[ \t\r\n]*(?:"([^"]*)"|'([^']*)')""")
+TAG = re.compile(r"<([A-Za-z][\w.:-]*+)([^<>]*+)>([^<>]*+)")
+ATTRIBUTE = re.compile(r"""(?<![\w.:-])([A-Za-z_][\w.:-]*+)[ \t\r\n]*+=[ \t\r\n]*+(?:"([^"]*+)"|'([^']*+)')""")
+#: A name that a command, a definition or an option sets to what follows, and one that a call gets as its argument before another.
+COMMAND = re.compile(r"""(?:^[ \t]*+(?:\#[ \t]*+define|setenv|ENV|ARG)[ \t]++|(?<![\w-])--)([A-Za-z_][\w-]*+)[ \t]++(?=[\w"'`])""", re.M)
+ARGUMENT = re.compile(r"""\([ \t]*+(?:"([\w.-]++)"|'([\w.-]++)')[ \t]*+,""")
+#: A list of values opens; the next value of one; what makes a value a name of its own.
+OPENS, NEXT, NAMES = re.compile(r"""[ \t]*+[\[{(][ \t\r\n]*+(?=[rbuf]{0,2}["'`])"""), re.compile(r"[ \t]*+,[ \t\r\n]*+(?=\S)"), re.compile(r"[ \t]*+(?::|=>)")
 LOGIN = re.compile(r"""://[^\s/:@"'<>]*:([^\s/:@"'<>]+)@""")
 JOIN = re.compile(r"[ \t]*(?:\+|\.\.|\|\||\?\?|or\b)[ \t]*(?=\S)")
 #: A word that may be a value and no name: two digits and more beside letters.
 DIGITS_IN = re.compile(r"[0-9][^0-9]*[0-9]")
 PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|\.+|none|null|true|false|undefined|todo|change_?me|example|your[_-].*|<.*>|\$\{.*\}|%.*%|test|dummy|placeholder|string|text|bool(?:ean)?|int(?:eger)?|required|optional|default|secret|password|value|empty|hidden|enabled|disabled)$")
+#: What a text has that has a name with a value.
+MARKS = ("=", ":", "</", "<-", "--", "define", "setenv", "ENV", "ARG", '("', "('")
 #: How sensitive the parts of a name are, and parts that make it harmless.
 SENSITIVE = {"password": 1.0, "passwd": 1.0, "passphrase": 1.0, "pwd": 0.9, "pass": 0.7, "secret": 0.9, "token": 0.8, "apikey": 0.95,
              "key": 0.5, "api": 0.3, "private": 0.5, "credential": 0.8, "credentials": 0.8, "auth": 0.6, "authorization": 0.8, "access": 0.3, "bearer": 0.8, "signing": 0.4}
@@ -129,11 +137,18 @@ class Lexer:
             self.tags()
         for m in LOGIN.finditer(text):
             self.literals["password"].append((*m.span(1), True))
-        done = 0
+        for pattern in (COMMAND, ARGUMENT):
+            for m in pattern.finditer(text):
+                if name_score(m[m.lastindex]):
+                    self.expression(m[m.lastindex], m.end())
+        done, last = 0, ("", 0)
         for m in OPERATOR.finditer(text):
             if m.start() >= done:  # not inside a value
                 name = name_before(text, max(done, text.rfind("\n", done, m.start()) + 1), m.start())
+                if not name and m[0] == "=" and not text[last[1]: m.start()].strip(" \t"):
+                    name = last[0]  # a name with a type, and its value behind that
                 done = max(m.end(), self.expression(name, m.end()) if name else 0)
+                last = (name, done)
         for name, value, start, end in self.bare:  # words that are nobody's name
             if value not in self.literals and value not in self.sources:
                 self.literals[name].append((start, end, False))
@@ -157,7 +172,8 @@ class Lexer:
     def expression(self, name: str, at: int) -> int:
         """Takes the literals and names that are joined from ``at`` on; where they end."""
         text, first = self.text, True
-        done = at = BLANKS.match(text, at).end()
+        opened = OPENS.match(text, at)
+        done = at = opened.end() if opened else BLANKS.match(text, at).end()
         below = NEXT_LINE.match(text, at)
         if below:
             at = below.end()
@@ -186,10 +202,12 @@ class Lexer:
                     if DIGITS_IN.search(term[3]) and text[done: done + 1] not in {"(", "[", "."} and "$" not in term[3]:
                         self.bare.append((name, term[3], *term.span(3)))
                 elif term[2]:
+                    if opened and NAMES.match(text, done):
+                        return term.start()  # a mapping, which is lexed by its own names
                     self.literal(name, term.start(2) + 1, term.end(2) - 1, True)
                 else:
                     self.literal(name, *term.span(4), False)
-            joined = JOIN.match(text, done)
+            joined = JOIN.match(text, done) or (opened and NEXT.match(text, done))
             if not joined:
                 return done
             at, first = joined.end(), False
@@ -213,7 +231,7 @@ def named_spans(text: str) -> list[tuple[int, int, int]]:
 
 def spans_of(text: str) -> list[tuple[int, int, int]]:
     found = base_spans(text)
-    if "=" in text or ":" in text or "</" in text:
+    if any(mark in text for mark in MARKS):
         found += named_spans(text)
     return sorted(set(found))
 
@@ -259,7 +277,8 @@ def without_secrets(documents: DataFrame) -> DataFrame:
             at = batch.schema.get_field_index("text")
             yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
 
-    return documents.mapInArrow(clean, documents.schema)
+    rows = wrapped(documents)
+    return rows.mapInArrow(clean, rows.schema).select(*unwrapped(documents.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -175,14 +175,24 @@ def test_secrets_inside_literals(text, found):
     ('"wifi passphrase": "correct horse battery staple"', "correct horse battery staple"),
     ("Authorization: Bearer Zk3l9Qm2v7pp", "Zk3l9Qm2v7pp"),
     ("dsn = 'postgres://app:Zk3l9Qm2v7pp@db/x'", "Zk3l9Qm2v7pp"),
-    ("x" * 300 + '_pwd = "Zk3l9Qm2v7pp"', "Zk3l9Qm2v7pp")])
+    ("x" * 300 + '_pwd = "Zk3l9Qm2v7pp"', "Zk3l9Qm2v7pp"),
+    ('#define PRIVATE_KEY "Zk3l9Qm2v7pp"', "Zk3l9Qm2v7pp"),
+    ("setenv AUTH_CREDENTIAL Zk3l9Qm2v7pp", "Zk3l9Qm2v7pp"),
+    ("curl --auth-credential Zk3l9Qm2v7pp --x", "Zk3l9Qm2v7pp"),
+    ('config.set("api_credential", "Zk3l9Qm2v7pp")', "Zk3l9Qm2v7pp"),
+    ('PRIVATE_KEY <- "Zk3l9Qm2v7pp"', "Zk3l9Qm2v7pp"),
+    ('def f(auth_key: str = "Zk3l9Qm2v7pp"):', "Zk3l9Qm2v7pp"),
+    ('credentials: ["Zk3l9Qm2v7pp"]', "Zk3l9Qm2v7pp"),
+    ('private_key[] = {"Zk3l9Qm2v7pp"};', "Zk3l9Qm2v7pp"),
+    ("credentials = [\n  'none',\n  'Zk3l9Qm2v7pp',\n]", "Zk3l9Qm2v7pp"),
+    ('x = os.environ.get("PRIVATE_KEY", "Zk3l9Qm2v7pp")', "Zk3l9Qm2v7pp")])
 def test_secrets_in_many_syntaxes(text, found):
     assert [text[a:b] for a, k, b in secrets.spans_of(text) if k == 3] == [found]
 
 
 @pytest.mark.parametrize("text", [
     'passphrase = "aaaaaa"', "pwd: string", "passphrase: required", 'title = "Reset of passwords"', "credential:\n  kind: basic", "pwd_length = 123456789",
-    "The passphrase: please choose one.", 'pwd = "changeme"', 'color = "Zk3l9Qm2v7pp"', "pass: ${FROM_ENV}"])
+    "The passphrase: please choose one.", 'credentials: {"username_field": "plain"}', "--color Zk3l9Qm2v7pp", 'f("color", "Zk3l9Qm2v7pp")', 'pwd = "changeme"', 'color = "Zk3l9Qm2v7pp"', "pass: ${FROM_ENV}"])
 def test_no_secrets(text):
     assert not [text[a:b] for a, k, b in secrets.spans_of(text) if k == 3]
 
@@ -216,6 +226,17 @@ def test_secrets_in_long_texts():
     assert time.time() - began < 60
 
 
+@pytest.mark.parametrize("before,run,after", [
+    ("<a ", "x", "> b=c"), ("<", "a", ""), ("<a b='", "x", "'>"), ("<a ", " ", "="), ("#define ", "A", ""), ("--", "a", " b"), ("f(\"", "a", "\","),
+    ("pwd = [", "\"a\", ", ""), ("pwd: x = ", "(", ""), ("AKIA", "A", ""), ("", "0", "g"), ("token", " ", "x"), ("://", "a", ":b@"), ("pwd = '", "\\x", ""),
+    ("pwd = ", "a+", ""), ("passphrase: ", "ab-", ""), ("<a ", "b ", ">"), ("", "pwd<- ", ""), ("", "--pwd a ", ""), ("", "(\"pwd\",", ""), ("", "pwd = [\"", "")])
+def test_secrets_of_long_runs(before, run, after):
+    """Every pattern on a megabyte of what it repeats."""
+    began = time.time()
+    secrets.spans_of(before + run * (1_000_000 // len(run)) + after + " = :")
+    assert time.time() - began < 20
+
+
 def test_secrets_go(spark, documents):
     clean = secrets.without_secrets(documents)
     assert clean.columns == documents.columns and clean.count() == documents.count()
@@ -342,6 +363,59 @@ def test_permutation():
         assert sorted(got.tolist()) == list(range(n))
 
 
+def test_mix_row_by_row(spark):
+    """Every slot's words, laid out and counted in plain Python, and texts rebuilt from them."""
+    from tests.llm.conftest import prose
+
+    rng = random.Random(12)
+    rows = [(i, prose(rng, rng.randint(1, 70)), "abc"[i % 3] if i % 7 else None) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    block = 8
+    placed, plan, sources = mixing.laid_out(docs, block)
+    slots = mixing.drawn_slots(spark, plan).collect()
+    order = {r["source_no"]: r["source"] for r in sources.collect()}
+    number = {r["doc_id"]: (r["source_no"], r["start"]) for r in placed.collect()}
+    streams = collections.defaultdict(dict)
+    for i, text, source in rows:
+        no, start = number[i]
+        assert order[no] == source
+        for k, word in enumerate(text.split()):
+            assert start + k not in streams[no]
+            streams[no][start + k] = (i, word)
+    assert all(sorted(s) == list(range(len(s))) for s in streams.values())
+    taken, words = collections.Counter(), collections.defaultdict(collections.Counter)
+    per_block = collections.Counter((r["source_no"], r["block"]) for r in slots)
+    assert max(per_block.values()) <= 2
+    for r in slots:
+        for at in range(r["block"] * block, (r["block"] + 1) * block):
+            if at in streams[r["source_no"]]:
+                i, word = streams[r["source_no"]][at]
+                taken[i] += 1
+                words[i][word] += 1
+    assert {r["doc_id"]: r["taken"] for r in mixing.mix(docs, block).collect()} == {i: taken[i] for i, _, _ in rows}
+    got = collections.defaultdict(collections.Counter)
+    for r in mixing.mixed_documents(docs, block).collect():
+        got[r["doc_id"]].update(r["text"].split())
+    assert got == words
+
+
+def test_rows_under_one_id_are_mixed_apart(spark):
+    """One text under one id in two sources: each source's words are its own."""
+    from tests.llm.conftest import prose
+
+    text = prose(random.Random(3), 200)
+    rows = [(1, text, "s1", 5), (1, text, "s2", 5), (1, text, "s2", 6), (2, text + " more", "s2", 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, note long")
+    out = collections.Counter()
+    for r in mixing.mixed_documents(docs, block=8).collect():
+        out[r["doc_id"], r["source"]] += len(r["text"].split())
+    sizes = {("s1"): 200, ("s2"): 601}
+    taken = {r["source_size"]: 0 for r in mixing.mix(docs, block=8).collect()}
+    for r in mixing.mix(docs, block=8).collect():
+        taken[r["source_size"]] += r["taken"]
+    assert sum(n for (_, s), n in out.items() if s == "s1") == taken[sizes["s1"]] and sum(n for (_, s), n in out.items() if s == "s2") == taken[sizes["s2"]]
+
+
 def test_mixed_documents_hold_what_the_mix_takes(documents):
     out = mixing.mixed_documents(documents, block=8)
     assert out.columns == documents.columns
