@@ -7,7 +7,7 @@ Null texts count as empty: they are never toxic, nobody's copies, hold no secret
 mixing) and pack as none. Rows with null ids are rows like others, and learn and score like them but for labels, which need an
 id. Rows repeated under one id are scored and cleaned one by one; near-dedup keeps one of equal or near rows and all of
 rows without words; mixing and packing take what is left, each for itself. Ties go by the smaller id, then the other
-columns. Texts of any length are one row at a time. Empty tables give empty results, an empty table of labels none toxic.
+columns. Further columns may have any names and types, maps included. Texts of any length are one row at a time. Empty tables give empty results, an empty table of labels none toxic.
 """
 
 from __future__ import annotations

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -17,9 +18,12 @@ SPACES = "\x20\x09\x0a\x0b\x0c\x0d"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one made here where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a Spark that runs in one process (as
+    in tests) takes a folder of its own, and any other refuses."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[[^,\]]*(,[^\]]*)?\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="foldwise-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -36,6 +40,26 @@ def stored(frame: DataFrame, name: str) -> DataFrame:
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
+def wrapped(documents: DataFrame) -> DataFrame:
+    """doc_id, text and document: all columns but text in one, so that columns of any name and type clash with nothing."""
+    return documents.select("doc_id", "text", F.struct(*[named(c) for c in documents.columns if c != "text"]).alias("document"))
+
+
+def unwrapped(columns: list[str], **changed: Column) -> list[Column]:
+    """The columns of the documents again, but for those that are changed."""
+    every = {"text": F.col("text"), **changed}
+    return [every[c].alias(c) if c in every else F.col("document").getField(c).alias(c) for c in columns]
+
+
+def named(column: str) -> Column:
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def as_json(*columns: Column) -> Column:
+    """Columns of any types as text, nulls included."""
+    return F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
+
+
 def held_out(doc_id: Column) -> Column:
     """True for the fifth of the documents that no classifier may learn from."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(True))

@@ -19,11 +19,11 @@ from itertools import cycle
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from foldwise.llm.common import WORD_PATTERN, mixed, stored
+from foldwise.llm.common import WORD_PATTERN, as_json, mixed, named, stored, unwrapped, wrapped
 
 #: Words of a block, slots of an output shard, documents of a source and shards in a bucket of the running totals.
 BLOCK, SLOTS, BUCKET = 64, 1024, 512
@@ -91,20 +91,26 @@ class Plan:
         self.slots = np.where(self.sizes > 0, np.round(self.targets * self.blocks / np.maximum(self.sizes, 1)), 0).astype(np.int64)
 
 
+def other_columns(documents: DataFrame) -> Column:
+    """A hash of all columns but the text."""
+    return F.xxhash64(as_json(*[named(c) for c in documents.columns if c != "text"]))
+
+
 def laid_out(documents: DataFrame, block: int = BLOCK) -> tuple[DataFrame, Plan, DataFrame]:
-    """Rows with source_no, size and start (words of the source before them), the plan, and the sources' table."""
+    """Rows with source_no, size and start (words of the source before them), the plan, and the sources' table; tie and other
+    (hashes of the text, and of all other columns) tell rows under one id apart, so that a row's place is its own."""
     spark = documents.sparkSession
     sized = stored(documents.select(
-        "doc_id", "source", F.xxhash64("text").alias("tie"), F.coalesce(F.regexp_count("text", F.lit(WORD_PATTERN)), F.lit(0)).cast("long").alias("size")), "sized")
+        "doc_id", "source", F.xxhash64("text").alias("tie"), other_columns(documents).alias("other"), F.coalesce(F.regexp_count("text", F.lit(WORD_PATTERN)), F.lit(0)).cast("long").alias("size")), "sized")
     found = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")).collect()
     found.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
     plan = Plan([r["source_size"] for r in found], block)
     sources = spark.createDataFrame(pa.table({
         "source": pa.array([r["source"] for r in found], pa.string()), "source_no": pa.array(range(len(found)), pa.int32()),
         "source_size": pa.array(plan.sizes), "target": pa.array(plan.targets), "buckets": pa.array([1 + r["n"] // BUCKET for r in found], pa.int64())}))
-    named = sized.join(sources.select(F.col("source").alias("s"), "source_no", "buckets"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    bucketed = named.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "tie"), F.col("buckets"))).drop("buckets")
-    placed = running_total(bucketed, "source_no", "bucket", ["doc_id", "tie"], "size", "start")
+    known = sized.join(sources.select(F.col("source").alias("s"), "source_no", "buckets"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    bucketed = known.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "tie"), F.col("buckets"))).drop("buckets")
+    placed = running_total(bucketed, "source_no", "bucket", ["doc_id", "tie", "other"], "size", "start")
     return stored(placed, "laid-out"), plan, sources
 
 
@@ -162,8 +168,8 @@ def document_blocks(placed: DataFrame, block: int = BLOCK) -> DataFrame:
     """For every block that a document reaches into: its words there, from ``lo`` to ``hi`` of the document."""
     at = F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block)))
     lo, hi = F.col("block") * block - F.col("start"), (F.col("block") + 1) * block - F.col("start")
-    return placed.filter("size > 0").select("source_no", "start", "doc_id", "tie", "size", at.alias("block")).select(
-        "source_no", "block", "start", "doc_id", "tie", F.greatest(lo, F.lit(0)).alias("lo"), F.least(hi, "size").alias("hi"))
+    return placed.filter("size > 0").select("source_no", "start", "doc_id", "tie", "other", "size", at.alias("block")).select(
+        "source_no", "block", "start", "doc_id", "tie", "other", F.greatest(lo, F.lit(0)).alias("lo"), F.least(hi, "size").alias("hi"))
 
 
 def mix(documents: DataFrame, block: int = BLOCK, seed: int = 7) -> DataFrame:
@@ -180,25 +186,28 @@ def mix(documents: DataFrame, block: int = BLOCK, seed: int = 7) -> DataFrame:
 def mixed_documents(documents: DataFrame, block: int = BLOCK, seed: int = 7) -> DataFrame:
     """The mix as documents: a row for each document and turn with the words taken of it in that turn.
 
-    White space stays as it is in the document: a word brings what follows it, and the first also what precedes it. The other columns are the document's; n_chars, where there is one, is that of the new text. Identical rows count once
-    for each of their copies.
+    White space stays as it is in the document: a word brings what follows it, and the first also what precedes it. The other
+    columns, of any names and types, are the document's; n_chars, where there is one, is that of the new text. Rows under one
+    id that differ in any column are mixed each for itself; rows equal in all columns count once for each of their copies.
     """
     placed, plan, _ = laid_out(documents, block)
     slots = drawn_slots(documents.sparkSession, plan, seed)
-    parts = document_blocks(placed, block).join(slots.hint("merge"), ["source_no", "block"]).groupBy("source_no", "start", "doc_id", "tie", "turn").agg(
+    row = ["doc_id", "tie", "other"]
+    parts = document_blocks(placed, block).join(slots.hint("merge"), ["source_no", "block"]).groupBy("source_no", "start", *row, "turn").agg(
         F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("parts"))
-    takes = parts.groupBy("doc_id", "tie").agg(F.collect_list("parts").alias("takes"))
-    texts = documents.withColumn("_tie", F.xxhash64("text"))
-    if placed.groupBy("doc_id", "tie").count().filter("count > 1").limit(1).count():
-        texts = texts.dropDuplicates(["doc_id", "_tie"])
-    found = texts.join(takes.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_tie") == F.col("tie"))).drop("_id", "tie", "_tie")
+    takes = parts.groupBy(*row).agg(F.collect_list("parts").alias("takes")).withColumnsRenamed({c: f"of_{c}" for c in row})
+    texts = wrapped(documents).withColumn("tie", F.xxhash64("text"))
+    texts = texts.withColumn("other", F.xxhash64(as_json(*[F.col("document").getField(c).alias(c) for c in documents.columns if c != "text"])))
+    if placed.groupBy(*row).count().filter("count > 1").limit(1).count():
+        texts = texts.dropDuplicates(row)
+    same = [F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in row]
+    found = texts.join(takes, same[0] & same[1] & same[2])
     words = F.regexp_extract_all("text", F.lit(SPACED), F.lit(0))
-    found = found.withColumn("_words", words).withColumn("_take", F.explode("takes"))
-    text = F.array_join(F.flatten(F.transform("_take", lambda p: F.slice(F.col("_words"), (p["lo"] + 1).cast("int"), (p["hi"] - p["lo"]).cast("int")))), "")
-    out = found.withColumn("text", text)
-    if "n_chars" in documents.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(dict(documents.dtypes)["n_chars"]))
-    return out.select(*documents.columns)
+    found = found.select("document", words.alias("words"), F.explode("takes").alias("take"))
+    text = F.array_join(F.flatten(F.transform("take", lambda p: F.slice(F.col("words"), (p["lo"] + 1).cast("int"), (p["hi"] - p["lo"]).cast("int")))), "")
+    out = found.select("document", text.alias("text"))
+    changed = {"n_chars": F.length("text").cast(dict(documents.dtypes)["n_chars"])} if "n_chars" in documents.columns else {}
+    return out.select(*unwrapped(documents.columns, **changed))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

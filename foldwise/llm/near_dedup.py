@@ -33,7 +33,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foldwise.llm.common import byte_classes, connected_components, grams, hashed_words, mixed, stored, text_batches
+from foldwise.llm.common import (
+    as_json, byte_classes, connected_components, grams, hashed_words, mixed, stored, text_batches, unwrapped, wrapped,
+)
 
 WORDS, BINS, ROWS = 5, 192, 6
 #: Links need 100 * intersection >= PERCENT * union.
@@ -295,19 +297,23 @@ def near_components(documents: DataFrame, words: int = WORDS) -> DataFrame:
 
 
 def deduplicated(documents: DataFrame, words: int = WORDS) -> DataFrame:
-    """One row of each class, of the smallest id (null after all others), then the least key and the least columns; rows without words all stay."""
+    """One row of each class, of the smallest id (null after all others), then the least key, text and other columns (as JSON);
+    rows without words all stay. Other columns may have any names and types."""
     named = classes(documents, words).filter("class is not null")
     one = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "high", "low")
     least = named.groupBy("class").agg(F.min(one).alias("one"))
     # rows that have the least id and key of their class: where there are several, one of them is chosen by its columns
-    same = named.groupBy("class", one.alias("one")).agg(F.count("*").alias("__rows"))
+    same = named.groupBy("class", one.alias("one")).agg(F.count("*").alias("rows"))
     kept = stored(same.join(least, ["class", "one"]).select(
-        F.col("one.doc_id").alias("__kept_id"), F.col("one.high").alias("__set_high"), F.col("one.low").alias("__set_low"), "__rows"), "kept")
-    rows = with_keys(documents, words)
-    chosen = rows.join(kept, ["__set_high", "__set_low"]).filter(F.col("doc_id").eqNullSafe(F.col("__kept_id")))
-    single = chosen.filter("__rows = 1").select(*documents.columns)
-    several = chosen.filter("__rows > 1").groupBy("__set_high", "__set_low").agg(F.min(F.struct(*documents.columns)).alias("row")).select("row.*")
-    return single.unionByName(several).unionByName(rows.filter("__set_high is null").select(*documents.columns))
+        F.col("one.doc_id").alias("kept_id"), F.col("one.high").alias("__set_high"), F.col("one.low").alias("__set_low"), "rows"), "kept")
+    rows = with_keys(wrapped(documents), words)
+    chosen = rows.join(kept, ["__set_high", "__set_low"]).filter(F.col("doc_id").eqNullSafe(F.col("kept_id")))
+    parts = ("doc_id", "text", "document")
+    single = chosen.filter("rows = 1").select(*parts)
+    several = chosen.filter("rows > 1").groupBy("__set_high", "__set_low").agg(
+        F.min_by(F.struct(*parts), F.struct("text", as_json(F.col("document")))).alias("row")).select("row.*")
+    whole = single.unionByName(several).unionByName(rows.filter("__set_high is null").select(*parts))
+    return whole.select(*unwrapped(documents.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from foldwise.llm.common import byte_classes, hashed_words, held_out, labelled_sample, mixed, text_batches
+from foldwise.llm.common import byte_classes, hashed_words, held_out, labelled_sample, mixed, text_batches, unwrapped, wrapped
 
 #: The most labelled documents that are learned from, in one task.
 SAMPLE_ROWS = 16_000
@@ -124,7 +124,8 @@ def scored(documents: DataFrame, model: tuple[np.ndarray, np.ndarray, float], ke
 
     if keep is None:
         return documents.select("doc_id", "text").mapInArrow(score, "doc_id long, score double")
-    return documents.mapInArrow(score, documents.schema)
+    rows = wrapped(documents)
+    return rows.mapInArrow(score, rows.schema).select(*unwrapped(documents.columns))
 
 
 def toxicity(documents: DataFrame, labels: DataFrame) -> DataFrame:
