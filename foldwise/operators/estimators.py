@@ -5,18 +5,22 @@ Rows have resample_id and role; methods without a validation phase train on the
 
 from __future__ import annotations
 
+import math
 import time
 from collections.abc import Callable, Mapping, Sequence
 
+import numpy as np
 from pyspark.ml import Estimator, Model
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foldwise.functions.columns import binary_decision, same, sigmoid
 from foldwise.operators import bags as bg
+from foldwise.operators.statistics import quantiles
 from foldwise.sources.tables import Task
 
 
@@ -32,9 +36,13 @@ def dummy_classifier(rows: DataFrame, target: str, by: Sequence[str] = ("resampl
 
 
 def dummy_regressor(rows: DataFrame, target: str, strategy: str = "mean", quantile: float = 0.5, constant: float = 0.0, by: Sequence[str] = ("resample_id",)) -> DataFrame:
-    """The test rows with one value of the training rows."""
-    made = {"mean": F.avg(target), "median": F.percentile(target, F.lit(0.5)), "quantile": F.percentile(target, F.lit(quantile)), "constant": F.max(F.lit(constant))}[strategy]
-    return rows.filter("role = 'test'").join(trained(rows).groupBy(*by).agg(made.alias("value")), list(by))
+    """The test rows with one value of the training rows; medians and quantiles are exact and come by rank."""
+    by = list(by)
+    if strategy in ("median", "quantile"):
+        values = quantiles(trained(rows), {target: 0.5 if strategy == "median" else quantile}, by).drop("_column")
+    else:
+        values = trained(rows).groupBy(*by).agg({"mean": F.avg(target), "constant": F.max(F.lit(constant))}[strategy].alias("value"))
+    return rows.filter("role = 'test'").join(values, by)
 
 
 def line(rows: DataFrame, feature: str, target: str, alpha: float = 0.0, by: Sequence[str] = ("resample_id",)) -> DataFrame:
@@ -45,6 +53,121 @@ def line(rows: DataFrame, feature: str, target: str, alpha: float = 0.0, by: Seq
     return rows.filter("role = 'test'").join(fits, list(by)).withColumn("value", F.col("_y") + F.col("_slope") * (F.col(feature) - F.col("_x"))).drop("_x", "_y", "_slope")
 
 
+#: Features of the methods that fit all resamples at once: their sums are columns of one aggregation.
+MOST_FEATURES = 32
+
+
+def features_within(features: Sequence[str]) -> list[str]:
+    if not 0 < len(features) <= MOST_FEATURES:
+        raise ValueError(f"1 to {MOST_FEATURES} features can be fitted for all resamples at once, not {len(features)}")
+    return list(features)
+
+
+def complete(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The rows with these columns as doubles; a null or NaN in one is an error."""
+    def value(c: str) -> Column:
+        x = F.col(c).cast("double")
+        return F.when(x.isNull() | F.isnan(x), F.raise_error(F.lit(f"{c} is missing in a row")).cast("double")).otherwise(x)
+
+    return rows.withColumns({c: value(c) for c in columns})
+
+
+def linear_fits(rows: DataFrame, features: Sequence[str], target: str, alpha: float = 0.0, by: Sequence[str] = ("resample_id",)) -> DataFrame:
+    """by, coefficients (an array) and intercept of the least squares of each group's training rows; alpha: an L2 penalty.
+
+    One aggregation gives the means and covariances of all groups, of which (features + 1)^2 / 2 numbers a group come to the
+    driver and are solved there. A feature that depends on others (as a constant one does) shares their coefficients' least size.
+    """
+    features, by, spark = features_within(features), list(by), rows.sparkSession
+    k, names = len(features), [*features, target]
+    base = complete(trained(rows), names)
+    sums = base.groupBy(*by).agg(
+        F.count("*").alias("_n"), F.array(*[F.avg(c) for c in names]).alias("_means"),
+        F.array(*[F.covar_pop(names[i], names[j]) for i in range(k + 1) for j in range(i + 1)]).alias("_covariances"))
+    fits = []
+    for r in sums.collect():
+        both = np.zeros((k + 1, k + 1))
+        both[np.tril_indices(k + 1)] = r["_covariances"]
+        means, penalised = np.array(r["_means"]), both[:k, :k] + np.tril(both[:k, :k], -1).T + np.eye(k) * alpha / r["_n"]
+        # by deviations, so that features of any size weigh alike in what counts as dependent
+        scale = np.sqrt(np.diag(penalised))
+        scale[scale == 0] = 1.0
+        found = np.linalg.lstsq(penalised / np.outer(scale, scale), both[k, :k] / scale, rcond=1e-12)[0] / scale
+        fits.append((*[r[c] for c in by], found.tolist(), float(means[k] - found @ means[:k])))
+    kinds = dict(base.dtypes)
+    return spark.createDataFrame(fits, ", ".join([*[f"`{c}` {kinds[c]}" for c in by], "coefficients array<double>, intercept double"]))
+
+
+def decision(features: Sequence[str]) -> Column:
+    """intercept and coefficients at a row's features."""
+    return sum((F.col("coefficients")[i] * F.col(c).cast("double") for i, c in enumerate(features)), F.col("intercept"))
+
+
+def linear(rows: DataFrame, features: Sequence[str], target: str, alpha: float = 0.0, by: Sequence[str] = ("resample_id",)) -> DataFrame:
+    """The test rows with the value of the plane fitted to their group's training rows."""
+    fits = linear_fits(rows, features, target, alpha, by)
+    # one row for each group
+    return rows.filter("role = 'test'").join(F.broadcast(fits), list(by)).withColumn("value", decision(features)).drop("coefficients", "intercept")
+
+
+def logistic_fits(rows: DataFrame, features: Sequence[str], target: str, inverse_penalty: float = 1.0, by: Sequence[str] = ("resample_id",), steps: int = 60, close: float = 1e-9) -> DataFrame:
+    """by, coefficients, intercept and steps of the logistic regressions (targets 0 and 1) of all groups' training rows.
+
+    Minimises half the squared coefficients plus ``inverse_penalty`` times the summed log loss, the intercept free of penalty,
+    by Newton's steps: one aggregation a step gives all open groups' losses, slopes and second derivatives, and a step that
+    would raise the loss is halved. Groups that have ended leave the join. The driver holds (features + 1)^2 numbers a group.
+    """
+    features, by, spark = features_within(features), list(by), rows.sparkSession
+    k = len(features) + 1
+    base = complete(trained(rows), [*features, target]).select(*by, *features, target)
+    kinds = dict(base.dtypes)
+    groups = [tuple(r) for r in base.select(*by).distinct().collect()]
+    state = {g: {"at": np.zeros(k), "from": np.zeros(k), "loss": math.inf, "size": 1.0, "steps": 0, "done": False} for g in groups}
+    x = [F.lit(1.0), *[F.col(c) for c in features]]
+    schema = ", ".join([*[f"`_k{c}` {kinds[c]}" for c in by], "_w array<double>"])
+    for _ in range(steps):
+        table = [(*g, s["at"].tolist()) for g, s in state.items() if not s["done"]]
+        if not table:
+            break
+        # one row for each open group
+        joined = base.join(F.broadcast(spark.createDataFrame(table, schema)), same(by, "_k"))
+        z = sum((F.col("_w")[i] * x[i] for i in range(1, k)), F.col("_w")[0])
+        joined = joined.withColumn("_z", z).withColumn("_p", sigmoid(F.col("_z")))
+        # log(1 + exp(z)) - y z without overflow
+        loss = F.sum(F.greatest("_z", F.lit(0.0)) + F.log1p(F.exp(-F.abs("_z"))) - F.col(target) * F.col("_z"))
+        slopes = [F.sum((F.col("_p") - F.col(target)) * x[i]) for i in range(k)]
+        bends = [F.sum(F.col("_p") * (1 - F.col("_p")) * x[i] * x[j]) for i in range(k) for j in range(i + 1)]
+        for r in joined.groupBy(*[f"_k{c}" for c in by]).agg(loss.alias("loss"), F.array(*slopes).alias("slopes"), F.array(*bends).alias("bends")).collect():
+            newton(state[tuple(r[f"_k{c}"] for c in by)], r, inverse_penalty, close)
+    fits = [(*g, s["at"][1:].tolist(), float(s["at"][0]), s["steps"]) for g, s in state.items()]
+    return spark.createDataFrame(fits, ", ".join([*[f"`{c}` {kinds[c]}" for c in by], "coefficients array<double>, intercept double, steps int"]))
+
+
+def newton(s: dict, sums, inverse_penalty: float, close: float) -> None:
+    """One step of a group: on from the point where the sums were taken, or half the way back to the one before."""
+    at, k = s["at"], len(s["at"])
+    loss = inverse_penalty * sums["loss"] + 0.5 * float(at[1:] @ at[1:])
+    s["steps"] += 1
+    if loss > s["loss"] + 1e-12 * abs(s["loss"]) and np.abs(at - s["from"]).max() > close:
+        s["at"] = (at + s["from"]) / 2
+        return
+    bend = np.zeros((k, k))
+    bend[np.tril_indices(k)] = sums["bends"]
+    bend = inverse_penalty * (bend + np.tril(bend, -1).T) + np.diag([0.0] + [1.0] * (k - 1))
+    slope = inverse_penalty * np.array(sums["slopes"]) + np.concatenate([[0.0], at[1:]])
+    move = np.linalg.lstsq(bend, -slope, rcond=None)[0]
+    s.update({"from": at, "loss": loss, "at": at + move})
+    s["done"] = bool(np.abs(move).max() <= close * max(1.0, np.abs(at).max()))
+
+
+def logistic(rows: DataFrame, features: Sequence[str], target: str, inverse_penalty: float = 1.0, by: Sequence[str] = ("resample_id",)) -> DataFrame:
+    """The test rows with label and probabilities of their group's logistic regression."""
+    fits = logistic_fits(rows, features, target, inverse_penalty, by).drop("steps")
+    # one row for each group
+    made = rows.filter("role = 'test'").join(F.broadcast(fits), list(by)).withColumn("_d", binary_decision(decision(features)))
+    return made.withColumns({"label": F.col("_d.label"), "probabilities": F.col("_d.probabilities")}).drop("_d", "coefficients", "intercept")
+
+
 def mean_and_line(rows: DataFrame, feature: str, target: str, by: Sequence[str] = ("resample_id",)) -> DataFrame:
     """The test rows twice, with method ``mean`` and ``line`` and the value of each; both come from one aggregation."""
     sums = trained(rows).groupBy(*by).agg(F.avg(feature).alias("_x"), F.avg(target).alias("_y"), F.covar_pop(feature, target).alias("_c"), F.var_pop(feature).alias("_v"))

@@ -196,7 +196,9 @@ def column_names(places: DataFrame, widths: DataFrame, column: str) -> tuple[lis
     if width["width"] > MOST_COLUMNS:
         raise ValueError(f"{column} has {width['width']} categories: tag it high_cardinality")
     mine = places.filter(F.col("_column") == column).orderBy("_place").select("_category").collect()
-    return [f"{column}_{r[0]}" for r in mine] + [f"{column}_infrequent"] * (width["rest"] >= 0), width["rest"]
+    # dots and backticks would have to be escaped wherever the columns are named
+    names = [f"{column}_{r[0].replace('.', '_').replace('`', '_')}" for r in mine] + [f"{column}_infrequent"] * (width["rest"] >= 0)
+    return [n if names.index(n) == i else f"{n}_{i}" for i, n in enumerate(names)], width["rest"]
 
 
 def indicators(frame: DataFrame, column: str, names: Sequence[str], rest: Column) -> DataFrame:

@@ -79,6 +79,43 @@ def _(spark, d):
     return es.line(order_rows(spark, d), "bag_size", "o_totalprice", alpha=100.0).select("resample_id", "o_orderkey", F.round("value", 3).alias("value"))
 
 
+def _plane_rows(spark, d):
+    """Orders with two features, for each fold and role."""
+    orders = table(spark, d, "orders").select("o_orderkey", "o_totalprice", F.dayofmonth("o_orderdate").cast("double").alias("day"))
+    sized = bg.bag_summary(orders, table(spark, d, "lineitem"), "o_orderkey", "l_orderkey", [], [])
+    path = new_path(spark, "plane")
+    rs.fold_roles(rs.kfold(orders.select("o_orderkey"), "o_orderkey", 5, seed=1).join(sized, "o_orderkey"), "o_orderkey", 5, "o_totalprice", "day", "bag_size").write.parquet(path)
+    return spark.read.parquet(path)
+
+
+PLANE = """n as (select o_orderkey, o_totalprice, date_part('day', o_orderdate)::double as day, count(l_orderkey)::double as bag_size from orders left join lineitem on l_orderkey = o_orderkey group by all),
+f as (select *, ntile(5) over (order by md5('1:' || o_orderkey), o_orderkey) - 1 as fold from n),
+rows_ as materialized (select printf('fold_%02d', k) as resample_id, case when fold = k then 'test' else 'train' end as role, f.* from f, (select unnest(range(5)) as k))"""
+
+
+def _plane_sql(alpha):
+    return f"""with {PLANE}, m as (select resample_id, avg(bag_size) as a, avg(day) as b, avg(o_totalprice) as y, var_pop(bag_size) + {alpha} / count(*) as aa, var_pop(day) + {alpha} / count(*) as bb,
+ covar_pop(bag_size, day) as ab, covar_pop(bag_size, o_totalprice) as ay, covar_pop(day, o_totalprice) as by_ from rows_ where role = 'train' group by 1)
+select resample_id, o_orderkey, round(y + (ay * bb - by_ * ab) / (aa * bb - ab * ab) * (bag_size - a) + (by_ * aa - ay * ab) / (aa * bb - ab * ab) * (day - b), 2) as value
+from rows_ join m using (resample_id) where role = 'test'"""
+
+
+for _name, _alpha in (("es_linear_regression_of_two", 0.0), ("es_ridge_of_two", 500.0)):
+    query(_name, _plane_sql(_alpha))(lambda spark, d, alpha=_alpha: es.linear(_plane_rows(spark, d), ["bag_size", "day"], "o_totalprice", alpha).select("resample_id", "o_orderkey", F.round("value", 2).alias("value")))
+
+
+@query("es_logistic_of_all_folds", f"""with recursive {PLANE}, t as materialized (select resample_id, bag_size as x, (o_totalprice > 150000)::integer as y from rows_ where role = 'train'),
+newton as (select distinct resample_id, 0 as i, 0.0::double as a, 0.0::double as b from t union all
+ select resample_id, i + 1, a - (ga * hbb - gb * hab) / (haa * hbb - hab * hab), b - (gb * haa - ga * hab) / (haa * hbb - hab * hab) from (
+  select resample_id, i, a, b, sum(p - y) as ga, sum((p - y) * x) + b as gb, sum(p * (1 - p)) as haa, sum(p * (1 - p) * x) as hab, sum(p * (1 - p) * x * x) + 1 as hbb
+  from (select n.*, x, y, 1 / (1 + exp(-(a + b * x))) as p from newton n join t using (resample_id) where i < 12) group by resample_id, i, a, b))
+select resample_id, o_orderkey, round(1 / (1 + exp(-(a + b * bag_size))), 6) as probability, (a + b * bag_size >= 0)::integer as label from rows_ join newton using (resample_id) where role = 'test' and i = 12""")
+def _(spark, d):
+    rows = _plane_rows(spark, d).withColumn("dear", (F.col("o_totalprice") > 150000).cast("int"))
+    found = es.logistic(rows, ["bag_size"], "dear")
+    return found.select("resample_id", "o_orderkey", F.round(F.col("probabilities")[1], 6).alias("probability"), "label")
+
+
 def _documents(spark, d):
     docs = table(spark, d, "documents").select("doc_id", F.col("n_chars").cast("double").alias("n_chars"), (F.length("text") - F.length(F.replace("text", F.lit("|"), F.lit("")))).cast("double").alias("pipes"),
                                                F.size(F.array_distinct(F.split("text", " "))).cast("double").alias("words"), F.when(F.col("lang") == "en", 1.0).otherwise(0.0).alias("english"))
@@ -198,6 +235,35 @@ def _(spark, d):
     return rf.predict_refit(model, task, docs.drop("quality"), "doc_id")
 
 
+def _raw_refit(spark, d):
+    """Documents with raw columns, refitted with the linear policy, and the refit as it is loaded again."""
+    from foldwise.plans import preprocessing as raw
+
+    docs = raw.docs(spark, d).withColumn("target", (F.col("zeros") > 0).cast("int"))
+    task, path = Task("binary", ["n_chars", "quality", "lang", "source"], "target"), new_path(spark, "refit")
+    features = [f for f in raw.FEATURES if f.name in task.source]
+    rf.refit(docs.filter("train"), task, "logistic_regression", path, features=features, options=raw.OPTIONS)
+    return docs, *rf.load_refit(spark, path)
+
+
+def _prepared_sql():
+    from foldwise.plans import preprocessing as raw
+
+    return f"""with recursive {raw.DOCS}, {raw.LINEAR} select doc_id, n_chars, quality, (lang_place = 0)::integer as lang_de, (source_place = 4)::integer as source_infrequent from made"""
+
+
+@query("rn_load_refit_prepared", _prepared_sql())
+def _(spark, d):
+    docs, model, _ = _raw_refit(spark, d)
+    return model.prepared(docs).select("doc_id", F.round("n_chars", 5).alias("n_chars"), F.round("quality", 5).alias("quality"), "lang_de", "source_infrequent")
+
+
+@query("rn_load_refit_raw")
+def _(spark, d):
+    docs, model, task = _raw_refit(spark, d)
+    return rf.predict_refit(model, task, docs.drop("target"), "doc_id")
+
+
 @query("ud_estimator")
 def _(spark, d):
     if "plain_forest" not in es.ESTIMATORS:

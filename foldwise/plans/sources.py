@@ -58,13 +58,26 @@ def nested_text(spark, d):
     return joined.select(F.concat(F.col("o_orderkey").cast("string"), F.lit(',"'), body, F.lit('",'), F.col("o_orderstatus")).alias("value"))
 
 
-@query("src_relational_text", "select l_orderkey as o_orderkey, o_orderstatus as class, count(*) as n, sum(l_quantity) as quantity, round(sum(l_extendedprice), 2) as price, count(nullif(l_returnflag, 'A')) as n_flags from lineitem join orders on l_orderkey = o_orderkey group by 1, 2")
-def _(spark, d):
-    bags, instances = rt.parse_records(nested_text(spark, d), rt.parse_header(HEADER))
+RELATIONAL = "select l_orderkey as o_orderkey, o_orderstatus as class, count(*) as n, sum(l_quantity) as quantity, round(sum(l_extendedprice), 2) as price, count(nullif(l_returnflag, 'A')) as n_flags from lineitem join orders on l_orderkey = o_orderkey group by 1, 2"
+
+
+def _summed(bags, instances):
     sums = instances.groupBy("o_orderkey").agg(F.count("*").alias("n"), F.sum("l_quantity").alias("quantity"), F.round(F.sum("l_extendedprice"), 2).alias("price"), F.count("l_returnflag").alias("n_flags"))
     return bags.join(sums, "o_orderkey")
 
 
+@query("src_relational_text", RELATIONAL)
+def _(spark, d):
+    return _summed(*rt.parse_records(nested_text(spark, d), rt.parse_header(HEADER)))
+
+
+@query("src_relational_files", RELATIONAL)
+def _(spark, d):
+    path = new_path(spark, "relational")
+    nested_text(spark, d).write.text(path)
+    return _summed(*rt.read_relational_text(spark, path, rt.parse_header(HEADER)))
+
+
 @query("src_relational_roles", "select 'o_orderkey' as bag_id, 'class' as target, case when count(distinct o_orderstatus) = 2 then 'binary' else 'multiclass' end as task_type, count(distinct o_orderstatus) as n_classes from orders where o_orderkey in (select l_orderkey from lineitem)")
 def _(spark, d):
     header = rt.parse_header(HEADER)

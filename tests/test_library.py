@@ -150,6 +150,46 @@ def test_relational_text(spark, tmp_path):
     assert [tuple(r) for r in instances.orderBy("bag_id", "position").collect()] == [("a", 0, 1.0, 2.0), ("a", 1, 3.0, None), ("b", 0, 5.0, 6.0)]
 
 
+def test_relational_files_are_read_in_ranges(spark, tmp_path):
+    """Files cut into ranges of a few hundred bytes, inside quoted fields too, give the same bags."""
+    head = "@relation r\n@attribute bag_id string\n@attribute bag relational\n@attribute x numeric\n@attribute y string\n@end bag\n@attribute class {0,1}\n@DATA\n"
+    want = {}
+    (tmp_path / "files").mkdir()
+    for f in range(2):
+        records = []
+        for b in range(40):
+            lines = [f"{b + i / 8},a{i}" for i in range(b % 7)]
+            want[f"f{f}b{b}"] = [float(x.split(",")[0]) for x in lines]
+            records.append(f"f{f}b{b}," + '"' + "\n".join(lines) + '"' + f",{b % 2}")
+        (tmp_path / "files" / f"{f}.arff").write_text(head + "\n".join(records) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        path = f"file://{tmp_path}/files"
+        assert relational_text.numbered_lines(spark, path).select("_file", "_block").distinct().count() > 8
+        bags_, instances = relational_text.read_relational_text(spark, path)
+        got = {r["bag_id"]: [] for r in bags_.collect()}
+        for r in instances.orderBy("bag_id", "position").collect():
+            got[r["bag_id"]].append(r["x"])
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert got == want
+
+
+def test_long_relational_records(spark):
+    """Time grows with a record's length."""
+    import time
+
+    header = relational_text.Header([("id", "string"), ("bag", "relational"), ("class", "string")], [("x", "numeric")], "bag")
+    body = "\n".join(f"{i}" for i in range(100_000))
+    began = time.time()
+    frame = spark.createDataFrame([(f'a,"{body}",1',), ("b,,",)], "value string")
+    bags_, instances = relational_text.parse_records(frame, header)
+    assert instances.count() == 100_000 and {tuple(r) for r in bags_.collect()} == {("a", "1"), ("b", "")} and time.time() - began < 60
+
+
 def test_empty_bags_and_clash(spark):
     bag = spark.createDataFrame([(1,), (2,)], "b long")
     instances = spark.createDataFrame([(1, 2.0), (1, float("nan"))], "i long, x double")
