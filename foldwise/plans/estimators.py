@@ -219,6 +219,40 @@ def _(spark, d):
     return found.select("run_key", "status", "error_type", "error").join(counts, "run_key", "left")
 
 
+def _raw_study(spark, d, methods, path):
+    """Raw columns of labelled documents through each method's policy, on three folds."""
+    from foldwise.operators.preprocess import Feature
+
+    docs = table(spark, d, "documents").select("doc_id", F.col("n_chars").cast("double").alias("n_chars"), "lang", "source").join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id")
+    folds = rs.fold_roles(rs.kfold(docs, "doc_id", 3, seed=1), "doc_id", 3)
+    features = [Feature("n_chars", "numeric", {"skewed"}), Feature("lang", "categorical"), Feature("source", "categorical", {"high_cardinality"})]
+    task = Task("binary", [f.name for f in features], "quality")
+    return st.run_study("raw", docs, task, folds, "doc_id", methods, ["accuracy"], path, features=features)
+
+
+RAW_METHODS = {"dummy": st.Method("dummy_classifier"), "logistic": st.Method("logistic_at_once", options={"high_cardinality_max_categories": 5}), "forest": st.Method("random_forest")}
+
+
+@query("rn_run_study_of_raw_columns")
+def _(spark, d):
+    return _raw_study(spark, d, RAW_METHODS, new_path(spark, "study")).select("run_key", "status", "error", "policy", "metrics")
+
+
+@query("rn_study_goes_on", """with f as (select doc_id, quality, ntile(3) over (order by md5('1:' || doc_id), doc_id) - 1 as fold from documents join labels using (doc_id)),
+c as (select k, quality, count(*) as n from f, (select unnest(range(3)) as k) where fold <> k group by 1, 2),
+top as (select k, quality as label from (select *, row_number() over (partition by k order by n desc, quality) as r from c) where r = 1)
+select 'raw:' || m || ':' || printf('fold_%02d', fold) || ':seed-0' as run_key, 'success' as status, count(*) as n_rows, case m when 'dummy' then round(avg((label = quality)::integer), 6) end as accuracy
+from f join top on k = fold, (select unnest(['dummy', 'forest', 'logistic']) as m) group by m, fold""")
+def _(spark, d):
+    path = new_path(spark, "study")
+    _raw_study(spark, d, {"dummy": RAW_METHODS["dummy"]}, path)
+    # the second call finds the first one's runs done
+    found = _raw_study(spark, d, RAW_METHODS, path)
+    counts = st.stored_predictions(found, path).groupBy("run_key").agg(F.count("*").alias("n_rows"))
+    accuracy = F.when(F.col("method") == "dummy", F.round(F.col("metrics")["accuracy"], 6))
+    return found.join(counts, "run_key").select("run_key", "status", "n_rows", accuracy.alias("accuracy"))
+
+
 @query("rn_refit")
 def _(spark, d):
     path = new_path(spark, "refit")

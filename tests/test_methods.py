@@ -155,3 +155,35 @@ def test_impute_options(spark):
     assert wide.outputs() == ["x", "c_a", "c_b", "c_c", "c_missing_value"] and wide(frame).agg(F.sum("c_missing_value")).first()[0] == 1
     with pytest.raises(ValueError):
         preprocess.tree_policy(frame, features, {"numeric_impute": "no_such"})
+
+
+def test_study_goes_on_after_a_failure(spark, raw, tmp_path):
+    """A failed run is a row with its error; the next call does it and no other again; names of any signs are kept."""
+    from foldwise.operators import study
+
+    path = f"file://{tmp_path}/study"
+    folds = raw.select("k", F.explode(F.array(*[F.struct(F.lit(f"fold/{i}").alias("resample_id"), F.when(F.col("k") % 2 == i, "test").otherwise("train").alias("role")) for i in range(2)])).alias("f")).select("f.*", "k")
+    task = tables.Task("binary", [f.name for f in RAW], "y")
+
+    def run(methods):
+        return study.run_study("a case: 1", raw, task, folds, "k", methods, ["accuracy"], path, features=RAW)
+
+    calls = []
+
+    def fails_once(train, task, params):
+        calls.append(1)
+        if len(calls) <= 2:
+            raise RuntimeError("not now")
+        return estimators.logistic_regression(train, task, params)
+
+    estimators.ESTIMATORS["fails_once"] = fails_once
+    try:
+        methods = {"most": study.Method("dummy_classifier", metadata={"team": "x"}), "late": study.Method("fails_once")}
+        first = {r["run_key"]: r for r in run(methods).collect()}
+        assert {r["method"]: r["status"] for r in first.values()} == {"most": "success", "late": "failed"} and len(first) == 4
+        again = {r["run_key"]: r for r in run(methods).collect()}
+    finally:
+        del estimators.ESTIMATORS["fails_once"]
+    assert set(again) == set(first) and all(r["status"] == "success" and 0 <= r["metrics"]["accuracy"] <= 1 for r in again.values()) and len(calls) == 4
+    assert all(first[k]["fit_time"] == again[k]["fit_time"] for k in first if "most" in k) and again["a case: 1:most:fold/0:seed-0"]["metadata"]["team"] == "x"
+    assert study.stored_predictions(run(methods), path).count() == 2 * 160
