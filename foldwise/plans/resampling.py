@@ -68,7 +68,14 @@ def _(spark, d):
     return rs.stratified_kfold(table(spark, d, "orders"), "o_orderkey", "o_orderpriority", 5, seed=2)
 
 
-@query("rs_group_kfold")
+@query("rs_group_kfold", """with recursive sizes as materialized (select '{"o_custkey":' || o_custkey || '}' as name, count(*) as size from orders group by 1),
+dealt as materialized (select size, row_number() over (order by size desc) as i from sizes),
+turns as (select 0::bigint as i, [0, 0, 0, 0, 0]::bigint[] as loads, 0::bigint as size, 0::bigint as fold union all
+ select d.i, list_transform(loads, lambda x, k: case when k = list_position(loads, list_min(loads)) then x + d.size else x end), d.size, list_position(loads, list_min(loads)) - 1 from turns t join dealt d on d.i = t.i + 1),
+counts as (select s.size, f.fold, (select count(*) from turns t where t.i > 0 and t.size = s.size and t.fold <= f.fold) as upto from (select distinct size from sizes) s, (select unnest(range(5)) as fold) f),
+placed as (select name, size, row_number() over (partition by size order by md5('groups:' || name), name) - 1 as pos from sizes),
+folds as (select name, (select count(*) from counts c where c.size = p.size and c.upto <= p.pos)::integer as fold from placed p)
+select o_orderkey, fold from orders join folds on name = '{"o_custkey":' || o_custkey || '}'""")
 def _(spark, d):
     return rs.group_kfold(table(spark, d, "orders"), "o_orderkey", ["o_custkey"], 5)
 
@@ -128,12 +135,12 @@ def _(spark, d):
     return rs.with_validation(_folds(spark, d), "o_orderkey", 0.1, seed=4)
 
 
-@query("rs_stratified_validation", f"""with {FOLDS}, named as (select folds.*, o_orderpriority as c from folds join orders using (o_orderkey)),
+@query("rs_stratified_validation", f"""with {FOLDS}, named as materialized (select folds.*, o_orderpriority as c from folds join orders using (o_orderkey)),
 classes as (select resample_id, c, count(*) as nc from named where role = 'train' group by 1, 2),
 exact as (select resample_id, c, ceil(0.1::double * sum(nc) over w) as want, nc * ceil(0.1::double * sum(nc) over w) / sum(nc) over w as e from classes window w as (partition by resample_id)),
 quotas as (select resample_id, c, floor(e) + case when row_number() over (partition by resample_id order by floor(e) - e, c) <= want - sum(floor(e)) over (partition by resample_id) then 1 else 0 end as quota from exact),
 placed as (select resample_id, c, o_orderkey, row_number() over (partition by resample_id, c order by md5('4:' || o_orderkey), o_orderkey) - 1 as pos, count(*) over (partition by resample_id, c) as n from named where role = 'train')
-select resample_id, o_orderkey, case when pos >= n - quota then 'valid' else 'train' end as role from placed join quotas using (resample_id, c) union all select resample_id, o_orderkey, role from folds where role <> 'train'""")
+select resample_id, o_orderkey, case when pos >= n - quota then 'valid' else 'train' end as role from placed join quotas using (resample_id, c) union all select resample_id, o_orderkey, role from named where role <> 'train'""")
 def _(spark, d):
     named = _folds(spark, d).join(table(spark, d, "orders").select("o_orderkey", "o_orderpriority"), "o_orderkey")
     return rs.with_validation(named, "o_orderkey", 0.1, seed=4, label="o_orderpriority")
