@@ -60,6 +60,13 @@ def _(spark, d):
     return tb.repeated_ids(lines, "id").select("id.l_orderkey", "id.l_linenumber", "n")
 
 
+@query("prd_dataset_violations", """select 'missing_from_schema' as violation, 'l_tax' as name, 1::bigint as n union all select 'extra_in_schema', 'l_comment', 1
+union all select 'duplicate_column', 'l_discount', 2 union all select 'row_id_repeated', 'l_orderkey', sum(n)::bigint from (select count(*) as n from lineitem group by l_orderkey having count(*) > 1) having sum(n) > 0""")
+def _(spark, d):
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_tax", "l_discount", F.col("l_discount"))
+    return tb.dataset_violations(lines, {"l_orderkey": "id", "l_discount": "numeric", "l_comment": "text"}, "l_orderkey")
+
+
 @query("prd_missing_audit", "with j as (select quality, toxic from documents left join labels using (doc_id)) select 'quality' as name from j where quality is null group by 1 union all select 'toxic' from j where toxic is null group by 1")
 def _(spark, d):
     from foldwise.operators.preprocess import Feature, untagged_missing

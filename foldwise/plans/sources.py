@@ -218,6 +218,22 @@ def _(spark, d):
     return store.case_evidence(rs.fold_roles(rs.kfold(table(spark, d, "orders"), "o_orderkey", 5, seed=1), "o_orderkey", 5), "o_orderkey", size=1000)
 
 
+@query("snk_case_record", """with folds as (select printf('fold_%02d', f) as resample_id, o_orderkey, case when fold = f then 'test' else 'train' end as role from (select o_orderkey, ntile(3) over (order by md5('1:' || o_orderkey), o_orderkey) - 1 as fold from orders), (select unnest(range(3)) as f)),
+placed as (select *, (row_number() over (partition by resample_id, role order by o_orderkey) - 1) // 1000 as part from folds),
+runs as (select resample_id, role, part, count(*) as n, sha256('[' || string_agg(o_orderkey::varchar, ',' order by o_orderkey) || ']') as digest from placed group by 1, 2, 3),
+splits as (select resample_id, role, sum(n)::bigint as n, sha256(string_agg(digest, ',' order by part)) as keys from runs group by 1, 2)
+select (select count(*) from orders) as n_rows, 'o_orderkey o_totalprice' as columns, 'id numeric' as kinds, 'o_totalprice' as target, string_agg(resample_id || ' ' || role || ' ' || n || ' ' || keys, ',' order by resample_id, role) as splits from splits""")
+def _(spark, d):
+    orders = tb.with_roles(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), {"o_orderkey": "id"})
+    folds = rs.fold_roles(rs.kfold(orders, "o_orderkey", 3, seed=1), "o_orderkey", 3)
+    path = new_path(spark, "case")
+    store.save_case(store.case_record("price", orders, tb.Task("regression", [], "o_totalprice"), folds, "o_orderkey", size=1000), path)
+    kept = spark.read.text(path).select(F.from_json("value", "fixed string, rows long, splits array<struct<resample_id string, role string, n long, keys_sha256 string>>").alias("r")).select("r.*")
+    fixed = kept.withColumn("f", F.from_json("fixed", "columns array<string>, schema array<struct<kind string>>, task struct<target string>"))
+    text = F.transform("splits", lambda s: F.concat_ws(" ", s["resample_id"], s["role"], s["n"].cast("string"), s["keys_sha256"]))
+    return fixed.select(F.col("rows").alias("n_rows"), F.array_join("f.columns", " ").alias("columns"), F.array_join("f.schema.kind", " ").alias("kinds"), F.col("f.task.target").alias("target"), F.array_join(text, ",").alias("splits"))
+
+
 @query("snk_params_long", "select event_id, k as name, json_extract_string(props, '$.' || k) as value from (select event_id, props, unnest(json_keys(props)) as k from events)")
 def _(spark, d):
     return store.flattened(table(spark, d, "events"), "event_id", "props")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import json as json_module
 import re
 import tempfile
 import uuid
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from foldwise.functions.columns import safe_name
 from foldwise.operators.reports import markdown_lines
 from foldwise.operators.resample import ranked
+from foldwise.sources.tables import Task, kind_of
 
 #: Columns that predictions are stored by.
 PARTITIONS = ("case_name", "method", "resample_id", "seed")
@@ -75,6 +77,28 @@ def case_evidence(assignment: DataFrame, key: str, size: int = 100_000) -> DataF
         F.sum("n").alias("n"), F.sha2(F.concat_ws(",", F.transform(digests, lambda p: p["digest"])), 256).alias("keys_sha256"))
 
 
+def case_record(case: str, frame: DataFrame, task: Task, assignment: DataFrame, key: str, source: Mapping[str, str] | None = None, size: int = 100_000) -> DataFrame:
+    """case_name and record: one line of JSON with the table's rows, columns and schema, the task, and every split's role with its
+    number of rows and the digest of its keys."""
+    schema = [{"name": f.name, "type": f.dataType.simpleString(), "kind": f.metadata.get("kind") or kind_of(f.dataType), "tags": sorted(f.metadata.get("tags", []))} for f in frame.schema.fields]
+    fixed = {"case": case, "source": dict(source or {}), "columns": frame.columns, "schema": schema, "task": {k: list(v) if isinstance(v, (list, tuple)) else v for k, v in vars(task).items()}, "row_id": key}
+    splits = case_evidence(assignment, key, size).agg(F.array_sort(F.collect_list(F.struct("resample_id", "role", "n", "keys_sha256"))).alias("splits"))
+    counted = frame.agg(F.count("*").alias("rows")).crossJoin(splits)  # one row each
+    return counted.select(F.lit(case).alias("case_name"), F.to_json(F.struct(F.lit(json_module.dumps(fixed, sort_keys=True)).alias("fixed"), "rows", "splits")).alias("record"))
+
+
+def save_case(record: DataFrame, path: str) -> None:
+    """The record at a path; one that is there already stays if it is the same, and another one is refused."""
+    spark = record.sparkSession
+    system, there = file_system(spark, path)
+    new = record.first()["record"]
+    if system.exists(there):
+        if spark.read.text(path).first()[0] != new:
+            raise ValueError(f"{path} holds another record of the case")
+        return
+    staged(spark, path, lambda place: spark.createDataFrame([(new,)], "value string").coalesce(1).write.text(place))
+
+
 def conflicts(evidence: DataFrame, name: str, record: Column) -> DataFrame:
     """Names under which different records were given."""
     return evidence.groupBy(name).agg(F.count_distinct(F.sha2(record, 256)).alias("n")).filter("n > 1").select(name)

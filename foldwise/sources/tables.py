@@ -114,6 +114,38 @@ def repeated_ids(frame: DataFrame, row_id: str) -> DataFrame:
     return frame.groupBy(row_id).agg(F.count("*").alias("n")).filter((F.col("n") > 1) | F.col(row_id).isNull())
 
 
+def dataset_violations(frame: DataFrame, schema: Mapping[str, str], row_id: str | None = None) -> DataFrame:
+    """What is wrong with a table under a declared schema (name -> kind), as violation, name and n; no rows: nothing.
+
+    Columns named twice (as Spark compares names, without case), columns that the schema lacks or has too many, a row id that
+    isn't there, isn't of the kind id, or has null or repeated values (n: the rows that have such values).
+    """
+    counts: dict[str, int] = {}
+    for c in frame.columns:
+        counts[c.lower()] = counts.get(c.lower(), 0) + 1
+    found = [("duplicate_column", c, n) for c, n in counts.items() if n > 1]
+    found += [("missing_from_schema", c, 1) for c in dict.fromkeys(frame.columns) if c not in schema]
+    found += [("extra_in_schema", c, 1) for c in schema if c not in frame.columns]
+    if row_id is not None:
+        if row_id not in frame.columns:
+            found.append(("row_id_absent", row_id, 1))
+        elif schema.get(row_id) != "id":
+            found.append(("row_id_kind", row_id, 1))
+    out = frame.sparkSession.createDataFrame(found, "violation string, name string, n long")
+    if row_id in frame.columns and counts[row_id.lower()] == 1:
+        repeated = repeated_ids(frame.select(row_id), row_id).agg(F.sum("n").alias("n")).filter("n > 0")
+        out = out.unionByName(repeated.select(F.lit("row_id_repeated").alias("violation"), F.lit(row_id).alias("name"), "n"))
+    return out
+
+
+def checked_dataset(frame: DataFrame, schema: Mapping[str, str], row_id: str | None = None) -> DataFrame:
+    """The frame with its roles, or an error that names all violations."""
+    bad = dataset_violations(frame, schema, row_id).limit(20).collect()
+    if bad:
+        raise ValueError("; ".join(f"{r['violation']}: {r['name']} ({r['n']})" for r in bad))
+    return with_roles(frame, dict(schema))
+
+
 def bag_violations(bags: DataFrame, instances: DataFrame, bag_id: str, instance_bag: str) -> DataFrame:
     """Instances without bag and bags without instances: violation, bag and number of instances."""
     known = instances.groupBy(F.col(instance_bag).alias("bag")).agg(F.count("*").alias("n"))

@@ -23,6 +23,39 @@ def test_roles_and_selection(spark):
         tables.Task("regression", ["age", "nothing"], "income").sources(toy)
 
 
+def test_datasets_that_their_schema_doesnt_fit(spark):
+    frame = spark.createDataFrame([("a", 1.0), ("b", 2.0), ("b", 3.0), (None, 4.0)], "k string, x double")
+    got = {tuple(r) for r in tables.dataset_violations(frame.select("k", "x", "x"), {"k": "numeric", "y": "numeric"}, "k").collect()}
+    assert got == {("duplicate_column", "x", 2), ("missing_from_schema", "x", 1), ("extra_in_schema", "y", 1), ("row_id_kind", "k", 1), ("row_id_repeated", "k", 3)}
+    assert tables.columns_of(tables.checked_dataset(frame.limit(2), {"k": "id", "x": "numeric"}, "k"), kinds=["id"]) == ["k"]
+    with pytest.raises(ValueError, match="row_id_absent"):
+        tables.checked_dataset(frame, {"k": "id", "x": "numeric"}, "z")
+
+
+def test_case_records_that_differ_are_refused(spark, tmp_path):
+    frame = spark.createDataFrame([(i, float(i)) for i in range(6)], "k long, y double")
+    task, path = tables.Task("regression", [], "y"), f"file://{tmp_path}/case"
+    records = [store.case_record("c", frame, task, resample.fold_roles(resample.kfold(frame, "k", 2, seed), "k", 2), "k") for seed in (1, 1, 2)]
+    store.save_case(records[0], path)
+    store.save_case(records[1], path)
+    with pytest.raises(ValueError, match="another record"):
+        store.save_case(records[2], path)
+
+
+def test_splits_keep_null_keys_and_take_any_type(spark):
+    rows = [("b",), ("a",), (None,), ("ü",), ("d",), ("c",)]
+    for seed in (None, 4):
+        folds = resample.kfold(spark.createDataFrame(rows, "k string"), "k", 2, seed).collect()
+        assert sorted(r["fold"] for r in folds) == [0, 0, 0, 1, 1, 1] and {r["k"] for r in folds} == {r[0] for r in rows}
+    days = spark.sql("select date_add(date'2024-01-01', cast(id as int)) as k from range(50)")
+    ordered = [r["position"] for r in resample.ranked(days, "k", rows=7).orderBy("k").collect()]
+    assert ordered == list(range(50))
+    with pytest.raises(ValueError):
+        resample.kfold(days, "k", 1)
+    with pytest.raises(ValueError):
+        resample.holdout(days, "k", 1.5)
+
+
 def test_missing_guard(spark):
     frame = spark.createDataFrame([(1.0,), (None,)], "x double")
     with pytest.raises(Exception, match="missing"):
