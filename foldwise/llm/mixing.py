@@ -203,7 +203,8 @@ def mixed_documents(documents: DataFrame, block: int = BLOCK, seed: int = 7) ->
     same = [F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in row]
     found = texts.join(takes, same[0] & same[1] & same[2])
     words = F.regexp_extract_all("text", F.lit(SPACED), F.lit(0))
-    found = found.select("document", words.alias("words"), F.explode("takes").alias("take"))
+    # below the explode, so that a text is cut into words once and not for each of its takes and parts
+    found = found.select("document", "takes", words.alias("words")).select("document", "words", F.explode("takes").alias("take"))
     text = F.array_join(F.flatten(F.transform("take", lambda p: F.slice(F.col("words"), (p["lo"] + 1).cast("int"), (p["hi"] - p["lo"]).cast("int")))), "")
     out = found.select("document", text.alias("text"))
     changed = {"n_chars": F.length("text").cast(dict(documents.dtypes)["n_chars"])} if "n_chars" in documents.columns else {}
