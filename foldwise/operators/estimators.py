@@ -11,7 +11,7 @@ from collections.abc import Callable, Mapping, Sequence
 
 import numpy as np
 from pyspark.ml import Estimator, Model
-from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest, RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from foldwise.functions.columns import binary_decision, same, sigmoid
 from foldwise.operators import bags as bg
+from foldwise.operators.margins import mi_svm  # noqa: F401  one of the estimators
 from foldwise.operators.statistics import quantiles
 from foldwise.sources.tables import Task
 
@@ -279,38 +280,27 @@ def instance_pooling(train: DataFrame, test: DataFrame, task: Task, bag: str, ho
     return bg.pooled_probabilities(scored.select(bag, *[F.col("_p")[i].alias(f"p{i}") for i in range(k)]), bag, [f"p{i}" for i in range(k)], how)
 
 
-def mi_svm(train: DataFrame, bag: str, key: str, features: Sequence[str], target: str, max_iterations: int = 50, params: Mapping | None = None) -> tuple[Model, int, str]:
-    """Linear multi-instance SVM: fit on all negative instances and one witness of each positive bag, choose witnesses anew.
+def mi_svm_bags(train: DataFrame, test: DataFrame, task: Task, bag: str, key: str, params: Mapping) -> DataFrame:
+    """The test bags with label and score of a multi-instance SVM, whose kernel is "rbf" unless given."""
+    model, _, _ = mi_svm(train, bag, key, ["features"], task.target, int(params.get("max_iterations", 50)), {"kernel": "rbf", **{k: v for k, v in params.items() if k != "max_iterations"}})
+    return model.bags(test, bag)
 
-    The first fit takes positive bags' means. Returns the model, its rounds and how they ended: at a "fixed point" (the same witnesses
-    as in the round before), in a "cycle" (as in an earlier one), or at the "limit", where the last witnesses are fitted once more.
-    """
-    assembler = VectorAssembler(inputCols=list(features), outputCol="features")
-    svm = LinearSVC(featuresCol="features", labelCol=target, regParam=(params or {}).get("reg", 0.01), maxIter=(params or {}).get("max_iter", 30), tol=(params or {}).get("tol", 1e-3))
-    train = train.select(bag, key, *features, target).persist()
-    negative = train.filter(F.col(target) == 0).select(*features, target)
-    positive = train.filter(F.col(target) == 1)
-    chosen = positive.groupBy(bag).agg(*[F.avg(c).alias(c) for c in features]).select(*features, F.lit(1).alias(target))
-    seen: list[tuple] = []
-    model, rounds, ended, last, best = None, 0, "limit", None, None
-    for rounds in range(1, max_iterations + 1):
-        model = svm.fit(assembler.transform(negative.unionByName(chosen)))
-        scored = model.transform(assembler.transform(positive)).select(bag, key, *features, vector_to_array("rawPrediction")[1].alias("_score"))
-        last, best = best, bg.witnesses(scored, bag, "_score", key).persist()
-        mark = best.agg(F.count("*"), F.sum(F.xxhash64(bag, key).cast("decimal(38,0)"))).first()
-        if tuple(mark) in seen:
-            ended = "fixed point" if tuple(mark) == seen[-1] else "cycle"
-            break
-        seen.append(tuple(mark))
-        chosen = best.select(*features, F.lit(1).alias(target))
-        if last is not None:
-            last.unpersist()
-    if ended == "limit":
-        model = svm.fit(assembler.transform(negative.unionByName(chosen)))
-    for frame in (train, last, best):
-        if frame is not None:
-            frame.unpersist()
-    return model, rounds, ended
+
+def pooled_bags(train: DataFrame, test: DataFrame, task: Task, bag: str, key: str, params: Mapping) -> DataFrame:
+    """The test bags with label and probabilities, pooled from a logistic regression of instances."""
+    return instance_pooling(train, test, task, bag, str(params.get("pool", "max")), {k: v for k, v in params.items() if k != "pool"})
+
+
+#: Kind -> predictions of bags by (train, test, task, bag, key of instances, params), where rows are instances with their bag's target.
+BAG_METHODS: dict[str, Callable[[DataFrame, DataFrame, Task, str, str, Mapping], DataFrame]] = {"mi_svm": mi_svm_bags, "instance_pooling": pooled_bags}
+
+
+def of_bags(train: DataFrame, test: DataFrame, task: Task, kind: str, bag: str, key: str, params: Mapping | None = None) -> DataFrame:
+    """Predictions of test bags: sample_id, y_true, label and score or probabilities. Instances of a bag that differ in target are an error."""
+    found = BAG_METHODS[kind](train, test, task, bag, key, params or {})
+    one = F.when(F.min(task.target) == F.max(task.target), F.min(task.target)).otherwise(F.raise_error(F.lit("a bag has several targets")).cast(dict(test.dtypes)[task.target]))
+    truth = test.groupBy(bag).agg(one.alias("y_true"))
+    return truth.join(found, bag).withColumnRenamed(bag, "sample_id")
 
 
 def run_record(run_key: str, work: Callable[[], Mapping[str, float]], keep_going: bool = True) -> dict:

@@ -47,7 +47,9 @@ class Method:
         return self.policy or DEFAULT_POLICIES.get(self.kind, "linear_default"), json.dumps(dict(self.options), sort_keys=True)
 
 
-def prepared(rows: DataFrame, task: Task, assignment: DataFrame, key: str, features: Sequence[Feature], policy: tuple[str, str], path: str) -> DataFrame:
+def prepared(
+    rows: DataFrame, task: Task, assignment: DataFrame, key: str, features: Sequence[Feature], policy: tuple[str, str], path: str, instance: str | None = None,
+) -> DataFrame:
     """Each resample's rows with role and features, fitted on its own train and valid rows; written once, in a folder for each resample."""
     spark = rows.sparkSession
     system, there = file_system(spark, f"{path}/_SUCCESS")
@@ -56,7 +58,7 @@ def prepared(rows: DataFrame, task: Task, assignment: DataFrame, key: str, featu
         if policy[0]:
             fitted = policy_named(policy[0])(dealt.filter("role <> 'test'"), features, json.loads(policy[1]), by=["resample_id"])
             dealt = fitted.transform(dealt).withColumn("features", array_to_vector(dense(fitted.vector())))
-        kept = list(dict.fromkeys(["resample_id", key, "role", task.target, *([task.weight] if task.weight else []), "features"]))
+        kept = list(dict.fromkeys(["resample_id", key, *([instance] if instance else []), "role", task.target, *([task.weight] if task.weight else []), "features"]))
         dealt.select(*kept).write.mode("overwrite").partitionBy("resample_id").parquet(path)
     # names of resamples are text, whatever they look like
     read = spark.read.parquet(path)
@@ -96,14 +98,15 @@ def at_once(rows: DataFrame, task: Task, method: Method) -> DataFrame:
 
 def run_study(
     case: str, rows: DataFrame, task: Task, assignment: DataFrame, key: str, methods: Mapping[str, Method | tuple[str, Mapping[str, object]]], metrics: Sequence[str], path: str,
-    seeds: Sequence[int] = (0,), parallelism: int = 4, keep_going: bool = True, features: Sequence[Feature] = (),
+    seeds: Sequence[int] = (0,), parallelism: int = 4, keep_going: bool = True, features: Sequence[Feature] = (), instance: str | None = None,
 ) -> DataFrame:
     """One row for each run with its status, time, error, policy, metadata and metrics (a map).
 
     ``rows`` have the column features, or, with ``features`` (kinds and tags of the source columns), raw columns that go
     through each method's policy: fitted for all resamples at once, and prepared rows are written once for all methods that share it.
     ``assignment`` has resample_id, key and role. Methods of the kinds AT_ONCE are one job each; other fits are Spark jobs of
-    their own, several at a time. When all have ended, one aggregation over the stored predictions gives the metrics of all
+    their own, several at a time. Where rows are instances of bags, ``key`` and ``assignment`` are of bags, ``instance`` is the instances'
+    own key, and kinds of BAG_METHODS give a prediction for each bag. When all have ended, one aggregation over the stored predictions gives the metrics of all
     runs. A run that fails is a row with its error, or ends the study unless ``keep_going``. The driver holds one record a run.
     """
     spark = rows.sparkSession
@@ -117,7 +120,7 @@ def run_study(
     for policy in dict.fromkeys(methods[m].prepared_by(bool(features)) for m, _, _ in plan):
         place = f"{path}/rows/{policy[0] or 'as-they-are'}-{zlib.crc32(policy[1].encode())}"
         try:
-            tables[policy] = prepared(rows, task, assignment, key, features, policy, place)
+            tables[policy] = prepared(rows, task, assignment, key, features, policy, place, instance)
         except Exception as error:  # noqa: BLE001  the runs that need it fail with it
             if not keep_going:
                 raise
@@ -151,6 +154,14 @@ def run_study(
 
         def work() -> dict[str, float]:
             part = rows_of(m).filter(F.col("resample_id") == resample)
+            if m.kind in es.BAG_METHODS:
+                if instance is None:
+                    raise ValueError(f"{m.kind} needs instances of bags")
+                seeded = {"seed": seed, **m.params} if m.kind == "mi_svm" else m.params
+                save(es.of_bags(part.filter("role <> 'test'"), part.filter("role = 'test'"), task, m.kind, key, instance, seeded), method, seed, resample)
+                return {}
+            if instance is not None:
+                raise ValueError(f"{m.kind} takes rows, not instances of bags")
             model = es.fit(part.filter("role <> 'test'"), task, m.kind, {"seed": seed, **m.params})
             save(es.predict(model, part.filter("role = 'test'"), task, key), method, seed, resample)
             return {}
@@ -162,6 +173,8 @@ def run_study(
         method, _, seed = cells[0]
 
         def work() -> dict[str, float]:
+            if instance is not None:
+                raise ValueError(f"{methods[method].kind} takes rows, not instances of bags")
             mine = [r for _, r, _ in cells]
             found = at_once(rows_of(methods[method]).filter(F.col("resample_id").isin(mine)), task, methods[method])
             kept = [c for c in ("label", "probabilities", "value") if c in found.columns]

@@ -191,9 +191,38 @@ def _(spark, d):
     dear = lines.groupBy("l_orderkey").agg((F.max("p") > 0.6).cast("int").alias("label"))
     train, test = _held_out(spark, lines.join(dear, "l_orderkey"), "l_orderkey")
     model, rounds, ended = es.mi_svm(train, "l_orderkey", "k", ["q", "p"], "label")
-    margins = es.predict(model, es.with_features(test, ["q", "p"]), Task("binary", ["q", "p"], "label"), "l_orderkey")
-    scores = margins.groupBy("sample_id").agg(F.max("score").alias("score")).withColumn("label", F.when(F.col("score") >= 0, 1).otherwise(0))
-    return scores.withColumns({"rounds": F.lit(rounds), "ended": F.lit(ended)})
+    return model.bags(test, "l_orderkey").withColumnRenamed("l_orderkey", "sample_id").withColumns({"rounds": F.lit(rounds), "ended": F.lit(ended)})
+
+
+def _rings(spark, d):
+    """Lines by deviation from the middle of quantity and discount; an order is positive where one of its lines is near the middle of both."""
+    lines = table(spark, d, "lineitem").select("l_orderkey", F.xxhash64("l_orderkey", "l_linenumber", "l_partkey").alias("k"), ((F.col("l_quantity") - 25.5) / 12).cast("double").alias("q"), ((F.col("l_discount") - 0.05) / 0.025).cast("double").alias("s"))
+    inside = lines.groupBy("l_orderkey").agg((F.min(F.col("q") * F.col("q") + F.col("s") * F.col("s")) < 0.4).cast("int").alias("label"))
+    return lines.join(inside, "l_orderkey")
+
+
+@query("es_mi_svm_kernel")
+def _(spark, d):
+    train, test = _held_out(spark, _rings(spark, d), "l_orderkey")
+    model, rounds, ended = es.mi_svm(train, "l_orderkey", "k", ["q", "s"], "label", params={"kernel": "rbf", "C": 10.0})
+    truth = test.groupBy("l_orderkey").agg(F.max("label").alias("y_true"))
+    return model.bags(test, "l_orderkey").join(truth, "l_orderkey").withColumns({"rounds": F.lit(rounds), "ended": F.lit(ended)})
+
+
+BAG_STUDY = {"svm": st.Method("mi_svm", {"C": 10.0, "max_iterations": 3}), "pool": st.Method("instance_pooling")}
+
+
+@query("rn_run_study_of_bags", """with b as (select l_orderkey, (min(pow((l_quantity - 25.5) / 12, 2) + pow((l_discount - 0.05) / 0.025, 2)) < 0.4)::integer as label from lineitem group by 1),
+f as (select *, ntile(2) over (order by md5('1:' || l_orderkey), l_orderkey) - 1 as fold from b)
+select 'rings:' || m || ':' || printf('fold_%02d', fold) || ':seed-0' as run_key, 'success' as status, count(*) as n_bags, sum(label) as n_positive from f, (select unnest(['svm', 'pool']) as m) group by m, fold""")
+def _(spark, d):
+    rows = es.with_features(_rings(spark, d), ["q", "s"])
+    bags = rows.select("l_orderkey").distinct()
+    folds = rs.fold_roles(rs.kfold(bags, "l_orderkey", 2, seed=1), "l_orderkey", 2)
+    path = new_path(spark, "study")
+    found = st.run_study("rings", rows, Task("binary", ["q", "s"], "label"), folds, "l_orderkey", BAG_STUDY, ["accuracy", "roc_auc"], path, instance="k")
+    counts = st.stored_predictions(found, path).groupBy("run_key").agg(F.count("*").alias("n_bags"), F.sum("y_true").alias("n_positive"))
+    return found.select("run_key", "status", "error").join(counts, "run_key", "left").drop("error")
 
 
 def _study(spark, d, kinds):
