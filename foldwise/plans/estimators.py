@@ -214,7 +214,7 @@ BAG_STUDY = {"svm": st.Method("mi_svm", {"C": 10.0, "max_iterations": 3}), "pool
 
 @query("rn_run_study_of_bags", """with b as (select l_orderkey, (min(pow((l_quantity - 25.5) / 12, 2) + pow((l_discount - 0.05) / 0.025, 2)) < 0.4)::integer as label from lineitem group by 1),
 f as (select *, ntile(2) over (order by md5('1:' || l_orderkey), l_orderkey) - 1 as fold from b)
-select 'rings:' || m || ':' || printf('fold_%02d', fold) || ':seed-0' as run_key, 'success' as status, count(*) as n_bags, sum(label) as n_positive from f, (select unnest(['svm', 'pool']) as m) group by m, fold""")
+select 'rings:' || m || ':' || printf('fold_%02d', fold) || ':seed-0' as run_key, 'success' as status, count(*) as n_bags, sum(label)::bigint as n_positive from f, (select unnest(['svm', 'pool']) as m) group by m, fold""")
 def _(spark, d):
     rows = es.with_features(_rings(spark, d), ["q", "s"])
     bags = rows.select("l_orderkey").distinct()
