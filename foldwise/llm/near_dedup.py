@@ -304,15 +304,22 @@ def deduplicated(documents: DataFrame, words: int = WORDS) -> DataFrame:
     least = named.groupBy("class").agg(F.min(one).alias("one"))
     # rows that have the least id and key of their class: where there are several, one of them is chosen by its columns
     same = named.groupBy("class", one.alias("one")).agg(F.count("*").alias("rows"))
-    kept = stored(same.join(least, ["class", "one"]).select(
-        F.col("one.doc_id").alias("kept_id"), F.col("one.high").alias("__set_high"), F.col("one.low").alias("__set_low"), "rows"), "kept")
+    kept = stored(same.join(least, ["class", "one"]).select("one.doc_id", "one.high", "one.low", "rows"), "kept")
     rows = with_keys(wrapped(documents), words)
-    chosen = rows.join(kept, ["__set_high", "__set_low"]).filter(F.col("doc_id").eqNullSafe(F.col("kept_id")))
+
+    def chosen(some: DataFrame, how: str) -> DataFrame:
+        # ids are keys of the join as well, so that copies of one text are spread
+        at = (rows["__set_high"] == some["high"]) & (rows["__set_low"] == some["low"]) & rows["doc_id"].eqNullSafe(some["doc_id"])
+        return rows.join(some, at, how).select(rows["doc_id"], "text", "document", "__set_high", "__set_low", "rows")
+
     parts = ("doc_id", "text", "document")
-    single = chosen.filter("rows = 1").select(*parts)
-    several = chosen.filter("rows > 1").groupBy("__set_high", "__set_low").agg(
-        F.min_by(F.struct(*parts), F.struct("text", as_json(F.col("document")))).alias("row")).select("row.*")
-    whole = single.unionByName(several).unionByName(rows.filter("__set_high is null").select(*parts))
+    # texts are gone through once, and once more only where equal rows are repeated
+    whole = chosen(kept.filter("rows = 1"), "left").filter("__set_high is null or rows is not null").select(*parts)
+    repeated = kept.filter("rows > 1")
+    if not repeated.isEmpty():
+        several = chosen(repeated, "inner").groupBy("__set_high", "__set_low").agg(
+            F.min_by(F.struct(*parts), F.struct("text", as_json(F.col("document")))).alias("row")).select("row.*")
+        whole = whole.unionByName(several)
     return whole.select(*unwrapped(documents.columns))
 
 
