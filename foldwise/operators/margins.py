@@ -1,7 +1,8 @@
 """Support vector machines in the primal, linear or by random waves in place of a kernel, and their multi-instance form.
 
-Rows stay in their partitions: a step adds up slopes and second derivatives of each partition by numpy, and Spark sums a row of
-numbers for each partition, (features + 2)^2 / 2 of them. The driver holds one such row.
+Equal rows are counted together once a fit, and their partitions are as many as the different rows need. A step adds up slopes and
+second derivatives of each partition by numpy, (features + 2)^2 / 2 numbers, and tasks add up those of several partitions: the
+driver gets a row for each of the square root of their number.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ PARTS = 0.5 ** np.arange(20)
 CORNERS = (1.0, 0.3, 0.1)
 #: Features, after waves, that a fit may have.
 MOST_COLUMNS = 1_024
+#: Different rows that a partition of a fit holds at least, if there are as many.
+ROWS = 20_000
 
 
 @dataclass(frozen=True)
@@ -123,8 +126,25 @@ def corner(margins: np.ndarray, half: float) -> tuple[np.ndarray, np.ndarray, np
     return loss, slope, inside / (2 * half)
 
 
-def step_sums(rows: DataFrame, waves: Waves, at: np.ndarray, move: np.ndarray, half: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Over rows of _x and _y: losses at each part of the way from ``at`` by ``move``, and slopes and bends at its end."""
+def counted_rows(rows: DataFrame) -> DataFrame:
+    """Different rows of _x and _y with _w, how many there are of each (or the sum of their _w)."""
+    weight = F.sum("_w") if "_w" in rows.columns else F.count("*")
+    return rows.groupBy("_x", "_y").agg(weight.cast("double").alias("_w"))
+
+
+def added_up(batches):
+    """One row, the sum of all rows of numbers."""
+    total = None
+    for batch in batches:
+        if batch.num_rows:
+            sums = batch.column("_sums").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1).sum(0)
+            total = sums if total is None else total + sums
+    if total is not None:
+        yield pa.RecordBatch.from_pydict({"_sums": pa.array([total], pa.list_(pa.float64()))})
+
+
+def step_sums(rows: DataFrame, parts: int, waves: Waves, at: np.ndarray, move: np.ndarray, half: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Over rows of _x, _y and _w in ``parts`` partitions: losses at each part of the way from ``at`` by ``move``, and slopes and bends at its end."""
     k = len(at)
     low = np.tril_indices(k)
 
@@ -135,19 +155,22 @@ def step_sums(rows: DataFrame, waves: Waves, at: np.ndarray, move: np.ndarray, h
                 continue
             x = batch.column("_x").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
             y = np.where(batch.column("_y").to_numpy(zero_copy_only=False) > 0, 1.0, -1.0)
+            w = batch.column("_w").to_numpy(zero_copy_only=False)
             full = np.hstack([np.ones((len(x), 1)), waves.of(x)])
             here, further = y * (full @ at), y * (full @ move)
-            losses = [corner(here + part * further, half)[0].sum() for part in PARTS]
+            losses = [w @ corner(here + part * further, half)[0] for part in PARTS]
             _, slope, bend = corner(here + further, half)
-            bends = (full * bend[:, None]).T @ full
-            total += np.concatenate([losses, full.T @ (slope * y), bends[low]])
-        yield pa.RecordBatch.from_pydict({"_sums": pa.array([total.tolist()], pa.list_(pa.float64()))})
-
-    # a row of numbers for each partition, added up by Spark
-    parts = rows.mapInArrow(of_partition, "_sums array<double>").select(F.posexplode("_sums").alias("_at", "_v"))
+            bends = (full * (w * bend)[:, None]).T @ full
+            total += np.concatenate([losses, full.T @ (w * slope * y), bends[low]])
+        yield pa.RecordBatch.from_pydict({"_sums": pa.array([total], pa.list_(pa.float64()))})
+
+    sums = rows.mapInArrow(of_partition, "_sums array<double>")
+    if parts > 1:
+        fewer = math.isqrt(parts - 1) + 1
+        sums = sums.select("_sums", (F.spark_partition_id() % fewer).alias("_to")).repartition(fewer, "_to").select("_sums").mapInArrow(added_up, "_sums array<double>")
     total = np.zeros(len(PARTS) + k + len(low[0]))
-    for r in parts.groupBy("_at").agg(F.sum("_v").alias("_v")).collect():
-        total[r["_at"]] = r["_v"]
+    for batch in sums.toArrow().to_batches():
+        total += batch.column("_sums").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1).sum(0)
     bends = np.zeros((k, k))
     bends[low] = total[len(PARTS) + k:]
     return total[: len(PARTS)], total[len(PARTS): len(PARTS) + k], bends + np.tril(bends, -1).T
@@ -156,18 +179,29 @@ def step_sums(rows: DataFrame, waves: Waves, at: np.ndarray, move: np.ndarray, h
 def fit_margin(rows: DataFrame, waves: Waves, width: int, penalty: float = 1.0, start: np.ndarray | None = None, steps: int = 50, close: float = 1e-8) -> np.ndarray:
     """Weights, the intercept first, that minimise half their squares (not the intercept's) plus ``penalty`` times the summed loss.
 
+    ``rows`` have _x, _y and, if they count more than once, _w.
     Newton's steps, each one Spark job: it gives the losses along the step before as well, so that a step which goes too far is cut
     to its best part and costs one job more. From ``start``, the weights of a fit of nearly the same rows, few are needed.
     """
     k = waves.columns(width) + 1
     if k - 1 > MOST_COLUMNS:
         raise ValueError(f"at most {MOST_COLUMNS} features after waves, not {k - 1}")
+    kept = counted_rows(rows).persist()
+    try:
+        parts = min(kept.rdd.getNumPartitions(), -(-kept.count() // ROWS) or 1)
+        return newton(kept.coalesce(parts), parts, waves, k, penalty, start, steps, close)
+    finally:
+        kept.unpersist()
+
+
+def newton(rows: DataFrame, parts: int, waves: Waves, k: int, penalty: float, start: np.ndarray | None, steps: int, close: float) -> np.ndarray:
+    """The steps of fit_margin over counted rows."""
     at = np.zeros(k) if start is None else start.copy()
     ridge = np.diag([1e-10] + [1.0] * (k - 1))
     for half in CORNERS if start is None else CORNERS[-1:]:
         move, known, again = np.zeros(k), math.inf, False
         for _ in range(steps):
-            losses, slopes, bends = step_sums(rows, waves, at, move, half)
+            losses, slopes, bends = step_sums(rows, parts, waves, at, move, half)
             ways = at[None, :] + PARTS[:, None] * move[None, :]
             values = penalty * losses + 0.5 * (ways[:, 1:] ** 2).sum(1)
             best = int(values.argmin()) if move.any() else 0
@@ -220,9 +254,9 @@ def mi_svm(
     elif kernel != "linear":
         rows.unpersist()
         raise ValueError(f"kernel {kernel} is neither linear nor rbf")
-    negative, positive = rows.filter("_y = 0").select("_x", "_y"), rows.filter("_y = 1")
+    negative, positive = counted_rows(rows.filter("_y = 0").select("_x", "_y")).persist(), rows.filter("_y = 1")
     means = positive.groupBy(bag).agg(F.array(*[F.avg(F.col("_x")[i]) for i in range(width)]).alias("_x"))
-    chosen = means.select("_x", F.lit(1).alias("_y"))
+    chosen = means.select("_x", F.lit(1).alias("_y"), F.lit(1.0).alias("_w"))
     penalty, weights, seen, rounds, ended, last, best = float(params.get("C", 1.0)), None, [], 0, "limit", None, None
     for rounds in range(1, max_iterations + 1):
         weights = fit_margin(negative.unionByName(chosen), waves, width, penalty, weights)
@@ -235,9 +269,9 @@ def mi_svm(
             ended = "fixed point" if mark == seen[-1] else "cycle"
             break
         seen.append(mark)
-        chosen = best.select("_x", F.lit(1).alias("_y"))
+        chosen = best.select("_x", F.lit(1).alias("_y"), F.lit(1.0).alias("_w"))
     if ended == "limit":
         weights = fit_margin(negative.unionByName(chosen), waves, width, penalty, weights)
-    for frame in (rows, best):
+    for frame in (rows, negative, best):
         frame.unpersist()
     return MarginModel(features, waves, weights), rounds, ended

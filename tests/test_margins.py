@@ -33,6 +33,22 @@ def test_fits_have_the_least_loss(spark, penalty):
     assert np.allclose(again, w, atol=1e-5 * max(1, np.abs(w).max()))
 
 
+def test_equal_rows_are_counted_once_a_fit(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    x, y = rng.normal(size=(30, 2)).round(1), rng.integers(0, 2, 30)
+    single = [(list(map(float, r)), int(v)) for r, v in zip(x, y, strict=True)]
+    frame = spark.createDataFrame(single, "_x array<double>, _y int")
+    seen, step = [], margins.step_sums
+    monkeypatch.setattr(margins, "step_sums", lambda rows, *more: (seen.append((rows.count(), more[0])), step(rows, *more))[1])
+    copied = margins.fit_margin(frame.withColumn("_c", F.explode(F.sequence(F.lit(1), F.lit(40)))).drop("_c").repartition(16), margins.Waves(), 2, 0.3)
+    assert set(seen) == {(len({(tuple(a), b) for a, b in single}), 1)}
+    weighted = margins.fit_margin(frame.withColumn("_w", F.lit(40.0)), margins.Waves(), 2, 0.3)
+    assert np.allclose(copied, weighted, atol=1e-6)
+    # many partitions give what one does
+    monkeypatch.setattr(margins, "ROWS", 1)
+    assert np.allclose(margins.fit_margin(frame, margins.Waves(), 2, 12.0), copied, atol=1e-6) and max(n for _, n in seen) > 1
+
+
 def test_waves_stand_in_for_the_kernel():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(30, 4))
