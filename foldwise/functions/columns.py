@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column
@@ -24,10 +24,16 @@ def sigmoid(x: Column) -> Column:
     return 1.0 / (1.0 + F.exp(-x))
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """What ``use`` makes of a value that is computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def softmax(scores: Column) -> Column:
     """Probabilities from an array of logits."""
-    shifted = F.transform(scores, lambda x: F.exp(x - F.array_max(scores)))
-    return F.transform(shifted, lambda x: x / F.aggregate(shifted, F.lit(0.0), lambda a, b: a + b))
+    raised = lambda x: bound(F.array_max(x), lambda most: F.transform(x, lambda v: F.exp(v - most)))
+    shared = lambda e: bound(F.aggregate(e, F.lit(0.0), lambda a, b: a + b), lambda total: F.transform(e, lambda v: v / total))
+    return bound(scores, lambda x: bound(raised(x), shared))
 
 
 def argmax(values: Column) -> Column:
@@ -43,8 +49,7 @@ def binary_decision(logit: Column) -> Column:
 
 def multiclass_decision(logits: Column) -> Column:
     """Label and probabilities of an array of logits."""
-    p = softmax(logits)
-    return F.struct(argmax(p).alias("label"), p.alias("probabilities"))
+    return bound(softmax(logits), lambda p: F.struct(argmax(p).alias("label"), p.alias("probabilities")))
 
 
 def markdown_value(value: Column) -> Column:

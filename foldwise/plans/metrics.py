@@ -23,7 +23,8 @@ from (select *, floor(n_chars / 50.0::double) / (floor(n_chars / 50.0::double) +
 
 def multiclass(spark, d):
     # logit c: four times the sum of the entries at c, c + 10, c + 20, ...
-    v = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda c: 4 * F.aggregate(F.filter("embedding", lambda x, i: i % 10 == c), F.lit(0.0), lambda a, x: a + x.cast("double")))
+    places = F.array(*[F.when(F.size("embedding") > c, F.sequence(F.lit(c), F.size("embedding") - 1, F.lit(10))).otherwise(F.array().cast("array<int>")) for c in range(10)])
+    v = F.when(F.col("embedding").isNotNull(), F.transform(places, lambda at: 4 * F.aggregate(at, F.lit(0.0), lambda a, i: a + F.col("embedding")[i].cast("double"))))
     return table(spark, d, "embeddings").select(F.lit("all").alias("run_key"), F.col("vec_id").alias("sample_id"), F.col("label").alias("y_true"), v.alias("logits")).withColumn(
         "decision", fc.multiclass_decision(F.col("logits"))).select("run_key", "sample_id", "y_true", "decision.label", "decision.probabilities", "logits")
 
