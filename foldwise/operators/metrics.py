@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from foldwise.functions.columns import place, same
+from foldwise.sources.store import stored
 
 EPSILON = 2.220446049250313e-16
 
@@ -69,25 +70,27 @@ RANGES = 256
 def roc_auc(predictions: DataFrame, by: Sequence[str], score: str = "score", positive: Column | None = None, name: str = "roc_auc", weight: str | None = None) -> DataFrame:
     """Area under the ROC curve of each group; ties count half; null where a class is missing.
 
-    Equal scores are counted (or their weights summed) together first. A group's scores are cut into ranges at approximate
-    quantiles; sums by range give what lies below a range, and windows run inside ranges only.
+    Equal scores are counted (or their weights summed) together first, and written, as they are read twice. A group's scores are cut
+    into ranges at approximate quantiles; windows run inside ranges only, and what lies below a range comes from sums by range.
     """
     by = list(by)
     good = F.coalesce(F.col("y_true") == 1 if positive is None else positive, F.lit(False))
     one = F.lit(1).cast("long") if weight is None else F.col(weight).cast("double")
-    steps = predictions.filter(F.col(score).isNotNull()).groupBy(*by, F.col(score).alias("_score")).agg(
-        F.sum(F.when(good, one).otherwise(0)).alias("_p"), F.sum(F.when(good, 0).otherwise(one)).alias("_n"))
+    steps = stored(predictions.filter(F.col(score).isNotNull()).groupBy(*by, F.col(score).alias("_score")).agg(
+        F.sum(F.when(good, one).otherwise(0)).alias("_p"), F.sum(F.when(good, 0).otherwise(one)).alias("_n")), "roc-steps")
     renamed = [F.col(c).alias(f"_{c}") for c in by]
     fractions = [i / RANGES for i in range(1, RANGES)]
-    cuts = steps.groupBy(*by).agg(F.array_sort(F.array_distinct(F.percentile_approx("_score", fractions, 10 * RANGES))).alias("_cuts")).select(*renamed, "_cuts")
+    # a row for each group, written so that Spark knows its size
+    cuts = stored(steps.groupBy(*by).agg(F.array_sort(F.array_distinct(F.percentile_approx("_score", fractions, 10 * RANGES))).alias("_cuts")).select(*renamed, "_cuts"), "roc-cuts")
     ranged = steps.join(cuts, same(by, "_")).withColumn("_range", place(F.col("_score"), F.col("_cuts"), RANGES)).select(*by, "_range", "_score", "_p", "_n")
-    sums = ranged.groupBy(*by, "_range").agg(F.sum("_n").alias("_sum"))
-    earlier = F.sum("_sum").over(W.partitionBy(*by).orderBy("_range").rowsBetween(W.unboundedPreceding, -1))
-    before = sums.select(*renamed, F.col("_range").alias("_place"), F.coalesce(earlier, F.lit(0)).alias("_before"))
     inside = F.sum("_n").over(W.partitionBy(*by, "_range").orderBy("_score").rowsBetween(W.unboundedPreceding, -1))
-    counted = ranged.withColumn("_inside", F.coalesce(inside, F.lit(0))).join(before, same(by, "_") & (F.col("_range") == F.col("_place")))
-    won = F.col("_p") * (F.col("_before") + F.col("_inside") + F.col("_n") / 2.0)
-    total = counted.withColumn("_won", won).groupBy(*by).agg(F.sum("_won").alias("_won"), F.sum("_p").alias("_p"), F.sum("_n").alias("_n"))
+    counted = ranged.withColumn("_inside", F.coalesce(inside, F.lit(0)))
+    won = F.col("_p") * (F.col("_inside") + F.col("_n") / 2.0)
+    # a row for each group and range from here on
+    sums = counted.withColumn("_won", won).groupBy(*by, "_range").agg(F.sum("_won").alias("_won"), F.sum("_p").alias("_p"), F.sum("_n").alias("_n"))
+    earlier = F.sum("_n").over(W.partitionBy(*by).orderBy("_range").rowsBetween(W.unboundedPreceding, -1))
+    whole = sums.withColumn("_won", F.col("_won") + F.col("_p") * F.coalesce(earlier, F.lit(0)))
+    total = whole.groupBy(*by).agg(F.sum("_won").alias("_won"), F.sum("_p").alias("_p"), F.sum("_n").alias("_n"))
     return total.select(*by, F.when((F.col("_p") > 0) & (F.col("_n") > 0), F.col("_won") / (F.col("_p").cast("double") * F.col("_n"))).alias(name))
 
 
@@ -97,10 +100,10 @@ def roc_auc_ovr(predictions: DataFrame, by: Sequence[str], name: str = "roc_auc"
     Of two classes only the second counts, whose area is that of both; which rows have two is told by the arrays' length.
     """
     by, kept = list(by), [weight] if weight else []
-    p = F.col("probabilities")
-    counted = F.when(F.size(p) == 2, F.array(F.lit(1))).otherwise(F.sequence(F.lit(0), F.size(p) - 1))
-    each = predictions.filter(F.size(p) > 1).select(*by, "y_true", *kept, p, F.explode(counted).alias("_class"))
-    areas = roc_auc(each.withColumn("_probability", p[F.col("_class")]), [*by, "_class"], "_probability", F.col("y_true") == F.col("_class"), "_auc", weight)
+    # the arrays themselves don't go along with their entries
+    each = predictions.select(*by, "y_true", *kept, F.size("probabilities").alias("_size"), F.posexplode("probabilities").alias("_class", "_probability"))
+    each = each.filter((F.col("_size") > 2) | ((F.col("_size") == 2) & (F.col("_class") == 1)))
+    areas = roc_auc(each, [*by, "_class"], "_probability", F.col("y_true") == F.col("_class"), "_auc", weight)
     if average == "macro":
         return areas.groupBy(*by).agg(F.avg("_auc").alias(name))
     one = F.lit(1.0) if weight is None else F.col(weight).cast("double")

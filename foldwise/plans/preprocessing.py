@@ -8,20 +8,13 @@ from foldwise.operators import preprocess as pp
 from foldwise.operators import resample as rs
 from foldwise.operators import statistics as st
 from foldwise.plans.registry import query, table
-from foldwise.sources.store import new_path
+from foldwise.sources.store import stored
 
 HALF = "ntile(2) over (order by md5('1:' || {key}), {key}) = 1"
 DOCS = f"""docs as (select doc_id, n_chars::double as n_chars, lang, case when quality is null then null else source end as source, quality::double as quality,
  case when toxic = 1 then n_chars::double else 0 end as zeros, {HALF.format(key='doc_id')} as train from documents left join labels using (doc_id))"""
 
 
-def stored(frame, name):
-    """The frame written once and read again: fits read it several times."""
-    path = new_path(frame.sparkSession, name)
-    frame.write.parquet(path)
-    return frame.sparkSession.read.schema(frame.schema).parquet(path)
-
-
 def halves(frame, key):
     """The frame with ``train``: whether a row is of the first of two shuffled blocks."""
     return frame.join(rs.kfold(frame.select(key), key, 2, seed=1).select(key, (F.col("fold") == 0).alias("train")), key)

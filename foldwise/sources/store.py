@@ -127,6 +127,13 @@ def append_history(history: DataFrame, path: str) -> None:
     history.write.mode("append").parquet(path)
 
 
+def stored(frame: DataFrame, name: str) -> DataFrame:
+    """The frame written once to the shared folder and read again, for what is read several times."""
+    path = new_path(frame.sparkSession, name)
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A new path in the folder that driver and executors share, spark.checkpoint.dir. Where it is unset, a Spark that runs in
     one process takes a folder of its own, and any other refuses."""

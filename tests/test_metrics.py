@@ -1,11 +1,13 @@
 """ROC areas by ranges, of several classes, with weights and options."""
 
 import itertools
+import math
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from foldwise.functions import columns
 from foldwise.operators import metrics
 
 
@@ -75,3 +77,37 @@ def test_windows_stay_inside_ranges(spark):
 def test_place(spark):
     frame = spark.createDataFrame([(float(v),) for v in (-5, 0, 1, 1.5, 2, 99)], "v double").withColumn("c", F.array(*[F.lit(float(x)) for x in (0, 1, 2)]))
     assert [r[0] for r in frame.select(metrics.place(F.col("v"), F.col("c"), 4)).collect()] == [0, 0, 1, 2, 2, 3]
+
+
+@pytest.mark.parametrize("by", [["run"], ["run", "y_true"]])
+def test_scores_are_computed_once(spark, by):
+    rows = spark.createDataFrame([(f"r{i % 3}", i % 2, (i * 7 % 50) / 50) for i in range(200)], "run string, y_true int, x double").repartition(3)
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(x):
+        calls.add(1)
+        return x
+
+    found = metrics.roc_auc(rows.withColumn("score", counted.asNondeterministic()("x")), by)
+    assert found.count() == rows.select(*by).distinct().count() and calls.value == 200
+
+
+def test_weighted_areas_of_many_scores(spark):
+    rng = random.Random(3)
+    rows = [(rng.randrange(3), [a / (a + b + c) for v in [(a, b, c)] for a in v], float(rng.randint(1, 3))) for a, b, c in ((rng.random() + 0.1, rng.random() + 0.1, rng.random() + 0.1) for _ in range(400))]
+    frame = spark.createDataFrame([("all", *r) for r in rows], "run string, y_true int, probabilities array<double>, w double")
+    got = metrics.metrics_of(frame, ["run"], ["roc_auc"], "w", {"roc_auc": {"average": "weighted"}}).first()["roc_auc"]
+    sizes = [sum(w for t, _, w in rows if t == c) for c in range(3)]
+    areas = [area([(t, p[c], w) for t, p, w in rows], lambda t, c=c: t == c, True) for c in range(3)]
+    assert got == pytest.approx(sum(a * s for a, s in zip(areas, sizes, strict=True)) / sum(sizes), abs=1e-12)
+    # an array's size goes with its entries, not the array
+    assert "probabilities" not in metrics.roc_auc_ovr(frame, ["run"])._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_softmax_raises_each_logit_once(spark):
+    made = spark.createDataFrame([([1.0, 3.0, 2.0],), ([],), (None,)], "x array<double>").select(columns.multiclass_decision(F.col("x")).alias("d"))
+    assert made._jdf.queryExecution().analyzed().toString().lower().count("exp(") == 1
+    first = made.first()["d"]
+    whole = sum(math.exp(v - 3) for v in (1, 3, 2))
+    assert first["label"] == 1 and first["probabilities"] == pytest.approx([math.exp(v - 3) / whole for v in (1, 3, 2)])
