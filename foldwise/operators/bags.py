@@ -15,6 +15,9 @@ from foldwise.functions.columns import place
 STATISTICS: dict[str, Callable[[Column], Column]] = {
     "mean": F.avg, "std": F.stddev_pop, "min": F.min, "max": F.max}
 
+#: Difference of probabilities that is no difference.
+TIE = 1e-12
+
 
 def register_statistic(name: str, function: Callable[[Column], Column]) -> None:
     """Make an aggregate of a column available to bag_summary."""
@@ -42,12 +45,17 @@ def bag_summary(bags: DataFrame, instances: DataFrame, bag_id: str, instance_bag
 
 
 def pooled_probabilities(instances: DataFrame, bag: str, probabilities: Sequence[str], how: str = "max") -> DataFrame:
-    """Class probabilities of each bag: the instances' maxima or means, scaled to the sum 1; the label is the first largest."""
+    """Class probabilities of each bag: the instances' maxima or means, scaled to the sum 1; the label is the first largest.
+
+    Probabilities that are TIE apart or less are equally large, as sums of doubles depend on their order.
+    """
     pool = {"max": F.max, "mean": F.avg}[how]
     found = instances.groupBy(bag).agg(*[pool(c).alias(c) for c in probabilities])
     total = sum((F.col(c) for c in probabilities), F.lit(0.0))
     scaled = found.select(bag, F.array(*[F.col(c) / total for c in probabilities]).alias("probabilities"))
-    return scaled.withColumn("label", (F.array_position("probabilities", F.array_max("probabilities")) - 1).cast("int"))
+    most = F.array_max("probabilities")
+    first = F.array_position(F.transform("probabilities", lambda p: p >= most - TIE), True) - 1
+    return scaled.withColumn("label", F.when(most.isNotNull(), first).cast("int"))
 
 
 def pooled_vectors(instances: DataFrame, bag: str, vector: str, mask: Column | None = None, how: str = "mean") -> DataFrame:

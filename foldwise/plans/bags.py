@@ -62,9 +62,10 @@ def _scored(spark, d):
 
 
 POOLED = """with s as (select l_orderkey, l_quantity / 50.0::double * 0.5::double as p0, 1.0::double - l_quantity / 50.0::double as p1, l_quantity / 50.0::double * 0.5::double as p2 from lineitem),
-p as (select l_orderkey, {f}(p0) as a, {f}(p1) as b, {f}(p2) as c from s group by 1)
-select l_orderkey, round(a / (a + b + c), 6) as p0, round(b / (a + b + c), 6) as p1, round(c / (a + b + c), 6) as p2,
-case when a >= b and a >= c then 0 when b >= c then 1 else 2 end::integer as label from p"""
+p as (select l_orderkey, {f}(p0) as a, {f}(p1) as b, {f}(p2) as c from s group by 1),
+t as (select l_orderkey, a / (a + b + c) as a, b / (a + b + c) as b, c / (a + b + c) as c from p)
+select l_orderkey, round(a, 6) as p0, round(b, 6) as p1, round(c, 6) as p2,
+case when a >= greatest(a, b, c) - 1e-12::double then 0 when b >= greatest(a, b, c) - 1e-12::double then 1 else 2 end::integer as label from t"""
 
 
 def _pooled(spark, d, how):

@@ -1,5 +1,6 @@
 """Literal expectations and invariants of the library."""
 
+import itertools
 import math
 
 import numpy as np
@@ -325,3 +326,11 @@ def test_mi_svm_says_how_it_ended(spark):
     once = estimators.mi_svm(bags_, "bag", "k", ["x"], "label", max_iterations=1)
     # a single round is fitted on means; the last witnesses are fitted once more
     assert once[1:] == (1, "limit") and np.allclose(once[0].coefficients.toArray(), model.coefficients.toArray(), atol=1e-3)
+
+
+def test_pooled_labels_of_equal_means_are_the_first(spark):
+    # the mean is 100 / 3, where q / 100 and 1 - q / 50 are both 1/3, whatever the order of the sum
+    rows = [(b, float(q)) for b, bag in enumerate(itertools.permutations((50, 49, 1, 48, 2, 50))) for q in bag]
+    lines = spark.createDataFrame(rows, "bag long, q double").coalesce(1).select("bag", (F.col("q") / 50 * 0.5).alias("p0"), (1 - F.col("q") / 50).alias("p1"), (F.col("q") / 50 * 0.5).alias("p2"))
+    labels = bags.pooled_probabilities(lines, "bag", ["p0", "p1", "p2"], "mean").groupBy("label").count().collect()
+    assert [tuple(r) for r in labels] == [(0, 720)]
