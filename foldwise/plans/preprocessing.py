@@ -166,8 +166,12 @@ def _(spark, d):
     return scaled.groupBy("l_orderkey").agg(F.round(F.sum("l_quantity"), 5).alias("l_quantity"))
 
 
+#: Three decimals of a number that has five, halves away from zero as decimals (a double times 1,000 may miss a half).
+THREE = "round(v::decimal(18, 5), 3)::decimal(18, 3)::varchar"
+
+
 @query("pp_assemble", f"""with recursive {DOCS}, {LINEAR}
-select doc_id, array_to_string(list_concat(list_transform([n_chars, quality, zeros], lambda v: printf('%.3f', round(v, 3) + 0.0::double)), list_transform(range(4), lambda i: (i = lang_place)::integer::varchar), list_transform(range(5), lambda i: (i = source_place)::integer::varchar)), ' ') as features from made""")
+select doc_id, array_to_string(list_concat(list_transform([n_chars, quality, zeros], lambda v: {THREE}), list_transform(range(4), lambda i: (i = lang_place)::integer::varchar), list_transform(range(5), lambda i: (i = source_place)::integer::varchar)), ' ') as features from made""")
 def _(spark, d):
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
@@ -231,7 +235,8 @@ select resample_id, o_orderkey, round((o_totalprice - a) / s, 5) as o_totalprice
 def _(spark, d):
     day = F.when(F.col("o_orderpriority") != "1-URGENT", F.dayofmonth("o_orderdate").cast("double"))
     orders = table(spark, d, "orders").select("o_orderkey", "o_totalprice", day.alias("day"), F.when(F.col("o_orderstatus") == "P", F.col("o_totalprice")).otherwise(0.0).alias("part"))
-    roles = rs.fold_roles(rs.kfold(orders, "o_orderkey", 5, seed=1), "o_orderkey", 5).join(orders, "o_orderkey")
+    others = ["o_totalprice", "day", "part"]
+    roles = stored(rs.fold_roles(rs.kfold(orders, "o_orderkey", 5, 1, *others), "o_orderkey", 5, *others), "roles")
     out = pp.resample_policy(roles, [pp.Feature("o_totalprice", "numeric"), pp.Feature("day", "numeric", {"missing_values"}), pp.Feature("part", "numeric", {"zero_inflated"})])
     return _r(out, "o_totalprice", "day", "part", digits=5).select("resample_id", "o_orderkey", "o_totalprice", "day", "part")
 

@@ -6,6 +6,7 @@ import os
 import duckdb
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from foldwise.plans import registry
 
@@ -36,3 +37,13 @@ def test_same_rows(spark, duck, name):
     ours = registry.QUERIES[name](spark, FOLDER).toPandas()
     theirs = duck.execute(registry.ORACLES[name]).df()
     assert rows(ours) == rows(theirs)
+
+
+def test_halves_are_rounded_alike(spark, duck):
+    from foldwise.plans import preprocessing
+
+    assert f"lambda v: {preprocessing.THREE}" in registry.ORACLES["pp_assemble"]
+    halves = [sign * (n / 1000 + 0.0005) for n in range(3000) for sign in (1, -1)]
+    five = [round(h, 5) for h in halves]
+    ours = [r[0] for r in spark.createDataFrame([(v,) for v in five], "v double").select(F.format_string("%.3f", F.round("v", 3) + 0.0)).collect()]
+    assert ours == [r[0] for r in duck.execute(f"select {preprocessing.THREE} from (select unnest($v::double[]) as v)", {"v": five}).fetchall()]
