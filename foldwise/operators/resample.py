@@ -108,10 +108,10 @@ def share_of(size: float) -> float:
     return float(size)
 
 
-def kfold(frame: DataFrame, key: str, k: int, seed: int | None = None) -> DataFrame:
-    """key and the fold that tests it: contiguous blocks of the order."""
+def kfold(frame: DataFrame, key: str, k: int, seed: int | None = None, *others: str) -> DataFrame:
+    """key and the fold that tests it: contiguous blocks of the order; ``others``: further columns to keep."""
     folds_of(k)
-    return ranked(frame, key, seed).select(key, block(F.col("position"), F.col("n_rows"), k).alias("fold"))
+    return ranked(frame.select(key, *others), key, seed).select(key, *others, block(F.col("position"), F.col("n_rows"), k).alias("fold"))
 
 
 def stratified_kfold(frame: DataFrame, key: str, label: str, k: int, seed: int | None = None) -> DataFrame:
