@@ -36,20 +36,22 @@ def ranked(frame: DataFrame, key: str, seed: str | int | None = None, within: Se
     within, n = list(within), frame.count()
     if seed is not None:
         digits = max(1, math.ceil(math.log(max(1, n / rows), 16)))
-        ordered = frame.withColumn("_order", F.coalesce(shuffle_key(F.col(key), seed), F.md5(F.lit(f"{seed}:")))).withColumn("_range", F.substring("_order", 1, digits))
+        order = F.coalesce(shuffle_key(F.col(key), seed), F.md5(F.lit(f"{seed}:")))
+        ranged = frame.withColumn("_range", F.substring(order, 1, digits))
     else:
         cuts = range_cuts(frame, key, n, rows)
         above = place(F.col(key), F.array(*map(F.lit, cuts)), len(cuts)) if cuts else F.lit(0)
-        ordered = frame.withColumn("_order", F.col(key)).withColumn("_range", above)
+        order, ranged = F.col(key), frame.withColumn("_range", above)
     groups = W.partitionBy(*within) if within else W.partitionBy(F.lit(0))
-    counts = ordered.groupBy(*within, "_range").agg(F.count("*").alias("_count"))
+    counts = ranged.groupBy(*within, "_range").agg(F.count("*").alias("_count"))
     places = counts.select(
         *[F.col(c).alias(f"_{c}") for c in within], F.col("_range").alias("_place"),
         (F.sum("_count").over(groups.orderBy("_range").rowsBetween(W.unboundedPreceding, 0)) - F.col("_count")).alias("_before"),
         F.sum("_count").over(groups).alias("n_rows"))
     on = (F.col("_range") == F.col("_place")) & same(within, "_")
     number = F.row_number().over(W.partitionBy(*within, "_range").orderBy("_order", key)) - 1
-    return ordered.withColumn("_number", number).join(places, on).withColumn("position", F.col("_before") + F.col("_number")).drop(
+    # sort keys are made where rows have arrived, so that they aren't sent
+    return ranged.repartition(*within, "_range").withColumn("_order", order).withColumn("_number", number).join(places, on).withColumn("position", F.col("_before") + F.col("_number")).drop(
         "_order", "_range", "_number", "_place", "_before", *[f"_{c}" for c in within])
 
 
@@ -197,7 +199,7 @@ def with_validation(assignment: DataFrame, key: str, valid_size: float, seed: in
     share_of(valid_size)
     train = assignment.filter("role = 'train'")
     if label is None:
-        rows = ranked(train, key, seed, ["resample_id"]).withColumn("quota", F.ceil(F.lit(valid_size) * F.col("n_rows")))
+        rows = ranked(train.select("resample_id", key), key, seed, ["resample_id"]).withColumn("quota", F.ceil(F.lit(valid_size) * F.col("n_rows")))
     else:
         quotas = class_quotas(train, label, valid_size, ["resample_id"])
         rows = ranked(train, key, seed, ["resample_id", label]).join(quotas.withColumnRenamed("resample_id", "_r"), (F.col("resample_id") == F.col("_r")) & F.col(label).eqNullSafe(F.col("_label")))
