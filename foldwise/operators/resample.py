@@ -177,7 +177,9 @@ def bootstrap(frame: DataFrame, key: str, samples: int, seed: int) -> DataFrame:
 
     A sample that leaves no row out is drawn again. Of over 32 rows that never comes up (32! / 32^32 is 2e-13).
     """
-    placed = ranked(frame, key).select(key, "position", "n_rows")
+    from foldwise.sources.store import stored
+
+    placed = stored(ranked(frame.select(key), key).select(key, "position", "n_rows"), "places")
     start = F.concat_ws(":", F.lit(str(seed)), F.col("sample"))
     n = frame.limit(33).count()
     for s in range(samples if n <= 32 else 0):

@@ -334,3 +334,20 @@ def test_pooled_labels_of_equal_means_are_the_first(spark):
     lines = spark.createDataFrame(rows, "bag long, q double").coalesce(1).select("bag", (F.col("q") / 50 * 0.5).alias("p0"), (1 - F.col("q") / 50).alias("p1"), (F.col("q") / 50 * 0.5).alias("p2"))
     labels = bags.pooled_probabilities(lines, "bag", ["p0", "p1", "p2"], "mean").groupBy("label").count().collect()
     assert [tuple(r) for r in labels] == [(0, 720)]
+
+
+def test_folds_keep_other_columns(spark):
+    rows = spark.range(50).select(F.col("id").alias("key"), (F.col("id") * 2).alias("x"))
+    kept = resample.kfold(rows, "key", 5, 1, "x")
+    assert kept.columns == ["key", "x", "fold"] and kept.filter("x <> 2 * key").count() == 0
+    assert kept.drop("x").exceptAll(resample.kfold(rows, "key", 5, 1)).count() == 0
+
+
+def test_sort_keys_are_made_where_rows_have_arrived(spark):
+    plan = resample.ranked(spark.range(50).toDF("key"), "key", 3)._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 <= plan.find("AS _order") < plan.find("RepartitionByExpression")
+
+
+def test_draws_read_stored_places(spark):
+    plan = resample.bootstrap(spark.range(50).toDF("key"), "key", 2, 3)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan
