@@ -1,15 +1,15 @@
 """Support vector machines in the primal, linear or by random waves in place of a kernel, and their multi-instance form.
 
-Equal rows are counted together once a fit, and their partitions are as many as the different rows need. A step adds up slopes and
-second derivatives of each partition by numpy, (features + 2)^2 / 2 numbers, and tasks add up those of several partitions: the
-driver gets a row for each of the square root of their number.
+Equal rows are counted together once a fit, and their partitions are as many as the different rows need. Where one does, its task
+goes through all steps. Else a step adds up slopes and second derivatives of each partition by numpy, (features + 2)^2 / 2 numbers.
+The driver gets these, or, where they are many, tasks add up those of several partitions and it gets a row for each of the square root of their number.
 """
 
 from __future__ import annotations
 
 import json
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foldwise.operators import bags as bg
+from foldwise.sources.store import stored
 
 #: Parts of a step of which one is taken, the whole step first.
 PARTS = 0.5 ** np.arange(20)
@@ -28,8 +29,10 @@ PARTS = 0.5 ** np.arange(20)
 CORNERS = (1.0, 0.3, 0.1)
 #: Features, after waves, that a fit may have.
 MOST_COLUMNS = 1_024
-#: Different rows that a partition of a fit holds at least, if there are as many.
+#: Rows that a partition of a fit, or of witnesses, holds.
 ROWS = 20_000
+#: Numbers that a step's partitions send to the driver at most; of more, tasks add up those of several partitions.
+SENT = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -126,6 +129,11 @@ def corner(margins: np.ndarray, half: float) -> tuple[np.ndarray, np.ndarray, np
     return loss, slope, inside / (2 * half)
 
 
+def partitions(n: int) -> int:
+    """How many partitions hold ``n`` rows."""
+    return -(-n // ROWS) or 1
+
+
 def counted_rows(rows: DataFrame) -> DataFrame:
     """Different rows of _x and _y with _w, how many there are of each (or the sum of their _w)."""
     weight = F.sum("_w") if "_w" in rows.columns else F.count("*")
@@ -143,65 +151,78 @@ def added_up(batches):
         yield pa.RecordBatch.from_pydict({"_sums": pa.array([total], pa.list_(pa.float64()))})
 
 
-def step_sums(rows: DataFrame, parts: int, waves: Waves, at: np.ndarray, move: np.ndarray, half: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Over rows of _x, _y and _w in ``parts`` partitions: losses at each part of the way from ``at`` by ``move``, and slopes and bends at its end."""
+def blocks_of(batches, waves: Waves):
+    """Of each batch of rows of _x, _y and _w: a column of ones and the features after waves, signs and weights."""
+    for batch in batches:
+        if batch.num_rows:
+            x = batch.column("_x").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            y = np.where(batch.column("_y").to_numpy(zero_copy_only=False) > 0, 1.0, -1.0)
+            yield np.hstack([np.ones((len(x), 1)), waves.of(x)]), y, batch.column("_w").to_numpy(zero_copy_only=False)
+
+
+def block_sums(blocks, at: np.ndarray, move: np.ndarray, half: float) -> np.ndarray:
+    """Over blocks: losses at each part of the way from ``at`` by ``move``, and slopes and bends (their lower half) at its end, in one array."""
     k = len(at)
     low = np.tril_indices(k)
+    total = np.zeros(len(PARTS) + k + len(low[0]))
+    for full, y, w in blocks:
+        here, further = y * (full @ at), y * (full @ move)
+        losses = [w @ corner(here + part * further, half)[0] for part in PARTS]
+        _, slope, bend = corner(here + further, half)
+        bends = (full * (w * bend)[:, None]).T @ full
+        total += np.concatenate([losses, full.T @ (w * slope * y), bends[low]])
+    return total
+
+
+def step_sums(rows: DataFrame, parts: int, made: Callable, size: int) -> np.ndarray:
+    """One Spark job over rows of _x, _y and _w in ``parts`` partitions: the sum of what ``made`` gives for each one's batches, an array of ``size``."""
 
     def of_partition(batches):
-        total = np.zeros(len(PARTS) + k + len(low[0]))
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = batch.column("_x").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-            y = np.where(batch.column("_y").to_numpy(zero_copy_only=False) > 0, 1.0, -1.0)
-            w = batch.column("_w").to_numpy(zero_copy_only=False)
-            full = np.hstack([np.ones((len(x), 1)), waves.of(x)])
-            here, further = y * (full @ at), y * (full @ move)
-            losses = [w @ corner(here + part * further, half)[0] for part in PARTS]
-            _, slope, bend = corner(here + further, half)
-            bends = (full * (w * bend)[:, None]).T @ full
-            total += np.concatenate([losses, full.T @ (w * slope * y), bends[low]])
-        yield pa.RecordBatch.from_pydict({"_sums": pa.array([total], pa.list_(pa.float64()))})
+        yield pa.RecordBatch.from_pydict({"_sums": pa.array([made(batches)], pa.list_(pa.float64()))})
 
     sums = rows.mapInArrow(of_partition, "_sums array<double>")
-    if parts > 1:
+    if parts * size > SENT:
         fewer = math.isqrt(parts - 1) + 1
         sums = sums.select("_sums", (F.spark_partition_id() % fewer).alias("_to")).repartition(fewer, "_to").select("_sums").mapInArrow(added_up, "_sums array<double>")
-    total = np.zeros(len(PARTS) + k + len(low[0]))
-    for batch in sums.toArrow().to_batches():
-        total += batch.column("_sums").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1).sum(0)
-    bends = np.zeros((k, k))
-    bends[low] = total[len(PARTS) + k:]
-    return total[: len(PARTS)], total[len(PARTS): len(PARTS) + k], bends + np.tril(bends, -1).T
+    return sum(batch.column("_sums").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1).sum(0) for batch in sums.toArrow().to_batches() if batch.num_rows)
 
 
 def fit_margin(rows: DataFrame, waves: Waves, width: int, penalty: float = 1.0, start: np.ndarray | None = None, steps: int = 50, close: float = 1e-8) -> np.ndarray:
     """Weights, the intercept first, that minimise half their squares (not the intercept's) plus ``penalty`` times the summed loss.
 
     ``rows`` have _x, _y and, if they count more than once, _w.
-    Newton's steps, each one Spark job: it gives the losses along the step before as well, so that a step which goes too far is cut
-    to its best part and costs one job more. From ``start``, the weights of a fit of nearly the same rows, few are needed.
+    Newton's steps: each gives the losses along the step before as well, so that a step which goes too far is cut to its best part and
+    costs one step more. From ``start``, the weights of a fit of nearly the same rows, few are needed. Where the different rows
+    fill one partition at most, its task goes through all steps; else each step is one Spark job.
     """
     k = waves.columns(width) + 1
     if k - 1 > MOST_COLUMNS:
         raise ValueError(f"at most {MOST_COLUMNS} features after waves, not {k - 1}")
-    kept = counted_rows(rows).persist()
+    counted = counted_rows(rows)
+    parts = partitions(counted.count())
+    if parts == 1:
+
+        def whole(batches):
+            blocks = list(blocks_of(batches, waves))
+            return newton(lambda *step: block_sums(blocks, *step), k, penalty, start, steps, close)
+
+        return step_sums(counted.coalesce(1), 1, whole, k)
+    # a partition is one block, which its steps find where it was made
+    spread, size = counted.repartition(parts).persist(), len(PARTS) + k + k * (k + 1) // 2
     try:
-        parts = min(kept.rdd.getNumPartitions(), -(-kept.count() // ROWS) or 1)
-        return newton(kept.coalesce(parts), parts, waves, k, penalty, start, steps, close)
+        return newton(lambda *step: step_sums(spread, parts, lambda batches: block_sums(blocks_of(batches, waves), *step), size), k, penalty, start, steps, close)
     finally:
-        kept.unpersist()
+        spread.unpersist()
 
 
-def newton(rows: DataFrame, parts: int, waves: Waves, k: int, penalty: float, start: np.ndarray | None, steps: int, close: float) -> np.ndarray:
-    """The steps of fit_margin over counted rows."""
+def newton(sums: Callable, k: int, penalty: float, start: np.ndarray | None, steps: int, close: float) -> np.ndarray:
+    """The steps of fit_margin; ``sums`` gives block_sums over all rows."""
     at = np.zeros(k) if start is None else start.copy()
-    ridge = np.diag([1e-10] + [1.0] * (k - 1))
+    ridge, low = np.diag([1e-10] + [1.0] * (k - 1)), np.tril_indices(k)
     for half in CORNERS if start is None else CORNERS[-1:]:
         move, known, again = np.zeros(k), math.inf, False
         for _ in range(steps):
-            losses, slopes, bends = step_sums(rows, parts, waves, at, move, half)
+            losses, slopes, lower = np.split(sums(at, move, half), [len(PARTS), len(PARTS) + k])
             ways = at[None, :] + PARTS[:, None] * move[None, :]
             values = penalty * losses + 0.5 * (ways[:, 1:] ** 2).sum(1)
             best = int(values.argmin()) if move.any() else 0
@@ -212,6 +233,9 @@ def newton(rows: DataFrame, parts: int, waves: Waves, k: int, penalty: float, st
                 # slopes are those of the whole step's end
                 move = np.zeros(k)
                 continue
+            bends = np.zeros((k, k))
+            bends[low] = lower
+            bends += np.tril(bends, -1).T
             move = np.linalg.solve(penalty * bends + ridge, -(penalty * slopes + ridge @ at))
             if np.abs(move).max() <= close * max(1.0, np.abs(at).max()):
                 break
@@ -254,14 +278,15 @@ def mi_svm(
     elif kernel != "linear":
         rows.unpersist()
         raise ValueError(f"kernel {kernel} is neither linear nor rbf")
-    negative, positive = counted_rows(rows.filter("_y = 0").select("_x", "_y")).persist(), rows.filter("_y = 1")
+    negative, positive = stored(counted_rows(rows.filter("_y = 0").select("_x", "_y")), "negative-rows"), rows.filter("_y = 1")
+    n_bags = positive.select(bag).distinct().count()
     means = positive.groupBy(bag).agg(F.array(*[F.avg(F.col("_x")[i]) for i in range(width)]).alias("_x"))
     chosen = means.select("_x", F.lit(1).alias("_y"), F.lit(1.0).alias("_w"))
     penalty, weights, seen, rounds, ended, last, best = float(params.get("C", 1.0)), None, [], 0, "limit", None, None
     for rounds in range(1, max_iterations + 1):
         weights = fit_margin(negative.unionByName(chosen), waves, width, penalty, weights)
         scored = positive.withColumn("_score", MarginModel(features, waves, weights).margin(F.col("_x")))
-        last, best = best, bg.witnesses(scored, bag, "_score", key).persist()
+        last, best = best, bg.witnesses(scored, bag, "_score", key).coalesce(partitions(n_bags)).persist()
         mark = tuple(best.agg(F.count("*"), F.sum(F.xxhash64(bag, key).cast("decimal(38,0)"))).first())
         if last is not None:
             last.unpersist()
@@ -272,6 +297,6 @@ def mi_svm(
         chosen = best.select("_x", F.lit(1).alias("_y"), F.lit(1.0).alias("_w"))
     if ended == "limit":
         weights = fit_margin(negative.unionByName(chosen), waves, width, penalty, weights)
-    for frame in (rows, negative, best):
+    for frame in (rows, best):
         frame.unpersist()
     return MarginModel(features, waves, weights), rounds, ended

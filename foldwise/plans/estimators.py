@@ -12,7 +12,7 @@ from foldwise.operators import reports as rp
 from foldwise.operators import resample as rs
 from foldwise.operators import study as st
 from foldwise.plans.registry import query, table
-from foldwise.sources.store import new_path
+from foldwise.sources.store import new_path, stored
 from foldwise.sources.tables import Task
 
 
@@ -216,9 +216,9 @@ BAG_STUDY = {"svm": st.Method("mi_svm", {"C": 10.0, "max_iterations": 3}), "pool
 f as (select *, ntile(2) over (order by md5('1:' || l_orderkey), l_orderkey) - 1 as fold from b)
 select 'rings:' || m || ':' || printf('fold_%02d', fold) || ':seed-0' as run_key, 'success' as status, count(*) as n_bags, sum(label)::bigint as n_positive from f, (select unnest(['svm', 'pool']) as m) group by m, fold""")
 def _(spark, d):
-    rows = es.with_features(_rings(spark, d), ["q", "s"])
+    rows = stored(es.with_features(_rings(spark, d), ["q", "s"]), "rings")
     bags = rows.select("l_orderkey").distinct()
-    folds = rs.fold_roles(rs.kfold(bags, "l_orderkey", 2, seed=1), "l_orderkey", 2)
+    folds = rs.fold_roles(stored(rs.kfold(bags, "l_orderkey", 2, seed=1), "folds"), "l_orderkey", 2)
     path = new_path(spark, "study")
     found = st.run_study("rings", rows, Task("binary", ["q", "s"], "label"), folds, "l_orderkey", BAG_STUDY, ["accuracy", "roc_auc"], path, instance="k")
     counts = st.stored_predictions(found, path).groupBy("run_key").agg(F.count("*").alias("n_bags"), F.sum("y_true").alias("n_positive"))

@@ -49,6 +49,29 @@ def test_equal_rows_are_counted_once_a_fit(spark, monkeypatch):
     assert np.allclose(margins.fit_margin(frame, margins.Waves(), 2, 12.0), copied, atol=1e-6) and max(n for _, n in seen) > 1
 
 
+def test_a_fit_of_one_partition_is_few_jobs(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(200, 2))
+    rows = spark.createDataFrame([(list(map(float, r)), int(r[0] + 0.3 * e > 0)) for r, e in zip(x, rng.normal(size=200), strict=True)], "_x array<double>, _y int").repartition(4)
+    waves, context = margins.Waves.drawn(2, 0.5, 8, 0), spark.sparkContext
+
+    def jobs_and_weights(name):
+        context.setJobGroup(name, name)
+        try:
+            return len(context.statusTracker().getJobIdsForGroup(name)), margins.fit_margin(rows, waves, 2, 10.0), len(context.statusTracker().getJobIdsForGroup(name))
+        finally:
+            context.setLocalProperty("spark.jobGroup.id", None)
+
+    none, alone, few = jobs_and_weights("alone")
+    assert none == 0 and 0 < few <= 12
+    # in several partitions each step is a job, whose sums come straight to the driver or are added up by tasks first
+    monkeypatch.setattr(margins, "ROWS", 60)
+    _, straight, many = jobs_and_weights("straight")
+    monkeypatch.setattr(margins, "SENT", 0)
+    _, added, _ = jobs_and_weights("added")
+    assert many > 20 and np.allclose(straight, alone, atol=1e-6) and np.allclose(added, alone, atol=1e-6)
+
+
 def test_waves_stand_in_for_the_kernel():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(30, 4))
